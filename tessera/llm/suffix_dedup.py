@@ -8,8 +8,10 @@ would shuffle many times the text, so the first digits are taken where they deci
    at equal places; neighbouring windows share one, and form a segment: one row for some 39 windows.
 2. Segments whose anchor no other has are alone. The second digit is the whole segment: all windows of an equal,
    later segment are repeats.
-3. Only the first segments of anchors with unlike segments (the edges of passages) are opened into windows, whose
-   two halves are the last digits.
+3. Of anchors with unlike segments (the edges of passages, or an anchor that recurs by chance) the first segment of
+   each kind goes on. A window has its anchor in its left or in its right part: the anchor with what precedes it, or
+   with what follows it, is the next digit, and keeps the windows on that side alive.
+4. What is left is opened into windows, whose two halves are the last digits.
 """
 
 from __future__ import annotations
@@ -64,7 +66,7 @@ def least_in_window(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(data: np.ndarray, docs: np.ndarray, starts: np.ndarray, ends: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """For each segment: anchor hash, content hash, document number, first window's place, number of windows."""
+    """For each segment: anchor hash, content hash, document number, first window's place; number of windows * 256 + anchor's place in it."""
     n = len(data) - ANCHOR + 1
     at = np.arange(n)
     h = RangeHash(data)(at, at + ANCHOR)
@@ -80,7 +82,7 @@ def segments(data: np.ndarray, docs: np.ndarray, starts: np.ndarray, ends: np.nd
     content = RangeHash(data, _OTHER)(first, first + count + length - 1)
     g = mix64(content ^ (count.astype(np.uint64) << np.uint64(32)) ^ (anchor - first).astype(np.uint64))
     doc = np.searchsorted(starts, first, "right") - 1
-    return h[anchor].view(np.int64), g.view(np.int64), docs[doc], first - starts[doc] + place[doc], count
+    return h[anchor].view(np.int64), g.view(np.int64), docs[doc], first - starts[doc] + place[doc], (count << 8) | (anchor - first)
 
 
 def find_segments(df: DataFrame, length: int) -> DataFrame:
@@ -90,36 +92,69 @@ def find_segments(df: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             for piece in pieces(data, offsets, length):
-                h, g, doc, pos, count = segments(*piece, length)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(g), batch.column(0).take(pa.array(doc)), pa.array(pos, pa.int32()), pa.array(count, pa.int32())], ["h", "g", "doc_id", "pos", "n"])
+                h, g, doc, pos, shape = segments(*piece, length)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(g), batch.column(0).take(pa.array(doc)), pa.array(pos, pa.int32()), pa.array(shape, pa.int32())], ["h", "g", "doc_id", "pos", "shape"])
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    return df.select("doc_id", "text").mapInArrow(run, f"h bigint, g bigint, doc_id {kind}, pos int, n int")
+    return df.select("doc_id", "text").mapInArrow(run, f"h bigint, g bigint, doc_id {kind}, pos int, shape int")
 
 
-def open_windows(texts: DataFrame, length: int) -> DataFrame:
-    """The windows of texts(doc_id, text, runs): hashes of their two halves, and place."""
+def sides(texts: DataFrame, length: int) -> DataFrame:
+    """For texts(doc_id, text, runs) each run's bytes, and hashes of its anchor with the bytes before and after it."""
+    reach = (length - ANCHOR) // 2
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        half = length // 2
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             for k, runs in enumerate(batch.column(2)):
                 text, runs = data[offsets[k] : offsets[k + 1]], runs.as_py()
-                for i in range(0, len(runs), 20_000):
-                    part = np.array([(r["pos"], r["n"]) for r in runs[i : i + 20_000]])
-                    at = np.repeat(part[:, 0] - np.cumsum(part[:, 1]) + part[:, 1], part[:, 1]) + np.arange(part[:, 1].sum())
-                    at = at[at + length <= len(text)]
-                    lo, hi = (at.min(), at.max() + length) if len(at) else (0, 0)
-                    one, two = RangeHash(text[lo:hi]), RangeHash(text[lo:hi], _OTHER)
-                    d1 = one(at - lo, at - lo + half)
-                    d2 = two(at - lo + half, at - lo + length)
-                    yield pa.RecordBatch.from_arrays([pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), batch.column(0).take(pa.array(np.full(len(at), k))), pa.array(at, pa.int32())], ["d1", "d2", "doc_id", "pos"])
+                out = [[] for _ in range(6)]
+                for r in runs:
+                    bytes_ = text[r["pos"] : r["pos"] + r["n"] + length - 1]
+                    a = r["pos"] + r["at"]
+                    before = text[a - reach : a + ANCHOR].tobytes() if a >= reach else None
+                    after = text[a : a + ANCHOR + reach].tobytes() if a + ANCHOR + reach <= len(text) else None
+                    for column, value in zip(out, (r["pos"], r["n"], r["at"], bytes_.tobytes(), before, after)):
+                        column.append(value)
+                if runs:
+                    types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([k] * len(runs))), *(pa.array(c, t) for c, t in zip(out, types))], ["doc_id", "pos", "n", "at", "bytes", "before", "after"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.select("doc_id", "text", "runs").mapInArrow(run, f"d1 bigint, d2 bigint, doc_id {kind}, pos int")
+    found = texts.select("doc_id", "text", "runs").mapInArrow(run, f"doc_id {kind}, pos int, n int, at int, bytes binary, before binary, after binary")
+    digit = lambda c: F.when(F.col(c).isNotNull(), F.xxhash64(c))
+    return found.select("doc_id", "pos", "n", "at", "bytes", digit("before").alias("before"), digit("after").alias("after"))
+
+
+def open_windows(runs: DataFrame, length: int) -> DataFrame:
+    """The live windows of runs(doc_id, pos, n, at, bytes, left, right): hashes of their two halves, and place."""
+    reach = (length - ANCHOR) // 2
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        half = length // 2
+        for batch in batches:
+            pos, n, at, left, right = (batch.column(c).to_numpy(zero_copy_only=False) for c in (1, 2, 3, 5, 6))
+            ends = np.cumsum(n + length - 1)
+            for i in range(0, len(pos), 4000):
+                j = min(i + 4000, len(pos))
+                data = np.frombuffer(b"".join(batch.column(4)[i:j].to_pylist()), np.uint8)
+                base = ends[i:j] - (n + length - 1)[i:j] - (ends[i - 1] if i else 0)
+                which = np.repeat(np.arange(i, j), n[i:j])
+                step = np.arange(len(which)) - np.repeat(np.cumsum(n[i:j]) - n[i:j], n[i:j])
+                ahead = at[which] - step
+                live = (left[which] & (ahead >= reach)) | (right[which] & (ahead <= length - ANCHOR - reach))
+                which, step = which[live], step[live]
+                place = base[which - i] + step
+                d1 = RangeHash(data)(place, place + half)
+                d2 = RangeHash(data, _OTHER)(place + half, place + length)
+                yield pa.RecordBatch.from_arrays([pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), batch.column(0).take(pa.array(which)), pa.array((pos[which] + step).astype(np.int32))], ["d1", "d2", "doc_id", "pos"])
+
+    kind = runs.schema["doc_id"].dataType.simpleString()
+    return runs.select("doc_id", "pos", "n", "at", "bytes", "left", "right").mapInArrow(run, f"d1 bigint, d2 bigint, doc_id {kind}, pos int")
 
 
 def cut_spans(texts: DataFrame, keep_text: bool) -> DataFrame:
@@ -159,12 +194,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
     again = found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     alive = materialize(found.join(again, "h"))
     here = F.struct("doc_id", "pos")
-    equal = materialize(alive.groupBy("h", "g").agg(F.min(F.struct("doc_id", "pos", "n")).alias("first")))
-    later = alive.join(equal, ["h", "g"]).where(here != F.struct("first.doc_id", "first.pos")).select("doc_id", F.col("pos").alias("a"), (F.col("pos") + F.col("n") + (length - 1)).alias("b"))
+    equal = materialize(alive.groupBy("h", "g").agg(F.min(F.struct("doc_id", "pos", "shape")).alias("first")))
+    later = alive.join(equal, ["h", "g"]).where(here != F.struct("first.doc_id", "first.pos")).select("doc_id", F.col("pos").alias("a"), (F.col("pos") + F.shiftright("shape", 8) + (length - 1)).alias("b"))
     texts = materialize(docs.join(alive.select("doc_id").distinct(), "doc_id", "left_semi"))
     unlike = equal.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    edges = equal.join(unlike, "h").select("first.*").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "n")).alias("runs"))
-    windows = materialize(open_windows(texts.join(edges, "doc_id"), length))
+    edges = equal.join(unlike, "h").select("first.*").groupBy("doc_id").agg(F.collect_list(F.struct("pos", F.shiftright("shape", 8).alias("n"), F.expr("shape & 255").alias("at"))).alias("runs"))
+    runs = materialize(sides(texts.join(edges, "doc_id"), length))
+    for side, mark in (("before", "left"), ("after", "right")):
+        shared = runs.where(F.col(side).isNotNull()).groupBy(side).agg(F.count("*").alias("c")).where("c > 1").select(side, F.lit(True).alias(mark))
+        runs = runs.join(shared, side, "left").withColumn(mark, F.coalesce(mark, F.lit(False)))
+    windows = materialize(open_windows(runs.where("left or right"), length))
     half = windows.join(windows.groupBy("d1").agg(F.count("*").alias("c")).where("c > 1").select("d1"), "d1")
     whole = half.groupBy("d1", "d2").agg(F.min(here).alias("first"), F.count("*").alias("c")).where("c > 1")
     repeats = half.join(whole, ["d1", "d2"]).where(here != F.col("first")).select("doc_id", F.col("pos").alias("a"), (F.col("pos") + length).alias("b"))
