@@ -130,31 +130,58 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return docs.select("rep", "text").mapInArrow(run, f"rep {docs.schema['rep'].dataType.simpleString()}, items binary")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are linked: likelihood estimate first, then the intersection of the full sets."""
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets of hashes are linked, on the full sets."""
+    both = len(x) + len(y) - len(np.union1d(x, y))
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
-    def run(batches: Iterator) -> Iterator:
+
+def links_within(dealt: DataFrame, percent: int) -> DataFrame:
+    """Verified links (a, b) that join what is linked in each task of dealt(cluster, task, rep, block, regs, items).
+
+    All pairs of the task's two blocks are compared by their registers; those whose likelihood estimate comes near
+    the threshold are verified on the full sets, the likeliest first, unless earlier links already join them.
+    """
+    kind = dealt.schema["rep"].dataType.simpleString()
+
+    def run(table):
         import pyarrow as pa
 
-        for batch in batches:
-            x, y, rx, ry = (batch.column(k).to_pylist() for k in (2, 3, 4, 5))
-            if not x:
-                continue
-            n_x, n_y = (np.array([len(v) // 8 for v in s], float) for s in (x, y))
-            regs = [np.frombuffer(b"".join(r), np.int16).reshape(len(r), -1) for r in (rx, ry)]
-            likely = estimate(*regs, n_x, n_y) >= percent / 100 - SLACK
-            good = np.zeros(len(x), bool)
-            for k in np.flatnonzero(likely & (100 * np.minimum(n_x, n_y) >= percent * np.maximum(n_x, n_y))):
-                u, v = np.frombuffer(x[k], np.uint64), np.frombuffer(y[k], np.uint64)
-                both = len(u) + len(v) - len(np.union1d(u, v))
-                good[k] = 100 * both >= percent * (len(u) + len(v) - both)
-            keep = pa.array(good)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
-
-    kind = pairs.schema["a"].dataType.simpleString()
-    left = sets.select(F.col("rep").alias("a"), F.col("items").alias("x"), F.col("regs").alias("rx"))
-    right = sets.select(F.col("rep").alias("b"), F.col("items").alias("y"), F.col("regs").alias("ry"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y", "rx", "ry").mapInArrow(run, f"a {kind}, b {kind}")
+        rep, block, raw, items = (table.column(c).to_pylist() for c in ("rep", "block", "regs", "items"))
+        regs, block = np.frombuffer(b"".join(raw), np.int16).reshape(len(rep), -1), np.array(block)
+        sets = [np.frombuffer(x, np.uint64) for x in items]
+        n = np.array([len(x) for x in sets], float)
+        left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+        one = block.min() == block.max()
+        found = []
+        for i in left:
+            js = right[right > i] if one else right
+            js = js[100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i])]
+            js = js[(regs[js] == regs[i]).mean(axis=1) >= 0.5]
+            if len(js):
+                found.append(np.stack([np.full(len(js), i), js]))
+        a, b, parent = [], [], list(range(len(rep)))
+
+        def root(v: int) -> int:
+            while parent[v] != v:
+                parent[v] = v = parent[parent[v]]
+            return v
+
+        if found:
+            i, j = np.concatenate(found, axis=1)
+            likely = np.concatenate([estimate(regs[i[k : k + 50_000]], regs[j[k : k + 50_000]], n[i[k : k + 50_000]], n[j[k : k + 50_000]]) for k in range(0, len(i), 50_000)])
+            for k in np.argsort(-likely, kind="stable"):
+                if likely[k] < percent / 100 - SLACK:
+                    break
+                u, v = root(i[k]), root(j[k])
+                if u != v and alike(sets[i[k]], sets[j[k]], percent):
+                    parent[max(u, v)] = min(u, v)
+                    a.append(min(rep[i[k]], rep[j[k]]))
+                    b.append(max(rep[i[k]], rep[j[k]]))
+        own = table.schema.field("rep").type
+        return pa.table({"a": pa.array(a, own), "b": pa.array(b, own)})
+
+    return dealt.groupBy("cluster", "task").applyInArrow(run, f"a {kind}, b {kind}")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -180,65 +207,29 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id, n_shingles, component_id, kept for each row of df.
 
     1. Equal sets form a class; its smallest id stands for it, so that copies cost no pairs.
-    2. In each bucket (band key) of several classes a hub, the class with the most company over all bands, is paired
-       with every other class; the pairs are verified and joined to components. That is one pair per row.
-    3. Where a bucket still has several components, all its pairs of different components are compared by their
-       registers, in blocks of bounded size dealt over tasks; what may be alike is verified too.
+    2. Classes that share a band key belong to one cluster: each bucket's members are tied to its smallest id (one
+       pair per row), and the ties are joined. Links can only lie within clusters.
+    3. Clusters are dealt into blocks of bounded size, each two blocks to a task that finds the links between them
+       (links_within); tasks return no more links than join their members. The links' components are the result.
 
     Null, empty or blank text has the empty set, linked with nothing. Rows with one id are taken as one document:
     a repeated row gets the same component. Null ids are never linked. An empty table gives an empty result; other
     columns are ignored.
     """
     rows = materialize(sketch(df, id_col, text_col))
-    classes = rows.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.min("regs").alias("regs"), F.min("keys").alias("keys"))
-    classes = materialize(classes)
+    classes = materialize(rows.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.min("regs").alias("regs"), F.min("keys").alias("keys")))
     member = classes.select("rep", F.explode("keys").alias("key"))
-    busy = member.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    member = materialize(member.join(busy, "key"))
-    company = member.groupBy("rep").agg(F.sum("size").alias("company"))
-    ranked = member.join(company, "rep")
-    hubs = ranked.groupBy("key").agg(F.max_by("rep", F.struct("company", F.negative("rep"))).alias("hub"))
-    stars = member.join(hubs, "key").where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-    needed = member.select("rep").distinct()
-    texts = df.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(needed, "rep", "left_semi")
-    sets = materialize(full_sets(texts).groupBy("rep").agg(F.min("items").alias("items")).join(classes.select("rep", "regs"), "rep"))
-    links = materialize(verify(stars, sets, percent))
-    label = components(links)
-    rest = member.join(label.withColumnRenamed("v", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_ = rest.groupBy("key").agg(F.count("*").alias("in_bucket"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", F.ceil(F.col("in_bucket") / BLOCK).cast("int").alias("blocks"))
-    more = verify(_unlike(rest.join(open_, "key"), classes), sets, percent)
-    label = components(links.unionByName(more))
+    buckets = materialize(member.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("hub")).where("size > 1").select("key", "hub"))
+    ties = member.join(buckets, "key").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+    cluster = components(ties)
+    cluster = materialize(cluster.select(F.col("v").alias("rep"), F.col("component").alias("cluster")))
+    texts = df.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(cluster.select("rep"), "rep", "left_semi")
+    sets = full_sets(texts).groupBy("rep").agg(F.min("items").alias("items"))
+    blocks = cluster.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = cluster.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("lo"), F.greatest("block", o).alias("hi")))
+    dealt = placed.join(classes.select("rep", "regs"), "rep").join(sets, "rep").select("cluster", "rep", "block", "regs", "items", F.explode(others).alias("task"))
+    label = components(materialize(links_within(dealt, percent)))
     final = classes.select("s1", "s2", "n", "rep").join(label.withColumnRenamed("v", "rep"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component_id"))
     out = rows.select("doc_id", "n", "s1", "s2").join(final, ["s1", "s2", "n"], "left").withColumn("component_id", F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component_id")), "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
-
-
-def _unlike(rest: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components in a bucket whose registers say that they may be alike.
-
-    rest(key, rep, component, blocks): each bucket is dealt into blocks, and each pair of blocks is one small task.
-    """
-    kind = rest.schema["rep"].dataType.simpleString()
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    dealt = rest.withColumn("block", block).join(classes.select("rep", "regs", F.col("n").alias("items")), "rep")
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("lo"), F.greatest("block", o).alias("hi")))
-    dealt = dealt.select("key", "rep", "component", "regs", "items", "block", F.explode(others).alias("task"))
-
-    def run(pdf):
-        import pandas as pd
-
-        regs = np.frombuffer(b"".join(pdf["regs"]), np.int16).reshape(len(pdf), -1)
-        rep, comp, n, blocks = (pdf[c].to_numpy() for c in ("rep", "component", "items", "block"))
-        lo, hi = blocks.min(), blocks.max()
-        a, b = [], []
-        for i in np.flatnonzero(blocks == lo):
-            js = np.flatnonzero((blocks == hi) & (comp != comp[i]) & ((rep > rep[i]) if lo == hi else True))
-            if len(js):
-                alike = (regs[js] == regs[i]).mean(axis=1) >= 0.5
-                js = js[alike]
-                js = js[estimate(np.broadcast_to(regs[i], (len(js), regs.shape[1])), regs[js], np.full(len(js), float(n[i])), n[js].astype(float)) >= PERCENT / 100 - SLACK] if len(js) else js
-                a += [rep[i]] * len(js)
-                b += list(rep[js])
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)} if a else {"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-
-    return dealt.groupBy("key", "task").applyInPandas(run, f"a {kind}, b {kind}").distinct()
