@@ -31,10 +31,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """df written once as a table in the shared folder and read back, so that lost executors don't recompute it."""
+    """df written once as a table in the shared folder and read back, so that lost executors don't recompute it.
+
+    The shuffle files behind it are then of no use; Spark removes them when the driver's garbage is collected.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -100,7 +100,7 @@ def find_segments(df: DataFrame, length: int) -> DataFrame:
 
 
 def sides(texts: DataFrame, length: int) -> DataFrame:
-    """For texts(doc_id, text, runs) each run's bytes, and hashes of its anchor with the bytes before and after it."""
+    """For each of the runs of texts(doc_id, text, runs): hashes of its anchor with the bytes before, and after it."""
     reach = (length - ANCHOR) // 2
 
     def run(batches: Iterator) -> Iterator:
@@ -109,52 +109,44 @@ def sides(texts: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             for k, runs in enumerate(batch.column(2)):
-                text, runs = data[offsets[k] : offsets[k + 1]], runs.as_py()
-                out = [[] for _ in range(6)]
-                for r in runs:
-                    bytes_ = text[r["pos"] : r["pos"] + r["n"] + length - 1]
-                    a = r["pos"] + r["at"]
-                    before = text[a - reach : a + ANCHOR].tobytes() if a >= reach else None
-                    after = text[a : a + ANCHOR + reach].tobytes() if a + ANCHOR + reach <= len(text) else None
-                    for column, value in zip(out, (r["pos"], r["n"], r["at"], bytes_.tobytes(), before, after)):
-                        column.append(value)
-                if runs:
-                    types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([k] * len(runs))), *(pa.array(c, t) for c, t in zip(out, types))], ["doc_id", "pos", "n", "at", "bytes", "before", "after"])
+                text = data[offsets[k] : offsets[k + 1]]
+                pos, n, at = np.array([(r["pos"], r["n"], r["at"]) for r in runs.as_py()]).T
+                ranges, a = RangeHash(text), pos + at
+                has_before, has_after = a >= reach, a + ANCHOR + reach <= len(text)
+                before = ranges(np.maximum(a - reach, 0), a + ANCHOR).view(np.int64)
+                after = ranges(a, np.minimum(a + ANCHOR + reach, len(text))).view(np.int64)
+                columns = [pa.array(x.astype(np.int32)) for x in (pos, n, at)] + [pa.array(before, mask=~has_before), pa.array(after, mask=~has_after)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([k] * len(pos))), *columns], ["doc_id", "pos", "n", "at", "before", "after"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    found = texts.select("doc_id", "text", "runs").mapInArrow(run, f"doc_id {kind}, pos int, n int, at int, bytes binary, before binary, after binary")
-    digit = lambda c: F.when(F.col(c).isNotNull(), F.xxhash64(c))
-    return found.select("doc_id", "pos", "n", "at", "bytes", digit("before").alias("before"), digit("after").alias("after"))
+    return texts.select("doc_id", "text", "runs").mapInArrow(run, f"doc_id {kind}, pos int, n int, at int, before bigint, after bigint")
 
 
-def open_windows(runs: DataFrame, length: int) -> DataFrame:
-    """The live windows of runs(doc_id, pos, n, at, bytes, left, right): hashes of their two halves, and place."""
-    reach = (length - ANCHOR) // 2
+def open_windows(texts: DataFrame, length: int) -> DataFrame:
+    """The live windows of the runs of texts(doc_id, text, runs): hashes of their two halves, and place."""
+    reach, half = (length - ANCHOR) // 2, length // 2
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        half = length // 2
         for batch in batches:
-            pos, n, at, left, right = (batch.column(c).to_numpy(zero_copy_only=False) for c in (1, 2, 3, 5, 6))
-            ends = np.cumsum(n + length - 1)
-            for i in range(0, len(pos), 4000):
-                j = min(i + 4000, len(pos))
-                data = np.frombuffer(b"".join(batch.column(4)[i:j].to_pylist()), np.uint8)
-                base = ends[i:j] - (n + length - 1)[i:j] - (ends[i - 1] if i else 0)
-                which = np.repeat(np.arange(i, j), n[i:j])
-                step = np.arange(len(which)) - np.repeat(np.cumsum(n[i:j]) - n[i:j], n[i:j])
-                ahead = at[which] - step
-                live = (left[which] & (ahead >= reach)) | (right[which] & (ahead <= length - ANCHOR - reach))
-                which, step = which[live], step[live]
-                place = base[which - i] + step
-                d1 = RangeHash(data)(place, place + half)
-                d2 = RangeHash(data, _OTHER)(place + half, place + length)
-                yield pa.RecordBatch.from_arrays([pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), batch.column(0).take(pa.array(which)), pa.array((pos[which] + step).astype(np.int32))], ["d1", "d2", "doc_id", "pos"])
-
-    kind = runs.schema["doc_id"].dataType.simpleString()
-    return runs.select("doc_id", "pos", "n", "at", "bytes", "left", "right").mapInArrow(run, f"d1 bigint, d2 bigint, doc_id {kind}, pos int")
+            data, offsets = text_bytes(batch.column(1))
+            for k, runs in enumerate(batch.column(2)):
+                text = data[offsets[k] : offsets[k + 1]]
+                rows = np.array([(r["pos"], r["n"], r["at"], r["left"], r["right"]) for r in runs.as_py()])
+                one, two = RangeHash(text), RangeHash(text, _OTHER)
+                for i in range(0, len(rows), 20_000):
+                    pos, n, at, left, right = rows[i : i + 20_000].T
+                    which = np.repeat(np.arange(len(pos)), n)
+                    step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+                    ahead = at[which] - step
+                    live = ((left[which] > 0) & (ahead >= reach)) | ((right[which] > 0) & (ahead <= length - ANCHOR - reach))
+                    place = pos[which[live]] + step[live]
+                    d1, d2 = one(place, place + half), two(place + half, place + length)
+                    yield pa.RecordBatch.from_arrays([pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), batch.column(0).take(pa.array([k] * len(place), pa.int64())), pa.array(place.astype(np.int32))], ["d1", "d2", "doc_id", "pos"])
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return texts.select("doc_id", "text", "runs").mapInArrow(run, f"d1 bigint, d2 bigint, doc_id {kind}, pos int")
 
 
 def cut_spans(texts: DataFrame, keep_text: bool) -> DataFrame:
@@ -189,7 +181,7 @@ def cut_spans(texts: DataFrame, keep_text: bool) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """Spans (doc_id, a, b) of repeated windows of docs(doc_id, text), and the texts of the documents concerned."""
+    """Lists of spans (doc_id, spans) of repeated windows of docs(doc_id, text), and the texts of the documents concerned."""
     found = find_segments(docs, length)
     again = found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     alive = materialize(found.join(again, "h"))
@@ -200,13 +192,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
     unlike = equal.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     edges = equal.join(unlike, "h").select("first.*").groupBy("doc_id").agg(F.collect_list(F.struct("pos", F.shiftright("shape", 8).alias("n"), F.expr("shape & 255").alias("at"))).alias("runs"))
     runs = materialize(sides(texts.join(edges, "doc_id"), length))
+    live = runs.select("doc_id", "pos", "n", "at", "before", "after")
     for side, mark in (("before", "left"), ("after", "right")):
-        shared = runs.where(F.col(side).isNotNull()).groupBy(side).agg(F.count("*").alias("c")).where("c > 1").select(side, F.lit(True).alias(mark))
-        runs = runs.join(shared, side, "left").withColumn(mark, F.coalesce(mark, F.lit(False)))
-    windows = materialize(open_windows(runs.where("left or right"), length))
-    half = windows.join(windows.groupBy("d1").agg(F.count("*").alias("c")).where("c > 1").select("d1"), "d1")
-    whole = half.groupBy("d1", "d2").agg(F.min(here).alias("first"), F.count("*").alias("c")).where("c > 1")
-    repeats = half.join(whole, ["d1", "d2"]).where(here != F.col("first")).select("doc_id", F.col("pos").alias("a"), (F.col("pos") + length).alias("b"))
+        shared = runs.where(F.col(side).isNotNull()).groupBy(side).agg(F.count("*").alias("c")).where("c > 1").select(side, F.lit(1).alias(mark))
+        live = live.join(shared, side, "left").withColumn(mark, F.coalesce(mark, F.lit(0))).drop(side)
+    live = live.where("left + right > 0").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "n", "at", "left", "right")).alias("runs"))
+    windows = materialize(open_windows(texts.join(live, "doc_id"), length))
+    whole = windows.groupBy("d1", "d2").agg(F.min(here).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
+    repeats = windows.join(whole, ["d1", "d2"]).where(here != F.col("first")).select("doc_id", F.col("pos").alias("a"), (F.col("pos") + length).alias("b"))
+    later = materialize(later.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
+    repeats = materialize(repeats.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
     return later.unionByName(repeats), texts
 
 
@@ -220,7 +215,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     spans, texts = repeated_spans(docs.where("doc_id is not null"), length)
-    per_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    per_doc = spans.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     cut = cut_spans(texts.join(per_doc, "doc_id"), keep_text)
     cut = cut.groupBy("doc_id").agg(*(F.min(c).alias(c) for c in cut.columns if c not in ("doc_id", "n_bytes")))
     rest = [F.col("text").cast("binary").alias("text")] * keep_text
