@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import RangeHash, lower_bytes, materialize, mix64, runs_of_docs, shared_dir, text_bytes, word_spans
@@ -207,8 +207,8 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id, n_shingles, component_id, kept for each row of df.
 
     1. Equal sets form a class; its smallest id stands for it, so that copies cost no pairs.
-    2. Classes that share a band key belong to one cluster: each bucket's members are tied to its smallest id (one
-       pair per row), and the ties are joined. Links can only lie within clusters.
+    2. Classes that share a band key belong to one cluster: each bucket's members are tied to its smallest id, a
+       member's ties to its least one, and these few pairs are joined. Links can only lie within clusters.
     3. Clusters are dealt into blocks of bounded size, each two blocks to a task that finds the links between them
        (links_within); tasks return no more links than join their members. The links' components are the result.
 
@@ -220,9 +220,10 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = materialize(rows.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.min("regs").alias("regs"), F.min("keys").alias("keys")))
     member = classes.select("rep", F.explode("keys").alias("key"))
     buckets = materialize(member.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("hub")).where("size > 1").select("key", "hub"))
-    ties = member.join(buckets, "key").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
-    cluster = components(ties)
-    cluster = materialize(cluster.select(F.col("v").alias("rep"), F.col("component").alias("cluster")))
+    ties = materialize(member.join(buckets, "key").select("rep", "hub").withColumn("least", F.min("hub").over(Window.partitionBy("rep"))).distinct())
+    hubs = components(ties.where("hub <> least").select(F.col("least").alias("a"), F.col("hub").alias("b")))
+    cluster = ties.groupBy("rep").agg(F.min("least").alias("least")).join(hubs.withColumnRenamed("v", "least"), "least", "left")
+    cluster = materialize(cluster.select("rep", F.coalesce("component", "least").alias("cluster")))
     texts = df.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(cluster.select("rep"), "rep", "left_semi")
     sets = full_sets(texts).groupBy("rep").agg(F.min("items").alias("items"))
     blocks = cluster.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
