@@ -12,6 +12,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.shared import cut_lineage
 from tessera.operators.order import with_running
 
 
@@ -182,7 +183,7 @@ def dbscan(df: DataFrame, key: str, x: str, y: str, eps: float, min_samples: int
     edges = near.join(core, "a").join(core.withColumnRenamed("a", "b"), "b").select("a", "b")
     label = core.select("a", F.col("a").alias("l"))
     while True:
-        new = edges.join(label.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("l").alias("l")).checkpoint()
+        new = cut_lineage(edges.join(label.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("l").alias("l")))
         if not new.join(label.withColumnRenamed("l", "was"), "a").where("l <> was").limit(1).count():
             break
         label = new
