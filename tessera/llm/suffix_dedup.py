@@ -4,8 +4,8 @@ Suffixes are ordered only as far as the threshold, by passes over digits from th
 alone in its group leaves, and groups that hold to the full depth are the repeated windows. Passes over all suffixes
 would shuffle many times the text, so the first digits are taken where they decide most:
 
-1. Each window's first digit is its anchor, the 24 bytes of the least hash in it. Equal windows have equal anchors
-   at equal places; neighbouring windows share one, and form a segment: one row for some 39 windows.
+1. Each window's first digit is its anchor, the 44 bytes of the least hash in it. Equal windows have equal anchors
+   at equal places; neighbouring windows share one, and form a segment: one row for some 30 windows.
 2. Segments whose anchor no other has are alone. The second digit is the whole segment: all windows of an equal,
    later segment are repeats.
 3. Of anchors with unlike segments (the edges of passages, or an anchor that recurs by chance) the first segment of
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import RangeHash, materialize, mix64, text_bytes
 
-LENGTH, ANCHOR = 100, 24
+LENGTH, ANCHOR = 100, 44
 #: Texts are worked on in pieces of at most so many window starts; the places fit into 21 bits.
 PIECE = 1 << 20
 _OTHER = 0xD1342543DE82EF95
