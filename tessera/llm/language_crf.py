@@ -19,7 +19,7 @@ UNKNOWN = "und"
 SLOTS = 1 << 17
 GRAMS, AFFIXES = (1, 2, 3), (1, 2, 3)
 #: The classifier is fitted on about so many rows of each language, drawn by a hash of the id, of texts up to so long.
-TRAIN_ROWS, TRAIN_CHARS = 300, 50_000
+TRAIN_ROWS, TRAIN_CHARS = 120, 50_000
 EPOCHS, RATE, SPAN = 25, 0.3, 48
 
 
@@ -27,7 +27,7 @@ def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tup
     """(slots, number for each word), kind by kind; the slots follow the words' order."""
     ranges, n = RangeHash(data), ends - starts
     out = []
-    slot = lambda a, b, kind: ((ranges(a, b) * np.uint64(2 * kind + 1)) >> np.uint64(64 - 17)).astype(np.int64)
+    slot = lambda a, b, kind: ((ranges(a, b) * np.uint64(2 * kind + 1)) >> np.uint64(64 - 17)).astype(np.int32)
     for g in GRAMS:
         count = np.maximum(n - g + 1, 0)
         at = np.repeat(starts - np.cumsum(count) + count, count) + np.arange(count.sum())
@@ -129,7 +129,7 @@ class LanguageModel:
         seen = np.zeros((k, k))
         np.add.at(seen, (truth[:-1][inner[1:]], truth[1:][inner[1:]]), 1)
         g_w, g_m = np.full((SLOTS, k), 1e-6), np.full((k, k), 1e-6)
-        words = [np.repeat(np.arange(len(order)), count) for _, count in feats]
+        words = [np.repeat(np.arange(len(order), dtype=np.int32), count) for _, count in feats]
         for _ in range(EPOCHS):
             p, pairs = marginals(emissions(feats, self.weights, len(order)), bounds, self.moves)
             miss, step = (want - p) / len(order), np.zeros((SLOTS, k))
