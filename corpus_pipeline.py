@@ -9,7 +9,7 @@ from tessera.llm import bpe, exact_dedup, language_crf, minhash_dedup, mixing
 from tessera.llm.common import materialize
 
 #: Documents whose language has less than this share of their words' probability are rejected, as are those without a letter.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.3
 #: No SQL expresses the language model, the sketches or the encoding.
 ORACLE_SQL = None
 
