@@ -137,10 +137,11 @@ def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def links_within(dealt: DataFrame, percent: int) -> DataFrame:
-    """Verified links (a, b) that join what is linked in each task of dealt(cluster, task, rep, block, regs, items).
+    """Ties (a, b) of what verified links join in each task of dealt(cluster, task, rep, block, regs, items).
 
     All pairs of the task's two blocks are compared by their registers; those whose likelihood estimate comes near
-    the threshold are verified on the full sets, the likeliest first, unless earlier links already join them.
+    the threshold are verified on the full sets, the likeliest first, unless earlier links already join them. Each
+    document that is joined is tied to the smallest id that it is joined with, so that ties form no long chains.
     """
     kind = dealt.schema["rep"].dataType.simpleString()
 
@@ -160,7 +161,7 @@ def links_within(dealt: DataFrame, percent: int) -> DataFrame:
             js = js[(regs[js] == regs[i]).mean(axis=1) >= 0.5]
             if len(js):
                 found.append(np.stack([np.full(len(js), i), js]))
-        a, b, parent = [], [], list(range(len(rep)))
+        parent, a, b = list(range(len(rep))), [], []
 
         def root(v: int) -> int:
             while parent[v] != v:
@@ -176,8 +177,11 @@ def links_within(dealt: DataFrame, percent: int) -> DataFrame:
                 u, v = root(i[k]), root(j[k])
                 if u != v and alike(sets[i[k]], sets[j[k]], percent):
                     parent[max(u, v)] = min(u, v)
-                    a.append(min(rep[i[k]], rep[j[k]]))
-                    b.append(max(rep[i[k]], rep[j[k]]))
+            smallest: dict[int, int] = {}
+            for k in sorted(range(len(rep)), key=rep.__getitem__):
+                if smallest.setdefault(root(k), k) != k:
+                    a.append(rep[smallest[root(k)]])
+                    b.append(rep[k])
         own = table.schema.field("rep").type
         return pa.table({"a": pa.array(a, own), "b": pa.array(b, own)})
 
