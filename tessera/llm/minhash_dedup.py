@@ -189,22 +189,28 @@ def links_within(dealt: DataFrame, percent: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """v, component (the smallest id reachable) for every end of edges(a, b), by min-label rounds with shortcuts.
+    """v, component (the smallest id reachable) for every end of edges(a, b), by contraction.
 
-    Each round takes the least label of the neighbours and then the label of that label, so that long chains
-    shrink by half; lineage is cut by checkpoint() in the shared folder.
+    In each round each vertex goes up two steps to its least neighbour's least neighbour, and the edges are rewritten
+    to where their ends went: what is not a local minimum vanishes, so that half the vertices or fewer are left. The
+    rounds' steps, one after the other, give the components. Lineage is cut by checkpoint() in the shared folder.
     """
     shared_dir(edges.sparkSession)
-    both = edges.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("w"))).distinct().checkpoint()
-    label = both.groupBy("v").agg(F.least("v", F.min("w")).alias("component")).checkpoint()
-    while True:
-        near = both.join(label.withColumnRenamed("v", "w"), "w").groupBy("v").agg(F.min("component").alias("least"))
-        step = label.join(near, "v").select("v", F.least("component", "least").alias("component"), F.col("component").alias("was"))
-        jump = label.select(F.col("v").alias("component"), F.col("component").alias("next"))
-        new = step.join(jump, "component", "left").select("v", F.least("component", "next").alias("component"), "was").checkpoint()
-        label = new.select("v", "component")
-        if not new.where("component <> was").limit(1).count():
-            return label
+    left, steps = edges.select("a", "b").where("a <> b").distinct().checkpoint(), []
+    while left.limit(1).count():
+        both = left.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(left.select(F.col("b").alias("v"), F.col("a").alias("w")))
+        near = both.groupBy("v").agg(F.least("v", F.min("w")).alias("p"))
+        step = near.join(near.select(F.col("v").alias("p"), F.col("p").alias("up")), "p").select("v", "up").checkpoint()
+        steps.append(step)
+        for end in ("a", "b"):
+            left = left.join(step.withColumnRenamed("v", end), end).withColumn(end, F.col("up")).drop("up")
+        left = left.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
+    if not steps:
+        return left.select(F.col("a").alias("v"), F.col("b").alias("component"))
+    label = steps[0].withColumnRenamed("up", "component")
+    for step in steps[1:]:
+        label = label.join(step.withColumnRenamed("v", "component"), "component", "left").select("v", F.coalesce("up", "component").alias("component"))
+    return label
 
 
 def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
