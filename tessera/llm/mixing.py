@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, hash_unit
+from tessera.llm.common import WORD, hash_unit, materialize
 
 WEIGHTS = (5, 2, 1)
 BUDGET, MOST, SEED = 1.5, 2.0, "mix"
+#: Beyond so many sources their rates are joined, not looked up.
+LOOKUP = 10_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, most: float = MOST) -> DataFrame:
@@ -54,12 +56,18 @@ def mix_plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     return sized.join(targets, F.col("source").eqNullSafe(F.col("target_source"))).select("doc_id", "size", "source_size", "target", (F.col("size") * n).alias("taken"), n.alias("copies"))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, **kw) -> DataFrame:
-    """The rows of df, each as many times as the mix takes it."""
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, lookup: int = LOOKUP, **kw) -> DataFrame:
+    """The rows of df, each as many times as the mix takes it.
+
+    Up to `lookup` sources, a counted bound, the rates are looked up in a map, which keeps the texts where they are;
+    beyond it they are joined by source.
+    """
     sizes = df.select(F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
-    rates = source_targets(sizes, **kw).select(F.col("source").alias("__mix_source"), F.col("rate").alias("__mix_rate"))
+    rates = materialize(source_targets(sizes, **kw).select(F.col("source").alias("__mix_source"), F.col("rate").alias("__mix_rate")))
+    if rates.count() <= lookup:
+        table = rates.agg(F.map_from_entries(F.collect_list(F.struct(F.coalesce(F.concat(F.lit("="), "__mix_source"), F.lit("null")), "__mix_rate"))).alias("m")).scalar()
+        rated = df.withColumn("__mix_rate", F.element_at(table, F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("null"))))
+    else:
+        rated = df.join(rates, F.col(source_col).eqNullSafe(F.col("__mix_source"))).drop("__mix_source")
     n = copies(F.col("__mix_rate"), id_col, seed).cast("int")
-    # the rates are one row per source: looked up in a map, which keeps the texts where they are
-    table = rates.agg(F.map_from_entries(F.collect_list(F.struct(F.coalesce(F.concat(F.lit("="), "__mix_source"), F.lit("null")), "__mix_rate"))).alias("m")).scalar()
-    rate = F.element_at(table, F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("null")))
-    return df.withColumn("__mix_rate", rate).withColumn("__mix_copy", F.explode(F.array_repeat(F.lit(0), n))).drop("__mix_rate", "__mix_copy")
+    return rated.withColumn("__mix_copy", F.explode(F.array_repeat(F.lit(0), n))).drop("__mix_rate", "__mix_copy")

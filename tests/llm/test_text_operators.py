@@ -148,6 +148,8 @@ def test_mix(spark):
     assert sorted((r["doc_id"], r["taken"]) for r in mixing.mix_plan(docs.repartition(1)).collect()) == sorted((r["doc_id"], r["taken"]) for r in rows)
     out = mixing.mix(docs)
     assert out.columns == docs.columns and Counter(r["doc_id"] for r in out.collect()) == Counter({r["doc_id"]: r["copies"] for r in rows if r["copies"]})
+    joined = mixing.mix(docs, lookup=2)
+    assert joined.columns == docs.columns and sorted(r["doc_id"] for r in joined.collect()) == sorted(r["doc_id"] for r in out.collect())
 
 
 def test_url_filter(spark):
