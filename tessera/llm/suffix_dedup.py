@@ -9,8 +9,8 @@ would shuffle many times the text, so the first digits are taken where they deci
 2. Segments whose anchor no other has are alone. The second digit is the whole segment: all windows of an equal,
    later segment are repeats.
 3. Of anchors with unlike segments (the edges of passages, or an anchor that recurs by chance) the first segment of
-   each kind goes on. A window has its anchor in its left or in its right part: the anchor with what precedes it, or
-   with what follows it, is the next digit, and keeps the windows on that side alive.
+   each kind goes on. A window has its anchor in one of four quarters: the bytes around the anchor that all windows
+   of the quarter hold (86 of the 100) are the next digit, and keep the quarter's windows alive.
 4. What is left is opened into windows, whose two halves are the last digits.
 """
 
@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import RangeHash, materialize, mix64, text_bytes
+from tessera.llm.common import RangeHash, discard, materialize, mix64, text_bytes
 
 LENGTH, ANCHOR = 100, 44
 #: Texts are worked on in pieces of at most so many window starts; the places fit into 21 bits.
@@ -99,9 +99,17 @@ def find_segments(df: DataFrame, length: int) -> DataFrame:
     return df.select("doc_id", "text").mapInArrow(run, f"h bigint, g bigint, doc_id {kind}, pos int, shape int")
 
 
+def quarters(length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each quarter of a window's possible anchor places: least and greatest place, and the bytes before and after the anchor that all its windows hold."""
+    room = length - ANCHOR
+    part, k = max(1, room // 4), np.arange(4)
+    most = np.where(k < 3, np.minimum((k + 1) * part - 1, room), room)
+    return k * part, most, k * part, np.maximum(0, room - most)
+
+
 def sides(texts: DataFrame, length: int) -> DataFrame:
-    """For each of the runs of texts(doc_id, text, runs): hashes of its anchor with the bytes before, and after it."""
-    reach = (length - ANCHOR) // 2
+    """For each of the runs of texts(doc_id, text, runs) and each quarter its windows lie in: hash of the bytes that the quarter's windows have in common."""
+    least, most, before, after = quarters(length)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -110,21 +118,22 @@ def sides(texts: DataFrame, length: int) -> DataFrame:
             data, offsets = text_bytes(batch.column(1))
             for k, runs in enumerate(batch.column(2)):
                 text = data[offsets[k] : offsets[k + 1]]
-                pos, n, at = np.array([(r["pos"], r["n"], r["at"]) for r in runs.as_py()]).T
-                ranges, a = RangeHash(text), pos + at
-                has_before, has_after = a >= reach, a + ANCHOR + reach <= len(text)
-                before = ranges(np.maximum(a - reach, 0), a + ANCHOR).view(np.int64)
-                after = ranges(a, np.minimum(a + ANCHOR + reach, len(text))).view(np.int64)
-                columns = [pa.array(x.astype(np.int32)) for x in (pos, n, at)] + [pa.array(before, mask=~has_before), pa.array(after, mask=~has_after)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([k] * len(pos))), *columns], ["doc_id", "pos", "n", "at", "before", "after"])
+                rows = np.array([(r["pos"], r["n"], r["at"]) for r in runs.as_py()])
+                row, part = np.nonzero((rows[:, 2:] >= least) & (rows[:, 2:] - rows[:, 1:2] + 1 <= most))
+                pos, n, at = rows[row].T
+                a = pos + at
+                digit = RangeHash(text)(a - before[part], a + ANCHOR + after[part]).view(np.int64)
+                columns = [pa.array(x.astype(np.int32)) for x in (pos, n, at, part)] + [pa.array(digit)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(pos), k))), *columns], ["doc_id", "pos", "n", "at", "part", "digit"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.select("doc_id", "text", "runs").mapInArrow(run, f"doc_id {kind}, pos int, n int, at int, before bigint, after bigint")
+    return texts.select("doc_id", "text", "runs").mapInArrow(run, f"doc_id {kind}, pos int, n int, at int, part int, digit bigint")
 
 
 def open_windows(texts: DataFrame, length: int) -> DataFrame:
-    """The live windows of the runs of texts(doc_id, text, runs): hashes of their two halves, and place."""
-    reach, half = (length - ANCHOR) // 2, length // 2
+    """The windows in the live quarters of the runs of texts(doc_id, text, runs): hashes of their two halves, and place."""
+    least, most, _, _ = quarters(length)
+    half = length // 2
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -133,17 +142,15 @@ def open_windows(texts: DataFrame, length: int) -> DataFrame:
             data, offsets = text_bytes(batch.column(1))
             for k, runs in enumerate(batch.column(2)):
                 text = data[offsets[k] : offsets[k + 1]]
-                rows = np.array([(r["pos"], r["n"], r["at"], r["left"], r["right"]) for r in runs.as_py()])
+                rows = np.array([(r["pos"], r["n"], r["at"], r["part"]) for r in runs.as_py()])
                 one, two = RangeHash(text), RangeHash(text, _OTHER)
                 for i in range(0, len(rows), 20_000):
-                    pos, n, at, left, right = rows[i : i + 20_000].T
-                    which = np.repeat(np.arange(len(pos)), n)
-                    step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-                    ahead = at[which] - step
-                    live = ((left[which] > 0) & (ahead >= reach)) | ((right[which] > 0) & (ahead <= length - ANCHOR - reach))
-                    place = pos[which[live]] + step[live]
+                    pos, n, at, part = rows[i : i + 20_000].T
+                    first = pos + np.maximum(0, at - most[part])
+                    count = pos + np.minimum(n - 1, at - least[part]) - first + 1
+                    place = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
                     d1, d2 = one(place, place + half), two(place + half, place + length)
-                    yield pa.RecordBatch.from_arrays([pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), batch.column(0).take(pa.array([k] * len(place), pa.int64())), pa.array(place.astype(np.int32))], ["d1", "d2", "doc_id", "pos"])
+                    yield pa.RecordBatch.from_arrays([pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), batch.column(0).take(pa.array(np.full(len(place), k))), pa.array(place.astype(np.int32))], ["d1", "d2", "doc_id", "pos"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
     return texts.select("doc_id", "text", "runs").mapInArrow(run, f"d1 bigint, d2 bigint, doc_id {kind}, pos int")
@@ -180,29 +187,29 @@ def cut_spans(texts: DataFrame, keep_text: bool) -> DataFrame:
     return texts.select("doc_id", "text", "spans").mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string{extra}")
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """Lists of spans (doc_id, spans) of repeated windows of docs(doc_id, text), and the texts of the documents concerned."""
+def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """Lists of spans (doc_id, spans) of repeated windows of docs(doc_id, text). Tables between are dropped once they are used."""
     found = find_segments(docs, length)
     again = found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     alive = materialize(found.join(again, "h"))
     here = F.struct("doc_id", "pos")
     equal = materialize(alive.groupBy("h", "g").agg(F.min(F.struct("doc_id", "pos", "shape")).alias("first")))
     later = alive.join(equal, ["h", "g"]).where(here != F.struct("first.doc_id", "first.pos")).select("doc_id", F.col("pos").alias("a"), (F.col("pos") + F.shiftright("shape", 8) + (length - 1)).alias("b"))
-    texts = materialize(docs.join(alive.select("doc_id").distinct(), "doc_id", "left_semi"))
+    later = materialize(later.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
+    discard(alive)
     unlike = equal.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     edges = equal.join(unlike, "h").select("first.*").groupBy("doc_id").agg(F.collect_list(F.struct("pos", F.shiftright("shape", 8).alias("n"), F.expr("shape & 255").alias("at"))).alias("runs"))
-    runs = materialize(sides(texts.join(edges, "doc_id"), length))
-    live = runs.select("doc_id", "pos", "n", "at", "before", "after")
-    for side, mark in (("before", "left"), ("after", "right")):
-        shared = runs.where(F.col(side).isNotNull()).groupBy(side).agg(F.count("*").alias("c")).where("c > 1").select(side, F.lit(1).alias(mark))
-        live = live.join(shared, side, "left").withColumn(mark, F.coalesce(mark, F.lit(0))).drop(side)
-    live = live.where("left + right > 0").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "n", "at", "left", "right")).alias("runs"))
-    windows = materialize(open_windows(texts.join(live, "doc_id"), length))
+    runs = materialize(sides(docs.join(edges, "doc_id"), length))
+    discard(equal)
+    shared = runs.groupBy("part", "digit").agg(F.count("*").alias("c")).where("c > 1").drop("c")
+    live = runs.join(shared, ["part", "digit"]).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "n", "at", "part")).alias("runs"))
+    windows = materialize(open_windows(docs.join(live, "doc_id"), length))
+    discard(runs)
     whole = windows.groupBy("d1", "d2").agg(F.min(here).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
     repeats = windows.join(whole, ["d1", "d2"]).where(here != F.col("first")).select("doc_id", F.col("pos").alias("a"), (F.col("pos") + length).alias("b"))
-    later = materialize(later.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
     repeats = materialize(repeats.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
-    return later.unionByName(repeats), texts
+    discard(windows)
+    return later.unionByName(repeats)
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep_text: bool = False) -> DataFrame:
@@ -214,8 +221,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts shorter than `length` lose nothing. An empty table gives an empty result; other columns are ignored.
     """
     docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    spans, texts = repeated_spans(docs.where("doc_id is not null"), length)
-    per_doc = spans.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    texts = docs.where("doc_id is not null")
+    per_doc = repeated_spans(texts, length).groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     cut = cut_spans(texts.join(per_doc, "doc_id"), keep_text)
     cut = cut.groupBy("doc_id").agg(*(F.min(c).alias(c) for c in cut.columns if c not in ("doc_id", "n_bytes")))
     rest = [F.col("text").cast("binary").alias("text")] * keep_text
