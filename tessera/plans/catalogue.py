@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
+from tessera.operators import assess as A
 from tessera.operators import charts as G
 from tessera.operators import clean as K
 from tessera.operators import modeling as M
@@ -263,6 +264,13 @@ query("cluster_profile", "lineitem")(lambda d: M.cluster_profile(M.bisecting(d,
 query("dbscan", "customer")(lambda d: M.dbscan(d.select("c_custkey", (F.col("c_acctbal") / 1000).alias("x"), F.col("c_nationkey").alias("y")), "c_custkey", "x", "y", 1.0))
 query("pca_project", "lineitem")(lambda d: M.pca_project(d, list(LINE)).select("l_orderkey", "l_linenumber", "pc", "explained"))
 query("knn_predict", "supplier")(lambda d: M.knn_predict(*M.split(d, "s_suppkey"), ["s_acctbal"], "s_nationkey", "s_suppkey"))
+query("task_inference", "orders", "SELECT 'multiclass_classification' AS task, 0.95::DOUBLE AS confidence, 'o_orderstatus' AS target FROM orders HAVING count(DISTINCT o_orderstatus) BETWEEN 3 AND 20")(lambda d: A.task_inference(d, "o_orderstatus"))
+query("suggested_config", "labels")(A.suggested_config)
+query("cleaning_presets", "dirty")(lambda d: A.cleaning_preset(K.cleaning_plan(d), "safe_defaults"))
+query("grid_search", "lineitem")(lambda d: A.grid_search(_priced(d), "row_key", ["l_quantity", "l_tax"], [], "linear", "regression", {"regParam": [0.1, 1.0, 10.0]}))
+query("model_assessment", "lineitem", "SELECT 'r2' AS metric, round(regr_r2(l_extendedprice, l_quantity), 6) AS value, CASE WHEN regr_r2(l_extendedprice, l_quantity) >= 0.75 THEN 'strong' WHEN regr_r2(l_extendedprice, l_quantity) >= 0.4 THEN 'promising' ELSE 'weak' END AS rating FROM lineitem")(lambda d: A.model_assessment(d.agg(F.round(F.regr_r2("l_extendedprice", "l_quantity"), 6).alias("r2")), "regression"))
+_CLUSTERS = "(SELECT l_returnflag AS k, count(*)::DOUBLE AS n, avg(l_quantity) AS a, avg(l_tax) AS b, var_pop(l_quantity) + var_pop(l_tax) AS v FROM lineitem GROUP BY 1)"
+query("cluster_separation", "lineitem", f"WITH g AS {_CLUSTERS}, c AS (SELECT sum(n * a) / sum(n) AS a, sum(n * b) / sum(n) AS b FROM g) SELECT (SELECT count(*)::BIGINT FROM g) AS clusters, (SELECT sum(n * ((g.a - c.a) * (g.a - c.a) + (g.b - c.b) * (g.b - c.b))) * (sum(n) - count(*)) / (sum(n * v) * (count(*) - 1)) FROM g, c) AS calinski_harabasz, (SELECT avg(r) FROM (SELECT x.k, max((sqrt(x.v) + sqrt(y.v)) / sqrt((x.a - y.a) * (x.a - y.a) + (x.b - y.b) * (x.b - y.b))) AS r FROM g x JOIN g y ON x.k <> y.k GROUP BY 1)) AS davies_bouldin")(lambda d: A.cluster_separation(d, ["l_quantity", "l_tax"], "l_returnflag"))
 # --- sources, streams ------------------------------------------------------------------------------------------
 query("read_parquet", "region", "SELECT * FROM region")(lambda d: d)
 query("query_source", "orders", "SELECT o_orderstatus, count(*)::BIGINT AS n FROM orders WHERE o_totalprice > 50000 GROUP BY 1")(lambda d: readers.query_source(d.sparkSession, "SELECT o_orderstatus, count(*) AS n FROM q_orders WHERE o_totalprice > :least GROUP BY 1", {"least": 50000}, {"q_orders": d}))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
+from tessera.operators import assess as A
 from tessera.operators import charts as G
 from tessera.operators import clean as K
 from tessera.operators import order as O
@@ -126,3 +127,24 @@ def test_states_replay_and_delete(spark, tmp_path):
     store.register("cheap", "SELECT * FROM {df} WHERE price < 3")
     assert store.run_flow(d, [("cheap", {})]).count() == 2
     assert set(store.delete(root)) == {root, leaf}
+
+
+def test_assessment_and_presets(spark, tmp_path):
+    m = spark.createDataFrame([(0.8,), (0.5,), (-0.1,), (None,)], "r2 double")
+    assert [r["rating"] for r in A.model_assessment(m, "regression").collect()] == ["strong", "promising", "poor", "needs_review"]
+    d = spark.createDataFrame([(1, "Y", 1.0), (2, "N", 2.0), (3, "Y", 4.0)], "i int, f string, x double")
+    plan = K.cleaning_plan(d)
+    assert {r["action"] for r in A.cleaning_preset(plan, "safe_defaults").collect()} == {"binary_mapping"} and A.cleaning_preset(plan, "audit_all").count() == 0
+    with pytest.raises(ValueError):
+        A.cleaning_preset(plan, "other")
+    assert A.task_inference(d, "f").first()["task"] == "binary_classification"
+    assert A.write_predictions(d.select("i", F.col("x").alias("label"), F.lit(1.0).alias("prediction")), f"file://{tmp_path}/p", ["i"]).count() == 3
+
+
+def test_grid_search_and_separation(spark):
+    d = spark.createDataFrame([(i, float(i), 2.0 * i + 1) for i in range(60)], "i int, x double, label double")
+    found = A.grid_search(d, "i", ["x"], [], "linear", "regression", {"regParam": [0.0, 50.0]}).orderBy("rank").collect()
+    assert found[0]["params"] == "regParam=0.0" and found[0]["mean"] > 0.99 and found[0]["folds"] == 3
+    c = spark.createDataFrame([(0, 0.0), (0, 2.0), (1, 10.0), (1, 12.0)], "cluster int, v double")
+    r = A.cluster_separation(c, ["v"]).first()
+    assert (r["clusters"], r["calinski_harabasz"], r["davies_bouldin"]) == (2, 50.0, 0.2)
