@@ -10,6 +10,8 @@ from tessera.llm.common import materialize
 
 #: Documents whose language has less than this share of their words' probability are rejected, as are those without a letter.
 LEAST_SCORE = 0.3
+#: Near copies share at least so many of 100 word shingles; op5_minhash_dedup alone goes by its own 85.
+NEAR_PERCENT = 80
 #: No SQL expresses the language model, the sketches or the encoding.
 ORACLE_SQL = None
 
@@ -35,8 +37,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest id, of each group of near-duplicates."""
-    return _keep(docs, minhash_dedup.near_components(docs).where("kept"))
+    """One document, the smallest id, of each group of near-duplicates at NEAR_PERCENT."""
+    return _keep(docs, minhash_dedup.near_components(docs, percent=NEAR_PERCENT).where("kept"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

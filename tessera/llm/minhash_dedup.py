@@ -17,18 +17,31 @@ from tessera.llm.common import RangeHash, lower_bytes, materialize, mix64, runs_
 WORDS = 5
 #: A link needs 100 * intersection >= PERCENT * union.
 PERCENT = 85
-BANDS, ROWS = 24, 5
+REGISTERS, MISS = 120, 1e-6
 BASE, RATE, LIMIT = 1.02, 20.0, 2000
 #: Candidates whose estimated similarity is lower than the threshold by so much (over four standard errors) are not verified.
 SLACK = 0.15
+#: Pairs whose share of equal registers is lower than the threshold by so much are not estimated.
+FAR = 0.35
 BLOCK = 512
 
 _rng = np.random.default_rng(777)
-_FLIP = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
-_TIMES = _rng.integers(0, 2**62, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FLIP = _rng.integers(0, 2**63, REGISTERS, dtype=np.uint64)
+_TIMES = _rng.integers(0, 2**62, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = _rng.integers(0, 2**62, 32, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def band_layout(percent: int) -> tuple[int, int]:
+    """Bands and rows a band: as many rows as leave a pair at the threshold without a common band with less than MISS.
+
+    Equal registers are reckoned as often as the sets are alike; in sets of one size they are a little more often.
+    """
+    for rows in (6, 5, 4, 3, 2, 1):
+        if (1 - (percent / 100) ** rows) ** (REGISTERS // rows) < MISS:
+            return REGISTERS // rows, rows
+    raise ValueError(f"{REGISTERS} registers cannot find pairs at {percent} percent")
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> list[np.ndarray]:
     """For each document the sorted distinct hashes of its word shingles; a shorter text is one shingle."""
     starts, ends, first = word_spans(data, offsets)
@@ -51,10 +64,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> l
 
 
 def registers(sets: list[np.ndarray]) -> np.ndarray:
-    """SetSketch registers (sets by BANDS * ROWS, int16) of non-empty sets."""
+    """SetSketch registers (sets by REGISTERS, int16) of non-empty sets."""
     every, heads = np.concatenate(sets), np.cumsum([0] + [len(s) for s in sets[:-1]])
-    least = np.empty((BANDS * ROWS, len(sets)), np.uint64)
-    for i in range(BANDS * ROWS):
+    least = np.empty((REGISTERS, len(sets)), np.uint64)
+    for i in range(REGISTERS):
         x = every ^ _FLIP[i]
         x *= _TIMES[i]
         x ^= x >> np.uint64(32)
@@ -64,10 +77,11 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(x) / np.log(BASE)), 0, LIMIT + 1).astype(np.int16)
 
 
-def band_keys(regs: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each band of each row of registers; the band is part of the key."""
-    parts = regs.reshape(len(regs), BANDS, ROWS).astype(np.uint64)
-    return mix64((parts * _PLACE[:ROWS]).sum(axis=2, dtype=np.uint64) * _PLACE[20] + mix64(np.arange(BANDS, dtype=np.uint64) + np.uint64(99))).view(np.int64)
+def band_keys(regs: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """A 64-bit key for each band of each row of registers, laid out for the threshold; the band is part of the key."""
+    bands, rows = band_layout(percent)
+    parts = regs[:, : bands * rows].reshape(len(regs), bands, rows).astype(np.uint64)
+    return mix64((parts * _PLACE[:rows]).sum(axis=2, dtype=np.uint64) * _PLACE[20] + mix64(np.arange(bands, dtype=np.uint64) + np.uint64(99))).view(np.int64)
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, steps: int = 101) -> np.ndarray:
@@ -89,7 +103,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, ste
     return at
 
 
-def sketch(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def sketch(df: DataFrame, id_col: str, text_col: str, percent: int = PERCENT) -> DataFrame:
     """doc_id, n, set_id (32 bytes of set hash as two longs), regs, keys for each row."""
 
     def run(batches: Iterator) -> Iterator:
@@ -100,13 +114,13 @@ def sketch(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for i, j in runs_of_docs(offsets):
                 sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 full = [k for k, s in enumerate(sets) if len(s)]
-                regs = np.zeros((len(sets), BANDS * ROWS), np.int16)
+                regs = np.zeros((len(sets), REGISTERS), np.int16)
                 if full:
                     regs[full] = registers([sets[k] for k in full])
                 own = np.array([[s.sum(dtype=np.uint64), mix64(s).sum(dtype=np.uint64)] for s in sets], np.uint64).view(np.int64)
-                keys = band_keys(regs)
+                keys = band_keys(regs, percent)
                 none = np.array([len(s) == 0 for s in sets])
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel()))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1]), pa.int32()), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[i:j], pa.array([len(s) for s in sets], pa.int64()), pa.array(own[:, 0], mask=none), pa.array(own[:, 1], mask=none), pa.array([r.tobytes() for r in regs], pa.binary()), lists], ["doc_id", "n", "s1", "s2", "regs", "keys"]
                 )
@@ -158,7 +172,7 @@ def links_within(dealt: DataFrame, percent: int) -> DataFrame:
         for i in left:
             js = right[right > i] if one else right
             js = js[100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i])]
-            js = js[(regs[js] == regs[i]).mean(axis=1) >= 0.5]
+            js = js[(regs[js] == regs[i]).mean(axis=1) >= percent / 100 - FAR]
             if len(js):
                 found.append(np.stack([np.full(len(js), i), js]))
         parent, a, b = list(range(len(rep))), [], []
@@ -226,7 +240,7 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     a repeated row gets the same component. Null ids are never linked. An empty table gives an empty result; other
     columns are ignored.
     """
-    rows = materialize(sketch(df, id_col, text_col))
+    rows = materialize(sketch(df, id_col, text_col, percent))
     classes = materialize(rows.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.min("regs").alias("regs"), F.min("keys").alias("keys")))
     member = classes.select("rep", F.explode("keys").alias("key"))
     buckets = materialize(member.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("hub")).where("size > 1").select("key", "hub"))

@@ -272,3 +272,27 @@ def test_pipeline(spark, tmp_path):
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns, name
     assert corpus_pipeline.run(spark, str(tmp_path)).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_pipeline_drops_near_copies_from_80_percent(spark):
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(204)]
+    pairs = {4: "80 to 85", 5: "below"}
+    rows = []
+    for n, (edits, _) in enumerate(pairs.items()):
+        text = [f"{n}{w}" for w in base]
+        near = [f"v{i}" if i in range(20, 20 * edits + 1, 20) else w for i, w in enumerate(text)]
+        a, b = ({tuple(t[i : i + 5]) for i in range(200)} for t in (text, near))
+        assert (0.8 <= len(a & b) / len(a | b) < 0.85) == (edits == 4)
+        rows += [" ".join(text), " ".join(near)]
+    kept = corpus_pipeline.near_copies(spark, table(spark, rows), "").collect()
+    assert sorted(r["doc_id"] for r in kept) == [0, 2, 3]
+    assert minhash_dedup.near_components(table(spark, rows)).where("kept").count() == 4
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 95])
+def test_bands_are_laid_out_for_the_threshold(percent):
+    bands, rows = minhash_dedup.band_layout(percent)
+    assert bands * rows <= minhash_dedup.REGISTERS and (1 - (percent / 100) ** rows) ** bands < 1e-6
+    assert percent != 85 or (bands, rows) == (24, 5)
