@@ -296,3 +296,11 @@ def test_bands_are_laid_out_for_the_threshold(percent):
     bands, rows = minhash_dedup.band_layout(percent)
     assert bands * rows <= minhash_dedup.REGISTERS and (1 - (percent / 100) ** rows) ** bands < 1e-6
     assert percent != 85 or (bands, rows) == (24, 5)
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_bands_and_slack_together_miss_less_than_one_in_a_million(percent):
+    p, n = percent / 100, minhash_dedup.REGISTERS
+    bands, rows = minhash_dedup.band_layout(percent)
+    dropped = sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n) if k / n < p - minhash_dedup.SLACK)
+    assert (1 - p**rows) ** bands + dropped < 1e-6
