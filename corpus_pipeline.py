@@ -16,29 +16,43 @@ NEAR_PERCENT = 80
 ORACLE_SQL = None
 
 
-def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in kept(doc_id); a null id stays with a null id."""
-    ids = kept.select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with __row, a key of each row; written, so that every reader sees the same keys."""
+    return materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
+
+
+def _one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row of docs(__row, doc_id, ...) for each group of groups(__row, group): the smallest id, null last, then the first row.
+
+    What goes is joined, not what stays: few rows, which Spark may broadcast where their measured size allows.
+    """
+    groups = materialize(groups)
+    ids = docs.select("__row", F.struct(F.col("doc_id").isNull(), "doc_id", "__row").alias("order"))
+    first = groups.join(ids, "__row").groupBy("group").agg(F.min("order").alias("first")).select("first.__row")
+    gone = materialize(groups.select("__row").join(first, "__row", "left_anti"))
+    return docs.join(gone, "__row", "left_anti").drop("__row")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in an identified language, with that language as their lang."""
+    """Documents in an identified language, with that language as their lang; each row is judged by its own text."""
     model = language_crf.fit_language_model(docs)
-    found = language_crf.identify(docs, model).where((F.col("lang_pred") != language_crf.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    found = materialize(found.groupBy("doc_id").agg(F.min("lang_pred").alias("__lang"))).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return joined.withColumn("lang", F.col("__lang")).drop("__lang", "__id")
+    found = language_crf.label(docs, model)
+    found = found.where((F.col("lang_pred") != language_crf.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    return _keep(docs, exact_dedup.exact_dedup(docs).where("kept"))
+    """One row of each group of equal texts, whether their ids differ, repeat or are null."""
+    docs = _keyed(docs)
+    found = exact_dedup.exact_dedup(docs, "__row").where("group_size > 1")
+    return _one_of_each(docs, found.select(F.col("doc_id").alias("__row"), F.col("keep_id").alias("group")))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest id, of each group of near-duplicates at NEAR_PERCENT."""
-    return _keep(docs, minhash_dedup.near_components(docs, percent=NEAR_PERCENT).where("kept"))
+    """One row, that of the smallest id, of each group of near-duplicates at NEAR_PERCENT; rows are linked by their texts alone."""
+    docs = _keyed(docs)
+    found = minhash_dedup.near_components(docs, "__row", percent=NEAR_PERCENT)
+    return _one_of_each(docs, found.select(F.col("doc_id").alias("__row"), F.col("component_id").alias("group")))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from tessera.llm.common import RangeHash, crc_mod, lower_bytes, text_bytes, word_spans, runs_of_docs
 
@@ -171,9 +172,11 @@ def fit_language_model(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return LanguageModel(sorted(counts)).fit([t for _, t in sample], [x for x, _ in sample])
 
 
-def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score for each row: `und` with score 0 for null text or text without a letter."""
+def label(df: DataFrame, model: LanguageModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` (all) of df with lang_pred and score of each row: `und` with score 0 for null text or text without a letter."""
     shared = df.sparkSession.sparkContext.broadcast(model)
+    keep = df.columns if keep is None else keep
+    texts = keep.index(text_col) if text_col in keep else len(keep)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -181,8 +184,8 @@ def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_c
 
         letter, own = regex.compile(r"\p{L}"), shared.value
         for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
-            lettered = np.array([bool(letter.search(x.as_py() or "")) for x in batch.column(1)], bool)
+            data, offsets = text_bytes(batch.column(texts))
+            lettered = np.array([bool(letter.search(x.as_py() or "")) for x in batch.column(texts)], bool)
             langs, scores = [], []
             for i, j in runs_of_docs(offsets, 1 << 19) if own.labels else ():
                 found, score = own.predict(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
@@ -191,10 +194,16 @@ def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_c
             if not own.labels:
                 langs, scores, lettered = [UNKNOWN] * len(lettered), [np.zeros(len(lettered))], np.zeros(len(lettered), bool)
             score = np.where(lettered, np.concatenate(scores) if scores else np.zeros(0), 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x if ok else UNKNOWN for x, ok in zip(langs, lettered)], pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+            out = [*batch.columns[: len(keep)], pa.array([x if ok else UNKNOWN for x, ok in zip(langs, lettered)], pa.string()), pa.array(score)]
+            yield pa.RecordBatch.from_arrays(out, [*batch.schema.names[: len(keep)], "lang_pred", "score"])
+
+    given = df.select(*keep, *([] if text_col in keep else [text_col]))
+    return given.mapInArrow(run, StructType([*given.schema.fields[: len(keep)], StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+
+def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, lang_pred, score for each row."""
+    return label(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text")), model, "__text", ["doc_id"])
 
 
 def identify_languages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5) -> DataFrame:

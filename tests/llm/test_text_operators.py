@@ -304,3 +304,45 @@ def test_bands_and_slack_together_miss_less_than_one_in_a_million(percent):
     bands, rows = minhash_dedup.band_layout(percent)
     dropped = sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n) if k / n < p - minhash_dedup.SLACK)
     assert (1 - p**rows) ** bands + dropped < 1e-6
+
+
+def test_pipeline_with_repeated_and_null_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(8)
+    vocab = {"de": ["der", "und", "nicht", "schön", "über", "haus"], "en": ["the", "and", "with", "house", "thing", "what"]}
+    fresh = lambda lang: " ".join(r.choice(vocab[lang]) for _ in range(60))
+    a, b, c, d, e = (fresh("en") for _ in range(5))
+    rows = [(i, fresh("en" if i % 2 else "de"), "en" if i % 2 else "de") for i in range(60)]
+    rows += [(900, a, "en")] * 3 + [(901, a, "en"), (None, a, "en"), (None, b, "en"), (None, b, "en"), (None, "12 34", "en")]
+    rows += [(902, c, "en"), (902, fresh("de"), "en"), (902, "56 78", "en"), (902, c + " tail", "en"), (None, d, "en"), (903, d + " tail", "en"), (None, e, "en"), (None, e + " tail", "en")]
+    docs = spark.createDataFrame([(*x, "s", 0) for x in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    state = lambda df: Counter((x["doc_id"], x["text"]) for x in df.collect())
+
+    lettered = [(i, t) for i, t, _ in rows if any(ch.isalpha() for ch in t)]
+    out = corpus_pipeline.language_id(spark, docs, "")
+    assert state(out) == Counter(lettered)
+    assert all(x["lang"] == ("de" if set(x["text"].split()) & set(vocab["de"]) else "en") for x in out.collect())
+
+    first = lambda group: min(group, key=lambda x: (x[0] is None, x[0] or 0))
+    exact = Counter(first([x for x in lettered if x[1] == t]) for t in {t for _, t in lettered})
+    assert state(corpus_pipeline.exact_copies(spark, out, "")) == exact
+
+    parts = [{t, f"{t} tail"} for t in (c, d, e)]
+    near = Counter()
+    for group in [g for t in exact for g in [[x for x in exact if any({x[1], t[1]} <= p for p in parts) or x == t]]]:
+        near[first(sorted(group, key=str))] = 1
+    got = state(corpus_pipeline.near_copies(spark, corpus_pipeline.exact_copies(spark, out, ""), ""))
+    # of rows with the same id, either may stay
+    assert Counter((i, t.removesuffix(" tail")) for i, t in got.elements()) == Counter((i, t.removesuffix(" tail")) for i, t in near.elements())
+    got = state(corpus_pipeline.near_copies(spark, out, ""))
+    assert Counter((i, t.removesuffix(" tail")) for i, t in got.elements()) == Counter((i, t.removesuffix(" tail")) for i, t in near.elements())
+
+    mixed = Counter({x["doc_id"]: 0 for x in docs.collect()})
+    for i, _ in near:
+        u = int(hashlib.md5(f"mix:{'null' if i is None else i}".encode()).hexdigest()[:13], 16) / 16**13
+        mixed[i] += 1 + (u < 0.5)  # one source: its rate is the budget, 1.5
+    run = Counter(x["doc_id"] for x in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert run == +mixed
