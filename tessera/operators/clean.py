@@ -43,7 +43,8 @@ def parse_datetime(df: DataFrame, c: str, dayfirst: bool = False) -> DataFrame:
 
 def invalid_count(df: DataFrame, c: str, kind: str = "numeric") -> DataFrame:
     bad = (C.to_number(F.col(c)) if kind == "numeric" else C.to_time(F.col(c))).isNull() & F.col(c).isNotNull() & ~C.missing_like(F.col(c))
-    return df.agg(F.count_if(bad).alias("invalid"), F.array_sort(F.slice(F.array_sort(F.collect_set(F.when(bad, F.col(c)))), 1, 8)).alias("examples"))
+    least = df.where(bad).select(F.col(c).alias("v")).distinct().orderBy("v").limit(8)
+    return df.agg(F.count_if(bad).alias("invalid")).crossJoin(least.agg(F.array_sort(F.collect_list("v")).alias("examples")))
 
 
 def format_clusters(df: DataFrame, c: str, limit: int = 8) -> DataFrame:

@@ -23,9 +23,16 @@ def split(df: DataFrame, key: str, test: float = 0.25, seed: int = 42) -> tuple[
 
 
 def stratified_split(df: DataFrame, key: str, label: str, test: float = 0.25, seed: int = 42) -> DataFrame:
-    """df with is_test: the share of each class by hash order."""
-    r = F.percent_rank().over(Window.partitionBy(label).orderBy(F.xxhash64(key, F.lit(seed)), key))
-    return df.withColumn("is_test", r < test)
+    """df with is_test: the share of each class by hash order, ranked within ranges of the hash and their counts."""
+    h = F.xxhash64(key, F.lit(seed))
+    cut = df.withColumns({"__hash": h, "__range": F.shiftright(h, 52)})
+    counts = cut.groupBy(F.col(label).alias("__label"), F.col("__range").alias("__at")).agg(F.count("*").alias("__n"))
+    of = Window.partitionBy("__label")
+    before = F.coalesce(F.sum("__n").over(of.orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("__label", "__at", before.alias("__before"), F.sum("__n").over(of).alias("__all"))
+    ranked = cut.join(counts, F.col(label).eqNullSafe(F.col("__label")) & (F.col("__range") == F.col("__at")))
+    rank = F.col("__before") + F.rank().over(Window.partitionBy(label, "__range").orderBy("__hash", key))
+    return ranked.withColumn("is_test", F.coalesce(F.try_divide(rank - 1, F.col("__all") - 1), F.lit(0.0)) < test).select(*df.columns, "is_test")
 
 
 def features(numeric: list[str], categories: list[str] = (), scale: bool = True, degree: int = 1) -> list:

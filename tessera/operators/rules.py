@@ -66,13 +66,15 @@ def binary_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     cols = cols or df.columns
     v = P.value_counts(df, cols)
     n = df.count()
-    t = v.groupBy("column_name").agg(F.count("*").alias("k"), F.sum("n").alias("present"), F.array_sort(F.collect_list(F.struct(-F.col("n"), "value"))).alias("vs"), F.sort_array(F.collect_set(C.to_flag(F.col("value")))).alias("flags"))
-    t = t.where("k <= 2").withColumn("nulls", F.lit(n) - F.col("present"))
+    order, flag = F.struct((-F.col("n")).alias("n"), "value"), C.to_flag(F.col("value"))
+    t = v.groupBy("column_name").agg(F.count("*").alias("k"), F.sum("n").alias("present"), F.min(order).alias("first"), F.max(order).alias("last"), F.min(flag).alias("low"), F.max(flag).alias("high"))
+    t = t.where("k <= 2").withColumn("flags", F.sort_array(F.array_distinct(F.array_compact(F.array("low", "high")))))
+    t = t.withColumn("nulls", F.lit(n) - F.col("present"))
     known = F.size("flags") == F.col("k")
     kind = F.when((F.col("k") == 2) & (F.size("flags") == 2), F.when(F.col("nulls") == 0, "clean_binary").otherwise("nullable_binary")).when((F.col("k") == 1) & known & (F.col("flags")[0] == 1) & (F.col("nulls") > 0), "positive_only_nullable_flag").when(F.col("k") == 1, "single_observed_binary_state").otherwise("binary_categorical")
     conf = F.create_map(*(x for k, c in (("clean_binary", 0.98), ("nullable_binary", 0.94), ("positive_only_nullable_flag", 0.78), ("single_observed_binary_state", 0.55), ("binary_categorical", 0.72)) for x in (F.lit(k), F.lit(c))))
     t = t.withColumn("kind", kind)
-    first, second = F.col("vs")[0]["value"], F.get("vs", F.lit(1))["value"]
+    first, second = F.col("first")["value"], F.when(F.col("k") == 2, F.col("last")["value"])
     swap = F.coalesce(C.to_flag(first) == 1, F.lit(False))
     return t.select("column_name", "kind", conf[F.col("kind")].alias("confidence"), F.col("kind").isin("positive_only_nullable_flag", "single_observed_binary_state", "binary_categorical").alias("ambiguous"), F.when(swap, second).otherwise(first).alias("zero_value"), F.when(swap, first).otherwise(second).alias("one_value"))
 

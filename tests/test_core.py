@@ -148,3 +148,28 @@ def test_grid_search_and_separation(spark):
     c = spark.createDataFrame([(0, 0.0), (0, 2.0), (1, 10.0), (1, 12.0)], "cluster int, v double")
     r = A.cluster_separation(c, ["v"]).first()
     assert (r["clusters"], r["calinski_harabasz"], r["davies_bouldin"]) == (2, 50.0, 0.2)
+
+
+def test_no_group_holds_all_values(spark):
+    d = spark.createDataFrame([(i, "yes" if i % 3 else "no", "x" if i % 2 else None, f"bad{i:03}") for i in range(200)], "id int, flag string, one string, text string")
+    got = {r["column_name"]: tuple(r)[1:] for r in R.binary_profile(d).collect()}
+    assert got == {"flag": ("clean_binary", 0.98, False, "no", "yes"), "one": ("single_observed_binary_state", 0.55, True, "x", None)}
+    assert "collect" not in R.binary_profile(d)._jdf.queryExecution().toString()
+    assert tuple(K.invalid_count(d, "text").first()) == (200, [f"bad{i:03}" for i in range(8)])
+    assert tuple(K.invalid_count(d, "flag", "numeric").first()) == (200, ["no", "yes"])
+    assert tuple(K.invalid_count(d.select(F.col("id").cast("string").alias("id")), "id").first()) == (0, [])
+    assert "collect_set" not in K.invalid_count(d, "text")._jdf.queryExecution().toString()
+
+
+def test_stratified_split_sorts_no_whole_class(spark):
+    from pyspark.sql import Window
+
+    from tessera.operators import modeling as M
+
+    d = spark.createDataFrame([(i, "a" if i % 10 else None if i % 20 else "b") for i in range(2000)] + [(5000, "single")], "id int, label string")
+    got = M.stratified_split(d, "id", "label")
+    rank = F.percent_rank().over(Window.partitionBy("label").orderBy(F.xxhash64("id", F.lit(42)), "id"))
+    want = d.withColumn("is_test", rank < 0.25)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    windows = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in x and "__hash" in x]
+    assert windows and all("__range" in x for x in windows)
