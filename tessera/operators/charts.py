@@ -54,9 +54,11 @@ def value_counts(df: DataFrame, c: str, limit: int = 25) -> DataFrame:
 
 def positive_value(df: DataFrame, target: str) -> str:
     """The value that counts as positive: a usual word for yes, else the rarer of two, else the most common."""
-    f = df.where(F.col(target).isNotNull()).groupBy(F.col(target).cast("string").alias("v")).count().orderBy("count", "v").limit(1000).collect()
-    yes = [r["v"] for r in f if r["v"].lower() in ("true", "yes", "y", "1", "sold", "success", "win", "positive")]
-    return yes[0] if yes else f[0]["v"] if len(f) == 2 else f[-1]["v"]
+    f = df.where(F.col(target).isNotNull()).groupBy(F.col(target).cast("string").alias("v")).agg(F.count("*").alias("n"))
+    order = F.struct("n", "v")
+    yes = F.lower("v").isin("true", "yes", "y", "1", "sold", "success", "win", "positive")
+    r = f.agg(F.count("*").alias("k"), F.min_by("v", F.when(yes, order)).alias("yes"), F.min_by("v", order).alias("rarest"), F.max_by("v", order).alias("commonest")).first()
+    return r["yes"] if r["yes"] is not None else r["rarest"] if r["k"] == 2 else r["commonest"]
 
 
 def group_target_summary(df: DataFrame, target: str, by: list[str], positive: str | None = None, min_count: int = 1) -> DataFrame:

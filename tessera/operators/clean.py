@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tessera.functions import columns as C
 
 NULL_POLICIES = {"preserve": (None, None), "treat_as_false": (None, 0), "treat_as_true": (None, 1), "false_to_null": (0, None), "true_to_null": (1, None)}
+#: One-hot encoding without a number of levels makes at most so many columns.
+MOST_LEVELS = 1000
 
 
 def rename_columns(df: DataFrame, mapping: dict[str, str] | None = None, **kw) -> DataFrame:
@@ -99,7 +101,10 @@ def impute_missing(df: DataFrame, strategies: dict[str, str], fill=None, by: str
 
 
 def one_hot_encode(df: DataFrame, c: str, k: int | None = None, other: str = "Other", drop_first: bool = False, dummy_na: bool = False) -> DataFrame:
-    levels = [r[0] for r in df.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).limit(k or 1000).collect()]
+    """A column of 0 and 1 for each level: of the k most frequent and `other`, or of all; without k over MOST_LEVELS levels raise."""
+    levels = [r[0] for r in df.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).limit(k or MOST_LEVELS + 1).collect()]
+    if not k and len(levels) > MOST_LEVELS:
+        raise ValueError(f"{c} has over {MOST_LEVELS} levels: give k, the number of levels with a column of their own")
     shown = levels[1:] if drop_first else levels
     out = {f"{c}_{v}": F.coalesce((F.col(c) == v).cast("tinyint"), F.lit(0).cast("tinyint")) for v in shown}
     if k:

@@ -173,3 +173,22 @@ def test_stratified_split_sorts_no_whole_class(spark):
     assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     windows = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in x and "__hash" in x]
     assert windows and all("__range" in x for x in windows)
+
+
+def test_one_hot_encode_loses_no_level(spark, monkeypatch):
+    monkeypatch.setattr(K, "MOST_LEVELS", 3)
+    d = spark.createDataFrame([(i, f"v{i % 4}") for i in range(8)], "id int, c string")
+    with pytest.raises(ValueError, match="over 3 levels"):
+        K.one_hot_encode(d, "c")
+    assert K.one_hot_encode(d.where("c <> 'v3'"), "c").columns == ["id", "c_v0", "c_v1", "c_v2"]
+    assert K.one_hot_encode(d, "c", 2).columns == ["id", "c_v0", "c_v1", "c_Other"]
+    monkeypatch.undo()
+    with pytest.raises(ValueError, match="over 1000 levels"):
+        K.one_hot_encode(spark.range(1001).selectExpr("id", "concat('v', id) AS c"), "c")
+
+
+def test_positive_value_sees_all_values(spark):
+    d = spark.range(2500).selectExpr("CASE WHEN id % 2 = 0 THEN 'Yes' ELSE concat('v', id) END AS c")
+    assert G.positive_value(d, "c") == "Yes"
+    assert G.positive_value(d.selectExpr("replace(c, 'Yes', 'often') AS c"), "c") == "often"
+    assert G.positive_value(d.selectExpr("if(c = 'Yes', 'b', if(c < 'v2', 'a', 'b')) AS c"), "c") == "a"
