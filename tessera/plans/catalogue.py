@@ -57,6 +57,7 @@ ALL_ORDER = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orde
 # --- profile ---------------------------------------------------------------------------------------------------
 query("dataset_summary", "orders", "SELECT count(*)::BIGINT AS rows, 6::BIGINT AS columns, 0::BIGINT AS missing_cells, 0.0 AS missing_ratio, (count(*) - count(DISTINCT (o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority)))::BIGINT AS duplicate_rows FROM orders")(P.dataset_summary)
 query("duplicate_rows", "documents", "SELECT sum(n - 1)::BIGINT AS duplicate_rows FROM (SELECT count(*) AS n FROM documents GROUP BY lang, source)")(lambda d: P.duplicate_rows(d.select("lang", "source")))
+query("duplicate_documents", "documents", "SELECT coalesce(sum(n - 1), 0)::BIGINT AS duplicate_rows FROM (SELECT count(*) AS n FROM documents GROUP BY text, lang, source, n_chars)")(lambda d: P.duplicate_rows(d.drop("doc_id")))
 query("column_counts", "dirty", each(("num_text", "price_null", "flag_text"), "SELECT '{c}' AS column_name, count({c})::BIGINT AS non_null, (count(*) - count({c}))::BIGINT AS missing, (count(*) - count({c})) / count(*)::DOUBLE AS missing_ratio, count(DISTINCT {c})::BIGINT AS distinct_count, count(DISTINCT {c}) / count({c})::DOUBLE AS distinct_ratio FROM {dirty}"))(lambda d: P.column_counts(d.select("num_text", "price_null", "flag_text")))
 query("scan_sample", "lineitem")(lambda d: C.hash_sample(d, 1000, ["l_orderkey", "l_linenumber"]))
 _FREQ = "(SELECT CAST({c} AS VARCHAR) AS value, count(*) AS n FROM orders WHERE {c} IS NOT NULL GROUP BY 1)"

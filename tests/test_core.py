@@ -192,3 +192,11 @@ def test_positive_value_sees_all_values(spark):
     assert G.positive_value(d, "c") == "Yes"
     assert G.positive_value(d.selectExpr("replace(c, 'Yes', 'often') AS c"), "c") == "often"
     assert G.positive_value(d.selectExpr("if(c = 'Yes', 'b', if(c < 'v2', 'a', 'b')) AS c"), "c") == "a"
+
+
+def test_duplicate_documents_reads_the_text(spark, tmp_path):
+    from tessera.plans import catalogue
+
+    rows = [(1, "a b", "en", "s", 3), (2, "a b", "en", "s", 3), (3, "a c", "en", "s", 3), (4, None, "en", "s", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert catalogue.queries()["duplicate_documents"](spark, str(tmp_path)).first()[0] == 1
