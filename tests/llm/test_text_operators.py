@@ -118,6 +118,8 @@ def test_bpe_equals_the_library(spark):
     ranks = bpe.read_ranks(bpe.default_ranks())
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     texts = awkward() + ["don't  stop\n\n it's 42!? 漢字 😀 <|endoftext|>", " lead", "trail ", "x" * 3000]
+    r = random.Random(11)
+    texts += ["".join(r.choice(["a", "bc ", " ", " ", "\n", "\t", "\u00a0", "\x1c", "it's ", "9!", "é"]) for _ in range(r.randint(1, 40))) for _ in range(400)] * 2
     for row in bpe.encode_decode(table(spark, texts)).collect():
         t = texts[row["doc_id"]] or ""
         assert row["ids"] == library.encode_ordinary(t) and row["n_tokens"] == len(row["ids"])
@@ -184,14 +186,56 @@ def test_quality_rules(spark):
         assert r["base_failed"] == (len(w) < 50 or 100 * len(cover) > 50 * len(w)) and not (r["base_failed"] and r["kept"])
 
 
+def likelihood_ratios(spark, texts, trusted, buckets):
+    """log weight and number of n-grams of each text, counted one by one; the hash is Spark's."""
+    grams = [[(x,) for x in w] + list(zip(w, w[1:])) for w in (list(map(bytes.decode, (t or "").encode().split())) for t in texts)]
+    from pyspark.sql import functions as F
+
+    every = sorted({g for x in grams for g in x})
+    df = spark.createDataFrame([(i, g[0], g[-1], len(g)) for i, g in enumerate(every)], "i long, a string, b string, n int")
+    slot = {every[r[0]]: r[1] for r in df.select("i", F.pmod(F.when(F.col("n") == 1, F.xxhash64("a")).otherwise(F.xxhash64("a", "b")), F.lit(buckets))).collect()}
+    raw, target = Counter(slot[g] for x in grams for g in x), Counter(slot[g] for i in trusted for g in grams[i])
+    p = lambda c, b: math.log((c[b] + 0.5) / (sum(c.values()) + 0.5 * buckets))
+    ratio = [p(target, b) - p(raw, b) for b in range(buckets)]
+    return [(sum(ratio[slot[g]] for g in x), len(x)) for x in grams]
+
+
+def test_quality_ratios(spark):
+    texts = awkward() + ["word " * 30_000 + "end"]
+    labels = spark.createDataFrame([(i, int(i < 30 or i == 66), 0) for i in range(0, 70, 2)] + [(2, 0, 0), (2, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    trusted = [i for i in range(len(texts)) if i % 2 == 0 and (i < 30 or i == 66)]
+    got = {r["doc_id"]: r for r in ngram_model.quality_rules(table(spark, texts), labels, buckets=64).collect()}
+    brute = [w / n if n else None for w, n in likelihood_ratios(spark, texts, trusted, 64)]
+    assert all((got[i]["llr"] is None and x is None) or abs(got[i]["llr"] - x) < 1e-9 for i, x in enumerate(brute))
+    steps = sorted(math.floor(brute[i] / 0.001) for i in trusted if brute[i] is not None)
+    cut = next(x for k, x in enumerate(steps) if sum(y <= x for y in steps) > 0.01 * len(steps)) * 0.001
+    for i, x in enumerate(brute):
+        assert got[i]["kept"] == (not got[i]["base_failed"] and x is not None and x >= cut)
+
+
 def test_importance_resampling(spark):
     texts = awkward()
     labels = spark.createDataFrame([(i, int(i < 30), 0) for i in range(40)], "doc_id long, quality int, toxic int")
-    rows = ngram_model.importance_resample(table(spark, texts), labels, k=25).collect()
+    rows = ngram_model.importance_resample(table(spark, texts), labels, k=25, buckets=64).collect()
+    brute = likelihood_ratios(spark, texts, range(30), 64)
+    for r in rows:
+        u = int(hashlib.md5(f"gumbel:{r['doc_id']}".encode()).hexdigest()[:13], 16) / 16**13 + 2.0**-54
+        weight = brute[r["doc_id"]][0]
+        assert abs(r["log_weight"] - weight) < 1e-9 and abs(r["gumbel_key"] - (weight - math.log(-math.log(u)))) < 1e-9
     ranked = sorted(rows, key=lambda r: -r["gumbel_key"])
     assert [r["kept"] for r in ranked] == [True] * 25 + [False] * (len(rows) - 25) and len(rows) == len(texts)
 
 
+def test_importance_resampling_keeps_exactly_k_of_ties(spark):
+    texts = ["same text here"] * 30 + [None] * 10 + ["other words"]
+    docs = table(spark, texts, ids=[7] * 30 + [None] * 10 + [8])
+    labels = spark.createDataFrame([(7, 1, 0), (8, 0, 0)], "doc_id long, quality int, toxic int")
+    for k in (0, 1, 13, 35, 41, 99):
+        rows = ngram_model.importance_resample(docs, labels, k=k).collect()
+        assert len(rows) == 41 and sum(r["kept"] for r in rows) == min(k, 41)
+        assert min([r["gumbel_key"] for r in rows if r["kept"]], default=0) >= max([r["gumbel_key"] for r in rows if not r["kept"]], default=-1e9) or k == 0
+
+
 def test_language_id(spark):
     r = random.Random(6)
     vocab = {"de": ["der", "und", "nicht", "schön", "über", "haus"], "en": ["the", "and", "with", "house", "thing", "what"]}
