@@ -14,8 +14,8 @@ from itertools import chain
 
 from pyspark.sql import DataFrame
 
-#: Encoded pieces that a worker remembers; a full memory starts anew, which changes no result.
-MEMORY = 400_000
+#: Encoded stretches that a worker remembers in each of two generations, and pieces; what is forgotten is encoded anew.
+MEMORY = 200_000
 #: So many last bytes narrow down the tokens that can end there.
 TAIL = 4
 
@@ -166,31 +166,61 @@ def _splitter(pattern: str):
 
 
 class TextEncoder:
-    """Whole texts: each match of the pattern is encoded for itself, and remembered."""
+    """Whole texts: each match of the pattern is encoded and decoded for itself, and remembered.
+
+    A space after or before a character that is no white space can start a match, so that a text can be cut there. The
+    stretches between recur far more than they differ: for each the memory holds its ids, as text, and the bytes that
+    they decode to. It has two generations, so that a full memory forgets only what was not seen since the last time.
+    """
 
     def __init__(self, path: str, pattern: str):
         self.bpe, self.pieces = _encoder(path), _splitter(pattern).findall
-        self.seen: dict[str, tuple[int, ...]] = {}
+        self.ids: dict[str, bytes] = {}
+        self.plain: dict[str, bytes] = {}
+        self.old_ids: dict[str, bytes] = {}
+        self.old_plain: dict[str, bytes] = {}
         self.known: dict[str, tuple[int, ...]] = {}
 
-    def encode(self, text: str) -> list[int]:
-        """A single space between two other characters always starts a match, so that the text can be cut there.
+    def encode(self, text: str) -> tuple[bytes, bytes]:
+        """The decimal ids joined by spaces, and the bytes that they decode to."""
+        head, *rest = text.split(" ")
+        ids, plain = list(map(self.ids.get, rest)), list(map(self.plain.get, rest))
+        if None in ids:
+            if not all(rest) or any(x[0].isspace() for x in rest):
+                head, *rest = self.stretches(text)
+                ids, plain = list(map(self.ids.get, rest)), list(map(self.plain.get, rest))
+            for i, x in enumerate(ids):
+                if x is None:
+                    ids[i], plain[i] = self.stretch(rest[i])
+        first = self.encode_whole(head)
+        return b" ".join([self.text_of(first), *ids] if first else ids), b"".join([self.decode(first), *plain])
 
-        The stretches between recur far more than they differ and are remembered. A text with other white space
-        at such a cut is matched as a whole.
-        """
-        seen, out, first = self.seen, [], True
-        for stretch in text.split(" "):
-            ids = seen.get(stretch) if not first else None
-            if ids is None:
-                if not stretch or stretch[0].isspace() or stretch[-1].isspace():
-                    return self.encode_whole(text)
-                ids = tuple(self.encode_whole(stretch if first else " " + stretch))
-                if not first:
-                    self._keep(seen, stretch, ids)
-            first = False
-            out.append(ids)
-        return list(chain.from_iterable(out))
+    @staticmethod
+    def stretches(text: str) -> list[str]:
+        """text cut at spaces, but not where white space comes before the space and white space or the end after it."""
+        first, *rest = text.split(" ")
+        out, open_end = [[first]], first[-1:].isspace()
+        for x in rest:
+            if open_end and (not x or x[0].isspace()):
+                out[-1].append(x)
+            else:
+                out.append([x])
+            open_end = not x or x[-1].isspace()
+        return [" ".join(x) for x in out]
+
+    def stretch(self, key: str) -> tuple[bytes, bytes]:
+        """What the memory holds, or will hold, of a stretch after a space."""
+        ids = self.ids.get(key) or self.old_ids.get(key)
+        if ids is None:
+            tokens = self.encode_whole(" " + key)
+            ids, plain = self.text_of(tokens), self.decode(tokens)
+        else:
+            plain = self.plain.get(key) or self.old_plain[key]
+        if 0 < len(key) <= 64 and not key[0].isspace():
+            if len(self.ids) >= MEMORY:
+                self.old_ids, self.old_plain, self.ids, self.plain = self.ids, self.plain, {}, {}
+            self.ids[key], self.plain[key] = ids, plain
+        return ids, plain
 
     def encode_whole(self, text: str) -> list[int]:
         known, out = self.known, []
@@ -198,16 +228,15 @@ class TextEncoder:
             ids = known.get(piece)
             if ids is None:
                 ids = self.bpe.encode_piece(piece.encode())
-                self._keep(known, piece, ids)
+                if len(piece) <= 64:
+                    if len(known) >= MEMORY:
+                        known.clear()
+                    known[piece] = ids
             out.append(ids)
         return list(chain.from_iterable(out))
 
-    @staticmethod
-    def _keep(memory: dict, key: str, ids: tuple[int, ...]) -> None:
-        if len(key) <= 64:
-            if len(memory) >= MEMORY:
-                memory.clear()
-            memory[key] = ids
+    def text_of(self, ids: list[int]) -> bytes:
+        return " ".join(map(self.bpe.text.__getitem__, ids)).encode()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bpe.token.__getitem__, ids))
@@ -230,12 +259,13 @@ def encode_decode(df: DataFrame, ranks_path: str | None = None, pattern: str | N
         encoder = TextEncoder(path, pattern)
         for batch in batches:
             columns = ([], [], [], [])
-            for text in batch.column(1):
-                ids = encoder.encode(text.as_py() or "")
-                values = len(ids), hashlib.sha256(" ".join(map(encoder.bpe.text.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(encoder.decode(ids)).hexdigest(), ids
-                for column, value in zip(columns, values):
-                    if keep_ids or value is not ids:
-                        column.append(value)
+            for text in batch.column(1).to_pylist():
+                ids, plain = encoder.encode(text or "")
+                columns[0].append(ids.count(b" ") + 1 if ids else 0)
+                columns[1].append(hashlib.sha256(ids).hexdigest())
+                columns[2].append(hashlib.sha256(plain).hexdigest())
+                if keep_ids:
+                    columns[3].append(list(map(int, ids.split())))
             arrays = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())] + [pa.array(columns[3], pa.list_(pa.int32()))] * keep_ids
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names)
 
