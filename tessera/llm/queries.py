@@ -29,7 +29,8 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.filter_urls(read(spark, sf_dir, "pages"))
+    pages = read(spark, sf_dir, "pages")
+    return url_filter.filter_urls(pages, url_filter.hosts_named(pages))
 
 
 def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,8 +14,8 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 #: Second-level names whose hosts are on the block list.
 BLOCKED_NAMES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 BITS_PER_KEY, HASHES = 8, 3
-#: Beyond so many bits in a level (8 MiB), membership is found by a join instead.
-MAX_LEVEL_BITS = 1 << 26
+#: A level's words are held in arrays of so many (8 MiB); a level of more bits (1 GiB) is refused.
+CHUNK, MOST_BITS = 1 << 20, 1 << 33
 
 
 def host_of(url: Column) -> Column:
@@ -43,40 +43,40 @@ class BloomCascade:
     """Exact membership in a listed set for every key of a known universe.
 
     Level 0 holds the listed keys; each later level holds the keys of the universe that the level before wrongly
-    let through. It ends when no key is let through wrongly. Each level is one array of 64-bit words, made by
-    Spark and bounded by max_level_bits; probing is plain arithmetic on it, so no row of the corpus is joined.
+    let through. It ends when no key is let through wrongly. Each level is one row of arrays of 64-bit words, a byte
+    for each of its keys, made by Spark; probing is plain arithmetic on it, so no row of the corpus is joined.
     """
 
-    def __init__(self, universe: DataFrame, max_level_bits: int = MAX_LEVEL_BITS):
+    def __init__(self, universe: DataFrame, chunk: int = CHUNK):
         """universe(key, listed): each distinct key once."""
         self.levels: list[tuple[DataFrame, int]] = []
-        self.fallback: DataFrame | None = None
+        self.chunk = chunk
         inside, outside = universe.where("listed").select("key"), universe.where("not listed").select("key")
         n = inside.count()
         while n:
             level, bits = len(self.levels), max(64, -(-n * BITS_PER_KEY // 64) * 64)
-            if bits > max_level_bits:
-                self.levels, self.fallback = [], universe.where("listed").select("key")
-                return
+            if bits > MOST_BITS:
+                raise ValueError(f"{n} keys need a level of {bits} bits, more than {MOST_BITS}: divide the universe")
             self.levels.append((self._words(inside, level, bits), bits))
             inside, outside = outside.where(self._passes(F.col("key"), level)), inside
             inside = materialize(inside)
             n = inside.count()
 
-    @staticmethod
-    def _words(keys: DataFrame, level: int, bits: int) -> DataFrame:
+    def _words(self, keys: DataFrame, level: int, bits: int) -> DataFrame:
         slots = keys.select(F.explode(F.array(*_slots(F.col("key"), level, bits))).alias("slot"))
         words = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
         every = keys.sparkSession.range(bits // 64).withColumnRenamed("id", "word")
-        dense = every.join(words, "word", "left").agg(F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("w"))
-        return materialize(dense.select(F.col("w.bits").alias("bits")))
+        dense = every.join(words, "word", "left").select(F.floor(F.col("word") / self.chunk).alias("chunk"), F.struct("word", F.coalesce("bits", F.lit(0)).alias("bits")).alias("w"))
+        chunks = dense.groupBy("chunk").agg(F.array_sort(F.collect_list("w")).alias("w")).select(F.struct("chunk", F.col("w.bits").alias("bits")).alias("c"))
+        return materialize(chunks.agg(F.array_sort(F.collect_list("c")).alias("c")).select(F.col("c.bits").alias("bits")))
 
     def _passes(self, key: Column, level: int) -> Column:
         words, bits = self.levels[level]
         table = words.scalar()
         hit = F.lit(True)
         for slot in _slots(key, level, bits):
-            word = F.element_at(table, (F.shiftright(slot, 6) + 1).cast("int"))
+            at = F.shiftright(slot, 6)
+            word = F.get(F.get(table, F.floor(at / self.chunk).cast("int")), F.pmod(at, F.lit(self.chunk)).cast("int"))
             hit = hit & (word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), slot.bitwiseAND(F.lit(63)).cast("int"))) != 0)
         return hit
 
@@ -88,23 +88,24 @@ class BloomCascade:
         return out
 
 
-def filter_urls(pages: DataFrame, listed_names: Iterable[str] = BLOCKED_NAMES, rules=RULES, id_col: str = "page_id", url_col: str = "url", max_level_bits: int = MAX_LEVEL_BITS) -> DataFrame:
+def hosts_named(pages: DataFrame, names: Iterable[str] = BLOCKED_NAMES, url_col: str = "url") -> DataFrame:
+    """key: the hosts of the pages with one of the names as a label before the last, each once."""
+    hosts = pages.select(host_of(F.col(url_col)).alias("key")).distinct()
+    return hosts.where(F.col("key").rlike(r"(^|\.)(" + "|".join(names) + r")\.[^.]"))
+
+
+def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict for each row of pages.
 
-    Where no rule fits, a host is blocked if the cascade finds it on the list: the hosts of the corpus with one of
-    listed_names as a label before the last. A null url or one without :// has an empty host and path, fits no
-    rule and is allowed. Repeated rows stay; an empty table gives an empty result; other columns are ignored.
+    Where no rule fits, a host is blocked if the cascade finds it on the list. listed(key) may hold any keys, repeated
+    ones and nulls too: those that no page has play no part. A null url or one without :// has an empty host and
+    path, fits no rule and is allowed, unless the empty host is listed. Repeated rows stay; an empty table or list gives
+    an empty result or no blocked host; other columns are ignored.
     """
     url = F.col(url_col)
     parts = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
-    pattern = r"(^|\.)(" + "|".join(listed_names) + r")\.[^.]"
-    universe = materialize(parts.groupBy(F.col("host").alias("key")).agg(F.lit(1).alias("one")).select("key", F.col("key").rlike(pattern).alias("listed")))
-    cascade = BloomCascade(universe, max_level_bits)
+    marked = listed.select("key").where("key is not null").distinct().withColumn("listed", F.lit(True))
+    universe = materialize(parts.select(F.col("host").alias("key")).distinct().join(marked, "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed")))
+    cascade = BloomCascade(universe)
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
-    out = parts.withColumn("rule", rule).withColumn("by_rule", verdict)
-    if cascade.fallback is not None:
-        out = out.join(cascade.fallback.select(F.col("key").alias("host"), F.lit(True).alias("hit")), "host", "left")
-        listed = F.coalesce("hit", F.lit(False))
-    else:
-        listed = cascade.contains(F.col("host"))
-    return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(listed, "block").otherwise("allow")).alias("verdict"))
+    return parts.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(cascade.contains(F.col("host")), "block").otherwise("allow")).alias("verdict"))
