@@ -1,12 +1,13 @@
 """Language-model scoring: a unigram model over subword pieces, summed over all segmentations of a text.
 
 The pieces and their scores come from an existing vocabulary file. The scores, as ranks of a Zipf law, weight the
-segmentations of the training words; the expected piece counts of that pass, smoothed by the same law, are the
-model. A document's probability is the product of its words' marginals and of the end's: pieces never cross words.
+segmentations of the training words; the expected piece counts, smoothed by the same law, weight the next pass, and
+after a few such rounds are the model. A document's probability is the product of its words' marginals and of the end's: pieces never cross words.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import crc_mod, materialize
 
-#: Words looked up in each task without a shuffle: the most frequent ones, at most so many and so long.
-FREQUENT, FREQUENT_BYTES = 65_536, 64
+#: Words looked up in each task without a shuffle: the most frequent ones, at most so many. Longer words go by a digest.
+FREQUENT, LONG = 65_536, 64
+#: Rounds of expected piece counts.
+ROUNDS = 4
 #: Weight of the vocabulary's own law against the corpus counts, in pieces.
 PRIOR = 1000.0
 FLUSH = 300_000
@@ -143,6 +146,11 @@ def _trie(path: str) -> tuple[np.ndarray, np.ndarray]:
     return child, ends
 
 
+def word_key(word: bytes) -> bytes:
+    """The word, or 65 bytes with the SHA-256 of a longer one."""
+    return word if len(word) <= LONG else hashlib.sha256(word).hexdigest().encode() + b"#"
+
+
 def count_words(df: DataFrame, text_col: str, train: str) -> DataFrame:
     """word (bytes, A-Z lower-cased), train, total: how often in the rows where the flag `train` holds, and in all."""
 
@@ -172,13 +180,13 @@ def count_words(df: DataFrame, text_col: str, train: str) -> DataFrame:
     return parts.groupBy("word").agg(F.sum("train").alias("train"), F.sum("total").alias("total"))
 
 
-def score_documents(df: DataFrame, vocabulary_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2, frequent: int = FREQUENT) -> DataFrame:
+def score_documents(df: DataFrame, vocabulary_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2, frequent: int = FREQUENT, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of df.
 
     Rows whose crc32(id) mod `folds` is not `held` are learned from. base_score is the add-one word unigram; score is
     the log10 probability of the text by the lattice model. The word table grows with the corpus and stays in
-    Spark: each task looks up the most frequent words (at most `frequent`), and all other words of a document meet
-    the table in a join by word hash. Model parameters that travel are one number per vocabulary piece.
+    Spark: each task looks up the most frequent words (at most `frequent`; from which count on, a histogram of the
+    counts tells), and all other words of a document meet the table in a join by hash and word. Model parameters that travel are one number per vocabulary piece.
 
     Null or empty text is just an end. Repeated rows are scored each. A table without training rows scores with the
     vocabulary's law alone. An empty table gives an empty result; other columns are ignored.
@@ -190,35 +198,46 @@ def score_documents(df: DataFrame, vocabulary_path: str | None = None, id_col: s
     n_words, v = counted.agg(F.coalesce(F.sum("train"), F.lit(0)), F.count_if(F.col("train") > 0)).first()
     big_n, big_v = n_words + n_docs, v + (n_docs > 0)
 
-    def expect(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        lattice, total = Lattice(path), 0.0
-        for batch in batches:
-            total = total + lattice.expected(batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(float))
-        if np.ndim(total):
-            used = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], ["piece", "uses"])
-
-    uses = counted.where("train > 0").select("word", "train").mapInArrow(expect, "piece bigint, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()
     pieces, prior = vocabulary(path)
-    weight = PRIOR * np.exp(prior)
-    for r in uses:
-        weight[r["piece"]] += r["uses"]
-    ends = n_docs + 1.0
-    log_p = spark.sparkContext.broadcast(np.log(weight / (weight.sum() + ends)))
-    log_end = float(np.log(ends / (weight.sum() + ends)))
+    ends, weight = n_docs + 1.0, PRIOR * np.exp(prior)
+    own = np.log(weight / (weight.sum() + ends))
+    for _ in range(rounds):
+        now = spark.sparkContext.broadcast(own)
+
+        def expect(batches: Iterator, now=now) -> Iterator:
+            import pyarrow as pa
+
+            lattice, total = Lattice(path, now.value), 0.0
+            for batch in batches:
+                total = total + lattice.expected(batch.column(0).to_pylist(), batch.column(1).to_numpy().astype(float))
+            if np.ndim(total):
+                used = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], ["piece", "uses"])
+
+        weight = PRIOR * np.exp(prior)
+        for r in counted.where("train > 0").select("word", "train").mapInArrow(expect, "piece bigint, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect():
+            weight[r["piece"]] += r["uses"]
+        own = np.log(weight / (weight.sum() + ends))
+    log_p, log_end = spark.sparkContext.broadcast(own), float(np.log(ends / (weight.sum() + ends)))
 
     def marginal(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         lattice = Lattice(path, log_p.value)
         for batch in batches:
-            scores = lattice.scores(batch.column(0).to_pylist()) / np.log(10)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], ["word", "train", "total", "lm"])
+            given = batch.column(0).to_pylist()
+            scores = lattice.scores(given) / np.log(10)
+            yield pa.RecordBatch.from_arrays([pa.array(map(word_key, given), pa.binary()), *batch.columns[1:], pa.array(scores)], ["word", "train", "total", "lm"])
 
     words = materialize(counted.mapInArrow(marginal, "word binary, train bigint, total bigint, lm double").select(F.xxhash64("word").alias("wh"), "word", "train", "total", "lm"))
-    top = words.where(F.octet_length("word") <= FREQUENT_BYTES).orderBy(F.desc("total"), "word").limit(frequent).select("word", "train", "lm").collect()
+    level = F.floor(F.log2("total") * 8)
+    room, least = frequent, None
+    for r in sorted(words.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        room -= r["n"]
+        if room < 0:
+            break
+        least = r["level"]
+    top = words.where(level >= least).select("word", "train", "lm").collect() if least is not None else []
     table = spark.sparkContext.broadcast(({bytes(r["word"]): i for i, r in enumerate(top)}, np.array([r["train"] for r in top], np.int64), np.array([r["lm"] for r in top])))
     floor = big_n + 1 * (big_v + 1)
 
@@ -236,8 +255,13 @@ def score_documents(df: DataFrame, vocabulary_path: str | None = None, id_col: s
                 n.append(len(at) + 1)
                 at = np.array(at, np.int64)
                 if (at < 0).any():
-                    for word, times in Counter(found[i] for i in np.flatnonzero(at < 0)).items():
-                        rare.append(word), rare_of.append(k), tf.append(times)
+                    again = []
+                    for word, times in Counter(word_key(found[i]) for i in np.flatnonzero(at < 0)).items():
+                        if word in index:
+                            again += [index[word]] * times
+                        else:
+                            rare.append(word), rare_of.append(k), tf.append(times)
+                    at = np.concatenate((at, np.array(again, np.int64)))
                 at = at[at >= 0]
                 known.append(int((train[at] > 0).sum()) + (n_docs > 0))
                 bases.append(base[at].sum() + np.log10((n_docs + 1) / floor))
@@ -253,8 +277,8 @@ def score_documents(df: DataFrame, vocabulary_path: str | None = None, id_col: s
     kind = df.schema[id_col].dataType.simpleString()
     parts = docs.select("doc_id", "text", "held_out", F.monotonically_increasing_id().alias("rid")).mapInArrow(look_up, f"doc_id {kind}, held_out boolean, rid bigint, word binary, tf bigint, n bigint, known bigint, base double, lm double")
     # a document's own row has no word: its key is spread by the row, and meets nothing in the table
-    parts = parts.select("doc_id", "held_out", "rid", F.coalesce(F.xxhash64("word"), F.lit(0)).alias("h"), "word", "tf", "n", "known", "base", "lm").withColumn("wh", F.when(F.col("word").isNull(), F.xxhash64("rid")).otherwise(F.col("h"))).drop("word", "h")
-    joined = parts.join(words.select("wh", "train", F.col("lm").alias("word_lm")), "wh", "left")
+    parts = parts.select("doc_id", "held_out", "rid", F.coalesce(F.xxhash64("word"), F.lit(0)).alias("h"), "word", "tf", "n", "known", "base", "lm").withColumn("wh", F.when(F.col("word").isNull(), F.xxhash64("rid")).otherwise(F.col("h"))).drop("h")
+    joined = parts.join(words.select("wh", "word", "train", F.col("lm").alias("word_lm")), ["wh", "word"], "left")
     times = F.when(F.col("tf") > 0, F.col("tf")).otherwise(0)
     c = F.coalesce("train", F.lit(0))
     return (
