@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -19,8 +19,11 @@ from tessera.llm.common import RangeHash, crc_mod, lower_bytes, text_bytes, word
 UNKNOWN = "und"
 SLOTS = 1 << 17
 GRAMS, AFFIXES = (1, 2, 3), (1, 2, 3)
-#: The classifier is fitted on about so many rows of each language, drawn by a hash of the id, of texts up to so long.
-TRAIN_ROWS, TRAIN_CHARS = 120, 50_000
+#: The classifier is fitted on at most so many rows of each language, drawn by a hash of id and text; of a longer text, on a
+#: stretch of so many characters at a place drawn by the hash. More languages are refused, not left out.
+TRAIN_ROWS, TRAIN_CHARS, MOST_LANGUAGES = 120, 50_000, 100
+#: Words are scored so many bytes at a time, and sequences of words are run in parts of so many.
+PART_BYTES, PART_WORDS = 1 << 19, 1 << 17
 EPOCHS, RATE, SPAN = 25, 0.3, 48
 
 
@@ -50,9 +53,44 @@ def emissions(feats: list[tuple[np.ndarray, np.ndarray]], weights: np.ndarray, n
     return np.clip(out, -40, 40)
 
 
-def marginals(score: np.ndarray, first: np.ndarray, moves: np.ndarray, width: int = 32) -> tuple[np.ndarray, np.ndarray]:
+def long_word(data: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The emission of one word of more than PART_BYTES, summed part by part; it has no lexicon feature."""
+    out = np.zeros(weights.shape[1])
+    for at in range(0, len(data), PART_BYTES):
+        part = data[at : at + PART_BYTES + max(GRAMS) - 1]
+        for g in GRAMS:
+            n = min(PART_BYTES, len(part) - g + 1)
+            if n > 0:
+                slots = ((RangeHash(part)(np.arange(n), np.arange(n) + g) * np.uint64(2 * g + 1)) >> np.uint64(64 - 17)).astype(np.int32)
+                out += weights[slots].sum(axis=0, dtype=np.float64)
+    return np.clip(out, -40, 40)
+
+
+def word_scores(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Emissions of the words, some PART_BYTES of text at a time."""
+    out, i = np.zeros((len(starts), weights.shape[1])), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + PART_BYTES, "right")))
+        a, b = starts[i], ends[j - 1]
+        out[i:j] = long_word(data[a:b], weights) if b - a > PART_BYTES else emissions(features(data[a:b], starts[i:j] - a, ends[i:j] - a), weights, j - i)
+        i = j
+    return out
+
+
+def transfer(score: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """The product of all steps of one sequence, up to a factor: what any state before it becomes."""
+    steps = np.exp(moves)[None] * np.exp(score - score.max(axis=1, keepdims=True))[:, None, :]
+    while len(steps) > 1:
+        steps = np.concatenate((steps[:-1:2] @ steps[1::2], steps[len(steps) - len(steps) % 2 :]))
+        steps /= steps.sum(axis=(1, 2), keepdims=True)
+    return steps[0]
+
+
+def marginals(score: np.ndarray, first: np.ndarray, moves: np.ndarray, width: int = 32, head: np.ndarray | None = None, tail: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Label probabilities of the words by forward-backward, and the expected transitions.
 
+    head and tail are what comes in from words before and after; uniform by default.
+
     Sequences lie one after the other (first: where each starts, with the end). They are cut into blocks of `width`:
     the blocks' transfer matrices give what comes in at both sides, and all blocks then run at once.
     """
@@ -75,7 +113,7 @@ def marginals(score: np.ndarray, first: np.ndarray, moves: np.ndarray, width: in
     for t in range(width):
         go = live[:, t]
         through[go] = norm((through[go] @ a) * grid[go, t][:, None, :])
-    into, out = np.full((n, k), 1.0 / k), np.full((n, k), 1.0 / k)
+    into, out = np.tile(np.full(k, 1.0 / k) if head is None else head, (n, 1)), np.tile(np.full(k, 1.0 / k) if tail is None else tail, (n, 1))
     for r in range(1, int(per.max())):
         now = np.flatnonzero(rank == r) if r == 1 else now[now + 1 < n] + 1
         now = now[rank[now] == r]
@@ -149,26 +187,52 @@ class LanguageModel:
         """Language and score of each document."""
         data = lower_bytes(data)
         starts, ends, first = word_spans(data, offsets)
-        p, _ = marginals(emissions(features(data, starts, ends), self.weights, len(starts)), first, self.moves)
-        sums = np.concatenate((np.zeros((1, len(self.labels))), np.cumsum(p * (ends - starts)[:, None], axis=0)))
-        share = sums[first[1:]] - sums[first[:-1]]
+        if len(offsets) == 2 and len(starts) > PART_WORDS:
+            share = self.long_share(data, starts, ends)[None]
+        else:
+            p, _ = marginals(word_scores(data, starts, ends, self.weights), first, self.moves)
+            sums = np.concatenate((np.zeros((1, len(self.labels))), np.cumsum(p * (ends - starts)[:, None], axis=0)))
+            share = sums[first[1:]] - sums[first[:-1]]
         share /= np.maximum(share.sum(axis=1, keepdims=True), 1e-300)
         best = share.argmax(axis=1)
         return [self.labels[i] for i in best], share[np.arange(len(best)), best].clip(0, 1)
 
+    def long_share(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Each language's weight in one long text, in parts: their transfers first, then each with what comes in."""
+        parts = [slice(i, i + PART_WORDS) for i in range(0, len(starts), PART_WORDS)]
+        score = lambda part: word_scores(data, starts[part], ends[part], self.weights)
+        through = [transfer(score(part), self.moves) for part in parts]
+        heads = [np.full(len(self.labels), 1.0 / len(self.labels))]
+        tails = [heads[0]]
+        for step in through[:-1]:
+            heads.append(heads[-1] @ step / (heads[-1] @ step).sum())
+        for step in through[:0:-1]:
+            tails.append(step @ tails[-1] / (step @ tails[-1]).sum())
+        total = np.zeros(len(self.labels))
+        for part, head, tail in zip(parts, heads, reversed(tails)):
+            p, _ = marginals(score(part), np.array([0, len(starts[part])]), self.moves, 32, head, tail)
+            total += (p * (ends[part] - starts[part])[:, None]).sum(axis=0)
+        return total
+
 
 def fit_language_model(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, rows: int = TRAIN_ROWS) -> LanguageModel:
     """The model of df's rows with a language, without those whose crc32(id) mod `folds` is 0.
 
-    Languages are counted over all rows; the fit sees a hash sample of about `rows` of each (the bound).
+    Languages are counted over all these rows; the fit sees at most `rows` of each (the bound): those with the smallest
+    hashes of id and text, whatever the partitioning. A first draw of about twice as many keeps the sort small.
     """
-    known = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (crc_mod(id_col, folds) != 0) & (F.length(text_col) <= TRAIN_CHARS))
-    counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
+    known = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (crc_mod(id_col, folds) != 0))
+    counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not counts:
         return LanguageModel([])
-    share = F.element_at(F.create_map(*(x for lang, n in counts.items() for x in (F.lit(lang), F.lit(rows / n)))), F.col(lang_col))
-    drawn = F.pmod(F.xxhash64(F.lit("lang"), id_col, text_col), F.lit(1 << 20)) < share * (1 << 20)
-    sample = sorted((r[0], r[1]) for r in known.where(drawn).select(lang_col, text_col).limit(2 * rows * len(counts)).collect())
+    share = F.element_at(F.create_map(*(x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, (2 * rows + 100) / n))))), F.col(lang_col))
+    h = F.xxhash64(F.lit("lang"), id_col, text_col)
+    place = (F.pmod(F.col("h"), F.greatest(F.length("text") - TRAIN_CHARS + 1, F.lit(1))) + 1).cast("int")
+    drawn = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), h.alias("h"), share.alias("share")).where((F.col("h") / 2.0**64 + 0.5) < F.col("share"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    sample = sorted((r[0], r[1]) for r in drawn.select("lang", F.substring("text", place, F.lit(TRAIN_CHARS)).alias("text"), "h").withColumn("rank", rank).where(F.col("rank") <= rows).select("lang", "text").collect())
     return LanguageModel(sorted(counts)).fit([t for _, t in sample], [x for x, _ in sample])
 
 
