@@ -15,8 +15,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     Texts are equal when they are identical after each run of white space has become one space. A row's length
     class is refined by a hash of its first characters and, where that is shared too, by SHA-256. Groups are
-    formed by counts with map-side combine, on narrow digests; no text is shuffled. The digests are read off the
-    text in one scan, since the result has every row's SHA-256.
+    formed by counts with map-side combine, on narrow digests; no text is shuffled. All digests are read off the text
+    in one scan: the result has every row's SHA-256, so that the refinement narrows the groups, not what is read.
 
     Null text counts as empty. Of equal texts the smallest id stays (a null id only if all are null); of repeated
     rows with that id, one stays. An empty table gives an empty result; other columns are ignored.
@@ -28,11 +28,12 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         )
     )
     keys = ["len", "head", "text_sha256"]
-    left = rows
+    # equal digests are counted first, combined before the shuffle, so that a large group of copies is one row below
+    left = rows.groupBy(keys).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
     for depth in (1, 2):  # what is alone in its class can have no copy
-        shared = left.groupBy(keys[:depth]).agg(F.count("*").alias("n")).where("n > 1").select(keys[:depth])
+        shared = left.groupBy(keys[:depth]).agg(F.sum("n").alias("in_class")).where("in_class > 1").select(keys[:depth])
         left = left.join(shared, keys[:depth], "left_semi")
-    groups = left.groupBy(keys).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+    groups = left.where("n > 1")
     out = rows.join(groups, keys, "left")
     repeat = F.row_number().over(Window.partitionBy("text_sha256", "doc_id").orderBy("len"))
     return (
