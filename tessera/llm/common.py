@@ -20,9 +20,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share; a temporary one only in local mode, where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not (spark.sparkContext.getCheckpointDir() or spark.sparkContext.master.startswith("local")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='spark-ckpt-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     if not spark.sparkContext.getCheckpointDir():

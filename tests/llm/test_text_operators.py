@@ -157,15 +157,16 @@ def test_mix(spark):
 def test_url_filter(spark):
     urls = ["http://a.NET/x", "http://b.example.net/en/1?q", "https://example.com/de/", "http://x.org/fr/a#b", "http://casino-win.example.org/", "http://a.net", None, "nothing", "ftp://x.net?y"]
     docs = spark.createDataFrame([(i, u, 1) for i, u in enumerate(urls)], "page_id long, url string, rule int")
-    got = [tuple(r)[1:] for r in url_filter.filter_urls(docs).orderBy("page_id").collect()]
+    got = [tuple(r)[1:] for r in url_filter.filter_urls(docs, url_filter.hosts_named(docs)).orderBy("page_id").collect()]
     assert got == [("a.net", "/x", "net/", "block"), ("b.example.net", "/en/1", "example.net/en/", "allow"), ("example.com", "/de/", "example.com/de/", "block"), ("x.org", "/fr/a", "org/fr/", "allow"), ("casino-win.example.org", "/", None, "block"), ("a.net", "", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"), ("x.net", "", None, "allow")]
-    by_join = [tuple(r)[1:] for r in url_filter.filter_urls(docs, max_level_bits=1).orderBy("page_id").collect()]
-    assert by_join == got
+    listed = spark.createDataFrame([("a.net",), (None,), ("unseen.org",), ("x.org",), ("",), ("x.net",), ("x.net",)], "key string")
+    verdicts = [r["verdict"] for r in url_filter.filter_urls(docs, listed).orderBy("page_id").collect()]
+    assert verdicts == ["block", "allow", "block", "allow", "allow", "block", "block", "block", "block"]
 
 
 def test_cascade_is_exact(spark):
     u = spark.range(5000).selectExpr("concat('k', id) AS key", "id % 7 = 0 AS listed")
-    c = url_filter.BloomCascade(u)
+    c = url_filter.BloomCascade(u, chunk=10)
     assert len(c.levels) > 1 and u.where(c.contains(u["key"]) != u["listed"]).count() == 0
 
 
@@ -278,9 +279,47 @@ def test_lattice_scores(spark):
     assert abs(sum(uses[i] * len(x) for i, x in enumerate(pieces)) - (6 + 2 * 5 + 303 + 8 + 11)) < 1e-6
 
 
+def test_long_texts_are_labelled_in_parts(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from tessera.llm.common import text_bytes
+
+    r = random.Random(9)
+    model = language_crf.LanguageModel(["de", "en"])
+    model.fit([" ".join(r.choice(["der", "und", "nicht"]) for _ in range(60)), " ".join(r.choice(["the", "and", "with"]) for _ in range(60))], ["de", "en"])
+    for words in (["der", "und", "the"], ["and", "with", "nicht"]):
+        data, offsets = text_bytes(pa.array([" ".join(r.choice(words) for _ in range(5000)) + " " + "und" * 3000], pa.string()))
+        whole = model.predict(data, offsets)
+        with monkeypatch.context() as m:
+            m.setattr(language_crf, "PART_BYTES", 700)
+            m.setattr(language_crf, "PART_WORDS", 333)
+            parts = model.predict(data, offsets)
+        assert whole[0] == parts[0] and np.allclose(whole[1], parts[1], atol=1e-2)
+
+
+def test_language_sample_does_not_depend_on_partitions(spark):
+    r = random.Random(10)
+    rows = [(i, " ".join(r.choice(["der", "und", "nicht"] if i % 9 else ["the", "and"]) for _ in range(8)), "de" if i % 9 else "en") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, two = (language_crf.fit_language_model(d, rows=30) for d in (docs.repartition(1), docs.repartition(7)))
+    assert one.labels == ["de", "en"] and (one.weights == two.weights).all()
+
+
+def test_lm_rounds_raise_the_held_out_likelihood(spark):
+    r = random.Random(12)
+    stems, ends = ["walk", "talk", "inter", "form", "play", "comput"], ["ing", "ed", "er", "ation", "s", ""]
+    texts = [" ".join(r.choice(stems) + r.choice(ends) for _ in range(40)) for _ in range(150)]
+    sums = {}
+    for rounds in (0, 1, 4):
+        rows = lattice_lm.score_documents(table(spark, texts), rounds=rounds).where("held_out").collect()
+        sums[rounds] = sum(x["score"] for x in rows)
+    assert sums[0] < sums[1] < sums[4]
+
+
 @pytest.mark.parametrize("frequent", [5, 1000])
 def test_lm_base(spark, frequent):
-    texts = awkward()
+    texts = awkward() + ["q" * 100 + " " + "r" * 70, "q" * 100 + " a b"] * 3
     got = {r["doc_id"]: r for r in lattice_lm.score_documents(table(spark, texts), frequent=frequent).collect()}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))}
     c = Counter()
@@ -304,7 +343,8 @@ def test_empty_tables_with_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     for f in (ngram_model.quality_rules, ngram_model.importance_resample):
         assert f(spark.createDataFrame([], SCHEMA), labels).count() == 0
-    assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+    pages = spark.createDataFrame([], "page_id long, url string")
+    assert url_filter.filter_urls(pages, url_filter.hosts_named(pages)).count() == 0
 
 
 def test_pipeline(spark, tmp_path):
