@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, exact_dedup, language_crf, minhash_dedup, mixing
-from tessera.llm.common import materialize
+from tessera.llm.common import discard, materialize
 
 #: Documents whose language has less than this share of their words' probability are rejected, as are those without a letter.
 LEAST_SCORE = 0.3
@@ -34,7 +34,11 @@ def _one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in an identified language, with that language as their lang; each row is judged by its own text."""
+    """Documents in an identified language, with that language as their lang; each row is judged by its own text.
+
+    Null text, and text without a letter, has no language and goes. Repeated rows and null ids are rows like others.
+    Without a row to learn from every text goes. An empty table stays empty; other columns stay as they are.
+    """
     model = language_crf.fit_language_model(docs)
     found = language_crf.label(docs, model)
     found = found.where((F.col("lang_pred") != language_crf.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
@@ -42,26 +46,38 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts, whether their ids differ, repeat or are null."""
+    """One row of each group of equal texts, whether their ids differ, repeat or are null.
+
+    The smallest id stays, a null id only where all are null; of rows with that id, the first in the table. Null text
+    counts as empty and equals empty text. An empty table stays empty; other columns stay as they are.
+    """
     docs = _keyed(docs)
     found = exact_dedup.exact_dedup(docs, "__row").where("group_size > 1")
     return _one_of_each(docs, found.select(F.col("doc_id").alias("__row"), F.col("keep_id").alias("group")))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row, that of the smallest id, of each group of near-duplicates at NEAR_PERCENT; rows are linked by their texts alone."""
+    """One row, that of the smallest id, of each group of near-duplicates at NEAR_PERCENT; rows are linked by their texts alone.
+
+    Ties, null and repeated ids go as in exact_copies. Null, empty and blank texts are linked with nothing and all
+    stay. An empty table stays empty; other columns stay as they are.
+    """
     docs = _keyed(docs)
     found = minhash_dedup.near_components(docs, "__row", percent=NEAR_PERCENT)
     return _one_of_each(docs, found.select(F.col("doc_id").alias("__row"), F.col("component_id").alias("group")))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it: not at all, once or twice."""
+    """Each document as often as the mix of sources takes it: not at all, once or twice.
+
+    Rows with one id, or a null one, are decided alike. A null source is one of its own. Null text has no words. An
+    empty table stays empty; other columns stay as they are.
+    """
     return mixing.mix(docs)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each copy."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each copy; null text counts as empty, and each row is encoded for itself."""
     return bpe.encode_decode(docs, keep_ids=False)
 
 
@@ -69,8 +85,11 @@ STAGES = [("language_id", language_id), ("exact_copies", exact_copies), ("near_c
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other over the documents of sf_dir, each written and reread."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages one after the other over the documents of sf_dir, each written and reread; what is read no more is deleted."""
+    docs, written = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir))
+        if written is not None:
+            discard(written)
+        written = docs
     return STAGES[-1][1](spark, docs, sf_dir)

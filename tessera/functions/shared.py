@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def use_checkpoints(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where none is set."""
+    """The folder named in spark.checkpoint.dir; a temporary one only in local mode, where none is set."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-ckpt-')}")
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(found or f"file://{tempfile.mkdtemp(prefix='spark-ckpt-')}")
     return sc.getCheckpointDir()
 
 
