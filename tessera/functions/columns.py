@@ -9,10 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value: texts that mean "missing" (trimmed, lower case).
-MISSING_TOKENS = ("", "na", "n/a", "nan", "none", "null", "nil", "missing", "unknown", "?", "-", "--", "n.a.")
-TRUE_TOKENS = ("true", "yes", "y", "1", "t")
-FALSE_TOKENS = ("false", "no", "n", "0", "f")
+MISSING_TOKENS = ("", "na", "n/a", "nan", "none", "null", "nil", "missing", "unknown", "?", "-", "--")
+# Words for yes and no.
+TRUE_TOKENS = ("1", "true", "t", "yes", "y", "active", "enabled", "on", "success", "pass", "passed", "positive")
+FALSE_TOKENS = ("0", "false", "f", "no", "n", "inactive", "disabled", "off", "failure", "fail", "failed", "negative")
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+#: What any of the formats can read looks like this; other text is not tried.
+DATE_LIKE = r"^(\d{4,}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}/\d{1,2}/\d{4,}|\p{L}{3,4}\.? \d{1,2} \d{4,})( \d{1,2}:\d{1,2}(:\d{1,2})?)?$"
 DATE_FORMATS = ("yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "MMM d yyyy")
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
@@ -53,7 +56,7 @@ def to_time(c: Column, dayfirst: bool = False) -> Column:
     """A timestamp from text in any of the known formats, with or without a time; else null."""
     text = strip(c.cast("string"))
     formats = [f.replace("MM/dd", "dd/MM") if dayfirst else f for f in DATE_FORMATS]
-    return F.coalesce(*(F.try_to_timestamp(text, F.lit(f + t)) for f in formats for t in ("", " HH:mm:ss", " HH:mm")))
+    return F.when(text.rlike(DATE_LIKE), F.coalesce(*(F.try_to_timestamp(text, F.lit(f + t)) for f in formats for t in ("", " HH:mm:ss", " HH:mm"))))
 
 
 def to_flag(c: Column) -> Column:
@@ -83,4 +86,14 @@ def clean_names(names: list[str], mapping: dict[str, str] | None = None, **kw) -
 def hash_sample(df: DataFrame, n: int, key: str | list[str], seed: int = 42) -> DataFrame:
     """n rows, the same in every run and partitioning: those with the least hash of key and seed."""
     keys = [key] if isinstance(key, str) else key
-    return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)
+    return df.orderBy(hash_order(keys, seed), *keys).limit(n)
+
+
+def hash_order(keys: list[str], seed: int = 42) -> Column:
+    """An MD5 of key columns and seed: an order that any engine can repeat."""
+    return F.md5(F.concat_ws("|", *(F.col(k).cast("string") for k in keys), F.lit(str(seed))).cast("binary"))
+
+
+def hash_part(keys: list[str], parts: int, seed: int = 42) -> Column:
+    """A part number below `parts` from 52 bits of hash_order()."""
+    return F.pmod(F.conv(F.substring(hash_order(keys, seed), 1, 13), 16, 10).cast("bigint"), F.lit(parts))

@@ -8,6 +8,7 @@ from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import columns as C
 from tessera.operators import modeling as M
 from tessera.operators import rules as R
 
@@ -65,7 +66,7 @@ def grid_search(df: DataFrame, key: str, numeric: list[str], categories: list[st
 
     Feature stages are fitted once a fold; the driver sees one score per combination and fold.
     """
-    fold, metric = F.pmod(F.xxhash64(key, F.lit(7)), F.lit(folds)), "accuracy" if task == "classification" else "r2"
+    fold, metric = C.hash_part([key], folds, 7), "accuracy" if task == "classification" else "r2"
     score = M.classification_metrics if task == "classification" else M.regression_metrics
     combos, rows = [dict(zip(grid, values)) for values in product(*grid.values())], []
     for k in range(folds):

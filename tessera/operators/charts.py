@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
+from tessera.operators import stats as S
 from tessera.operators import views as V
-from tessera.operators.order import with_running
+from tessera.operators.order import exact_quantiles, quantiles_of, with_running
 
 ALIASES = {"avg": "mean", "average": "mean", "q1": "p25", "q3": "p75", "distinct": "nunique", "rows": "count", "stddev": "std", "variance": "var", "total": "sum", "minimum": "min", "maximum": "max"}
 ROW_CAPS = {"scatter": 10_000, "strip": 10_000, "geo_scatter": 5_000, "scatter_matrix": 3_000, "parallel_coordinates": 3_000}
@@ -53,11 +54,11 @@ def value_counts(df: DataFrame, c: str, limit: int = 25) -> DataFrame:
 
 
 def positive_value(df: DataFrame, target: str) -> str:
-    """The value that counts as positive: a usual word for yes, else the rarer of two, else the most common."""
+    """The value that counts as positive: the commonest of the usual words for yes, else the rarer of two, else the commonest."""
     f = df.where(F.col(target).isNotNull()).groupBy(F.col(target).cast("string").alias("v")).agg(F.count("*").alias("n"))
-    order = F.struct("n", "v")
-    yes = F.lower("v").isin("true", "yes", "y", "1", "sold", "success", "win", "positive")
-    r = f.agg(F.count("*").alias("k"), F.min_by("v", F.when(yes, order)).alias("yes"), F.min_by("v", order).alias("rarest"), F.max_by("v", order).alias("commonest")).first()
+    order = F.struct((-F.col("n")).alias("n"), "v")
+    yes = F.lower(C.strip(F.col("v"))).isin("true", "yes", "y", "1", "sold", "success", "win", "positive")
+    r = f.agg(F.count("*").alias("k"), F.min_by("v", F.when(yes, order)).alias("yes"), F.max_by("v", order).alias("rarest"), F.min_by("v", order).alias("commonest")).first()
     return r["yes"] if r["yes"] is not None else r["rarest"] if r["k"] == 2 else r["commonest"]
 
 
@@ -123,8 +124,9 @@ def date_bucket(c: Column, bucket: str) -> Column:
 
 
 def auto_bucket(df: DataFrame, c: str) -> str:
-    span = df.agg(F.date_diff(F.max(c), F.min(c))).first()[0] or 0
-    return "month" if span >= 730 else "week" if span >= 120 else "day"
+    """month, week, day or none by the whole days between the first and the last time."""
+    span = df.agg(F.floor((F.unix_seconds(F.max(F.col(c).cast("timestamp"))) - F.unix_seconds(F.min(F.col(c).cast("timestamp")))) / 86_400)).first()[0] or 0
+    return "month" if span >= 730 else "week" if span >= 120 else "day" if span >= 45 else "none"
 
 
 def bin_width(c: Column, lo: float, width: float) -> Column:
@@ -134,7 +136,7 @@ def bin_width(c: Column, lo: float, width: float) -> Column:
 
 def bin_quantile(df: DataFrame, c: str, q: int, name: str = "bin") -> DataFrame:
     """Quantile bins, right-closed, without double edges."""
-    edges = sorted(set(df.agg(F.percentile(c, [i / q for i in range(q + 1)])).first()[0]))
+    edges = sorted({x for x in quantiles_of(df, c, [i / q for i in range(q + 1)]) if x is not None})
     inner = F.size(F.filter(F.array(*map(F.lit, edges[1:-1])), lambda e: e < F.col(c))) if len(edges) > 2 else F.lit(0)
     return df.withColumn(name, inner)
 
@@ -180,11 +182,14 @@ def records_over_time(df: DataFrame, date: str, bucket: str = "month") -> DataFr
 
 
 def series_statistic(df: DataFrame, c: str, stat: str) -> DataFrame:
+    name = "p50" if stat == "median" else ALIASES.get(stat, stat)
+    if name[0] == "p" and name[1:].isdigit():
+        return exact_quantiles(df, [c], [int(name[1:]) / 100]).select(F.col("q")[0].alias("value"))
     return df.agg(aggregate(stat, F.col(c)).alias("value"))
 
 
 def histogram_outlier_options(df: DataFrame, c: str) -> DataFrame:
-    q = df.agg(F.percentile(c, [0.5, 0.95, 0.99, 1.0]).alias("q"))
+    q = exact_quantiles(df, [c], [0.5, 0.95, 0.99, 1.0])
     p50, p95, p99, top = (F.col("q")[i] for i in range(4))
     return q.select(((top >= 5 * p99) | (p99 >= 20 * p50) | (p95 >= 10 * p50)).alias("clip"), p99.alias("clip_at"))
 
@@ -193,18 +198,46 @@ def parallel_categories(df: DataFrame, dims: list[str]) -> DataFrame:
     return df.groupBy(*dims).agg(F.count("*").alias("n"))
 
 
+def both_ways(pairs: DataFrame, value: str) -> DataFrame:
+    """a, b, value for each pair in both orders: the cells of a heatmap beside its diagonal."""
+    return pairs.select("a", "b", value).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), value))
+
+
+def pca_scatter(df: DataFrame, numeric: list[str], by: list[str], limit: int) -> DataFrame:
+    """x and y, the first two principal components, of a hash sample of rows."""
+    from tessera.operators.modeling import pca_project
+
+    keys = list(dict.fromkeys([*(c for c in by if c), *numeric]))
+    made = pca_project(C.hash_sample(df.select(*keys), limit, keys), numeric)
+    return made.select(*(c for c in by if c), F.col("pc")[0].alias("pc1"), F.col("pc")[1].alias("pc2"))
+
+
+SERIES = ("line", "area", "bar", "lollipop", "slope", "funnel", "radar", "bump_chart")
+#: Kinds that take all columns, or those of `columns`.
+WHOLE_TABLE = ("correlation_heatmap", "association_heatmap", "missingness", "pca_scatter")
+OTHER_KINDS = (
+    "histogram", "box", "violin", "ecdf", "density_heatmap", "density_contour", "pie", "treemap", "sunburst", "choropleth", "heatmap", "pareto", "waterfall", "calendar_heatmap", "parallel_categories",
+    "concentration_curve", "target_association", "target_profile", "qq_plot", "autocorrelation", "missingness_matrix", *WHOLE_TABLE,
+)
+
+
 def chart_data(df: DataFrame, spec: dict) -> DataFrame:
     """The table of a chart: kind, x, y, color, aggregation, filters, bucket, bins, top_n, transform."""
     kind, x, y = spec["kind"], spec.get("x"), spec.get("y")
-    V.validate_spec(df, spec, ["x"] if kind not in ("correlation_heatmap", "missingness", "association_heatmap") else [])
+    if kind not in SERIES and kind not in ROW_CAPS and kind not in OTHER_KINDS:
+        raise ValueError(f"unknown chart kind {kind!r}")
+    V.validate_spec(df, spec, [] if kind in WHOLE_TABLE else ["target"] if kind == "target_association" else ["path"] if kind in ("treemap", "sunburst", "parallel_categories") else ["x"])
     for f in spec.get("filters", ()):
         df = V.filter_op(df, f["column"], f["op"], f.get("value"), f.get("upper"))
-    if spec.get("bucket"):
-        df = df.withColumn(x, date_bucket(F.col(x), auto_bucket(df, x) if spec["bucket"] == "auto" else spec["bucket"]))
+    bucket = auto_bucket(df, x) if spec.get("bucket") == "auto" else spec.get("bucket") or "none"
+    if bucket != "none":
+        df = df.withColumn(x, date_bucket(F.col(x), bucket))
     if spec.get("top_n"):
         df = top_n_other(df, x, spec["top_n"])
     by = [x] + [spec[k] for k in ("color", "facet") if spec.get(k)]
-    if kind in ("line", "area", "bar", "lollipop", "slope", "funnel", "radar", "bump_chart"):
+    kinds = {c: k for c, k in df.dtypes if c in spec.get("columns", df.columns)}
+    numbers, words = [c for c, k in kinds.items() if C.is_numeric(k)], [c for c, k in kinds.items() if k == "string"]
+    if kind in SERIES:
         out = weighted_mean(df, by, y, spec["weight"]) if spec.get("weight") else group_agg(df, by, y, spec.get("aggregation", "sum" if y else "count"))
         out = rolling_stat(out, x, "y", spec["rolling"], by=by[1:]) if spec.get("rolling") else out
         out = cumulative_sum(out, x, "y", by[1:]) if spec.get("cumulative") else out
@@ -214,7 +247,11 @@ def chart_data(df: DataFrame, spec: dict) -> DataFrame:
         "histogram": lambda: histogram(df, x, spec.get("bins", 40)), "box": lambda: box(df, y, by), "violin": lambda: box(df, y, by), "ecdf": lambda: ecdf(df, x), "density_heatmap": lambda: density_grid(df, x, y), "density_contour": lambda: density_grid(df, x, y),
         "pie": lambda: share_agg(df, x, y), "treemap": lambda: hierarchy_agg(df, spec["path"], y), "sunburst": lambda: hierarchy_agg(df, spec["path"], y), "choropleth": lambda: group_agg(df, [x], y, "sum" if y else "count"), "heatmap": lambda: group_agg(df, [x, y], spec.get("z"), spec.get("aggregation", "count")),
         "pareto": lambda: pareto(df, x, y), "waterfall": lambda: waterfall(df, x, y), "calendar_heatmap": lambda: calendar_table(df, x, y), "parallel_categories": lambda: parallel_categories(df, spec["path"]),
+        "concentration_curve": lambda: S.lorenz_curve(df, x), "correlation_heatmap": lambda: both_ways(S.pearson_matrix(df, spec.get("columns")), "r"), "association_heatmap": lambda: both_ways(S.mixed_associations(df, numbers, words), "strength"), "target_association": lambda: S.target_associations(df, spec["target"], [c for c in numbers if c != spec["target"]], [c for c in words if c != spec["target"]]),
+        "target_profile": lambda: group_target_summary(df, y, by, None if C.is_numeric(dict(df.dtypes)[y]) else positive_value(df, y), spec.get("min_count", 1)), "qq_plot": lambda: S.qq_points(df, x), "autocorrelation": lambda: S.autocorrelation(df, x, y, spec.get("lags", 10)),
+        "missingness": lambda: S.missingness(df), "missingness_matrix": lambda: S.missingness_matrix(df, x, spec.get("limit", 250)), "pca_scatter": lambda: pca_scatter(df, numbers, by, spec.get("limit", ROW_CAPS["scatter"])),
     }
     if kind in ROW_CAPS:
-        return C.hash_sample(df.select(*dict.fromkeys([c for c in (x, y, *by) if c])), spec.get("limit", ROW_CAPS[kind]), [x])
+        shown = list(dict.fromkeys(c for c in (x, y, *by) if c))  # rows that tie in all of them are alike
+        return C.hash_sample(df.select(*shown), spec.get("limit", ROW_CAPS[kind]), shown)
     return made[kind]()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
+from tessera.operators.order import exact_quantiles, quantiles_of
 
 NULL_POLICIES = {"preserve": (None, None), "treat_as_false": (None, 0), "treat_as_true": (None, 1), "false_to_null": (0, None), "true_to_null": (1, None)}
 #: One-hot encoding without a number of levels makes at most so many columns.
@@ -86,9 +87,11 @@ def add_missing_indicators(df: DataFrame, cols: list[str], suffix: str = "_was_m
 
 def impute_missing(df: DataFrame, strategies: dict[str, str], fill=None, by: str | None = None, indicators: bool = False) -> DataFrame:
     """Fill by mean, median, mode, zero, constant or the word Missing; with `by` per group first, then overall."""
-    stat = {"mean": lambda c: F.avg(c), "median": lambda c: F.median(c), "mode": lambda c: F.mode(c, True)}
+    stat = {"mean": lambda c: F.avg(c), "median": lambda c: F.median(c) if by else F.lit(None).cast("double"), "mode": lambda c: F.mode(c, True)}
     aggs = [stat[s](C.value(df, c)).alias(c) for c, s in strategies.items() if s in stat]
     row = df.agg(*aggs).first().asDict() if aggs else {}
+    middle = [c for c, s in strategies.items() if s == "median"]
+    row |= {r["column_name"]: (r["q"] or [None])[0] for r in exact_quantiles(df, middle, [0.5]).collect()} if middle else {}
     out = add_missing_indicators(df, list(strategies), "_was_imputed") if indicators else df
     if by and aggs:
         groups = df.groupBy(by).agg(*(stat[s](C.value(df, c)).alias(f"__{c}") for c, s in strategies.items() if s in stat)).withColumnRenamed(by, "__by")
@@ -116,7 +119,10 @@ def one_hot_encode(df: DataFrame, c: str, k: int | None = None, other: str = "Ot
 
 def scale_numeric(df: DataFrame, cols: list[str], method: str = "standard") -> DataFrame:
     """standard (population std), minmax, robust (median and IQR), maxabs; a scale of zero gives 0."""
-    both = {"standard": lambda c: (F.avg(c), F.stddev_pop(c)), "minmax": lambda c: (F.min(c), F.max(c) - F.min(c)), "robust": lambda c: (F.median(c), F.percentile(c, 0.75) - F.percentile(c, 0.25)), "maxabs": lambda c: (F.lit(0.0), F.max(F.abs(c)))}[method]
+    if method == "robust":
+        q = {r["column_name"]: r["q"] or [None] * 3 for r in exact_quantiles(df, cols, [0.25, 0.5, 0.75]).collect()}
+        return df.withColumns({c: F.lit(0.0) if not q[c][2] or q[c][2] == q[c][0] else (C.value(df, c) - F.lit(q[c][1])) / F.lit(q[c][2] - q[c][0]) for c in cols})
+    both = {"standard": lambda c: (F.avg(c), F.stddev_pop(c)), "minmax": lambda c: (F.min(c), F.max(c) - F.min(c)), "maxabs": lambda c: (F.lit(0.0), F.max(F.abs(c)))}[method]
     row = df.agg(*(F.struct(*(x.alias(n) for x, n in zip(both(C.value(df, c)), "ab"))).alias(c) for c in cols)).first()
     return df.withColumns({c: F.lit(0.0) if not row[c]["b"] else (C.value(df, c) - F.lit(row[c]["a"])) / F.lit(row[c]["b"]) for c in cols})
 
@@ -137,15 +143,15 @@ def outlier_bounds(df: DataFrame, c: str, method: str = "iqr", factor: float | N
     """Fences by iqr, zscore, modified_zscore or percentile."""
     v = C.value(df, c)
     if method == "percentile":
-        return tuple(df.agg(F.percentile(v, [0.01, 0.99])).first()[0])
+        return tuple(quantiles_of(df, v, [0.01, 0.99]))
     if method == "zscore":
         mean, sd = df.agg(F.avg(v), F.stddev_pop(v)).first()
         return mean - (factor or 3) * sd, mean + (factor or 3) * sd
     if method == "modified_zscore":
-        mid = df.agg(F.median(v)).first()[0]
-        mad = df.agg(F.median(F.abs(v - mid))).first()[0]
+        mid = quantiles_of(df, v, [0.5])[0]
+        mad = quantiles_of(df, F.abs(v - F.lit(mid)), [0.5])[0]
         return mid - (factor or 3.5) * mad / 0.6745, mid + (factor or 3.5) * mad / 0.6745
-    a, b = df.agg(F.percentile(v, [0.25, 0.75])).first()[0]
+    a, b = quantiles_of(df, v, [0.25, 0.75])
     return a - (factor or 1.5) * (b - a), b + (factor or 1.5) * (b - a)
 
 

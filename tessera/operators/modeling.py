@@ -12,20 +12,21 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.columns import hash_order, hash_part
 from tessera.functions.shared import cut_lineage
-from tessera.operators.order import with_running
+from tessera.operators.order import exact_quantiles, with_running
 
 
 def split(df: DataFrame, key: str, test: float = 0.25, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Train and test by a hash of the key: the same in every run."""
-    u = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(10_000))
+    u = hash_part([key], 10_000, seed)
     return df.where(u >= int(test * 10_000)), df.where(u < int(test * 10_000))
 
 
 def stratified_split(df: DataFrame, key: str, label: str, test: float = 0.25, seed: int = 42) -> DataFrame:
     """df with is_test: the share of each class by hash order, ranked within ranges of the hash and their counts."""
-    h = F.xxhash64(key, F.lit(seed))
-    cut = df.withColumns({"__hash": h, "__range": F.shiftright(h, 52)})
+    h = hash_order([key], seed)
+    cut = df.withColumns({"__hash": h, "__range": F.substring(h, 1, 3)})
     counts = cut.groupBy(F.col(label).alias("__label"), F.col("__range").alias("__at")).agg(F.count("*").alias("__n"))
     of = Window.partitionBy("__label")
     before = F.coalesce(F.sum("__n").over(of.orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -53,7 +54,7 @@ ESTIMATORS = {
     ("gradient_boosting", "classification"): lambda: OneVsRest(classifier=GBTClassifier(seed=42, maxIter=20), labelCol="label"),
     ("gradient_boosting", "regression"): lambda: GBTRegressor(labelCol="label", seed=42, maxIter=20),
     ("linear", "classification"): lambda: LogisticRegression(labelCol="label", regParam=1e-4),
-    ("linear", "regression"): lambda: LinearRegression(labelCol="label", regParam=1e-6, solver="normal"),
+    ("linear", "regression"): lambda: LinearRegression(labelCol="label", solver="normal"),
 }
 
 
@@ -99,7 +100,8 @@ def roc_auc(pred: DataFrame, score: str = "score", label: str = "label") -> Data
 def regression_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     e = F.col(prediction) - F.col(label)
     a = F.abs(e)
-    return pred.agg(F.avg(a).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), (1 - F.try_divide(F.sum(e * e), F.var_pop(label) * F.count(label))).alias("r2"), F.median(a).alias("median_ae"), F.avg(e).alias("bias"), F.percentile(a, 0.9).alias("p90_ae"), F.max(a).alias("max_ae"), F.avg(F.try_divide(a, F.abs(label))).alias("mape"), F.avg((e > 0).cast("int")).alias("over_ratio"), F.avg((a <= 0.1 * F.abs(label)).cast("int")).alias("within_10"))
+    spread = exact_quantiles(pred.select(a.alias("e")), ["e"], [0.5, 0.9]).select(F.col("q")[0].alias("median_ae"), F.col("q")[1].alias("p90_ae"))
+    return pred.agg(F.avg(a).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), (1 - F.try_divide(F.sum(e * e), F.var_pop(label) * F.count(label))).alias("r2"), F.avg(e).alias("bias"), F.max(a).alias("max_ae"), F.avg(F.try_divide(a, F.abs(label))).alias("mape"), F.avg((e > 0).cast("int")).alias("over_ratio"), F.avg((a <= 0.1 * F.abs(label)).cast("int")).alias("within_10"), F.avg((a <= 0.2 * F.abs(label)).cast("int")).alias("within_20")).crossJoin(spread)
 
 
 def prediction_audit(pred: DataFrame, k: int = 15) -> DataFrame:
@@ -143,12 +145,13 @@ def model_comparison(df: DataFrame, key: str, numeric: list[str], categories: li
     for n in names:
         m = (classification_metrics if task == "classification" else regression_metrics)(fit(train, numeric, categories, n, task).transform(test)).first()
         rows.append((n, float(m["accuracy"] if task == "classification" else -m["rmse"])))
+    train.unpersist(), test.unpersist()
     return df.sparkSession.createDataFrame(rows, "name string, score double").withColumn("rank", F.rank().over(Window.orderBy(F.desc("score"))))
 
 
 def cross_validate(df: DataFrame, key: str, numeric: list[str], categories: list[str], estimator: str, task: str, folds: int = 3) -> DataFrame:
     rows = []
-    fold = F.pmod(F.xxhash64(key, F.lit(7)), F.lit(folds))
+    fold = hash_part([key], folds, 7)
     for k in range(folds):
         pred = fit(df.where(fold != k), numeric, categories, estimator, task).transform(df.where(fold == k))
         m = (classification_metrics if task == "classification" else regression_metrics)(pred).first()
@@ -176,8 +179,10 @@ def cluster_metrics(pred: DataFrame) -> DataFrame:
 
 
 def cluster_profile(pred: DataFrame, cols: list[str]) -> DataFrame:
-    m = pred.groupBy("cluster").agg(*(F.avg(c).alias(c) for c in cols)).unpivot("cluster", cols, "feature", "mean")
-    return m.groupBy("feature").agg((F.max("mean") - F.min("mean")).alias("separation"))
+    """feature, separation: the mean distance of the clusters' means from the overall mean."""
+    g = pred.groupBy("cluster").agg(*(F.struct(F.avg(c).alias("mean"), F.sum(c).alias("sum"), F.count(c).alias("n")).alias(c) for c in cols)).unpivot("cluster", cols, "feature", "s")
+    overall = F.sum("s.sum").over(Window.partitionBy("feature")) / F.sum("s.n").over(Window.partitionBy("feature"))
+    return g.select("feature", F.abs(F.col("s.mean") - overall).alias("off")).groupBy("feature").agg(F.avg("off").alias("separation"))
 
 
 def dbscan(df: DataFrame, key: str, x: str, y: str, eps: float, min_samples: int = 5) -> DataFrame:

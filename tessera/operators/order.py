@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,13 +55,43 @@ def average_ranks(df: DataFrame, c: str) -> DataFrame:
     return run.select("v", (F.col("upto") - (F.col("n") - 1) / 2.0).alias("rank"))
 
 
-def top_share_cut(df: DataFrame, c: str, share: float) -> tuple[float, float]:
-    """Sum of the largest ceil(share * n) non-negative values, and the sum of all."""
-    f = frequencies(df.where(F.col(c) >= 0), c)
-    n, total = f.agg(F.sum("n"), F.sum(F.col("v") * F.col("n"))).first()
-    if not n:
-        return 0.0, 0.0
-    k = -int(-n * share // 1)
-    run = with_running(f.withColumn("__neg", -F.col("v")), "__neg", {"upto": F.col("n"), "amount": F.col("v") * F.col("n")})
-    edge = run.where(F.col("upto") >= k).orderBy("upto").first()
-    return edge["amount"] - edge["v"] * (edge["upto"] - k), total
+def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float], buckets: int = 64) -> DataFrame:
+    """column_name, q (one value for each of qs, between neighbours by their distance) for all columns; nulls and NaN are left out.
+
+    The value counts of all columns go through one shuffle; approximate percentiles deal them into ranges. Only the
+    ranges that hold a wanted rank are ordered, so that no task holds a column's values. An empty column has null q.
+    """
+    spark = df.sparkSession
+    as_double = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in cols]
+    freq = df.select(*as_double).unpivot([], cols, "column_name", "v").where("v is not null").groupBy("column_name", "v").agg(F.count("*").alias("n"))
+    grid = [i / buckets for i in range(1, buckets)]
+    near = df.select(*as_double).agg(*(F.percentile_approx(c, grid, 2_000).alias(f"b{i}") for i, c in enumerate(cols))).first()
+    bounds = F.create_map(*(x for i, c in enumerate(cols) for x in (F.lit(c), F.array(*map(F.lit, sorted(set(near[i] or [])))).cast("array<double>"))))
+    cut = freq.withColumn("range", F.size(F.filter(bounds[F.col("column_name")], lambda b: b < F.col("v"))))
+    of = Window.partitionBy("column_name")
+    before = F.coalesce(F.sum("m").over(of.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = cut.groupBy("column_name", "range").agg(F.sum("n").alias("m")).select("column_name", "range", "m", before.alias("before"), F.sum("m").over(of).alias("total"))
+    rank = {q: F.floor(F.lit(float(q)) * (F.col("total") - 1)) for q in qs}
+    wanted = reduce(lambda a, b: a | b, ((rank[q] < F.col("before") + F.col("m")) & (rank[q] + 1 >= F.col("before")) for q in qs))
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("column_name", "range").orderBy("v"))
+    run = cut.join(F.broadcast(parts.where(wanted)), ["column_name", "range"]).select("column_name", "v", "total", upto.alias("upto"))
+
+    def value(q: float) -> Column:
+        low, high = F.min(F.when(F.col("upto") > rank[q], F.col("v"))), F.min(F.when(F.col("upto") > rank[q] + 1, F.col("v")))
+        part = F.max(F.lit(float(q)) * (F.col("total") - 1) - rank[q])
+        return F.when(high.isNull() | (part == 0), low).otherwise(low + (high - low) * part)
+
+    found = run.groupBy("column_name").agg(F.array(*(value(q) for q in qs)).alias("q"))
+    names = spark.range(1).select(F.explode(F.array(*map(F.lit, cols))).alias("column_name"))
+    return names.join(found, "column_name", "left")
+
+
+def quantiles_of(df: DataFrame, v: Column | str, qs: list[float]) -> list[float | None]:
+    """The exact quantiles of one column or expression."""
+    return exact_quantiles(df.select((F.col(v) if isinstance(v, str) else v).alias("v")), ["v"], qs).first()["q"] or [None] * len(qs)
+
+
+def top_amount(shares: tuple[float, ...], n: int) -> list[Column]:
+    """Over a running count `upto` of frequencies (v, n): the sums of the largest ceil(share * n) values."""
+    inside = lambda k: F.greatest(F.lit(0), F.least(F.col("n"), F.col("upto") - F.lit(n - k)))
+    return [F.sum(F.col("v") * inside(-int(-n * s // 1))) for s in shares]

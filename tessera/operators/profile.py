@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
+from tessera.operators.order import exact_quantiles
 
 QUANTILES = (0.0, 0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0)
 QUANTILE_NAMES = ("p00", "p01", "p05", "p10", "p25", "p50", "p75", "p90", "p95", "p99", "p100")
@@ -74,20 +75,23 @@ def _kurtosis(c: Column) -> Column:
     return F.when(F.min(c) == F.max(c), 0.0).when(n > 3, (n - 1.0) / ((n - 2.0) * (n - 3.0)) * ((n + 1.0) * F.kurtosis(c) + 6))
 
 
-def numeric_metrics(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """min, max, mean, median, std, bias-adjusted skew and kurtosis, shares of zero, negative, positive, integer-like; finite values only."""
+def numeric_metrics(df: DataFrame, cols: list[str] | None = None, quantiles: bool = False) -> DataFrame:
+    """min, max, mean, median, std, bias-adjusted skew and kurtosis, shares of zero, negative, positive, integer-like; finite values only. With the 11 quantiles on demand."""
     cols = cols or C.columns_of(df, C.is_numeric)
     finite = lambda c: F.when(F.abs(c) < F.lit(float("inf")), c)
     share = lambda test: lambda c: F.avg(F.when(finite(c).isNotNull(), test(c).cast("int")))
     on = lambda f: lambda c: f(finite(c).cast("double"))
-    return per_column(
+    measured = per_column(
         df, cols,
-        {"min": on(F.min), "max": on(F.max), "mean": on(F.avg), "median": on(F.median), "std": on(F.stddev_samp), "skew": on(_skew), "kurtosis": on(_kurtosis), "zero_ratio": share(lambda c: c == 0), "negative_ratio": share(lambda c: c < 0), "positive_ratio": share(lambda c: c > 0), "integer_ratio": share(lambda c: c == F.floor(c)), "infinite_count": lambda c: F.count_if(F.abs(c) == F.lit(float("inf")))},
+        {"min": on(F.min), "max": on(F.max), "mean": on(F.avg), "std": on(F.stddev_samp), "skew": on(_skew), "kurtosis": on(_kurtosis), "zero_ratio": share(lambda c: c == 0), "negative_ratio": share(lambda c: c < 0), "positive_ratio": share(lambda c: c > 0), "integer_ratio": share(lambda c: c == F.floor(c)), "infinite_count": lambda c: F.count_if(F.abs(c) == F.lit(float("inf")))},
     )
+    places = exact_quantiles(df.select(*(finite(F.col(c).cast("double")).alias(c) for c in cols)), cols, list(QUANTILES) if quantiles else [0.5])
+    named = [F.col("q")[i].alias(n) for i, n in enumerate(QUANTILE_NAMES)] if quantiles else []
+    return measured.join(F.broadcast(places.select("column_name", F.col("q")[5 if quantiles else 0].alias("median"), *named)), "column_name", "left")
 
 
 def quantiles11(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    q = per_column(df, cols or C.columns_of(df, C.is_numeric), {"q": lambda c: F.percentile(c, list(QUANTILES))})
+    q = exact_quantiles(df, cols or C.columns_of(df, C.is_numeric), list(QUANTILES))
     return q.select("column_name", *(F.col("q")[i].alias(n) for i, n in enumerate(QUANTILE_NAMES)))
 
 
@@ -161,5 +165,5 @@ def column_profile(df: DataFrame) -> DataFrame:
     """The full numeric and frequency profile, one row per column."""
     out = column_counts(df).join(frequency_facts(df, df.columns), "column_name", "left")
     if cols := C.columns_of(df, C.is_numeric):
-        out = out.join(numeric_metrics(df, cols), "column_name", "left").join(quantiles11(df, cols), "column_name", "left").join(iqr_outliers(df, cols), "column_name", "left")
+        out = out.join(numeric_metrics(df, cols, True), "column_name", "left").join(iqr_outliers(df, cols), "column_name", "left")
     return out

@@ -10,19 +10,22 @@ from pyspark.sql import functions as F
 from tessera.functions import columns as C
 from tessera.operators import profile as P
 
-ID_NAME = r"(^|_)(id|key|uuid|guid|code)$|key$|id$"
-TIME_NAME = r"(^|_)(date|time|ts|timestamp|day|month|year)($|_)|date$"
-AMOUNT_NAME = r"(price|amount|total|cost|revenue|charge|balance|acctbal)"
-PERCENT_NAME = r"(percent|pct|rate|ratio|discount|tax)"
-OUTCOME_NAME = r"(target|label|outcome|churn|sold|status|class|quality)"
-GEO_NAME = r"(^|_)(lat|latitude|lon|lng|longitude)$"
+# What column names suggest, whatever their case.
+ID_NAME = r"(^id$|_id$|^id_|uuid|guid|key$|_key$)"
+TIME_NAME = r"(date|time|timestamp|_ts$|created|updated)"
+AMOUNT_NAME = r"(amount|revenue|sales|price|cost|spend|charge|payment|total|balance)"
+PERCENT_NAME = r"(percent|percentage|pct|rate|ratio|share|probability|score)"
+OUTCOME_NAME = r"(target|label|outcome|class|churn|default|fraud|converted|conversion|response|sold_price|sale_price|sale_amount|days_on_market|^dom$|^y$)"
+POSTAL_NAME = r"(zip|zipcode|postal|postcode)"
+GEO_NAME = r"(lat|latitude|lon|lng|longitude|geo|coord|city|state|country|county|tract)"
+FLAG_NAME = r"(is_|has_|had_|can_|should_|flag|indicator|opt_in)"
 EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 URL = r"^https?://"
 
 
 def name_rules(names: list[str]) -> dict[str, list[str]]:
     """Which name patterns each column name fits."""
-    rules = {"id": ID_NAME, "time": TIME_NAME, "amount": AMOUNT_NAME, "percentage": PERCENT_NAME, "outcome": OUTCOME_NAME, "geo": GEO_NAME}
+    rules = {"id": ID_NAME, "time": TIME_NAME, "amount": AMOUNT_NAME, "percentage": PERCENT_NAME, "outcome": OUTCOME_NAME, "postal": POSTAL_NAME, "geo": GEO_NAME}
     return {n: [k for k, p in rules.items() if re.search(p, n.lower())] for n in names}
 
 
@@ -61,22 +64,38 @@ def semantic_types(df: DataFrame) -> DataFrame:
     return out.select("column_name", "semantic_type", F.coalesce(F.get("h", F.lit(0))["confidence"], F.lit(0.0)).alias("confidence"), F.transform("h", lambda x: F.struct(x["type"].alias("type"), x["confidence"].alias("confidence"))).alias("hypotheses"), role.alias("role"))
 
 
-def binary_profile(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """column_name, kind, confidence, ambiguous, zero_value, one_value for columns of at most two values."""
+def binary_profile(df: DataFrame, cols: list[str] | None = None, most: int = 5) -> DataFrame:
+    """column_name, kind, confidence, ambiguous, zero_value, one_value for columns that behave like a flag.
+
+    Nulls count as one of at most `most` raw values, which read as yes, no, missing or something else. Columns of more
+    values leave by their count, before any value is gathered.
+    """
     cols = cols or df.columns
-    v = P.value_counts(df, cols)
-    n = df.count()
-    order, flag = F.struct((-F.col("n")).alias("n"), "value"), C.to_flag(F.col("value"))
-    t = v.groupBy("column_name").agg(F.count("*").alias("k"), F.sum("n").alias("present"), F.min(order).alias("first"), F.max(order).alias("last"), F.min(flag).alias("low"), F.max(flag).alias("high"))
-    t = t.where("k <= 2").withColumn("flags", F.sort_array(F.array_distinct(F.array_compact(F.array("low", "high")))))
-    t = t.withColumn("nulls", F.lit(n) - F.col("present"))
-    known = F.size("flags") == F.col("k")
-    kind = F.when((F.col("k") == 2) & (F.size("flags") == 2), F.when(F.col("nulls") == 0, "clean_binary").otherwise("nullable_binary")).when((F.col("k") == 1) & known & (F.col("flags")[0] == 1) & (F.col("nulls") > 0), "positive_only_nullable_flag").when(F.col("k") == 1, "single_observed_binary_state").otherwise("binary_categorical")
-    conf = F.create_map(*(x for k, c in (("clean_binary", 0.98), ("nullable_binary", 0.94), ("positive_only_nullable_flag", 0.78), ("single_observed_binary_state", 0.55), ("binary_categorical", 0.72)) for x in (F.lit(k), F.lit(c))))
-    t = t.withColumn("kind", kind)
-    first, second = F.col("first")["value"], F.when(F.col("k") == 2, F.col("last")["value"])
-    swap = F.coalesce(C.to_flag(first) == 1, F.lit(False))
-    return t.select("column_name", "kind", conf[F.col("kind")].alias("confidence"), F.col("kind").isin("positive_only_nullable_flag", "single_observed_binary_state", "binary_categorical").alias("ambiguous"), F.when(swap, second).otherwise(first).alias("zero_value"), F.when(swap, first).otherwise(second).alias("one_value"))
+    values = P.value_counts(df, cols, nulls=True)
+    few = values.groupBy("column_name").agg(F.count("*").alias("k")).where(F.col("k") <= most)
+    v = F.col("value")
+    read = F.when(v.isNull() | C.missing_like(v), "missing").when(v.try_cast("double") == 1, "true").when(v.try_cast("double") == 0, "false").when(C.to_flag(v) == 1, "true").when(C.to_flag(v) == 0, "false").otherwise("other")
+    t = values.join(F.broadcast(few.select("column_name")), "column_name").withColumn("read", read)
+    count = lambda x: F.count_if(F.col("read") == x)
+    order = F.when(F.col("read") != "missing", F.struct((-F.col("n")).alias("n"), "value"))
+    t = t.groupBy("column_name").agg(F.count("*").alias("k"), count("true").alias("yes"), count("false").alias("no"), count("missing").alias("gone"), count("other").alias("other"), F.max(F.when(F.col("read") == "true", v)).alias("one"), F.max(F.when(F.col("read") == "false", v)).alias("zero"), F.min(order).alias("first"), F.max(order).alias("last"))
+    flag_name = F.col("column_name").rlike("(?i)" + FLAG_NAME)
+    yes, no, gone, other = F.col("yes") > 0, F.col("no") > 0, F.col("gone") > 0, F.col("other") > 0
+    states = F.col("yes") + F.col("no") + F.col("other")
+    kinds = [
+        (yes & no & ~gone & ~other, "clean_binary", F.lit(0.98)),
+        (yes & no & ~other, "nullable_binary", F.lit(0.94)),
+        (yes & ~no & ~other, "positive_only_nullable_flag", F.when(flag_name, 0.78).otherwise(0.64)),
+        ((yes.cast("int") + no.cast("int") + other.cast("int") == 1) & (F.col("other") <= 1) & (F.col("k") <= 2) & (states > 0), "single_observed_binary_state", F.lit(0.55)),
+        ((states == 2) & flag_name, "binary_flag", F.lit(0.82)),
+        (states == 2, "binary_categorical", F.lit(0.72)),
+    ]
+    found = F.coalesce(*(F.when(test, F.struct(F.lit(kind).alias("kind"), conf.alias("confidence"))) for test, kind, conf in kinds))
+    t = t.withColumn("found", found).where("found is not null").select("*", "found.*")
+    unread = F.col("kind").isin("binary_flag", "binary_categorical")
+    zero = F.when(unread, F.col("first")["value"]).when(F.col("kind") == "single_observed_binary_state", F.coalesce("zero", F.col("first")["value"])).otherwise(F.col("zero"))
+    one = F.when(unread, F.col("last")["value"]).otherwise(F.col("one"))
+    return t.select("column_name", "kind", "confidence", F.col("kind").isin("positive_only_nullable_flag", "single_observed_binary_state", "binary_categorical").alias("ambiguous"), zero.alias("zero_value"), one.alias("one_value"))
 
 
 def infer_task(distinct: int, numeric: bool) -> str:
@@ -84,20 +103,30 @@ def infer_task(distinct: int, numeric: bool) -> str:
 
 
 def target_candidates(df: DataFrame, target: str | None = None, least: float = 0.28) -> DataFrame:
-    """column_name, score: how likely each column is what a model should predict."""
-    c = P.column_counts(df)
-    names, kinds = name_rules(df.columns), dict(df.dtypes)
-    listed = lambda test: F.col("column_name").isin(*[n for n in df.columns if test(n)] or [""])
+    """column_name, score: how likely each column is what a model should predict; a given target always shows."""
+    c = P.column_counts(df).join(semantic_types(df).select("column_name", "semantic_type"), "column_name")
+    c = c.join(binary_profile(df).select("column_name", F.lit(True).alias("flag")), "column_name", "left")
+    names, is_type = name_rules(df.columns), F.col("semantic_type").isin
+    outcome = F.col("column_name").isin(*[n for n in df.columns if "outcome" in names[n]] or [""])
+    last, given = F.col("column_name") == df.columns[-1], F.col("column_name") == F.lit(target or "")
     add = lambda test, x: F.when(test, F.lit(x)).otherwise(0.0)
-    score = F.lit(0.05) + add(F.col("column_name") == F.lit(target or ""), 0.85) + add(listed(lambda n: "outcome" in names[n]), 0.45) + add(F.col("column_name") == df.columns[-1], 0.08) + add(F.col("distinct_count") == 2, 0.18) + add((F.col("distinct_count") > 2) & (F.col("distinct_count") <= 20), 0.12) + add(listed(lambda n: C.is_numeric(kinds[n])), 0.05) + add(F.col("missing_ratio") < 0.05, 0.10) - add(F.col("missing_ratio") > 0.5, 0.25) - add(listed(lambda n: "id" in names[n]), 0.35)
-    return c.select("column_name", F.round(F.least(F.lit(1.0), score), 4).alias("score")).where(F.col("score") >= least)
+    flag = F.coalesce("flag", F.lit(False)) | is_type("binary", "nullable_binary", "boolean")
+    few = (F.col("distinct_count") <= 20) & (F.col("distinct_ratio") < 0.2)
+    shape = F.when(flag, F.when(outcome | last | given, 0.18).otherwise(0.04)).when(few, F.when(outcome | last, 0.12).otherwise(0.02)).when(is_type("numeric", "amount"), F.when(outcome, 0.18).otherwise(0.05)).otherwise(0.0)
+    missing = F.when(F.col("missing_ratio") <= 0.05, 0.10).when(F.col("missing_ratio") >= 0.5, -0.25).otherwise(0.0)
+    score = F.lit(0.05) + add(given, 0.85) + add(outcome, 0.45) + add(last, 0.08) + shape + missing - add(is_type("email", "url", "postal_code"), 0.35)
+    out = c.where(~is_type("identifier", "datetime", "datetime-like", "mostly_missing")).select("column_name", F.round(F.greatest(F.lit(0.0), F.least(F.lit(0.99), score)), 4).alias("score"))
+    return out.where((F.col("score") >= least) | given)
 
 
 def time_candidates(df: DataFrame) -> DataFrame:
+    """column_name, score: columns that hold times, or whose names say so."""
     names = name_rules(df.columns)
-    s = semantic_types(df).where(F.col("semantic_type").isin("datetime", "datetime-like"))
+    s = semantic_types(df).join(P.column_counts(df).select("column_name", "missing_ratio"), "column_name")
     named = F.col("column_name").isin(*[n for n in df.columns if "time" in names[n]] or [""])
-    return s.select("column_name", (F.lit(0.28) + F.when(F.col("semantic_type") == "datetime", 0.5).otherwise(0.42) + F.when(named, 0.18).otherwise(0.0)).alias("score"))
+    kind = F.when(F.col("semantic_type") == "datetime", 0.5).when(F.col("semantic_type") == "datetime-like", 0.42)
+    score = F.lit(0.2) + F.coalesce(kind, F.lit(0.0)) + F.when(named, 0.18).otherwise(0.0) + F.when(F.col("missing_ratio") <= 0.1, 0.08).otherwise(0.0)
+    return s.where(kind.isNotNull() | named).select("column_name", F.round(F.least(F.lit(0.99), score), 4).alias("score"))
 
 
 def target_profile(df: DataFrame, target: str, limit: int = 25) -> DataFrame:
@@ -105,27 +134,90 @@ def target_profile(df: DataFrame, target: str, limit: int = 25) -> DataFrame:
     return df.where(F.col(target).isNotNull()).groupBy(F.col(target).cast("string").alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(limit).withColumn("ratio", F.col("n") / F.lit(n))
 
 
-def issues(df: DataFrame) -> DataFrame:
-    """issue, column_name, severity, value: findings of the data-quality rules, the most severe first."""
-    text = C.columns_of(df, lambda k: k == "string")
-    c = P.column_counts(df).join(P.frequency_facts(df, df.columns), "column_name", "left")
-    checks = [("mostly_missing", 3, F.col("missing_ratio") >= 0.95, "missing_ratio"), ("high_missing", 2, F.col("missing_ratio").between(0.3, 0.95), "missing_ratio"), ("constant", 2, F.col("distinct_count") <= 1, "distinct_count"), ("near_constant", 1, (F.col("distinct_count") > 1) & (F.col("dominant_share") >= 0.98), "dominant_share"), ("high_cardinality", 1, (F.col("distinct_count") >= 50) & (F.col("distinct_ratio") >= 0.5), "distinct_ratio")]
-    found = F.array_compact(F.array(*(F.when(test, F.struct(F.lit(n).alias("issue"), F.lit(s).alias("severity"), F.col(v).cast("double").alias("value"))) for n, s, test, v in checks)))
-    out = c.select("column_name", F.explode(found).alias("x")).select("x.issue", "column_name", "x.severity", "x.value")
-    dup = P.duplicate_rows(df).where("duplicate_rows > 0").select(F.lit("duplicate_rows").alias("issue"), F.lit("*").alias("column_name"), F.lit(2).alias("severity"), F.col("duplicate_rows").cast("double").alias("value"))
-    out = out.unionByName(dup)
-    if nums := C.columns_of(df, C.is_numeric):
-        o = P.iqr_outliers(df, nums).where("outlier_ratio >= 0.05")
-        z = P.numeric_metrics(df, nums).where("zero_ratio >= 0.8")
-        out = out.unionByName(o.select(F.lit("iqr_outliers").alias("issue"), "column_name", F.lit(1).alias("severity"), F.col("outlier_ratio").alias("value"))).unionByName(z.select(F.lit("mostly_zero").alias("issue"), "column_name", F.lit(1).alias("severity"), F.col("zero_ratio").alias("value")))
-    if text:
-        r = P.parse_ratios(df, text)
-        like = [("numeric_like_text", "numeric_ratio"), ("datetime_like_text", "datetime_ratio")]
-        for name, col in like:
-            out = out.unionByName(r.where(F.col(col) >= 0.9).select(F.lit(name).alias("issue"), "column_name", F.lit(1).alias("severity"), F.col(col).alias("value")))
-        m = P.missing_like_tokens(df, text).groupBy("column_name").agg(F.sum("n").alias("n"))
-        out = out.unionByName(m.select(F.lit("missing_like_tokens").alias("issue"), "column_name", F.lit(1).alias("severity"), F.col("n").cast("double").alias("value")))
-    return out
+#: Rank of a severity, for order.
+SEVERITY = {"error": 3, "warning": 2, "info": 1}
+MEASURED = ("numeric", "amount", "nonnegative_amount", "numeric-like", "percentage", "proportion", "identifier")
+
+
+def column_issues(df: DataFrame, target: str | None = None) -> DataFrame:
+    """column_name, found: the rules of one column each, over tables of a row per column."""
+    text, nums = C.columns_of(df, lambda k: k == "string"), C.columns_of(df, C.is_numeric)
+    c = P.column_counts(df).join(P.frequency_facts(df, df.columns).select("column_name", "dominant_share"), "column_name", "left").join(semantic_types(df).select("column_name", "semantic_type"), "column_name")
+    c = c.join(binary_profile(df).select("column_name", F.col("kind").alias("flag"), F.col("confidence").alias("flag_confidence"), "ambiguous"), "column_name", "left")
+    empty = df.sparkSession.createDataFrame([], "column_name string, n bigint, zero_ratio double, outlier_ratio double, top_share double")
+    likes = P.missing_like_tokens(df, text).groupBy("column_name").agg(F.sum("n").alias("n")) if text else empty.select("column_name", "n")
+    if nums:
+        shares = df.sparkSession.createDataFrame([(n, top_1pct(df, n)) for n in nums], "column_name string, top_share double")
+        measured = P.numeric_metrics(df, nums).select("column_name", "zero_ratio").join(P.iqr_outliers(df, nums).select("column_name", "outlier_ratio"), "column_name").join(shares, "column_name")
+    else:
+        measured = empty.select("column_name", "zero_ratio", "outlier_ratio", "top_share")
+    c = c.join(likes.withColumnRenamed("n", "missing_like"), "column_name", "left").join(measured, "column_name", "left")
+    x, kind = F.col, F.col("semantic_type").isin
+    measures, flag = kind(*MEASURED), x("flag").isNotNull()
+    rules = [
+        ("mostly_missing", "warning", F.lit(1.0), x("missing_ratio") >= 0.95, "missing_ratio"),
+        ("high_missing", "warning", F.lit(1.0), (x("missing_ratio") >= 0.5) & (x("missing_ratio") < 0.95), "missing_ratio"),
+        ("constant", "info", F.lit(1.0), (x("non_null") > 0) & (x("distinct_count") <= 1), "distinct_count"),
+        ("near_constant", "info", F.lit(0.9), (x("distinct_count") > 1) & (x("dominant_share") >= 0.98), "dominant_share"),
+        ("numeric_like_text", "info", F.lit(0.9), kind("numeric-like"), "distinct_count"),
+        ("datetime_like_text", "info", F.lit(0.85), kind("datetime-like"), "distinct_count"),
+        ("missing_like_tokens", "info", F.lit(0.9), x("missing_like") > 0, "missing_like"),
+        ("two_categories", "info", x("flag_confidence"), x("flag") == "binary_categorical", "distinct_count"),
+        ("ambiguous_flag", "warning", x("flag_confidence"), flag & x("ambiguous") & (x("flag") != "binary_categorical"), "distinct_count"),
+        ("flag", "info", x("flag_confidence"), flag & ~x("ambiguous"), "distinct_count"),
+        ("top_1pct_dominates", "warning", F.lit(0.8), measures & ~kind("identifier") & (x("top_share") >= 0.5), "top_share"),
+        ("mostly_zero", "info", F.lit(0.85), measures & (x("zero_ratio") >= 0.8), "zero_ratio"),
+        ("iqr_outliers", "info", F.lit(0.75), measures & (x("outlier_ratio") >= 0.05), "outlier_ratio"),
+        ("duplicate_timestamps", "info", F.lit(0.85), kind("datetime", "datetime-like") & (x("distinct_count") < x("non_null")), "distinct_ratio"),
+        ("high_cardinality", "info", F.lit(0.8), kind("category", "string", "email", "url", "postal_code") & (x("distinct_count") >= 50) & (x("distinct_ratio") >= 0.5), "distinct_ratio"),
+        ("imbalanced_target", "warning", F.lit(0.9), (x("column_name") == F.lit(target or "")) & (x("dominant_share") >= 0.9), "dominant_share"),
+    ]
+    made = F.array_compact(F.array(*(F.when(test, F.struct(F.lit(n).alias("issue"), F.lit(s).alias("severity"), conf.alias("confidence"), x(v).cast("double").alias("value"))) for n, s, conf, test, v in rules)))
+    return c.select("column_name", F.explode(made).alias("f")).select("f.issue", "column_name", "f.severity", "f.confidence", "f.value")
+
+
+def top_1pct(df: DataFrame, c: str) -> float | None:
+    from tessera.operators.stats import top_share
+
+    return top_share(df, c, 0.01).first()[0]
+
+
+def issues(df: DataFrame, target: str | None = None) -> DataFrame:
+    """issue, column_name, severity, confidence, value: findings of the data-quality rules, the most severe and surest first."""
+    if len(set(df.columns)) < len(df.columns):  # nothing else can be said of columns without names of their own
+        names = sorted({n for n in df.columns if df.columns.count(n) > 1})
+        return df.sparkSession.createDataFrame([("duplicate_names", n, "error", 1.0, float(df.columns.count(n))) for n in names], "issue string, column_name string, severity string, confidence double, value double")
+    rows = df.count()
+    dup = P.duplicate_rows(df).where("duplicate_rows > 0").select(F.lit("duplicate_rows").alias("issue"), F.lit("*").alias("column_name"), F.when(F.col("duplicate_rows") >= 0.01 * rows, "warning").otherwise("info").alias("severity"), F.lit(1.0).alias("confidence"), F.col("duplicate_rows").cast("double").alias("value"))
+    rank = F.create_map(*(F.lit(y) for pair in SEVERITY.items() for y in pair))
+    return column_issues(df, target).unionByName(dup).orderBy(rank[F.col("severity")].desc(), F.desc("confidence"), "issue", "column_name")
+
+
+def insights(df: DataFrame, target: str | None = None) -> DataFrame:
+    """insight, column_name, severity, confidence, message: each once, the most severe and surest first.
+
+    The issues, the share of missing cells, each flag and its kind, the target (given, or the likeliest) and the likeliest
+    time column, in words.
+    """
+    whole = P.dataset_summary(df).first()
+    spark, kinds = df.sparkSession, "insight string, column_name string, severity string, confidence double, message string"
+    i = issues(df, target)
+    out = i.select(F.concat(F.lit("issue."), "issue").alias("insight"), "column_name", "severity", "confidence", F.concat_ws(" ", F.col("column_name"), F.lit("shows"), F.regexp_replace("issue", "_", " ")).alias("message"))
+    facts = []
+    if whole["missing_cells"]:
+        facts.append(("missing_cells", "*", "warning" if whole["missing_ratio"] >= 0.2 else "info", 1.0, f"{100 * whole['missing_ratio']:.1f}% of cells are missing"))
+    best = target_candidates(df, target).orderBy(F.desc("score"), "column_name").first()
+    if target or best:
+        facts.append(("target." + ("selected" if target else "candidate"), target or best["column_name"], "info", 0.95 if target else float(best["score"]), f"{target or best['column_name']} is {'the target' if target else 'the strongest target candidate'}"))
+    if when := time_candidates(df).orderBy(F.desc("score"), "column_name").first():
+        facts.append(("time.candidate", when["column_name"], "info", float(when["score"]), f"{when['column_name']} is the strongest time column"))
+    out = out.unionByName(spark.createDataFrame(facts, kinds))
+    flags = binary_profile(df)
+    warn = F.when(F.col("ambiguous") & (F.col("kind") != "binary_categorical"), "warning").otherwise("info")
+    out = out.unionByName(flags.select(F.lit("binary").alias("insight"), "column_name", warn.alias("severity"), "confidence", F.concat_ws(" ", F.col("column_name"), F.lit("looks like"), F.regexp_replace("kind", "_", " ")).alias("message")))
+    rank = F.create_map(*(F.lit(y) for pair in SEVERITY.items() for y in pair))
+    once = out.groupBy("insight", "column_name").agg(F.max_by(F.struct("severity", "confidence", "message"), "confidence").alias("x")).select("insight", "column_name", "x.*")
+    return once.orderBy(rank[F.col("severity")].desc(), F.desc("confidence"), "insight", "column_name")
 
 
 def quality_flags(df: DataFrame) -> DataFrame:

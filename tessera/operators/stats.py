@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
 from tessera.operators import profile as P
-from tessera.operators.order import average_ranks, frequencies, top_share_cut, with_lag, with_running
+from tessera.operators.order import average_ranks, exact_quantiles, frequencies, quantiles_of, top_amount, with_lag, with_running
 
 
 def missingness(df: DataFrame) -> DataFrame:
@@ -52,11 +52,13 @@ def pearson_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Correlation of average ranks over pairwise-complete rows; ranks come from value frequencies."""
+    """Correlation of average ranks over pairwise-complete rows: the grid of value pairs meets the ranks, not the rows."""
     both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b)
-    ra, rb = (average_ranks(both, c).select(F.col("v").alias(f"v_{c}"), F.col("rank").alias(f"rank_{c}")) for c in (a, b))
-    x = both.join(ra, F.col(a) == F.col(f"v_{a}")).join(rb, F.col(b) == F.col(f"v_{b}"))
-    return x.agg(_pearson(F.col(f"rank_{a}"), F.col(f"rank_{b}")).alias("rho"))
+    grid = both.groupBy(F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count("*").alias("n"))
+    ra, rb = average_ranks(both, a).toDF("x", "rx"), average_ranks(both, b).toDF("y", "ry")
+    middle = F.lit((both.count() + 1) / 2.0)
+    part = lambda u, v: F.sum(F.col("n") * (F.col(u) - middle) * (F.col(v) - middle))
+    return grid.join(ra, "x").join(rb, "y").agg(F.try_divide(part("rx", "ry"), F.sqrt(part("rx", "rx")) * F.sqrt(part("ry", "ry"))).alias("rho"))
 
 
 def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -73,9 +75,10 @@ def eta_squared(df: DataFrame, numeric: str, category: str) -> DataFrame:
     """Share of variance between groups: no sums of squares of raw values, which cancel."""
     both = df.where(F.col(numeric).isNotNull() & F.col(category).isNotNull())
     g = both.groupBy(category).agg(F.count("*").alias("n"), F.avg(numeric).alias("m"), F.var_pop(numeric).alias("v"))
-    t = g.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("v")).alias("within"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"), F.collect_list(F.struct("n", "m")).alias("gs"))
-    between = F.aggregate("gs", F.lit(0.0), lambda acc, x: acc + x["n"] * F.pow(x["m"] - F.col("mean"), 2))
-    return t.select(F.try_divide(between, between + F.col("within")).alias("eta_squared"))
+    within = F.sum(F.col("n") * F.col("v"))
+    between = F.sum(F.col("n") * F.pow(F.col("m") - F.col("mean"), 2))
+    mean = g.agg(F.try_divide(F.sum(F.col("n") * F.col("m")), F.sum("n"))).first()[0]
+    return g.withColumn("mean", F.lit(mean).cast("double")).agg(F.try_divide(between, between + within).alias("eta_squared"))
 
 
 def correlation_ratio(df: DataFrame, numeric: str, category: str) -> DataFrame:
@@ -113,8 +116,8 @@ def mixed_associations(df: DataFrame, numeric: list[str], categories: list[str])
 def time_cadence(df: DataFrame, ts: str) -> DataFrame:
     """Gaps between sorted timestamps in seconds: min, median, max, mean, 95th percentile, count above it, duplicates, span."""
     g = gaps(df, ts)
-    q = g.agg(F.percentile("gap", 0.95)).first()[0]
-    return g.agg(F.min("gap").alias("min_gap"), F.median("gap").alias("median_gap"), F.max("gap").alias("max_gap"), F.avg("gap").alias("mean_gap"), F.lit(q).alias("p95_gap"), F.count_if(F.col("gap") > F.lit(q)).alias("large_gaps"), F.count_if(F.col("gap") == 0).alias("duplicates"), F.sum("gap").alias("span"))
+    q, middle = quantiles_of(g, "gap", [0.95, 0.5])
+    return g.agg(F.min("gap").alias("min_gap"), F.lit(middle).cast("double").alias("median_gap"), F.max("gap").alias("max_gap"), F.avg("gap").alias("mean_gap"), F.lit(q).cast("double").alias("p95_gap"), F.count_if(F.col("gap") > F.lit(q)).alias("large_gaps"), F.count_if(F.col("gap") == 0).alias("duplicates"), F.sum("gap").alias("span"))
 
 
 def gaps(df: DataFrame, ts: str, entity: str | None = None) -> DataFrame:
@@ -126,13 +129,13 @@ def gaps(df: DataFrame, ts: str, entity: str | None = None) -> DataFrame:
 
 
 def lorenz(df: DataFrame, c: str) -> DataFrame:
-    """Gini and the shares of the top 1, 5 and 10 percent of non-negative values."""
-    f = frequencies(df.where(F.col(c) >= 0), c)
-    n, total = f.agg(F.sum("n"), F.sum(F.col("v") * F.col("n"))).first()
-    run = with_running(f, "v", {"upto": F.col("n")})
+    """Gini and the shares of the top 1, 5 and 10 percent of non-negative values, from one running count of frequencies."""
+    kept = df.where(F.col(c) >= 0)
+    n, total = kept.agg(F.count(c), F.sum(F.col(c).cast("double"))).first()
+    run = with_running(frequencies(kept, c), "v", {"upto": F.col("n")})
     ranks = (F.col("upto") * 2 - F.col("n") + 1) * F.col("n") / 2.0  # sum of the ranks of a run of equal values
-    shares = [top_share_cut(df, c, s)[0] / total for s in (0.01, 0.05, 0.10)]
-    return run.agg((2 * F.sum(ranks * F.col("v")) / F.lit(float(n) * float(total)) - F.lit((n + 1) / n)).alias("gini"), *(F.lit(x).alias(f"top{p}_share") for x, p in zip(shares, (1, 5, 10))))
+    tops = [F.try_divide(x, F.lit(total)).alias(f"top{p}_share") for x, p in zip(top_amount((0.01, 0.05, 0.10), n), (1, 5, 10))]
+    return run.agg((2 * F.sum(ranks * F.col("v")) / F.lit(float(n) * float(total or 0) or None).cast("double") - F.lit((n + 1) / (n or 1))).alias("gini"), *tops)
 
 
 def lorenz_curve(df: DataFrame, c: str) -> DataFrame:
@@ -143,8 +146,9 @@ def lorenz_curve(df: DataFrame, c: str) -> DataFrame:
 
 
 def top_share(df: DataFrame, c: str, share: float = 0.01) -> DataFrame:
-    cut, total = top_share_cut(df, c, share)
-    return df.sparkSession.createDataFrame([(cut / total if total else None,)], "share double")
+    kept = df.where(F.col(c) >= 0)
+    n, total = kept.agg(F.count(c), F.sum(F.col(c).cast("double"))).first()
+    return with_running(frequencies(kept, c), "v", {"upto": F.col("n")}).agg(F.try_divide(top_amount((share,), n)[0], F.lit(total)).alias("share"))
 
 
 def autocorrelation(df: DataFrame, order_by: str, c: str, lags: int = 10) -> DataFrame:
@@ -181,9 +185,9 @@ def target_best_splits(df: DataFrame, target: str, numeric: list[str], threshold
 
     All thresholds of all features are counted in one pass: (feature, threshold, side, class) groups.
     """
-    cuts = df.agg(*(F.percentile(c, [i / (thresholds + 1) for i in range(1, thresholds + 1)]).alias(c) for c in numeric)).first()
+    cuts = {r["column_name"]: r["q"] or [] for r in exact_quantiles(df, numeric, [i / (thresholds + 1) for i in range(1, thresholds + 1)]).collect()}
     long = df.where(F.col(target).isNotNull()).select(F.col(target).cast("string").alias("t"), *(F.col(c).cast("double").alias(c) for c in numeric)).unpivot("t", numeric, "feature", "v").where("v is not null")
-    table = F.create_map(*(x for c in numeric for x in (F.lit(c), F.array(*(F.lit(float(v)) for v in sorted(set(cuts[c])))))))
+    table = F.create_map(*(x for c in numeric for x in (F.lit(c), F.array(*(F.lit(float(v)) for v in sorted(set(cuts[c])))).cast("array<double>"))))
     # counted by slot between the thresholds first: the explode then multiplies a few counts, not the rows
     slots = long.select("feature", "t", F.size(F.filter(table[F.col("feature")], lambda x: x < F.col("v"))).alias("slot")).groupBy("feature", "t", "slot").agg(F.count("*").alias("n"))
     sides = slots.select("feature", "t", "n", "slot", F.posexplode(table[F.col("feature")]).alias("k", "threshold")).withColumn("left", F.col("slot") <= F.col("k"))
@@ -204,12 +208,17 @@ def qq_points(df: DataFrame, c: str) -> DataFrame:
     return run.select(F.col("v").alias("value"), probit(p).alias("normal"))
 
 
+# Acklam's coefficients for the inverse normal distribution.
+PROBIT = (
+    (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00),
+    (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0),
+    (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00),
+    (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0),
+)
+
+
 def probit(p: Column) -> Column:
-    # Acklam's coefficients for the inverse normal distribution.
-    a = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
-    b = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)
-    c = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
-    d = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0)
+    a, b, c, d = PROBIT
 
     def poly(xs, x):
         out = F.lit(xs[0])
@@ -232,4 +241,4 @@ def dataset_fingerprint(df: DataFrame) -> DataFrame:
     import json
 
     schema = hashlib.sha256(json.dumps(df.dtypes).encode()).hexdigest()
-    return df.agg(F.lit(schema).alias("schema_hash"), F.count("*").alias("rows"), F.bit_xor(F.xxhash64(*df.columns)).alias("content_hash"))
+    return df.agg(F.lit(schema).alias("schema_hash"), F.count("*").alias("rows"), F.bit_xor(F.conv(F.substring(C.hash_order(df.columns), 1, 15), 16, 10).cast("bigint")).alias("content_hash"))

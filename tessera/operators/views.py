@@ -61,7 +61,7 @@ def filter_op(df: DataFrame, c: str, op: str, value=None, upper=None) -> DataFra
 
 
 def range_clip(df: DataFrame, c: str, lo=None, hi=None) -> DataFrame:
-    return filter_numeric(df, c, lo, hi)
+    return df if lo is None and hi is None else filter_numeric(df, c, lo, hi)
 
 
 def select_order(df: DataFrame, hidden: list[str] = (), order: list[str] = ()) -> DataFrame:

@@ -82,7 +82,7 @@ query("datetime_range", "events", "SELECT 'ts' AS column_name, min(ts) AS min, m
 query("numeric_histogram16", "lineitem", "WITH b AS (SELECT min(l_extendedprice) AS lo, (max(l_extendedprice) - min(l_extendedprice)) / 16 AS w FROM lineitem) SELECT bin, lo + bin * w AS lo, lo + (bin + 1) * w AS hi, n FROM (SELECT least(floor((l_extendedprice - lo) / w), 15)::INT AS bin, count(*)::BIGINT AS n FROM lineitem, b GROUP BY 1), b")(lambda d: P.numeric_histogram(d, "l_extendedprice", 16))
 query("examples", "orders", each(ORDER_TEXT, "SELECT '{c}' AS column_name, r::INT AS rank, value FROM (SELECT DISTINCT {c} AS value, dense_rank() OVER (ORDER BY {c}) AS r FROM orders) WHERE r <= 5"))(lambda d: P.examples(d, list(ORDER_TEXT)))
 query("fact_table", "dirty", each(("num_text",), "SELECT 'num_text' AS subject, fact, value::DOUBLE AS value, 'exact' AS mode, 1.0 AS confidence FROM (SELECT count(num_text)::DOUBLE AS non_null, (count(*) - count(num_text))::DOUBLE AS missing, (count(*) - count(num_text)) / count(*)::DOUBLE AS missing_ratio, count(DISTINCT num_text)::DOUBLE AS distinct_count, count(DISTINCT num_text) / count(num_text)::DOUBLE AS distinct_ratio FROM {dirty}) UNPIVOT (value FOR fact IN (non_null, missing, missing_ratio, distinct_count, distinct_ratio))"))(lambda d: P.fact_table(d.select("num_text")))
-query("profile_numeric", "lineitem", each(LINE, _NUM.replace(" FROM lineitem", ", " + ", ".join(f"quantile_cont({{c}}, {q}) AS {n}" for q, n in zip(P.QUANTILES, P.QUANTILE_NAMES)) + " FROM lineitem")))(lambda d: P.numeric_metrics(d, list(LINE)).join(P.quantiles11(d, list(LINE)), "column_name"))
+query("profile_numeric", "lineitem", each(LINE, _NUM.replace(" FROM lineitem", ", " + ", ".join(f"quantile_cont({{c}}, {q}) AS {n}" for q, n in zip(P.QUANTILES, P.QUANTILE_NAMES)) + " FROM lineitem")))(lambda d: P.numeric_metrics(d, list(LINE), True))
 query("column_profile", "lineitem")(P.column_profile)
 query("datetime_metrics", "events", "SELECT min(gap) AS min_gap, median(gap) AS median_gap, max(gap) AS max_gap, count(*) FILTER (gap = 0)::BIGINT AS duplicates FROM (SELECT (epoch_us(ts) - lag(epoch_us(ts)) OVER (ORDER BY ts)) / 1e6 AS gap FROM events) WHERE gap IS NOT NULL")(lambda d: S.gaps(d, "ts").withColumn("gap", F.round("gap", 6)).agg(F.min("gap").alias("min_gap"), F.median("gap").alias("median_gap"), F.max("gap").alias("max_gap"), F.count_if(F.col("gap") == 0).alias("duplicates")))
 # --- rules -----------------------------------------------------------------------------------------------------
@@ -93,7 +93,7 @@ query("column_role", "orders", "SELECT * FROM (VALUES ('o_orderkey', 'id'), ('o_
 query("binary_profile", "labels", "SELECT c AS column_name, 'clean_binary' AS kind, 0.98 AS confidence, false AS ambiguous, '0' AS zero_value, '1' AS one_value FROM (VALUES ('quality'), ('toxic')) t(c)")(lambda d: R.binary_profile(d, ["quality", "toxic"]))
 query("quality_flags", "orders", each(("o_orderkey", "o_orderstatus"), "SELECT '{c}' AS column_name, count(DISTINCT {c}) <= 1 AS constant, (SELECT max(n) >= 0.98 * sum(n) FROM " + _FREQ + ") AS near_constant, count(DISTINCT {c}) >= 50 AND count(DISTINCT {c}) >= 0.5 * count({c}) AS high_cardinality FROM orders"))(lambda d: R.quality_flags(d.select("o_orderkey", "o_orderstatus")))
 query("issues", "dirty")(R.issues)
-query("insights", "documents")(R.issues)
+query("insights", "documents")(R.insights)
 query("target_candidates", "labels")(R.target_candidates)
 query("time_candidates", "events")(R.time_candidates)
 query("target_profile", "labels", "SELECT CAST(quality AS VARCHAR) AS value, count(*)::BIGINT AS n, count(*) / sum(count(*)) OVER ()::DOUBLE AS ratio FROM labels GROUP BY 1")(lambda d: R.target_profile(d, "quality"))
@@ -293,8 +293,12 @@ _SQL["stream_windowed_profile"] = "SELECT date_trunc('day', ts)::TIMESTAMP AS wi
 
 
 def queries() -> dict:
+    from tessera.plans import extended  # noqa: F401  registers its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from tessera.plans import extended  # noqa: F401
+
     return dict(_SQL)

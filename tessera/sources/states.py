@@ -59,9 +59,11 @@ class StateStore:
         return df
 
     def replay(self, key: str, source: DataFrame) -> DataFrame:
-        """The steps on the state's path, applied to a source."""
-        rows = self.path(key).orderBy(F.desc("depth")).collect()
-        return self.run_flow(source, [(r["operation"], json.loads(r["params"])) for r in rows if r["operation"] in self.steps])
+        """The steps on the state's path, applied to a source; checkpoints change nothing, unknown steps raise."""
+        rows = [r for r in self.path(key).orderBy(F.desc("depth")).collect() if r["operation"] != "checkpoint"]
+        if unknown := [r["operation"] for r in rows if r["operation"] not in self.steps]:
+            raise ValueError(f"cannot replay {key}: no step named {', '.join(unknown)}")
+        return self.run_flow(source, [(r["operation"], json.loads(r["params"])) for r in rows])
 
     def delete(self, key: str) -> list[str]:
         """Removes a state and its descendants; returns their ids."""
