@@ -168,7 +168,7 @@ def test_stratified_split_sorts_no_whole_class(spark):
 
     d = spark.createDataFrame([(i, "a" if i % 10 else None if i % 20 else "b") for i in range(2000)] + [(5000, "single")], "id int, label string")
     got = M.stratified_split(d, "id", "label")
-    rank = F.percent_rank().over(Window.partitionBy("label").orderBy(F.xxhash64("id", F.lit(42)), "id"))
+    rank = F.percent_rank().over(Window.partitionBy("label").orderBy(C.hash_order(["id"]), "id"))
     want = d.withColumn("is_test", rank < 0.25)
     assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     windows = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in x and "__hash" in x]
@@ -200,3 +200,81 @@ def test_duplicate_documents_reads_the_text(spark, tmp_path):
     rows = [(1, "a b", "en", "s", 3), (2, "a b", "en", "s", 3), (3, "a c", "en", "s", 3), (4, None, "en", "s", 0)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert catalogue.queries()["duplicate_documents"](spark, str(tmp_path)).first()[0] == 1
+
+
+def test_exact_quantiles_equal_numpy(spark):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    cols = {"a": r.normal(size=997), "b": r.integers(0, 5, 997).astype(float), "c": np.full(997, 7.0), "d": r.exponential(size=997)}
+    rows = [(*(float(v[i]) for v in cols.values()), None) for i in range(997)]
+    d = spark.createDataFrame(rows + [(float("nan"), None, None, None, None)], "a double, b double, c double, d double, e double").repartition(5)
+    qs = [0.0, 0.01, 0.25, 0.5, 0.777, 0.99, 1.0]
+    got = {x["column_name"]: x["q"] for x in O.exact_quantiles(d, [*cols, "e"], qs).collect()}
+    assert got.pop("e") is None and all(np.allclose(got[c], np.quantile(v, qs)) for c, v in cols.items())
+    assert O.quantiles_of(d.limit(0), "a", [0.5]) == [None]
+
+
+def test_positive_value(spark):
+    values = lambda xs: G.positive_value(spark.createDataFrame([(x,) for x in xs], "v string"), "v")
+    assert values(["yes "] * 5 + ["true"] * 3 + ["zz"] * 9) == "yes " and values(["a"] * 3 + ["b"]) == "b" and values(["a"] * 3 + ["b", "c"]) == "a"
+    assert values([f"k{i}" for i in range(3000)] + ["zz"] * 50) == "zz"
+
+
+@pytest.mark.parametrize("days, bucket", [(44, "none"), (45, "day"), (120, "week"), (730, "month")])
+def test_auto_bucket(spark, days, bucket):
+    d = spark.sql(f"SELECT timestamp'2020-01-01 10:00:00' AS t UNION ALL SELECT timestamp'2020-01-01 10:00:00' + INTERVAL {days} DAY")
+    assert G.auto_bucket(d, "t") == bucket
+
+
+def test_flags_of_up_to_five_values(spark):
+    rows = [("Y", "1", "x", "1", "yes", "p", i) for i in range(4)] + [("no", None, "y", "missing", "n/a", "q", 9), ("N", None, "y", None, "0", None, 10), ("yes", None, "x", "1", "Yes", "q", 11)]
+    d = spark.createDataFrame(rows, "a string, is_b string, c string, d string, e string, has_f string, n int")
+    got = {r["column_name"]: (r["kind"], r["confidence"], r["ambiguous"]) for r in R.binary_profile(d).collect()}
+    assert got == {"a": ("clean_binary", 0.98, False), "is_b": ("positive_only_nullable_flag", 0.78, True), "c": ("binary_categorical", 0.72, True), "d": ("positive_only_nullable_flag", 0.64, True), "e": ("nullable_binary", 0.94, False), "has_f": ("binary_flag", 0.82, False)}
+
+
+def test_issue_rules_and_insights(spark):
+    rows = [(i % 50, 1000.0 if i == 0 else 0.001 * (i % 7 + 1), f"2024-01-0{i % 3 + 1}", "a" if i else "b", f"v{i}", "12" if i % 2 else "unknown", "same") for i in range(100)]
+    d = spark.createDataFrame(rows + rows[:3], "k int, amount double, day string, t string, word string, num string, one string").withColumn("day", F.to_timestamp("day"))
+    got = {(r["issue"], r["column_name"]) for r in R.issues(d, "t").collect()}
+    assert got >= {("top_1pct_dominates", "amount"), ("duplicate_timestamps", "day"), ("constant", "one"), ("imbalanced_target", "t"), ("two_categories", "t"), ("high_cardinality", "word"), ("missing_like_tokens", "num"), ("duplicate_rows", "*")}
+    order = [{"error": 3, "warning": 2, "info": 1}[r["severity"]] for r in R.issues(d, "t").collect()]
+    assert order == sorted(order, reverse=True)
+    twice = d.select("k", "k")
+    assert [(r["issue"], r["column_name"], r["severity"]) for r in R.issues(twice).collect()] == [("duplicate_names", "k", "error")]
+    said = [(r["insight"], r["column_name"]) for r in R.insights(d, "t").collect()]
+    assert len(said) == len(set(said)) and {("target.selected", "t"), ("time.candidate", "day"), ("binary", "t"), ("issue.constant", "one")} <= set(said)
+
+
+def test_every_chart_kind_has_data(spark):
+    d = spark.createDataFrame([(float(i % 7), float(i), "ab"[i % 2], "xyz"[i % 3], i) for i in range(60)], "x double, y double, c string, g string, i int").withColumn("t", F.expr("timestamp'2024-01-01' + make_dt_interval(i)"))
+    base = {"x": "x", "y": "y", "path": ["c", "g"], "target": "c"}
+    own = {"calendar_heatmap": {"x": "t", "y": "y"}, "heatmap": {"x": "c", "y": "g"}, "target_profile": {"x": "g", "y": "c"}, "missingness_matrix": {"x": "i"}, "autocorrelation": {"x": "i", "y": "y"}, "bump_chart": {"x": "c", "y": "y", "color": "g"}, "violin": {"x": "c", "y": "y"}, "box": {"x": "c", "y": "y"}}
+    kinds = [*G.SERIES, *G.ROW_CAPS, *G.OTHER_KINDS]
+    assert len(set(kinds)) >= 38
+    for k in kinds:
+        assert G.chart_data(d, {"kind": k} | base | own.get(k, {})).count() > 0, k
+    with pytest.raises(ValueError):
+        G.chart_data(d, {"kind": "none such", "x": "x"})
+
+
+def test_cluster_profile_is_the_mean_distance_from_the_overall_mean(spark):
+    from tessera.operators import modeling as M
+
+    d = spark.createDataFrame([(0, 1.0), (0, 3.0), (1, 10.0), (2, 6.0)], "cluster int, v double")
+    assert M.cluster_profile(d, ["v"]).first()["separation"] == pytest.approx((abs(2 - 5) + abs(10 - 5) + abs(6 - 5)) / 3)
+
+
+def test_replay_fails_with_a_reason(spark, tmp_path):
+    store = StateStore(spark, f"file://{tmp_path}")
+    d = spark.range(5)
+    root = store.save(d, "root")
+    odd = store.save(d, "odd", root, "no_such_step", {})
+    with pytest.raises(ValueError, match="no_such_step"):
+        store.replay(odd, d)
+
+
+def test_range_clip_without_bounds_keeps_nulls(spark):
+    d = spark.createDataFrame([(1.0,), (None,)], "v double")
+    assert V.range_clip(d, "v").count() == 2 and V.range_clip(d, "v", 0, 5).count() == 1
