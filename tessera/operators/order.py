@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,28 +20,29 @@ def bucketed(df: DataFrame, by: str, buckets: int = 64) -> DataFrame:
 def with_running(df: DataFrame, by: str, sums: dict[str, Column], tie: list[str] | None = None, buckets: int = 64) -> DataFrame:
     """df with a running sum, over the order of `by` and tie, for each of sums(name -> column).
 
-    The buckets' totals are a few rows; their prefix sums are joined back by broadcast.
+    The totals of the buckets, a few rows, are summed up on the driver and looked up again by bucket.
     """
     cut = bucketed(df, by, buckets)
-    every = cut.groupBy("__bucket").agg(*(F.sum(c).alias(f"__total_{n}") for n, c in sums.items()))
-    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = every.select("__bucket", *(F.coalesce(F.sum(f"__total_{n}").over(before), F.lit(0)).alias(f"__before_{n}") for n in sums))
+    totals = sorted(tuple(r) for r in cut.groupBy("__bucket").agg(*(F.sum(c).alias(f"__total_{n}") for n, c in sums.items())).collect())
     inside = Window.partitionBy("__bucket").orderBy(by, *(tie or [])).rowsBetween(Window.unboundedPreceding, 0)
-    out = cut.join(F.broadcast(offsets), "__bucket")
-    for n, c in sums.items():
-        out = out.withColumn(n, F.sum(c).over(inside) + F.col(f"__before_{n}"))
-    return out.drop("__bucket", *(f"__before_{n}" for n in sums))
+    out = cut
+    for k, (n, c) in enumerate(sums.items(), 1):
+        before = accumulate((r[k] or 0 for r in totals), initial=0)
+        offset = F.create_map(*(F.lit(x) for r, total in zip(totals, before) for x in (r[0], total)))[F.col("__bucket")] if totals else F.lit(0)
+        out = out.withColumn(n, F.sum(c).over(inside) + offset)
+    return out.drop("__bucket")
 
 
 def with_lag(df: DataFrame, by: str, of: str, name: str = "previous", tie: list[str] | None = None, buckets: int = 64) -> DataFrame:
     """df with the value of `of` one row earlier in the order of `by`, carried over bucket borders."""
     cut = bucketed(df, by, buckets)
     keys = [by, *(tie or [])]
-    last = cut.groupBy("__bucket").agg(F.max_by(of, F.struct(*keys)).alias("__last"))
-    carry = last.select("__bucket", F.lag("__last").over(Window.orderBy("__bucket")).alias("__carry"))
+    last = sorted((r["__bucket"], r["__last"]) for r in cut.groupBy("__bucket").agg(F.max_by(of, F.struct(*keys)).alias("__last")).collect())
+    kind = df.schema[of].dataType
+    pairs = [F.lit(x) if i == 0 else F.lit(x).cast(kind) for (b, _), (_, v) in zip(last[1:], last) for i, x in enumerate((b, v))]
+    carry = F.create_map(*pairs)[F.col("__bucket")] if pairs else F.lit(None).cast(kind)
     w = Window.partitionBy("__bucket").orderBy(*keys)
-    out = cut.join(F.broadcast(carry), "__bucket")
-    return out.withColumn(name, F.when(F.row_number().over(w) == 1, F.col("__carry")).otherwise(F.lag(of).over(w))).drop("__bucket", "__carry")
+    return cut.withColumn(name, F.when(F.row_number().over(w) == 1, carry).otherwise(F.lag(of).over(w))).drop("__bucket")
 
 
 def frequencies(df: DataFrame, c: str, name: str = "v") -> DataFrame:
@@ -68,13 +69,20 @@ def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float], buckets: in
     near = df.select(*as_double).agg(*(F.percentile_approx(c, grid, 2_000).alias(f"b{i}") for i, c in enumerate(cols))).first()
     bounds = F.create_map(*(x for i, c in enumerate(cols) for x in (F.lit(c), F.array(*map(F.lit, sorted(set(near[i] or [])))).cast("array<double>"))))
     cut = freq.withColumn("range", F.size(F.filter(bounds[F.col("column_name")], lambda b: b < F.col("v"))))
-    of = Window.partitionBy("column_name")
-    before = F.coalesce(F.sum("m").over(of.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = cut.groupBy("column_name", "range").agg(F.sum("n").alias("m")).select("column_name", "range", "m", before.alias("before"), F.sum("m").over(of).alias("total"))
+    parts: dict[str, list] = {}
+    for r in sorted(tuple(r) for r in cut.groupBy("column_name", "range").agg(F.sum("n")).collect()):
+        parts.setdefault(r[0], []).append(r[1:])
+    totals = {c: sum(m for _, m in rows) for c, rows in parts.items()}
+    offsets = {}
+    for c, rows in parts.items():
+        ranks = {i + k for q in qs for i in [int(q * (totals[c] - 1))] for k in (0, 1)}
+        for (at, m), before in zip(rows, accumulate((m for _, m in rows), initial=0)):
+            if any(before <= k < before + m for k in ranks):
+                offsets[f"{at}:{c}"] = before
+    table = lambda d: F.create_map(*(F.lit(x) for pair in d.items() for x in pair)) if d else F.create_map(F.lit(""), F.lit(0))
+    run = cut.select("*", table(totals)[F.col("column_name")].alias("total"), table(offsets)[F.concat_ws(":", "range", "column_name")].alias("before")).where("before is not null")
+    run = run.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("column_name", "range").orderBy("v")))
     rank = {q: F.floor(F.lit(float(q)) * (F.col("total") - 1)) for q in qs}
-    wanted = reduce(lambda a, b: a | b, ((rank[q] < F.col("before") + F.col("m")) & (rank[q] + 1 >= F.col("before")) for q in qs))
-    upto = F.col("before") + F.sum("n").over(Window.partitionBy("column_name", "range").orderBy("v"))
-    run = cut.join(F.broadcast(parts.where(wanted)), ["column_name", "range"]).select("column_name", "v", "total", upto.alias("upto"))
 
     def value(q: float) -> Column:
         low, high = F.min(F.when(F.col("upto") > rank[q], F.col("v"))), F.min(F.when(F.col("upto") > rank[q] + 1, F.col("v")))
