@@ -8,13 +8,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def range_of(v: Column, bounds: list) -> Column:
+    """How many of the sorted bounds lie below v, by halving: plain comparisons that Spark compiles."""
+    def between(lo: int, hi: int) -> Column:
+        mid = (lo + hi) // 2
+        return F.lit(lo) if lo == hi else F.when(v <= F.lit(bounds[mid]), between(lo, mid)).otherwise(between(mid + 1, hi))
+
+    return F.when(v.isNull(), 0).otherwise(between(0, len(bounds)))
+
+
 def bucketed(df: DataFrame, by: str, buckets: int = 64) -> DataFrame:
     """df with __bucket, growing with `by`: between approximate percentiles of it."""
-    bounds = df.agg(F.percentile_approx(by, [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
-    bounds = sorted(set(bounds))
-    if not bounds:
-        return df.withColumn("__bucket", F.lit(0))
-    return df.withColumn("__bucket", F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(by))), F.lit(0)))
+    bounds = df.agg(F.percentile_approx(by, [i / buckets for i in range(1, buckets)], 2_000)).first()[0] or []
+    return df.withColumn("__bucket", range_of(F.col(by), sorted(set(bounds))))
 
 
 def with_running(df: DataFrame, by: str, sums: dict[str, Column], tie: list[str] | None = None, buckets: int = 64) -> DataFrame:
@@ -59,29 +65,31 @@ def average_ranks(df: DataFrame, c: str) -> DataFrame:
 def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float], buckets: int = 64) -> DataFrame:
     """column_name, q (one value for each of qs, between neighbours by their distance) for all columns; nulls and NaN are left out.
 
-    The value counts of all columns go through one shuffle; approximate percentiles deal them into ranges. Only the
-    ranges that hold a wanted rank are ordered, so that no task holds a column's values. An empty column has null q.
+    Approximate percentiles deal the rows into ranges, whose sizes tell which ranges hold the wanted ranks. Only rows of
+    those are counted by value and ordered, so that no task holds a column's values. An empty column has null q.
     """
     spark = df.sparkSession
-    as_double = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in cols]
-    freq = df.select(*as_double).unpivot([], cols, "column_name", "v").where("v is not null").groupBy("column_name", "v").agg(F.count("*").alias("n"))
-    grid = [i / buckets for i in range(1, buckets)]
-    near = df.select(*as_double).agg(*(F.percentile_approx(c, grid, 2_000).alias(f"b{i}") for i, c in enumerate(cols))).first()
-    bounds = F.create_map(*(x for i, c in enumerate(cols) for x in (F.lit(c), F.array(*map(F.lit, sorted(set(near[i] or [])))).cast("array<double>"))))
-    cut = freq.withColumn("range", F.size(F.filter(bounds[F.col("column_name")], lambda b: b < F.col("v"))))
-    parts: dict[str, list] = {}
-    for r in sorted(tuple(r) for r in cut.groupBy("column_name", "range").agg(F.sum("n")).collect()):
-        parts.setdefault(r[0], []).append(r[1:])
-    totals = {c: sum(m for _, m in rows) for c, rows in parts.items()}
-    offsets = {}
-    for c, rows in parts.items():
-        ranks = {i + k for q in qs for i in [int(q * (totals[c] - 1))] for k in (0, 1)}
-        for (at, m), before in zip(rows, accumulate((m for _, m in rows), initial=0)):
+    as_double = df.select(*(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in cols))
+    near = as_double.agg(*(F.percentile_approx(c, [i / buckets for i in range(1, buckets)], 2_000).alias(f"b{i}") for i, c in enumerate(cols))).first()
+    place = {c: range_of(F.col(c), sorted(set(near[i] or []))) for i, c in enumerate(cols)}
+    sizes = as_double.select(*(F.when(F.col(c).isNotNull(), place[c]).alias(c) for c in cols)).unpivot([], cols, "column_name", "range").where("range is not null")
+    parts: dict[str, dict[int, int]] = {c: {} for c in cols}
+    for r in sizes.groupBy("column_name", "range").agg(F.count("*")).collect():
+        parts[r[0]][r[1]] = r[2]
+    held = []
+    for c in cols:
+        total, before, wanted, offsets = sum(parts[c].values()), 0, [], []
+        ranks = {int(q * (total - 1)) + k for q in qs for k in (0, 1)}
+        for at in range(max(parts[c], default=-1) + 1):
+            m = parts[c].get(at, 0)
+            offsets.append(before)
             if any(before <= k < before + m for k in ranks):
-                offsets[f"{at}:{c}"] = before
-    table = lambda d: F.create_map(*(F.lit(x) for pair in d.items() for x in pair)) if d else F.create_map(F.lit(""), F.lit(0))
-    run = cut.select("*", table(totals)[F.col("column_name")].alias("total"), table(offsets)[F.concat_ws(":", "range", "column_name")].alias("before")).where("before is not null")
-    run = run.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("column_name", "range").orderBy("v")))
+                wanted.append(at)
+            before += m
+        offset = F.get(F.array(*map(F.lit, offsets)).cast("array<bigint>"), place[c])
+        held.append(F.when(F.col(c).isNotNull() & place[c].isin(wanted), F.struct(F.col(c).alias("v"), place[c].alias("range"), offset.alias("before"), F.lit(total).cast("bigint").alias("total"))).alias(c))
+    freq = as_double.select(*held).unpivot([], cols, "column_name", "x").where("x is not null").groupBy("column_name", "x").agg(F.count("*").alias("n")).select("column_name", "x.*", "n")
+    run = freq.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("column_name", "range").orderBy("v")))
     rank = {q: F.floor(F.lit(float(q)) * (F.col("total") - 1)) for q in qs}
 
     def value(q: float) -> Column:
