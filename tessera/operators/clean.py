@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
-from tessera.operators.order import exact_quantiles, quantiles_of
+from tessera.operators.order import exact_quantiles, quantiles_of, with_filled
 
 NULL_POLICIES = {"preserve": (None, None), "treat_as_false": (None, 0), "treat_as_true": (None, 1), "false_to_null": (0, None), "true_to_null": (1, None)}
 #: One-hot encoding without a number of levels makes at most so many columns.
@@ -184,8 +184,10 @@ def geo_review(df: DataFrame, lat: str, lon: str) -> DataFrame:
     return df.agg(F.count_if((F.abs(lat) > 90) | (F.abs(lon) > 180)).alias("invalid"), F.count_if((F.abs(lat) > 90) & (F.abs(lat) <= 180) & (F.abs(lon) <= 90)).alias("likely_swapped"))
 
 
-def fill_forward(df: DataFrame, c: str, order_by: str, by: list[str], backward: bool = False) -> DataFrame:
-    """The last (backward: next) value that is not null, in the order within each group."""
+def fill_forward(df: DataFrame, c: str, order_by: str, by: list[str] | None = None, backward: bool = False) -> DataFrame:
+    """The last (backward: next) value that is not null, in the order within each group; without groups, in that of all rows."""
+    if not by:
+        return with_filled(df, order_by, c, backward=backward)
     w = Window.partitionBy(*by).orderBy(F.col(order_by).desc() if backward else F.col(order_by)).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(c, F.last(c, True).over(w))
 

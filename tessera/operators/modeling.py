@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import hash_order, hash_part
 from tessera.functions.shared import cut_lineage
-from tessera.operators.order import exact_quantiles, with_running
+from tessera.operators.order import exact_quantiles, quantiles_of, with_running
 
 
 def split(df: DataFrame, key: str, test: float = 0.25, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -149,6 +149,34 @@ def model_comparison(df: DataFrame, key: str, numeric: list[str], categories: li
     return df.sparkSession.createDataFrame(rows, "name string, score double").withColumn("rank", F.rank().over(Window.orderBy(F.desc("score"))))
 
 
+def modeling_baseline(df: DataFrame, key: str, numeric: list[str], categories: list[str], task: str, estimator: str = "random_forest", test: float = 0.25, seed: int = 42) -> DataFrame:
+    """metric, baseline, model on held-out rows: the training rows' commonest class or median label against a model."""
+    train, held = (x.cache() for x in split(df, key, test, seed))
+    if task == "classification":
+        measure, names = classification_metrics, ("accuracy", "balanced_accuracy")
+        guess = train.groupBy("label").count().orderBy(F.desc("count"), "label").first()
+    else:
+        measure, names = regression_metrics, ("mae", "rmse", "r2")
+        guess = quantiles_of(train, "label", [0.5])
+    made = measure(fit(train, numeric, categories, estimator, task).transform(held)).first()
+    base = measure(held.withColumn("prediction", F.lit(guess[0]).cast("double"))).first()
+    train.unpersist(), held.unpersist()
+    return df.sparkSession.createDataFrame([(n, base[n], made[n]) for n in names], "metric string, baseline double, model double")
+
+
+def target_importance(df: DataFrame, key: str, numeric: list[str], categories: list[str], task: str, suspicious: float = 0.45) -> DataFrame:
+    """column_name, importance, permutation, suspicion: a forest's importances and the loss by permutation on held-out rows.
+
+    A share of importance of `suspicious` or more may come from a leak of the target, or a proxy for it.
+    """
+    train, held = split(df, key)
+    model = fit(train, numeric, categories, "random_forest", task)
+    score = (lambda p: classification_metrics(p).select("accuracy")) if task == "classification" else (lambda p: regression_metrics(p).select("r2"))
+    lost = permutation_importance(model, held, key, [*numeric, *categories], score).withColumnRenamed("importance", "permutation")
+    out = lost.join(native_importance(model, model.transform(held)), "column_name", "left").na.fill(0.0, ["importance"])
+    return out.select("column_name", "importance", "permutation", F.when(F.col("importance") >= suspicious, "possible_leakage_or_proxy").alias("suspicion"))
+
+
 def cross_validate(df: DataFrame, key: str, numeric: list[str], categories: list[str], estimator: str, task: str, folds: int = 3) -> DataFrame:
     rows = []
     fold = hash_part([key], folds, 7)
@@ -203,13 +231,39 @@ def dbscan(df: DataFrame, key: str, x: str, y: str, eps: float, min_samples: int
     return p.select("id").join(border, F.col("id") == F.col("a"), "left").select("id", F.coalesce("l", F.lit(-1)).alias("cluster"))
 
 
-def knn_predict(train: DataFrame, test: DataFrame, cols: list[str], label: str, key: str, k: int = 5) -> DataFrame:
-    """Mean label of the k nearest: test rows in blocks against all training rows, the k best of each block pair merged."""
-    block = lambda df, n, name: df.withColumn(name, F.pmod(F.xxhash64(key, F.lit(3)), F.lit(n)))
-    a = block(test, 4, "tb").select(F.col(key).alias("id"), "tb", *(F.col(c).cast("double").alias(f"a_{c}") for c in cols)).withColumn("rb", F.explode(F.array(*map(F.lit, range(4)))))
-    b = block(train, 4, "rb").select("rb", F.col(key).alias("other"), F.col(label).cast("double").alias("label"), *(F.col(c).cast("double").alias(f"b_{c}") for c in cols)).withColumn("tb", F.explode(F.array(*map(F.lit, range(4)))))
-    d = sum((F.pow(F.col(f"a_{c}") - F.col(f"b_{c}"), 2) for c in cols), F.lit(0.0))
-    near = a.join(b, ["tb", "rb"]).withColumn("d", d)
+def knn_predict(train: DataFrame, test: DataFrame, cols: list[str], label: str, key: str, k: int = 5, blocks: tuple[int, int] = (2_048, 32_768)) -> DataFrame:
+    """id, prediction: the mean label of the k nearest training rows, of equally near ones those of the smaller keys.
+
+    Columns are numbers or arrays of numbers. Test and training rows are dealt into blocks of about the given sizes, whose
+    numbers grow with the rows; a task measures one block of each by numpy and returns the k best of each test row,
+    which are merged. A row is no neighbour of its own key. Rows with a null are left out.
+    """
+    parts = [F.col(c).cast("array<double>") if train.schema[c].dataType.typeName() == "array" else F.array(F.col(c).cast("double")) for c in cols]
+    vector = F.concat(*parts)
+    spread = lambda name, n: F.pmod(F.xxhash64(key, F.lit(3)), F.lit(n)).alias(name)
+    nt, nr = (-(-df.count() // size) or 1 for df, size in zip((test, train), blocks))
+    every = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")).alias(name)
+    a = test.select(F.col(key).alias("id"), vector.alias("v"), spread("tb", nt), every("rb", nr)).where("v is not null")
+    b = train.select(F.col(key).alias("id"), vector.alias("v"), F.col(label).cast("double").alias("label"), spread("rb", nr), every("tb", nt)).where("v is not null and label is not null")
+    kind = train.schema[key].dataType.simpleString()
+
+    def nearest(left, right):
+        import numpy as np
+        import pandas as pd
+
+        out = []
+        if len(left) and len(right):
+            vectors, ids, labels = np.stack(right["v"].to_numpy()), right["id"].to_numpy(), right["label"].to_numpy()
+            for i, v in zip(left["id"], left["v"]):
+                d = ((vectors - v) ** 2).sum(axis=1)
+                d[ids == i] = np.inf
+                at = np.flatnonzero(d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1])
+                at = at[np.isfinite(d[at])]
+                at = at[np.lexsort((ids[at], d[at]))][:k]
+                out.append(pd.DataFrame({"id": i, "other": ids[at], "d": d[at], "label": labels[at]}))
+        return pd.concat(out) if out else pd.DataFrame({"id": [], "other": [], "d": [], "label": []})
+
+    near = a.groupBy("tb", "rb").cogroup(b.groupBy("tb", "rb")).applyInPandas(nearest, f"id {kind}, other {kind}, d double, label double")
     best = near.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("d", "other"))).where(F.col("r") <= k)
     return best.groupBy("id").agg(F.avg("label").alias("prediction"))
 

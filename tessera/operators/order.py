@@ -51,6 +51,22 @@ def with_lag(df: DataFrame, by: str, of: str, name: str = "previous", tie: list[
     return cut.withColumn(name, F.when(F.row_number().over(w) == 1, carry).otherwise(F.lag(of).over(w))).drop("__bucket")
 
 
+def with_filled(df: DataFrame, by: str, c: str, tie: list[str] | None = None, backward: bool = False, buckets: int = 64) -> DataFrame:
+    """df with nulls of c filled by the last value before them in the order of `by` (backward: the next one), over bucket borders."""
+    cut = bucketed(df, by, buckets)
+    keys = [by, *(tie or [])]
+    edge = (F.min_by if backward else F.max_by)(c, F.when(F.col(c).isNotNull(), F.struct(*keys)))
+    edges = sorted(((r[0], r[1]) for r in cut.groupBy("__bucket").agg(edge).collect()), key=lambda r: r[0], reverse=backward)
+    kind, held, pairs = df.schema[c].dataType, None, []
+    for bucket, value in edges:
+        pairs += [F.lit(bucket), F.lit(held).cast(kind)]
+        held = held if value is None else value
+    outside = F.create_map(*pairs)[F.col("__bucket")] if pairs else F.lit(None).cast(kind)
+    w = Window.partitionBy("__bucket").orderBy(*keys)
+    found = F.first(c, True).over(w.rowsBetween(0, Window.unboundedFollowing)) if backward else F.last(c, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return cut.withColumn(c, F.coalesce(found, outside)).drop("__bucket")
+
+
 def frequencies(df: DataFrame, c: str, name: str = "v") -> DataFrame:
     """The value-frequency table of one column, without nulls: (v, n)."""
     return df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias(name)).agg(F.count("*").alias("n"))
@@ -71,8 +87,10 @@ def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float], buckets: in
     spark = df.sparkSession
     as_double = df.select(*(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in cols))
     near = as_double.agg(*(F.percentile_approx(c, [i / buckets for i in range(1, buckets)], 2_000).alias(f"b{i}") for i, c in enumerate(cols))).first()
-    place = {c: range_of(F.col(c), sorted(set(near[i] or []))) for i, c in enumerate(cols)}
-    sizes = as_double.select(*(F.when(F.col(c).isNotNull(), place[c]).alias(c) for c in cols)).unpivot([], cols, "column_name", "range").where("range is not null")
+    # numbered names, each range worked out once: the comparisons of many columns are a lot of code
+    place = {c: F.col(f"__range{i}") for i, c in enumerate(cols)}
+    ranged = as_double.withColumns({f"__range{i}": F.when(F.col(c).isNotNull(), range_of(F.col(c), sorted(set(near[i] or [])))) for i, c in enumerate(cols)})
+    sizes = ranged.select(*(place[c].alias(c) for c in cols)).unpivot([], cols, "column_name", "range").where("range is not null")
     parts: dict[str, dict[int, int]] = {c: {} for c in cols}
     for r in sizes.groupBy("column_name", "range").agg(F.count("*")).collect():
         parts[r[0]][r[1]] = r[2]
@@ -88,7 +106,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float], buckets: in
             before += m
         offset = F.get(F.array(*map(F.lit, offsets)).cast("array<bigint>"), place[c])
         held.append(F.when(F.col(c).isNotNull() & place[c].isin(wanted), F.struct(F.col(c).alias("v"), place[c].alias("range"), offset.alias("before"), F.lit(total).cast("bigint").alias("total"))).alias(c))
-    freq = as_double.select(*held).unpivot([], cols, "column_name", "x").where("x is not null").groupBy("column_name", "x").agg(F.count("*").alias("n")).select("column_name", "x.*", "n")
+    freq = ranged.select(*held).unpivot([], cols, "column_name", "x").where("x is not null").groupBy("column_name", "x").agg(F.count("*").alias("n")).select("column_name", "x.*", "n")
     run = freq.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("column_name", "range").orderBy("v")))
     rank = {q: F.floor(F.lit(float(q)) * (F.col("total") - 1)) for q in qs}
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
 from tessera.operators import profile as P
-from tessera.operators.order import average_ranks, exact_quantiles, frequencies, quantiles_of, top_amount, with_lag, with_running
+from tessera.operators.order import average_ranks, exact_quantiles, frequencies, quantiles_of, range_of, top_amount, with_lag, with_running
 
 
 def missingness(df: DataFrame) -> DataFrame:
@@ -62,13 +62,23 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
-    """tau-b on the grid of value pairs; meant for columns of few values (the grid meets itself)."""
-    g = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count("*").cast("double").alias("n"))
-    h = g.toDF("x2", "y2", "n2")
-    s = g.join(h, F.col("x2") >= F.col("x")).agg(F.sum(F.when(F.col("x2") > F.col("x"), F.col("n") * F.col("n2") * F.signum(F.when(F.col("y2") > F.col("y"), 1.0).when(F.col("y2") < F.col("y"), -1.0).otherwise(0.0)))).alias("s"))
+    """tau-b without comparing pairs: the ranks of two values first differ at one bit, above which they are the same prefix.
+
+    Each cell of the grid of value pairs counts once for each pair of bits of its two dense ranks; cells that share both
+    prefixes are concordant where both bits differ alike. That is one grouping, with partial sums, and no join of the grid with itself.
+    """
+    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b)
+    g = both.groupBy(F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count("*").cast("double").alias("n"))
+    bits = [max(1, int(k - 1).bit_length()) for k in g.agg(F.count_distinct("x"), F.count_distinct("y")).first()]
+    dense = lambda c, name: with_running(frequencies(both, c, name), name, {"rank": F.lit(1)}).select(name, (F.col("rank") - 1).alias(f"r{name}"))
+    cells = g.join(dense(a, "x"), "x").join(dense(b, "y"), "y")
+    for r, name, k in (("rx", "i", bits[0]), ("ry", "j", bits[1])):
+        cells = cells.withColumn(name, F.explode(F.array(*map(F.lit, range(k))))).withColumns({f"{r}_above": F.expr(f"shiftright({r}, {name} + 1)"), f"{r}_bit": F.expr(f"shiftright({r}, {name}) & 1")})
+    at = lambda x, y: F.sum(F.when((F.col("rx_bit") == x) & (F.col("ry_bit") == y), F.col("n")).otherwise(0.0)).alias(f"n{x}{y}")
+    s = cells.groupBy("i", "j", "rx_above", "ry_above").agg(at(0, 0), at(1, 1), at(0, 1), at(1, 0)).agg(F.sum(F.expr("n00 * n11 - n01 * n10")).alias("s"))
     ties = lambda c: g.groupBy(c).agg(F.sum("n").alias("t")).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias(f"tie_{c}"))
-    n = g.agg(F.sum("n").alias("total"))
-    return s.crossJoin(ties("x")).crossJoin(ties("y")).crossJoin(n).select(F.try_divide("s", F.sqrt((F.col("total") * (F.col("total") - 1) / 2 - F.col("tie_x")) * (F.col("total") * (F.col("total") - 1) / 2 - F.col("tie_y")))).alias("tau"))
+    n = g.agg((F.sum("n") * (F.sum("n") - 1) / 2).alias("pairs"))
+    return s.crossJoin(ties("x")).crossJoin(ties("y")).crossJoin(n).select(F.try_divide("s", F.sqrt((F.col("pairs") - F.col("tie_x")) * (F.col("pairs") - F.col("tie_y")))).alias("tau"))
 
 
 def eta_squared(df: DataFrame, numeric: str, category: str) -> DataFrame:
@@ -162,8 +172,46 @@ def target_balance(df: DataFrame, target: str) -> DataFrame:
     return df.groupBy(F.col(target).cast("string").alias("value")).agg(F.count("*").alias("n")).withColumn("ratio", F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 
+def top_levels(df: DataFrame, cols: list[str], k: int = 20) -> dict[str, list[str]]:
+    """The k commonest values, as text, of each column; of equally common ones the smaller."""
+    out: dict[str, list[str]] = {c: [] for c in cols}
+    if cols:
+        long = df.select(*(F.col(c).cast("string").alias(c) for c in cols)).unpivot([], cols, "feature", "level").where("level is not null")
+        w = Window.partitionBy("feature").orderBy(F.desc("n"), "level")
+        best = long.groupBy("feature", "level").agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
+        for r in sorted(best.collect(), key=lambda r: r["r"]):
+            out[r["feature"]].append(r["level"])
+    return out
+
+
+def numeric_target_associations(df: DataFrame, target: str, numeric: list[str], categories: list[str], levels: int = 20) -> DataFrame:
+    """feature, method, strength with a numeric target: |r|, or the spread of its medians over the commonest levels by its IQR.
+
+    The medians of all levels are one call of exact quantiles over the target split by level. Features of fewer than two levels are left out.
+    """
+    rows = df.where(F.col(target).isNotNull())
+    parts = [(c, level) for c, found in top_levels(rows, categories, levels).items() if len(found) > 1 for level in found]
+    split = rows.select(F.col(target).cast("double").alias("all"), *(F.when(F.col(c).cast("string") == level, F.col(target)).cast("double").alias(f"m{i}") for i, (c, level) in enumerate(parts)))
+    found = {r["column_name"]: r["q"] for r in exact_quantiles(split, split.columns, [0.25, 0.5, 0.75]).collect()}
+    scale = (found["all"][2] - found["all"][0] if found["all"] else 0.0) or 1.0
+    medians: dict[str, list[float]] = {}
+    for i, (c, _) in enumerate(parts):
+        medians.setdefault(c, []).append(found[f"m{i}"][1])
+    spreads = [(c, "median_spread", (max(m) - min(m)) / scale) for c, m in medians.items()]
+    out = df.sparkSession.createDataFrame(spreads, "feature string, method string, strength double")
+    if numeric:
+        pearson = rows.agg(*(F.abs(_pearson(F.col(c), F.col(target))).alias(c) for c in numeric)).unpivot([], numeric, "feature", "strength")
+        out = out.unionByName(pearson.select("feature", F.lit("pearson").alias("method"), "strength"))
+    return out
+
+
 def target_associations(df: DataFrame, target: str, numeric: list[str], categories: list[str]) -> DataFrame:
-    """Strength with a class target: spread of the medians over the target's IQR scale, or spread of row shares."""
+    """Strength with a class target: spread of the medians over the target's IQR scale, or spread of row shares.
+
+    A target of a numeric type is taken as a number: see numeric_target_associations.
+    """
+    if C.is_numeric(dict(df.dtypes)[target]):
+        return numeric_target_associations(df, target, numeric, categories)
     out = None
     if numeric:
         q = {r["column_name"]: (r["p75"] - r["p25"]) or 1.0 for r in P.quantiles11(df, numeric).collect()}
@@ -180,24 +228,42 @@ def target_associations(df: DataFrame, target: str, numeric: list[str], categori
     return out
 
 
-def target_best_splits(df: DataFrame, target: str, numeric: list[str], thresholds: int = 16, min_leaf: int = 5) -> DataFrame:
-    """feature, threshold, gain (bits): the best two-way split of each numeric feature for a class target.
+def target_best_splits(df: DataFrame, target: str, numeric: list[str], categories: list[str] = (), thresholds: int = 16, levels: int = 20, min_leaf: int = 5, regression: bool = False) -> DataFrame:
+    """feature, kind, threshold, level, gain: the best two-way split of each feature, by bits for a class target or by variance.
 
-    All thresholds of all features are counted in one pass: (feature, threshold, side, class) groups.
+    Numeric features are cut at quantiles from 5 to 95 percent, text features into one of the commonest levels and the
+    rest. Rows are counted once by the slot between cuts, or level; candidates then meet those few counts, not rows.
     """
-    cuts = {r["column_name"]: r["q"] or [] for r in exact_quantiles(df, numeric, [i / (thresholds + 1) for i in range(1, thresholds + 1)]).collect()}
-    long = df.where(F.col(target).isNotNull()).select(F.col(target).cast("string").alias("t"), *(F.col(c).cast("double").alias(c) for c in numeric)).unpivot("t", numeric, "feature", "v").where("v is not null")
-    table = F.create_map(*(x for c in numeric for x in (F.lit(c), F.array(*(F.lit(float(v)) for v in sorted(set(cuts[c])))).cast("array<double>"))))
-    # counted by slot between the thresholds first: the explode then multiplies a few counts, not the rows
-    slots = long.select("feature", "t", F.size(F.filter(table[F.col("feature")], lambda x: x < F.col("v"))).alias("slot")).groupBy("feature", "t", "slot").agg(F.count("*").alias("n"))
-    sides = slots.select("feature", "t", "n", "slot", F.posexplode(table[F.col("feature")]).alias("k", "threshold")).withColumn("left", F.col("slot") <= F.col("k"))
-    g = sides.groupBy("feature", "threshold", "left", "t").agg(F.sum("n").alias("n"))
-    h = g.groupBy("feature", "threshold", "left").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log2("n")).alias("nl"))
-    p = g.groupBy("feature", "threshold", "t").agg(F.sum("n").alias("n")).groupBy("feature", "threshold").agg(F.sum("n").alias("total"), (F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")).alias("parent"))
-    s = h.groupBy("feature", "threshold").agg(F.min("m").alias("least"), F.count("*").alias("k"), F.sum(F.col("m") * F.log2("m") - F.col("nl")).alias("child"))
-    gain = F.greatest(F.lit(0.0), F.col("parent") - F.col("child") / F.col("total"))
-    j = s.join(p, ["feature", "threshold"]).where((F.col("k") == 2) & (F.col("least") >= min_leaf)).withColumn("gain", gain)
-    return j.groupBy("feature").agg(F.min_by("threshold", F.struct(-F.round("gain", 12), "threshold")).alias("threshold"), F.max("gain").alias("gain"))
+    rows, features = df.where(F.col(target).isNotNull()), [*numeric, *categories]
+    m = max(3, thresholds)
+    cuts = {r["column_name"]: sorted(set(r["q"] or [])) for r in exact_quantiles(rows, list(numeric), [0.05 + 0.9 * i / (m - 1) for i in range(m)]).collect()} if numeric else {}
+    names = top_levels(rows, list(categories), levels)
+    slot = [F.when(F.col(c).isNotNull(), range_of(F.col(c).cast("double"), cuts[c])).cast("int").alias(c) for c in numeric]
+    slot += [(F.array_position(F.array(*map(F.lit, names[c])).cast("array<string>"), F.col(c).cast("string")) - 1).cast("int").alias(c) for c in categories]
+    center = (rows.agg(F.avg(target)).first()[0] or 0.0) if regression else None
+    t = (F.col(target).cast("double") - F.lit(float(center))) if regression else F.col(target).cast("string")
+    long = rows.select(t.alias("t"), *slot).unpivot("t", features, "feature", "slot").where("slot is not null")
+    options = [(c, "numeric_threshold", k, v, None) for c in numeric for k, v in enumerate(cuts[c])] + [(c, "category_one_vs_rest", k, None, v) for c in categories for k, v in enumerate(names[c])]
+    options = df.sparkSession.createDataFrame(options, "feature string, kind string, k int, threshold double, level string")
+    left = F.when(F.col("kind") == "numeric_threshold", F.col("slot") <= F.col("k")).otherwise(F.col("slot") == F.col("k")).alias("left")
+    n = F.col("n")
+    if regression:
+        parent = rows.agg(F.var_pop(target)).first()[0]
+        cells = long.groupBy("feature", "slot").agg(F.count("*").alias("n"), F.avg("t").alias("m"), F.var_pop("t").alias("v"))
+        impurity = F.sum(n * (F.col("v") + F.col("m") * F.col("m"))) / F.sum(n) - F.pow(F.sum(n * F.col("m")) / F.sum(n), 2)
+        sides = cells.join(options, "feature").groupBy("feature", "k", left)
+    else:
+        bits = lambda: F.log2(F.sum(n)) - F.sum(n * F.log2(n)) / F.sum(n)
+        parent = rows.groupBy(target).agg(F.count("*").alias("n")).agg(bits()).first()[0]
+        cells = long.groupBy("feature", "slot", "t").agg(F.count("*").alias("n"))
+        impurity = bits()
+        sides = cells.join(options, "feature").groupBy("feature", "k", left, "t").agg(F.sum("n").alias("n")).groupBy("feature", "k", "left")
+    sides = sides.agg(F.sum(n).alias("size"), impurity.alias("impurity"))
+    tried = sides.groupBy("feature", "k").agg(F.count("*").alias("sides"), F.min("size").alias("least"), (F.sum(F.col("size") * F.col("impurity")) / F.sum("size")).alias("child"))
+    tried = tried.where((F.col("sides") == 2) & (F.col("least") >= min_leaf)).withColumn("gain", F.greatest(F.lit(0.0), F.lit(parent).cast("double") - F.col("child")))
+    order = F.struct(-F.round(F.col("gain") / F.lit(parent or 1.0), 12), "k")
+    best = tried.groupBy("feature").agg(F.min_by("k", order).alias("k"), F.max("gain").alias("gain"))
+    return best.join(options, ["feature", "k"]).select("feature", "kind", "threshold", "level", "gain")
 
 
 def qq_points(df: DataFrame, c: str) -> DataFrame:

@@ -96,12 +96,35 @@ query("association_heatmap", "orders", "\nUNION ALL\n".join(f"SELECT '{x}' AS a,
 _TARGET = each(LINE, "SELECT '{c}' AS feature, 'median_spread' AS method, (SELECT max(m) - min(m) FROM (SELECT median({c}) AS m FROM lineitem GROUP BY l_returnflag)) / (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS strength FROM lineitem") + "\nUNION ALL\nSELECT 'l_linestatus', 'share_spread', max(t) - min(t) FROM (SELECT max(n) / sum(n)::DOUBLE AS t FROM (SELECT l_linestatus, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY l_linestatus)"
 query("target_associations", "lineitem", _TARGET)(lambda d: S.target_associations(d, "l_returnflag", list(LINE), ["l_linestatus"]))
 query("target_association_chart", "lineitem", _TARGET)(lambda d: G.chart_data(d, {"kind": "target_association", "target": "l_returnflag", "columns": [*LINE, "l_linestatus"]}))
-_SPLITS = each(("l_quantity", "l_tax"), """SELECT '{c}' AS feature, arg_min(t, (-round(gain, 12), t)) AS threshold, max(gain) AS gain FROM (
-  SELECT t, greatest(0, any_value(p) - sum(h)) AS gain FROM (
-    SELECT t, side, m / sum(m) OVER (PARTITION BY t) * (log2(m) - nl / m) AS h, (SELECT log2(sum(n)) - sum(n * log2(n)) / sum(n) FROM (SELECT count(*)::DOUBLE AS n FROM lineitem GROUP BY l_returnflag)) AS p, count(*) OVER (PARTITION BY t) AS sides, min(m) OVER (PARTITION BY t) AS least
-    FROM (SELECT t, side, sum(n) AS m, sum(n * log2(n)) AS nl FROM (SELECT t, {c} <= t AS side, l_returnflag, count(*)::DOUBLE AS n FROM lineitem, (SELECT DISTINCT unnest(quantile_cont({c}, [i / 17.0::DOUBLE for i in range(1, 17)])) AS t FROM lineitem) GROUP BY 1, 2, 3) GROUP BY 1, 2)
-  ) WHERE sides = 2 AND least >= 5 GROUP BY t)""".replace("[i / 17.0::DOUBLE for i in range(1, 17)]", "[" + ", ".join(str(i / 17) for i in range(1, 17)) + "]"))
-query("target_best_splits", "lineitem", _SPLITS)(lambda d: S.target_best_splits(d, "l_returnflag", ["l_quantity", "l_tax"]))
+query("numeric_target_associations", "lineitem", "\nUNION ALL\n".join(
+    ["SELECT '{c}' AS feature, 'pearson' AS method, abs(corr({c}, l_extendedprice)) AS strength FROM lineitem".replace("{c}", c) for c in ("l_quantity", "l_discount", "l_tax")]
+    + ["SELECT '{c}', 'median_spread', (max(m) - min(m)) / (SELECT quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25) FROM lineitem) FROM (SELECT median(l_extendedprice) AS m FROM lineitem GROUP BY {c})".replace("{c}", c) for c in ("l_returnflag", "l_linestatus")]
+))(lambda d: S.target_associations(d, "l_extendedprice", ["l_quantity", "l_discount", "l_tax"], ["l_returnflag", "l_linestatus"]))
+# each candidate's two sides are measured on the rows themselves
+_CUTS = "[" + ", ".join(str(0.05 + 0.9 * i / 15) for i in range(16)) + "]"
+_BITS = "(SELECT log2(sum(n)) - sum(n * log2(n)) / sum(n) FROM (SELECT count(*)::DOUBLE AS n FROM lineitem GROUP BY l_returnflag))"
+_BITS_OF = "SELECT t, k, side, sum(n) AS m, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS h FROM (SELECT t, k, {f} AS side, l_returnflag, count(*)::DOUBLE AS n FROM lineitem, {o} GROUP BY ALL) GROUP BY 1, 2, 3"
+_VARIANCE_OF = "SELECT t, k, {f} AS side, count(*)::DOUBLE AS m, var_pop(l_extendedprice) AS h FROM lineitem, {o} GROUP BY 1, 2, 3"
+
+
+def _splits_sql(numeric, words, sides: str, parent: str, digits: int) -> str:
+    best = "FROM (SELECT t, k, greatest(0, {p} - sum(m * h) / sum(m)) AS gain FROM ({s}) GROUP BY 1, 2 HAVING count(*) = 2 AND min(m) >= 5)".replace("{p}", parent)
+    cut = "(SELECT t, row_number() OVER (ORDER BY t) AS k FROM (SELECT DISTINCT unnest(quantile_cont({c}, {q})) AS t FROM lineitem))".replace("{q}", _CUTS)
+    level = "(SELECT t, row_number() OVER (ORDER BY n DESC, t) AS k FROM (SELECT {c} AS t, count(*) AS n FROM lineitem GROUP BY 1) ORDER BY k LIMIT 20)"
+    order = f"(-round(gain / {parent}, 12), k)"
+    out = [f"SELECT '{{c}}' AS feature, 'numeric_threshold' AS kind, arg_min(t, {order}) AS threshold, NULL::VARCHAR AS level, max(gain) AS gain {best}".replace("{s}", sides).replace("{f}", "{c} <= t").replace("{o}", cut).replace("{c}", c) for c in numeric]
+    out += [f"SELECT '{{c}}', 'category_one_vs_rest', NULL::DOUBLE, arg_min(t, {order}), max(gain) {best}".replace("{s}", sides).replace("{f}", "{c} = t").replace("{o}", level).replace("{c}", c) for c in words]
+    return f"SELECT feature, kind, threshold, level, round(gain, {digits}) AS gain FROM ({' UNION ALL '.join(out)})"
+
+
+query("target_best_splits", "lineitem", _splits_sql(("l_quantity", "l_tax"), ("l_linestatus",), _BITS_OF, _BITS, 10))(lambda d: S.target_best_splits(d, "l_returnflag", ["l_quantity", "l_tax"], ["l_linestatus"]).withColumn("gain", F.round("gain", 10)))
+query("numeric_target_splits", "lineitem", _splits_sql(("l_quantity", "l_discount"), ("l_returnflag", "l_linestatus"), _VARIANCE_OF, "(SELECT var_pop(l_extendedprice) FROM lineitem)", 2))(lambda d: S.target_best_splits(d, "l_extendedprice", ["l_quantity", "l_discount"], ["l_returnflag", "l_linestatus"], regression=True).withColumn("gain", F.round("gain", 2)))
+for _n, _f, _back in (("fill_forward_global", "last_value(price_null IGNORE NULLS) OVER (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)", False), ("fill_backward_global", "first_value(price_null IGNORE NULLS) OVER (ORDER BY o_orderkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)", True)):
+    query(_n, "dirty", f"SELECT o_orderkey, {_f} AS price_null FROM {{dirty}}")(lambda d, back=_back: K.fill_forward(d, "price_null", "o_orderkey", backward=back).select("o_orderkey", "price_null"))
+query("knn_predict", "embeddings", "SELECT id, avg(label)::DOUBLE AS prediction FROM (SELECT q.vec_id AS id, t.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.embedding::DOUBLE[], t.embedding::DOUBLE[]), t.vec_id) AS r FROM embeddings q JOIN embeddings t ON q.vec_id <> t.vec_id WHERE q.vec_id % 50 = 0) WHERE r <= 5 GROUP BY 1")(lambda d: M.knn_predict(d, d.where("vec_id % 50 = 0"), ["embedding"], "label", "vec_id"))
+_model_rows = lambda d: d.select("l_orderkey", "l_quantity", "l_discount", "l_tax", "l_linestatus", F.col("l_extendedprice").alias("label"))
+query("modeling_baseline", "lineitem")(lambda d: M.modeling_baseline(_model_rows(d), "l_orderkey", ["l_quantity", "l_discount", "l_tax"], ["l_linestatus"], "regression"))
+query("target_importance", "lineitem")(lambda d: M.target_importance(_model_rows(d), "l_orderkey", ["l_quantity", "l_discount", "l_tax"], ["l_linestatus"], "regression"))
 
 
 def _horner(xs, x: str) -> str:
