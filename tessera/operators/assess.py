@@ -20,11 +20,14 @@ RATINGS = {
     "classification": ("accuracy", ((0.85, "strong"), (0.7, "promising"), (0.55, "weak")), "poor"),
     "clustering": ("squared_silhouette", ((0.5, "strong"), (0.25, "promising")), "exploratory"),
 }
-#: Actions of each preset; the first takes those of high confidence only.
+_TYPES = ("trim_strings", "standardize_missing", "parse_numeric", "parse_datetime", "binary_mapping")
+#: Actions of each preset, None for all; the first takes those of high confidence only.
 PRESETS = {
-    "safe_defaults": ("trim_strings", "standardize_missing", "parse_numeric", "parse_datetime", "binary_mapping"),
-    "type_prep": ("trim_strings", "standardize_missing", "parse_numeric", "parse_datetime", "binary_mapping"),
-    "audit_all": (),
+    "safe_defaults": _TYPES,
+    "type_prep": _TYPES,
+    "analysis_ready": ("column_rename_review", *_TYPES),
+    "power_review": ("column_rename_review", *_TYPES, "numeric_outlier_review"),
+    "audit_all": None,
 }
 SAFE = 0.9
 
@@ -54,10 +57,10 @@ def suggested_config(df: DataFrame) -> DataFrame:
 
 
 def cleaning_preset(plan: DataFrame, preset: str) -> DataFrame:
-    """The plan's actions that a preset selects; `audit_all` only lists, so it selects none to apply."""
+    """The actions that a preset selects of a plan, which may hold the rows of cleaning_plan and review_plan."""
     if preset not in PRESETS:
         raise ValueError(f"unknown preset {preset!r}; known are {', '.join(PRESETS)}")
-    chosen = plan.where(F.col("action").isin(*PRESETS[preset])) if PRESETS[preset] else plan.limit(0)
+    chosen = plan if PRESETS[preset] is None else plan.where(F.col("action").isin(*PRESETS[preset]))
     return chosen.where(F.col("confidence") >= SAFE) if preset == "safe_defaults" else chosen
 
 

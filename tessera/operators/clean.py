@@ -253,12 +253,47 @@ def cleaning_plan(df: DataFrame) -> DataFrame:
     return row.where(fits).select("action", "column_name", "affected", "confidence")
 
 
+#: Names that a plan gives to the table's rows and to its column names.
+ROWS, COLUMNS = "__rows__", "__columns__"
+
+
+def review_plan(df: DataFrame, factor: float = 1.5) -> DataFrame:
+    """action, column_name, affected, confidence: what a person should look at, beside the steps of cleaning_plan.
+
+    Column names to clean, repeated rows (those beyond the first), nulls, labels that are equal but for case and white
+    space (the rows of the rarer forms), numbers outside the fences of the interquartile range.
+    """
+    from tessera.operators.profile import duplicate_rows, per_column
+
+    spark, shape = df.sparkSession, "action string, column_name string, affected bigint, confidence double"
+    renamed = sum(a != b for a, b in zip(df.columns, C.clean_names(df.columns)))
+    out = spark.createDataFrame([("column_rename_review", COLUMNS, renamed, 0.88)] if renamed else [], shape)
+    add = lambda d, action, confidence: out.unionByName(d.select(F.lit(action).alias("action"), "column_name", F.col("affected").cast("bigint").alias("affected"), (F.lit(confidence) if isinstance(confidence, float) else confidence).alias("confidence")).where("affected > 0"))
+    out = add(duplicate_rows(df).select(F.lit(ROWS).alias("column_name"), F.col("duplicate_rows").alias("affected")), "duplicate_row_review", 0.94)
+    out = add(per_column(df, df.columns, {"affected": lambda c: F.count_if(c.isNull())}), "missing_value_review", 0.8)
+    text, numeric = C.columns_of(df, lambda k: k == "string"), C.columns_of(df, C.is_numeric)
+    if text:
+        forms = df.select(*text).unpivot([], text, "column_name", "v").where("v is not null").groupBy("column_name", "v").agg(F.count("*").alias("n"))
+        labels = forms.groupBy("column_name", F.lower(C.strip(F.col("v"))).alias("label")).agg((F.sum("n") - F.max("n")).alias("rarer"))
+        out = add(labels.groupBy("column_name").agg(F.sum("rarer").alias("affected")), "category_value_review", 0.72)
+    if numeric:
+        fences = {r["column_name"]: r["q"] for r in exact_quantiles(df, numeric, [0.25, 0.75]).collect() if r["q"]}
+        wide = {c: (a - factor * (b - a), b + factor * (b - a)) for c, (a, b) in fences.items() if b > a}
+        if wide:
+            outside = df.agg(*(F.struct(F.count_if(~C.value(df, c).between(*wide[c])).alias("affected"), F.count(C.value(df, c)).alias("n")).alias(c) for c in wide)).unpivot([], list(wide), "column_name", "s").select("column_name", "s.*")
+            out = add(outside, "numeric_outlier_review", F.when(F.col("affected") >= 0.05 * F.col("n"), 0.78).otherwise(0.66))
+    return out
+
+
 def apply_cleaning(df: DataFrame, plan: DataFrame) -> DataFrame:
-    """The plan's actions in a fixed order as one lazy plan; a column gets one type of parsing at most."""
+    """The plan's actions in a fixed order as one lazy plan; a column gets one type of parsing at most.
+
+    Of the reviews, outliers are flagged, before values change, and names are cleaned at the end; the others change nothing.
+    """
     actions: dict[str, set[str]] = {}
     for r in plan.collect():
         actions.setdefault(r["column_name"], set()).add(r["action"])
-    out = df
+    out = clean_numeric_outliers(df, {c: ("iqr", "flag") for c, todo in actions.items() if "numeric_outlier_review" in todo})
     for c, todo in actions.items():
         if "trim_strings" in todo:
             out = trim_strings(out, [c])
@@ -270,7 +305,7 @@ def apply_cleaning(df: DataFrame, plan: DataFrame) -> DataFrame:
             out = parse_numeric(out, c)
         elif "parse_datetime" in todo:
             out = parse_datetime(out, c)
-    return out
+    return rename_columns(out) if "column_rename_review" in actions.get(COLUMNS, ()) else out
 
 
 def modeling_plan(df: DataFrame, target: str) -> DataFrame:

@@ -148,6 +148,12 @@ query("invalid_datetime", "dirty", "SELECT (SELECT count(*)::BIGINT FROM {dirty}
 _PLAN = "WITH s AS (SELECT c, count(*) FILTER (v IS NOT NULL AND NOT gone)::DOUBLE AS useful, count(*) FILTER (v <> trim(v)) AS trims, count(*) FILTER (gone) AS missing, count(*) FILTER (try_cast(v AS DOUBLE) IS NOT NULL) AS nums, count(*) FILTER (lower(trim(v)) IN ('y', 'yes', 'no', '0', '1')) AS flags FROM (SELECT *, lower(trim(v)) IN ('', 'n/a') AS gone FROM (SELECT 'num_text' AS c, num_text AS v FROM {dirty} UNION ALL SELECT 'flag_text', flag_text FROM {dirty})) GROUP BY 1) SELECT action, c AS column_name, affected::BIGINT AS affected, confidence::DOUBLE AS confidence FROM (SELECT 'trim_strings' AS action, c, trims AS affected, 0.95 AS confidence, trims > 0 AS fits FROM s UNION ALL SELECT 'standardize_missing', c, missing, 0.9, missing > 0 FROM s UNION ALL SELECT 'parse_numeric', c, nums, 0.85, nums >= 0.9 * greatest(useful, 1) FROM s UNION ALL SELECT 'binary_mapping', c, flags, 0.9, flags >= 0.9 * greatest(useful, 1) FROM s) WHERE fits"
 query("cleaning_plan", "dirty", _PLAN)(lambda d: K.cleaning_plan(d.select("num_text", "flag_text")))
 query("cleaning_presets", "dirty", f"SELECT * FROM ({_PLAN}) WHERE confidence >= 0.9")(lambda d: A.cleaning_preset(K.cleaning_plan(d.select("num_text", "flag_text")), "safe_defaults"))
+_REVIEW = """SELECT 'missing_value_review' AS action, 'price_null' AS column_name, count(*) FILTER (price_null IS NULL)::BIGINT AS affected, 0.8::DOUBLE AS confidence FROM {dirty}
+UNION ALL SELECT 'missing_value_review', 'flag_text', count(*) FILTER (flag_text IS NULL), 0.8 FROM {dirty}
+UNION ALL SELECT 'duplicate_row_review', '__rows__', (SELECT count(*) FROM {dirty}) - (SELECT count(*) FROM (SELECT DISTINCT price_null, flag_text, price_spike FROM {dirty})), 0.94
+UNION ALL SELECT 'numeric_outlier_review', c, count(*) FILTER (v < a - 1.5 * (b - a) OR v > b + 1.5 * (b - a)), CASE WHEN count(*) FILTER (v < a - 1.5 * (b - a) OR v > b + 1.5 * (b - a)) >= 0.05 * count(v) THEN 0.78 ELSE 0.66 END FROM (SELECT *, quantile_cont(v, 0.25) OVER (PARTITION BY c) AS a, quantile_cont(v, 0.75) OVER (PARTITION BY c) AS b FROM (SELECT 'price_null' AS c, price_null AS v FROM {dirty} UNION ALL SELECT 'price_spike', price_spike FROM {dirty})) GROUP BY c
+UNION ALL SELECT 'category_value_review', 'flag_text', sum(n - m), 0.72 FROM (SELECT sum(n) AS n, max(n) AS m FROM (SELECT flag_text AS v, count(*) AS n FROM {dirty} WHERE flag_text IS NOT NULL GROUP BY 1) GROUP BY lower(trim(v)))"""
+query("review_plan", "dirty", f"SELECT * FROM ({_REVIEW}) WHERE affected > 0")(lambda d: K.review_plan(d.select("price_null", "flag_text", "price_spike")))
 # --- metrics and linear models ---------------------------------------------------------------------------------
 _flagged = lambda d: d.select((F.col("l_returnflag") == "R").cast("double").alias("label"), (F.col("l_quantity") > 25).cast("double").alias("prediction"))
 _CELLS = "(SELECT (l_returnflag = 'R')::INT AS y, (l_quantity > 25)::INT AS p, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1, 2)"

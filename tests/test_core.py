@@ -8,6 +8,7 @@ from tessera.operators import assess as A
 from tessera.operators import charts as G
 from tessera.operators import clean as K
 from tessera.operators import order as O
+from tessera.operators import modeling as M
 from tessera.operators import profile as P
 from tessera.operators import rules as R
 from tessera.operators import stats as S
@@ -134,7 +135,7 @@ def test_assessment_and_presets(spark, tmp_path):
     assert [r["rating"] for r in A.model_assessment(m, "regression").collect()] == ["strong", "promising", "poor", "needs_review"]
     d = spark.createDataFrame([(1, "Y", 1.0), (2, "N", 2.0), (3, "Y", 4.0)], "i int, f string, x double")
     plan = K.cleaning_plan(d)
-    assert {r["action"] for r in A.cleaning_preset(plan, "safe_defaults").collect()} == {"binary_mapping"} and A.cleaning_preset(plan, "audit_all").count() == 0
+    assert {r["action"] for r in A.cleaning_preset(plan, "safe_defaults").collect()} == {"binary_mapping"} and A.cleaning_preset(plan, "audit_all").count() == plan.count()
     with pytest.raises(ValueError):
         A.cleaning_preset(plan, "other")
     assert A.task_inference(d, "f").first()["task"] == "binary_classification"
@@ -164,8 +165,6 @@ def test_no_group_holds_all_values(spark):
 def test_stratified_split_sorts_no_whole_class(spark):
     from pyspark.sql import Window
 
-    from tessera.operators import modeling as M
-
     d = spark.createDataFrame([(i, "a" if i % 10 else None if i % 20 else "b") for i in range(2000)] + [(5000, "single")], "id int, label string")
     got = M.stratified_split(d, "id", "label")
     rank = F.percent_rank().over(Window.partitionBy("label").orderBy(C.hash_order(["id"]), "id"))
@@ -260,8 +259,6 @@ def test_every_chart_kind_has_data(spark):
 
 
 def test_cluster_profile_is_the_mean_distance_from_the_overall_mean(spark):
-    from tessera.operators import modeling as M
-
     d = spark.createDataFrame([(0, 1.0), (0, 3.0), (1, 10.0), (2, 6.0)], "cluster int, v double")
     assert M.cluster_profile(d, ["v"]).first()["separation"] == pytest.approx((abs(2 - 5) + abs(10 - 5) + abs(6 - 5)) / 3)
 
@@ -278,3 +275,80 @@ def test_replay_fails_with_a_reason(spark, tmp_path):
 def test_range_clip_without_bounds_keeps_nulls(spark):
     d = spark.createDataFrame([(1.0,), (None,)], "v double")
     assert V.range_clip(d, "v").count() == 2 and V.range_clip(d, "v", 0, 5).count() == 1
+
+
+def test_reviews_and_presets(spark):
+    d = spark.createDataFrame([(float(i), "Red" if i % 5 else "red ") for i in range(30)] + [(900.0, "Red"), (900.0, "Red"), (None, None)], "`Unit Price` double, colour string")
+    review = K.review_plan(d)
+    review = spark.createDataFrame(review.collect(), review.schema)
+    got = {(r["action"], r["column_name"]): r["affected"] for r in review.collect()}
+    assert got == {("column_rename_review", "__columns__"): 1, ("duplicate_row_review", "__rows__"): 1, ("missing_value_review", "Unit Price"): 1, ("missing_value_review", "colour"): 1, ("category_value_review", "colour"): 6, ("numeric_outlier_review", "Unit Price"): 2}
+    plan = spark.createDataFrame(K.cleaning_plan(d).collect(), review.schema).unionByName(review)
+    assert A.cleaning_preset(plan, "audit_all").count() == plan.count()
+    assert {r["action"] for r in A.cleaning_preset(plan, "analysis_ready").collect()} == {"column_rename_review", "trim_strings"}
+    done = K.apply_cleaning(d, A.cleaning_preset(plan, "power_review"))
+    assert done.columns[0] == "unit_price" and done.where("unit_price_is_outlier = 1").count() == 2 and done.where("colour = 'red'").count() == 6
+    empty = K.review_plan(d.limit(0))
+    assert {r["action"] for r in empty.collect()} == {"column_rename_review"}
+
+
+def test_kendall_counts_no_pairs(spark):
+    import itertools
+    import random
+
+    random.seed(5)
+    rows = [(random.randint(0, 9), random.randint(0, 6)) for _ in range(80)] + [(None, 1), (2, None)]
+    whole = [r for r in rows if None not in r]
+    pairs = [((a > c) - (a < c), (b > d) - (b < d)) for (a, b), (c, d) in itertools.combinations(whole, 2)]
+    want = sum(x * y for x, y in pairs) / (sum(x != 0 for x, _ in pairs) * sum(y != 0 for _, y in pairs)) ** 0.5
+    d = spark.createDataFrame(rows, "a int, b int")
+    assert abs(S.kendall(d, "a", "b").first()[0] - want) < 1e-12
+    assert S.kendall(d.where("a = 1"), "a", "b").first()[0] is None and S.kendall(d.limit(0), "a", "b").first()[0] is None
+
+
+@pytest.mark.parametrize("blocks", [(2_048, 32_768), (3, 7)])
+def test_nearest_rows_over_blocks(spark, blocks):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    v = rng.integers(0, 4, (60, 3)).astype(float)
+    d = spark.createDataFrame([(i, v[i].tolist(), float(i % 7)) for i in range(60)] + [(60, None, 1.0)], "id int, v array<double>, label double")
+    got = {r["id"]: r["prediction"] for r in M.knn_predict(d, d.where("id % 10 = 0"), ["v"], "label", "id", 4, blocks).collect()}
+    assert set(got) == set(range(0, 60, 10))
+    for i, p in got.items():
+        near = sorted((((v[j] - v[i]) ** 2).sum(), j) for j in range(60) if j != i)[:4]
+        assert abs(p - np.mean([j % 7 for _, j in near])) < 1e-12
+    assert M.knn_predict(d.limit(0), d, ["v"], "label", "id").count() == 0
+
+
+def test_fill_over_all_rows(spark):
+    rows = [(i, None if i % 9 else float(i)) for i in range(3, 400)]
+    d = spark.createDataFrame(rows, "i int, v double").repartition(7)
+    held, want = None, []
+    for i, v in rows:
+        held = held if v is None else v
+        want.append((i, held))
+    assert [tuple(r) for r in K.fill_forward(d, "v", "i").orderBy("i").collect()] == want
+    back = {r["i"]: r["v"] for r in K.fill_forward(d, "v", "i", backward=True).collect()}
+    assert back[3] == 9.0 and back[10] == 18.0 and back[399] is None
+    assert K.fill_forward(d.limit(0), "v", "i").count() == 0
+
+
+def test_splits_and_associations_of_a_numeric_target(spark):
+    rows = [(float(i), "a" if i < 40 else "b" if i < 70 else "c", (10.0 if i < 40 else 0.0) + i % 2) for i in range(100)] + [(5.0, None, 3.0), (None, "a", None)]
+    d = spark.createDataFrame(rows, "x double, g string, y double")
+    got = {r["feature"]: r for r in S.target_best_splits(d, "y", ["x"], ["g"], regression=True).collect()}
+    assert got["g"]["level"] == "a" and 32 < got["x"]["threshold"] < 45 and got["g"]["gain"] > 20
+    bits = {r["feature"]: r for r in S.target_best_splits(d.withColumn("y", F.col("y") > 5), "y", ["x"], ["g"]).collect()}
+    assert bits["g"]["level"] == "a" and bits["g"]["gain"] > 0.9
+    tied = {(r["feature"], r["method"]): r["strength"] for r in S.target_associations(d, "y", ["x"], ["g"]).collect()}
+    assert tied["g", "median_spread"] == 1.0 and 0.8 < tied["x", "pearson"] < 1
+    assert S.target_best_splits(d.limit(0), "y", ["x"], ["g"], regression=True).count() == 0
+
+
+def test_baseline_and_importance(spark):
+    d = spark.createDataFrame([(i, float(i % 17), float(i % 5), float(i % 17) * 3) for i in range(400)], "i int, x double, z double, label double")
+    m = {r["metric"]: (r["baseline"], r["model"]) for r in M.modeling_baseline(d, "i", ["x", "z"], [], "regression", "linear").collect()}
+    assert m["r2"][0] < 0.1 and m["r2"][1] > 0.99 and m["mae"][1] < m["mae"][0]
+    top = M.target_importance(d, "i", ["x", "z"], [], "regression").orderBy(F.desc("importance")).first()
+    assert top["column_name"] == "x" and top["suspicion"] == "possible_leakage_or_proxy" and top["permutation"] > 0.5
