@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.clustering import BisectingKMeans, KMeans
@@ -12,7 +14,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import hash_order, hash_part
+from tessera.functions.columns import hash_order, hash_part, is_numeric
 from tessera.functions.shared import cut_lineage
 from tessera.operators.order import exact_quantiles, quantiles_of, with_running
 
@@ -36,6 +38,39 @@ def stratified_split(df: DataFrame, key: str, label: str, test: float = 0.25, se
     return ranked.withColumn("is_test", F.coalesce(F.try_divide(rank - 1, F.col("__all") - 1), F.lit(0.0)) < test).select(*df.columns, "is_test")
 
 
+#: Semantic types that a model takes no feature from.
+UNUSABLE = ("constant", "mostly_missing", "text", "json-like")
+
+
+def derived_from(name: str, target: str) -> bool:
+    """Whether a column's name suggests that it was made from the target: it holds its name, or is a price for a price per unit."""
+    plain = lambda x: re.sub(r"[\W_]", "", x.lower())
+    unit_price = "price" in target.lower() and re.search("price_per|per_price", name.lower())
+    return bool(plain(target) and plain(target) in plain(name) or unit_price)
+
+
+def feature_select(df: DataFrame, target: str, wanted: list[str] | None = None, keep_identifiers: bool = False, allow_derived: bool = False) -> DataFrame:
+    """column_name, role (numeric, datetime, categorical or drop), reason: which columns a model of the target takes, and as what.
+
+    Columns named in `wanted` are left out only as the target or as derived from it; without it, identifiers, constants, columns
+    of nearly no values, long text and JSON go as well.
+    """
+    from tessera.operators.rules import semantic_types
+
+    kind, semantic = dict(df.dtypes), F.col("semantic_type")
+    marked = lambda names: F.col("column_name").isin(*names)
+    reason = F.when(F.col("column_name") == target, "target")
+    if not allow_derived:
+        reason = reason.when(marked([c for c in df.columns if derived_from(c, target)]), "target_derived")
+    if wanted is not None:
+        reason = reason.when(~marked(wanted), "not_wanted")
+    else:
+        reason = reason.when(semantic.isin(*UNUSABLE, *([] if keep_identifiers else ["identifier"])), semantic)
+    number = marked([c for c, k in kind.items() if is_numeric(k)]) | semantic.isin("numeric-like", "amount", "percentage")
+    role = F.when(F.col("reason").isNotNull(), "drop").when(number, "numeric").when(semantic.isin("datetime", "datetime-like"), "datetime").otherwise("categorical")
+    return semantic_types(df).withColumn("reason", reason).select("column_name", role.alias("role"), "reason")
+
+
 def features(numeric: list[str], categories: list[str] = (), scale: bool = True, degree: int = 1) -> list:
     out = [Imputer(strategy="median", inputCols=numeric, outputCols=[f"{c}__f" for c in numeric])]
     cats = [f"{c}__i" for c in categories]

@@ -123,6 +123,7 @@ for _n, _f, _back in (("fill_forward_global", "last_value(price_null IGNORE NULL
     query(_n, "dirty", f"SELECT o_orderkey, {_f} AS price_null FROM {{dirty}}")(lambda d, back=_back: K.fill_forward(d, "price_null", "o_orderkey", backward=back).select("o_orderkey", "price_null"))
 query("knn_predict", "embeddings", "SELECT id, avg(label)::DOUBLE AS prediction FROM (SELECT q.vec_id AS id, t.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.embedding::DOUBLE[], t.embedding::DOUBLE[]), t.vec_id) AS r FROM embeddings q JOIN embeddings t ON q.vec_id <> t.vec_id WHERE q.vec_id % 50 = 0) WHERE r <= 5 GROUP BY 1")(lambda d: M.knn_predict(d, d.where("vec_id % 50 = 0"), ["embedding"], "label", "vec_id"))
 _model_rows = lambda d: d.select("l_orderkey", "l_quantity", "l_discount", "l_tax", "l_linestatus", F.col("l_extendedprice").alias("label"))
+query("feature_select", "orders")(lambda d: M.feature_select(d, "o_totalprice"))
 query("modeling_baseline", "lineitem")(lambda d: M.modeling_baseline(_model_rows(d), "l_orderkey", ["l_quantity", "l_discount", "l_tax"], ["l_linestatus"], "regression"))
 query("target_importance", "lineitem")(lambda d: M.target_importance(_model_rows(d), "l_orderkey", ["l_quantity", "l_discount", "l_tax"], ["l_linestatus"], "regression"))
 

@@ -352,3 +352,12 @@ def test_baseline_and_importance(spark):
     assert m["r2"][0] < 0.1 and m["r2"][1] > 0.99 and m["mae"][1] < m["mae"][0]
     top = M.target_importance(d, "i", ["x", "z"], [], "regression").orderBy(F.desc("importance")).first()
     assert top["column_name"] == "x" and top["suspicion"] == "possible_leakage_or_proxy" and top["permutation"] > 0.5
+
+
+def test_feature_select(spark):
+    d = spark.createDataFrame([(i, "c", float(i % 7) * 1.5, "ab"[i % 2], float(i % 5), float(i % 5) + 1) for i in range(60)], "row_id int, same string, size double, kind string, sold double, sold_log double")
+    got = {r["column_name"]: (r["role"], r["reason"]) for r in M.feature_select(d, "sold").collect()}
+    assert got == {"row_id": ("drop", "identifier"), "same": ("drop", "constant"), "size": ("numeric", None), "kind": ("categorical", None), "sold": ("drop", "target"), "sold_log": ("drop", "target_derived")}
+    chosen = {r["column_name"]: r["role"] for r in M.feature_select(d, "sold", ["row_id", "sold_log"], allow_derived=True).collect()}
+    assert {c for c, role in chosen.items() if role == "numeric"} == {"row_id", "sold_log"} and chosen["size"] == "drop"
+    assert M.derived_from("Price_per_foot", "list price") and not M.derived_from("size", "price")
