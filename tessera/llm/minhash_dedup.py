@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import RangeHash, lower_bytes, materialize, mix64, runs_of_docs, shared_dir, text_bytes, word_spans
@@ -24,7 +24,8 @@ BASE, RATE, LIMIT = 1.02, 20.0, 2000
 SLACK = 0.2
 #: Pairs whose share of equal registers is lower than the threshold by so much are not estimated.
 FAR = 0.35
-BLOCK = 512
+#: A block holds about so many documents or shingles at most.
+BLOCK, SHINGLES = 512, 1 << 22
 
 _rng = np.random.default_rng(777)
 _FLIP = _rng.integers(0, 2**63, REGISTERS, dtype=np.uint64)
@@ -151,56 +152,73 @@ def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
+def near_pairs(table, percent: int) -> np.ndarray:
+    """Rows i, j and likelihood estimate of the pairs of a task that may be linked, the likeliest first.
+
+    Pairs are of block lo with block hi, of unlike labels, without a common band before the task's own (there they meet
+    as well), and with registers near enough.
+    """
+    lo, hi, block, band = (table.column(c).to_numpy() for c in ("lo", "hi", "block", "band"))
+    label = np.unique(table.column("label").to_pylist(), return_inverse=True)[1]
+    regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.int16).reshape(len(block), -1)
+    n = table.column("n").to_numpy().astype(float)
+    left, right = np.flatnonzero(block == lo[0]), np.flatnonzero(block == hi[0])
+    rows, found = band_layout(percent)[1], []
+    for i in left:
+        js = right[right > i] if lo[0] == hi[0] else right
+        js = js[(label[js] != label[i]) & (100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i]))]
+        same = regs[js] == regs[i]
+        js = js[(same.mean(axis=1) >= percent / 100 - FAR) & ~same[:, : band[0] * rows].reshape(len(js), band[0], rows).all(axis=2).any(axis=1)]
+        if len(js):
+            found.append(np.stack([np.full(len(js), i), js]))
+    i, j = np.concatenate(found, axis=1) if found else np.zeros((2, 0), int)
+    likely = np.zeros(len(i))
+    for k in range(0, len(i), 50_000):
+        x, y = i[k : k + 50_000], j[k : k + 50_000]
+        likely[k : k + 50_000] = estimate(regs[x], regs[y], n[x], n[y])
+    order = np.argsort(-likely, kind="stable")
+    return np.stack([i, j])[:, order[likely[order] >= percent / 100 - SLACK]]
+
+
+def candidates_within(dealt: DataFrame, percent: int) -> DataFrame:
+    """The rows of dealt(key, lo, hi, rep, block, label, band, n, regs) that have a near pair in their task, without registers."""
+    columns = ["key", "lo", "hi", "rep", "block", "label", "band"]
+
+    def run(table):
+        return table.select(columns).take(np.unique(near_pairs(table, percent)))
+
+    return dealt.groupBy("key", "lo", "hi").applyInArrow(run, dealt.select(columns).schema)
+
+
 def links_within(dealt: DataFrame, percent: int) -> DataFrame:
-    """Ties (a, b) of what verified links join in each task of dealt(cluster, task, rep, block, regs, items).
+    """Ties (a, b) of what verified links join in each task of dealt(key, lo, hi, rep, block, label, band, n, regs, items).
 
-    All pairs of the task's two blocks are compared by their registers; those whose likelihood estimate comes near
-    the threshold are verified on the full sets, the likeliest first, unless earlier links already join them. Each
-    document that is joined is tied to the smallest id that it is joined with, so that ties form no long chains.
+    Near pairs are verified on the full sets, the likeliest first, unless earlier links already join their labels.
+    Each label that is joined is tied to the smallest that it is joined with, so that ties form no long chains.
     """
-    kind = dealt.schema["rep"].dataType.simpleString()
+    kind = dealt.schema["label"].dataType.simpleString()
 
     def run(table):
         import pyarrow as pa
 
-        rep, block, raw, items = (table.column(c).to_pylist() for c in ("rep", "block", "regs", "items"))
-        regs, block = np.frombuffer(b"".join(raw), np.int16).reshape(len(rep), -1), np.array(block)
-        sets = [np.frombuffer(x, np.uint64) for x in items]
-        n = np.array([len(x) for x in sets], float)
-        left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
-        one = block.min() == block.max()
-        found = []
-        for i in left:
-            js = right[right > i] if one else right
-            js = js[100 * np.minimum(n[js], n[i]) >= percent * np.maximum(n[js], n[i])]
-            js = js[(regs[js] == regs[i]).mean(axis=1) >= percent / 100 - FAR]
-            if len(js):
-                found.append(np.stack([np.full(len(js), i), js]))
-        parent, a, b = list(range(len(rep))), [], []
+        names, label = np.unique(table.column("label").to_pylist(), return_inverse=True)
+        parent = list(range(len(names)))
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()]
 
         def root(v: int) -> int:
             while parent[v] != v:
                 parent[v] = v = parent[parent[v]]
             return v
 
-        if found:
-            i, j = np.concatenate(found, axis=1)
-            likely = np.concatenate([estimate(regs[i[k : k + 50_000]], regs[j[k : k + 50_000]], n[i[k : k + 50_000]], n[j[k : k + 50_000]]) for k in range(0, len(i), 50_000)])
-            for k in np.argsort(-likely, kind="stable"):
-                if likely[k] < percent / 100 - SLACK:
-                    break
-                u, v = root(i[k]), root(j[k])
-                if u != v and alike(sets[i[k]], sets[j[k]], percent):
-                    parent[max(u, v)] = min(u, v)
-            smallest: dict[int, int] = {}
-            for k in sorted(range(len(rep)), key=rep.__getitem__):
-                if smallest.setdefault(root(k), k) != k:
-                    a.append(rep[smallest[root(k)]])
-                    b.append(rep[k])
-        own = table.schema.field("rep").type
-        return pa.table({"a": pa.array(a, own), "b": pa.array(b, own)})
-
-    return dealt.groupBy("cluster", "task").applyInArrow(run, f"a {kind}, b {kind}")
+        for i, j in near_pairs(table, percent).T:
+            u, v = root(label[i]), root(label[j])
+            if u != v and alike(sets[i], sets[j], percent):
+                parent[max(u, v)] = min(u, v)
+        joined = [v for v in range(len(names)) if root(v) != v]
+        own = table.schema.field("label").type
+        return pa.table({"a": pa.array([names[root(v)] for v in joined], own), "b": pa.array([names[v] for v in joined], own)})
+
+    return dealt.groupBy("key", "lo", "hi").applyInArrow(run, f"a {kind}, b {kind}")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -228,14 +246,52 @@ def components(edges: DataFrame) -> DataFrame:
     return label
 
 
+def stars(ties: DataFrame) -> DataFrame:
+    """Each document of ties(rep, key, band, hub, n) with the hub that it shares most bands with: key, lo, hi, rep, block, label, band.
+
+    A hub's documents are dealt into parts of bounded weight, and the hub goes to each part.
+    """
+    best = ties.where("rep <> hub").groupBy("rep", "hub").agg(F.count("*").alias("c"), F.min("n").alias("n"))
+    best = best.groupBy("rep").agg(F.min(F.struct((-F.col("c")).alias("c"), "hub", "n")).alias("best")).select("rep", F.col("best.hub").alias("key"), "best.n")
+    parts = best.groupBy("key").agg(_blocks("n").alias("parts"))
+    members = best.join(parts, "key").select("key", F.pmod(F.xxhash64("rep"), "parts").cast("int").alias("lo"), "rep")
+    hubs = parts.select("key", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("lo"), F.col("key").alias("rep"))
+    return members.unionByName(hubs).select("key", "lo", F.col("lo").alias("hi"), "rep", F.col("lo").alias("block"), F.col("rep").alias("label"), F.lit(0).alias("band"))
+
+
+def _blocks(n: str) -> Column:
+    """How many blocks hold a group's documents, a document weighing its set, but at least its share of a block."""
+    return F.ceil(F.sum(F.greatest(F.lit(SHINGLES // BLOCK), F.col(n))) / SHINGLES)
+
+
+def mixed_buckets(ties: DataFrame) -> DataFrame:
+    """The buckets of ties(rep, key, band, label, n) that hold more than one label, in tasks of two blocks: key, lo, hi, rep, block, label, band.
+
+    A label that fills more than a block has blocks of its own, which never meet each other; all other pairs of blocks do.
+    """
+    many = ties.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+    sizes = ties.join(many, "key", "left_semi").groupBy("key", "label").agg(_blocks("n").alias("own"), F.sum(F.greatest(F.lit(SHINGLES // BLOCK), F.col("n"))).alias("weight"))
+    sizes = materialize(sizes)
+    shared = F.ceil(F.sum(F.when(F.col("own") == 1, F.col("weight"))) / SHINGLES)
+    totals = sizes.groupBy("key").agg(F.coalesce(shared, F.lit(0)).alias("shared"), F.coalesce(F.sum(F.when(F.col("own") > 1, F.col("own"))), F.lit(0)).alias("apart"))
+    large = sizes.where("own > 1").withColumn("first", F.sum("own").over(Window.partitionBy("key").orderBy("label")) - F.col("own")).select("key", "label", "own", "first")
+    placed = ties.join(totals, "key").join(large, ["key", "label"], "left").withColumn("first", F.col("shared") + F.col("first"))
+    block = F.when(F.col("own").isNull(), F.pmod(F.xxhash64("rep"), "shared")).otherwise(F.col("first") + F.pmod(F.xxhash64("rep"), "own"))
+    others = F.filter(F.sequence(F.lit(0), (F.col("shared") + F.col("apart") - 1).cast("int")), lambda o: F.col("own").isNull() | (o < F.col("first")) | (o >= F.col("first") + F.col("own")))
+    dealt = placed.withColumn("block", block.cast("int")).select("key", "rep", "label", "band", "block", F.explode(others).alias("other"))
+    return dealt.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "rep", "block", "label", "band")
+
+
 def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of df.
 
     1. Equal sets form a class; its smallest id stands for it, so that copies cost no pairs.
-    2. Classes that share a band key belong to one cluster: each bucket's members are tied to its smallest id, a
-       member's ties to its least one, and these few pairs are joined. Links can only lie within clusters.
-    3. Clusters are dealt into blocks of bounded size, each two blocks to a task that finds the links between them
-       (links_within); tasks return no more links than join their members. The links' components are the result.
+    2. Classes that share a band key form a bucket. Each class goes to the smallest id of the bucket that it shares
+       most bands with, and is compared there with those that went with it: groups of like texts join in one pass, at
+       a cost in proportion to their size.
+    3. Buckets that still hold classes not joined are compared in full: pairs of blocks of bounded weight by their
+       registers, then, where registers come near the threshold, on full sets. What a pass joined meets no more.
+       Tasks return no more links than join their members; the links' components are the result.
 
     Null, empty or blank text has the empty set, linked with nothing. Rows with one id are taken as one document:
     a repeated row gets the same component. Null ids are never linked. An empty table gives an empty result; other
@@ -243,19 +299,18 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rows = materialize(sketch(df, id_col, text_col, percent))
     classes = materialize(rows.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.min("regs").alias("regs"), F.min("keys").alias("keys")))
-    member = classes.select("rep", F.explode("keys").alias("key"))
+    member = classes.select("rep", "n", F.posexplode("keys").alias("band", "key"))
     buckets = materialize(member.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("hub")).where("size > 1").select("key", "hub"))
-    ties = materialize(member.join(buckets, "key").select("rep", "hub").withColumn("least", F.min("hub").over(Window.partitionBy("rep"))).distinct())
-    hubs = components(ties.where("hub <> least").select(F.col("least").alias("a"), F.col("hub").alias("b")))
-    cluster = ties.groupBy("rep").agg(F.min("least").alias("least")).join(hubs.withColumnRenamed("v", "least"), "least", "left")
-    cluster = materialize(cluster.select("rep", F.coalesce("component", "least").alias("cluster")))
-    texts = df.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(cluster.select("rep"), "rep", "left_semi")
+    ties = materialize(member.join(buckets, "key"))
+    texts = df.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(ties.select("rep").distinct(), "rep", "left_semi")
     sets = full_sets(texts).groupBy("rep").agg(F.min("items").alias("items"))
-    blocks = cluster.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = cluster.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("lo"), F.greatest("block", o).alias("hi")))
-    dealt = placed.join(classes.select("rep", "regs"), "rep").join(sets, "rep").select("cluster", "rep", "block", "regs", "items", F.explode(others).alias("task"))
-    label = components(materialize(links_within(dealt, percent)))
-    final = classes.select("s1", "s2", "n", "rep").join(label.withColumnRenamed("v", "rep"), "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component_id"))
+    regs = classes.select("rep", "n", "regs")
+    full = materialize(regs.join(sets, "rep"))
+    label = components(materialize(links_within(stars(ties).join(full, "rep"), percent))).select(F.col("v").alias("rep"), F.col("component").alias("label"))
+    ties = materialize(ties.drop("hub").join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep")))
+    near = candidates_within(mixed_buckets(ties).join(regs, "rep"), percent)
+    later = components(materialize(links_within(near.join(full, "rep"), percent))).select(F.col("v").alias("label"), "component")
+    final = classes.select("s1", "s2", "n", "rep").join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    final = final.join(later, "label", "left").select("s1", "s2", "n", F.coalesce("component", "label").alias("component_id"))
     out = rows.select("doc_id", "n", "s1", "s2").join(final, ["s1", "s2", "n"], "left").withColumn("component_id", F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component_id")), "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

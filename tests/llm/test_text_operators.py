@@ -71,7 +71,10 @@ def test_suffix_dedup_cuts_long_texts(monkeypatch):
     assert windows == list(range(4901))
 
 
-def test_near_dedup(spark):
+@pytest.mark.parametrize("block", [512, 3])
+def test_near_dedup(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash_dedup, "BLOCK", block)
+    monkeypatch.setattr(minhash_dedup, "SHINGLES", block * 100)
     r = random.Random(2)
     base = [f"w{r.randint(0, 999)}" for _ in range(200)]
     near = []
@@ -80,7 +83,13 @@ def test_near_dedup(spark):
         for _ in range(k % 9):
             w[r.randrange(200)] = f"v{r.randint(0, 999)}"
         near.append(" ".join(w))
+    for _ in range(60):  # a chain: each text is edited from the one before, so that few are like the first
+        w[r.randrange(200)] = f"u{r.randint(0, 999)}"
+        if r.random() < 0.5:
+            w[r.randrange(200)] = f"u{r.randint(0, 999)}"
+        near.append(" ".join(w))
     texts = awkward() + near
+    r.shuffle(texts)
     got = {x["doc_id"]: x for x in minhash_dedup.near_components(table(spark, texts)).collect()}
     sets = []
     for t in texts:
