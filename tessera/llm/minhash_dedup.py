@@ -302,13 +302,13 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     member = classes.select("rep", "n", F.posexplode("keys").alias("band", "key"))
     buckets = materialize(member.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("hub")).where("size > 1").select("key", "hub"))
     ties = materialize(member.join(buckets, "key"))
-    texts = df.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(ties.select("rep").distinct(), "rep", "left_semi")
+    reps = materialize(ties.select("rep").distinct())
+    texts = df.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(reps, "rep", "left_semi")
     sets = full_sets(texts).groupBy("rep").agg(F.min("items").alias("items"))
-    regs = classes.select("rep", "n", "regs")
-    full = materialize(regs.join(sets, "rep"))
+    full = materialize(classes.select("rep", "n", "regs").join(reps, "rep", "left_semi").join(sets, "rep"))
     label = components(materialize(links_within(stars(ties).join(full, "rep"), percent))).select(F.col("v").alias("rep"), F.col("component").alias("label"))
     ties = materialize(ties.drop("hub").join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep")))
-    near = candidates_within(mixed_buckets(ties).join(regs, "rep"), percent)
+    near = candidates_within(mixed_buckets(ties).join(full.select("rep", "n", "regs"), "rep"), percent)
     later = components(materialize(links_within(near.join(full, "rep"), percent))).select(F.col("v").alias("label"), "component")
     final = classes.select("s1", "s2", "n", "rep").join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     final = final.join(later, "label", "left").select("s1", "s2", "n", F.coalesce("component", "label").alias("component_id"))
