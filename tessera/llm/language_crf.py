@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tessera.llm.common import RangeHash, crc_mod, lower_bytes, text_bytes, word_spans, runs_of_docs
+from tessera.llm.common import _BASE, RangeHash, crc_mod, lower_bytes, mix64, runs_of_docs, text_bytes, word_spans
 
 UNKNOWN = "und"
 SLOTS = 1 << 17
@@ -54,15 +54,22 @@ def emissions(feats: list[tuple[np.ndarray, np.ndarray]], weights: np.ndarray, n
 
 
 def long_word(data: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """The emission of one word of more than PART_BYTES, summed part by part; it has no lexicon feature."""
-    out = np.zeros(weights.shape[1])
+    """The emission of one word of more than PART_BYTES: the sums of features(), taken part by part."""
+    slot = lambda h, kind: ((h * np.uint64(2 * kind + 1)) >> np.uint64(64 - 17)).astype(np.int32)
+    whole = lambda x: RangeHash(x)(np.array([0]), np.array([len(x)]))
+    out, total = np.zeros(weights.shape[1]), np.zeros(1, np.uint64)
     for at in range(0, len(data), PART_BYTES):
         part = data[at : at + PART_BYTES + max(GRAMS) - 1]
+        ranges = RangeHash(part)
         for g in GRAMS:
             n = min(PART_BYTES, len(part) - g + 1)
             if n > 0:
-                slots = ((RangeHash(part)(np.arange(n), np.arange(n) + g) * np.uint64(2 * g + 1)) >> np.uint64(64 - 17)).astype(np.int32)
-                out += weights[slots].sum(axis=0, dtype=np.float64)
+                out += weights[slot(ranges(np.arange(n), np.arange(n) + g), g)].sum(axis=0, dtype=np.float64)
+        end = min(PART_BYTES, len(part))
+        total += ranges.sums[end : end + 1] * np.uint64(pow(_BASE, at, 2**64))
+    for g in AFFIXES:
+        out += weights[slot(whole(data[:g]), 10 + g)[0]].astype(np.float64) + weights[slot(whole(data[-g:]), 20 + g)[0]]
+    out += weights[slot(mix64(total + np.uint64(len(data))), 31)[0]]
     return np.clip(out, -40, 40)
 
 
@@ -236,10 +243,15 @@ def fit_language_model(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return LanguageModel(sorted(counts)).fit([t for _, t in sample], [x for x, _ in sample])
 
 
-def label(df: DataFrame, model: LanguageModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` (all) of df with lang_pred and score of each row: `und` with score 0 for null text or text without a letter."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+def label(df: DataFrame, model: LanguageModel, text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns `keep` (all) of df with lang_pred and score of each row: `und` with score 0 for null text or text without a letter.
+
+    `names` are those of the two new columns; a kept column of that name is refused.
+    """
     keep = df.columns if keep is None else keep
+    if clash := {x.lower() for x in keep} & {x.lower() for x in names}:
+        raise ValueError(f"the result would have two columns {', '.join(sorted(clash))}: choose other names")
+    shared = df.sparkSession.sparkContext.broadcast(model)
     texts = keep.index(text_col) if text_col in keep else len(keep)
 
     def run(batches: Iterator) -> Iterator:
@@ -259,10 +271,10 @@ def label(df: DataFrame, model: LanguageModel, text_col: str = "text", keep: lis
                 langs, scores, lettered = [UNKNOWN] * len(lettered), [np.zeros(len(lettered))], np.zeros(len(lettered), bool)
             score = np.where(lettered, np.concatenate(scores) if scores else np.zeros(0), 0.0)
             out = [*batch.columns[: len(keep)], pa.array([x if ok else UNKNOWN for x, ok in zip(langs, lettered)], pa.string()), pa.array(score)]
-            yield pa.RecordBatch.from_arrays(out, [*batch.schema.names[: len(keep)], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(out, [*batch.schema.names[: len(keep)], *names])
 
     given = df.select(*keep, *([] if text_col in keep else [text_col]))
-    return given.mapInArrow(run, StructType([*given.schema.fields[: len(keep)], StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return given.mapInArrow(run, StructType([*given.schema.fields[: len(keep)], StructField(names[0], StringType()), StructField(names[1], DoubleType())]))
 
 
 def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -304,7 +304,50 @@ def test_long_texts_are_labelled_in_parts(monkeypatch):
             m.setattr(language_crf, "PART_BYTES", 700)
             m.setattr(language_crf, "PART_WORDS", 333)
             parts = model.predict(data, offsets)
-        assert whole[0] == parts[0] and np.allclose(whole[1], parts[1], atol=1e-2)
+        assert whole[0] == parts[0] and np.allclose(whole[1], parts[1], rtol=0, atol=1e-9)
+
+
+def test_a_long_word_scores_as_a_short_one_would(monkeypatch):
+    import numpy as np
+
+    weights = np.random.default_rng(1).normal(size=(1 << 17, 3)).astype(np.float32) / 100
+    for word in (b"q" * 701, bytes(random.Random(6).choices(range(97, 123), k=5000))):
+        data = np.frombuffer(word, np.uint8)
+        whole = language_crf.emissions(language_crf.features(data, np.array([0]), np.array([len(data)])), weights, 1)[0]
+        with monkeypatch.context() as m:
+            m.setattr(language_crf, "PART_BYTES", 700)
+            assert np.allclose(language_crf.long_word(data, weights), whole, rtol=0, atol=1e-9)
+
+
+def test_held_out_languages_and_code_switching(spark):
+    """Whole held-out texts, and texts whose halves are of two languages: the words' labels follow the switch."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tessera.llm.common import text_bytes, word_spans
+
+    r = random.Random(12)
+    own = {"de": ["der", "und", "nicht", "schön", "über"], "en": ["the", "and", "with", "house", "thing"], "es": ["el", "los", "niño", "qué", "casa"]}
+    names = list(own)
+    rows = [(i, " ".join(r.choice(own[names[i % 3]]) for _ in range(30)), names[i % 3]) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [x for x in language_crf.identify_languages(docs).collect() if x["held_out"]]
+    assert len(got) > 40 and all(x["lang_pred"] == names[x["doc_id"] % 3] and x["score"] > 0.8 for x in got)
+    model = language_crf.fit_language_model(docs)
+    text = " ".join(r.choice(own["de"]) for _ in range(40)) + " " + " ".join(r.choice(own["es"]) for _ in range(20))
+    data, offsets = text_bytes(pa.array([text], pa.string()))
+    starts, ends, first = word_spans(data, offsets)
+    score = language_crf.word_scores(language_crf.lower_bytes(data), starts, ends, model.weights)
+    labels = language_crf.marginals(score, first, model.moves)[0].argmax(axis=1)
+    assert [model.labels[k] for k in labels] == ["de"] * 40 + ["es"] * 20
+    assert model.predict(data, offsets)[0] == ["de"] and abs(model.predict(data, offsets)[1][0] - 2 / 3) < 0.05 and np.isfinite(score).all()
+
+
+def test_language_columns_of_clashing_names(spark):
+    docs = spark.createDataFrame([(i, "the and" if i % 2 else "der und", "en" if i % 2 else "de", 1, "x") for i in range(40)], "doc_id long, text string, lang string, score int, lang_pred string")
+    assert {(x["doc_id"] % 2, x["lang_pred"]) for x in language_crf.identify_languages(docs).collect()} == {(0, "de"), (1, "en")}
+    with pytest.raises(ValueError, match="score"):
+        language_crf.label(docs, language_crf.fit_language_model(docs))
 
 
 def test_language_sample_does_not_depend_on_partitions(spark):
@@ -367,6 +410,41 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
 
+CLASHES = "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string, size long, rate double, copies long, n_tokens long, group string, row int, kept boolean, component_id long, keep_id long, order int, first int, t string, len int, head int"
+
+
+def test_pipeline_stages_with_clashing_names_long_texts_and_empty_tables(spark):
+    import corpus_pipeline
+
+    texts = [*awkward(n=20), "und der " * 20_000, "long" * 30_000]
+    docs = spark.createDataFrame([(i, t, "en" if i % 2 else "de", "s", 0, 0.5, "x", 1, 2.0, 3, 4, "g", 5, True, 6, 7, 8, 9, "t", 1, 2) for i, t in enumerate(texts)], CLASHES).repartition(3)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns, name
+        given = {(x["doc_id"], x["text"], x["score"], x["row"]) for x in docs.collect()}
+        kept = {(x["doc_id"], x["text"], x["score"], x["row"]) for x in out.collect()}
+        assert kept <= given and len(kept) > 10, name
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, "")
+    assert {(x["doc_id"], x["decoded_sha256"]) for x in last.collect()} == {(i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in enumerate(texts)}
+    empty = spark.createDataFrame([], CLASHES)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, "").collect() == [], name
+
+
+def test_pipeline_leaves_only_its_last_tables(spark, tmp_path):
+    import os
+
+    import corpus_pipeline
+    from tessera.llm.common import shared_dir
+
+    table(spark, awkward(n=20)).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    folder = f"{shared_dir(spark).removeprefix('file://')}/tables"
+    texts = lambda: {x for x in os.listdir(folder) if "text" in spark.read.parquet(f"file://{folder}/{x}").columns and "source" in spark.read.parquet(f"file://{folder}/{x}").columns}
+    before = texts()
+    corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len(texts() - before) == 1  # what the last stage reads
+
+
 def test_pipeline_drops_near_copies_from_80_percent(spark):
     import corpus_pipeline
 
