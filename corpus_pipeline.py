@@ -16,9 +16,14 @@ NEAR_PERCENT = 80
 ORACLE_SQL = None
 
 
+#: Copies of the documents that a stage has written for itself; run() deletes them once the stage's result is written.
+_written: list[DataFrame] = []
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """docs with __row, a key of each row; written, so that every reader sees the same keys."""
-    return materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
+    _written.append(materialize(docs.withColumn("__row", F.monotonically_increasing_id())))
+    return _written[-1]
 
 
 def _one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
@@ -40,9 +45,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Without a row to learn from every text goes. An empty table stays empty; other columns stay as they are.
     """
     model = language_crf.fit_language_model(docs)
-    found = language_crf.label(docs, model)
-    found = found.where((F.col("lang_pred") != language_crf.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    found = language_crf.label(docs, model, names=("__lang", "__score"))
+    found = found.where((F.col("__lang") != language_crf.UNKNOWN) & (F.col("__score") >= LEAST_SCORE))
+    return found.withColumn("lang", F.col("__lang")).select(*docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -89,7 +94,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, written = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir))
-        if written is not None:
-            discard(written)
+        for used in [*_written, *([] if written is None else [written])]:
+            discard(used)
+        _written.clear()
         written = docs
     return STAGES[-1][1](spark, docs, sf_dir)
