@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from math import pi, sqrt
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
 from tessera.operators import stats as S
 from tessera.operators import views as V
-from tessera.operators.order import exact_quantiles, quantiles_of, with_running
+from tessera.operators.order import exact_quantiles, grouped_quantiles, quantiles_of, with_running
 
 ALIASES = {"avg": "mean", "average": "mean", "q1": "p25", "q3": "p75", "distinct": "nunique", "rows": "count", "stddev": "std", "variance": "var", "total": "sum", "minimum": "min", "maximum": "max"}
 ROW_CAPS = {"scatter": 10_000, "strip": 10_000, "geo_scatter": 5_000, "scatter_matrix": 3_000, "parallel_coordinates": 3_000}
@@ -24,7 +28,16 @@ def aggregate(name: str, c: Column | None) -> Column:
     return {"sum": F.sum, "mean": F.avg, "median": F.median, "min": F.min, "max": F.max, "std": F.stddev_samp, "var": F.var_samp, "nunique": F.count_distinct}[name](c)
 
 
+def _quantile(how: str) -> float | None:
+    name = "p50" if how == "median" else ALIASES.get(how, how)
+    return int(name[1:]) / 100 if name[0] == "p" and name[1:].isdigit() else None
+
+
 def group_agg(df: DataFrame, by: list[str], y: str | None = None, how: str = "sum", name: str = "y") -> DataFrame:
+    """One value a group. Medians and percentiles are exact, by ranges of values, so that no group's values meet in one task."""
+    if y and _quantile(how) is not None:
+        q = grouped_quantiles(df.select(*by, F.col(y).alias("__y")), by, ["__y"], [_quantile(how)])
+        return q.select(*by, F.col("__y")[0].alias(name))
     return df.groupBy(*by).agg(aggregate(how, F.col(y) if y else None).alias(name))
 
 
@@ -64,8 +77,18 @@ def positive_value(df: DataFrame, target: str) -> str:
 
 def group_target_summary(df: DataFrame, target: str, by: list[str], positive: str | None = None, min_count: int = 1) -> DataFrame:
     """Per group the records, the target's mean and median or its positive rate, and the share without target."""
-    stats = [F.avg((F.col(target).cast("string") == positive).cast("int")).alias("positive_rate")] if positive else [F.avg(target).alias("target_mean"), F.median(target).alias("target_median")]
-    return df.groupBy(*by).agg(F.count("*").alias("record_count"), *stats, F.avg(F.col(target).isNull().cast("int")).alias("missing_ratio")).where(F.col("record_count") >= min_count)
+    stats = [F.avg((F.col(target).cast("string") == positive).cast("int")).alias("positive_rate")] if positive else [F.avg(target).alias("target_mean")]
+    out = df.groupBy(*by).agg(F.count("*").alias("record_count"), *stats, F.avg(F.col(target).isNull().cast("int")).alias("missing_ratio")).where(F.col("record_count") >= min_count)
+    if positive:
+        return out
+    middle = group_agg(df, by, target, "median", "target_median")
+    return same_groups(out, middle, by).select(*by, "record_count", "target_mean", "target_median", "missing_ratio")
+
+
+def same_groups(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """a with the columns of b for the same group; null is a group like others."""
+    b = b.withColumnsRenamed({c: f"__b_{c}" for c in by})
+    return a.join(b, reduce(and_, (F.col(c).eqNullSafe(F.col(f"__b_{c}")) for c in by)), "left").drop(*(f"__b_{c}" for c in by))
 
 
 def rolling_stat(df: DataFrame, x: str, y: str, n: int, how: str = "mean", by: list[str] = ()) -> DataFrame:
@@ -149,9 +172,41 @@ def histogram(df: DataFrame, c: str, bins: int = 40) -> DataFrame:
 
 
 def box(df: DataFrame, c: str, by: list[str]) -> DataFrame:
-    """Five numbers and the count of outliers' fences per group."""
-    q = df.groupBy(*by).agg(F.percentile(c, [0.0, 0.25, 0.5, 0.75, 1.0]).alias("q"), F.count(c).alias("n"))
-    return q.select(*by, "n", *(F.col("q")[i].alias(x) for i, x in enumerate(("min", "q1", "median", "q3", "max"))))
+    """Five numbers and the number of values per group, exact for groups of any size."""
+    q = grouped_quantiles(df.select(*by, F.col(c).alias("__y")), by, ["__y"], [0.25, 0.5, 0.75])
+    ends = df.groupBy(*by).agg(F.count(c).alias("n"), F.min(F.col(c).cast("double")).alias("min"), F.max(F.col(c).cast("double")).alias("max"))
+    return same_groups(ends, q, by).select(*by, "n", "min", *(F.col("__y")[i].alias(x) for i, x in enumerate(("q1", "median", "q3"))), "max")
+
+
+def box_outliers(df: DataFrame, c: str, by: list[str], factor: float = 1.5) -> DataFrame:
+    """The rows beyond factor * IQR outside their group's quartiles, with the fences."""
+    q = grouped_quantiles(df.select(*by, F.col(c).alias("__y")), by, ["__y"], [0.25, 0.75])
+    q1, q3 = F.col("__y")[0], F.col("__y")[1]
+    fences = q.select(*by, (q1 - factor * (q3 - q1)).alias("lower_fence"), (q3 + factor * (q3 - q1)).alias("upper_fence"))
+    return same_groups(df, fences, by).where((F.col(c) < F.col("lower_fence")) | (F.col(c) > F.col("upper_fence")))
+
+
+def violin(df: DataFrame, c: str, by: list[str], points: int = 64) -> DataFrame:
+    """by, at, density: a Gaussian kernel density of each group's values at `points` places from its least to its greatest value.
+
+    Values are counted in as many bins as there are places; the density is the sum of kernels around the bins' middles,
+    weighted by the counts. The width is 0.9 min(deviation, IQR / 1.34) n^(-1/5), by exact quartiles. A group of one value only has none.
+    """
+    value = F.col(c).cast("double")
+    rows = df.select(*by, value.alias("__y")).where(value.isNotNull() & ~F.isnan(value))
+    q = grouped_quantiles(rows, by, ["__y"], [0.25, 0.75]).select(*by, (F.col("__y")[1] - F.col("__y")[0]).alias("iqr"))
+    ends = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("__y").alias("lo"), F.max("__y").alias("hi"), F.stddev_pop("__y").alias("sd")).where("hi > lo")
+    wide = F.least(F.col("sd"), F.when(F.col("iqr") > 0, F.col("iqr") / 1.34).otherwise(F.col("sd")))
+    ends = same_groups(ends, q, by).select(*by, "n", "lo", "hi", (0.9 * wide * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("bandwidth"))
+    step = (F.col("hi") - F.col("lo")) / points
+    named = ends.withColumnsRenamed({x: f"__b_{x}" for x in by})
+    slot = F.least(F.floor((F.col("__y") - F.col("lo")) / step), F.lit(points - 1)).cast("int").alias("bin")
+    bins = rows.join(named, reduce(and_, (F.col(x).eqNullSafe(F.col(f"__b_{x}")) for x in by))).groupBy(*by, "n", "lo", "hi", "bandwidth", slot).agg(F.count("*").alias("m"))
+    at = F.col("lo") + (F.col("hi") - F.col("lo")) / (points - 1) * F.col("k")
+    gap = (at - F.col("lo") - step * (F.col("bin") + 0.5)) / F.col("bandwidth")
+    spread = bins.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    kernel = F.sum(F.col("m") * F.exp(-gap * gap / 2)) / (F.first("n") * F.first("bandwidth") * F.lit(sqrt(2 * pi)))
+    return spread.groupBy(*by, "k", at.alias("at")).agg(kernel.alias("density")).select(*by, "at", "density")
 
 
 def ecdf(df: DataFrame, c: str) -> DataFrame:
@@ -244,7 +299,7 @@ def chart_data(df: DataFrame, spec: dict) -> DataFrame:
         out = bump_rank(out, x, "y") if kind == "bump_chart" else out
         return value_transform(out, "y", spec["transform"], by[1:]) if spec.get("transform") else out
     made = {
-        "histogram": lambda: histogram(df, x, spec.get("bins", 40)), "box": lambda: box(df, y, by), "violin": lambda: box(df, y, by), "ecdf": lambda: ecdf(df, x), "density_heatmap": lambda: density_grid(df, x, y), "density_contour": lambda: density_grid(df, x, y),
+        "histogram": lambda: histogram(df, x, spec.get("bins", 40)), "box": lambda: box(df, y, by), "violin": lambda: violin(df, y, by, spec.get("points", 64)), "ecdf": lambda: ecdf(df, x), "density_heatmap": lambda: density_grid(df, x, y), "density_contour": lambda: density_grid(df, x, y),
         "pie": lambda: share_agg(df, x, y), "treemap": lambda: hierarchy_agg(df, spec["path"], y), "sunburst": lambda: hierarchy_agg(df, spec["path"], y), "choropleth": lambda: group_agg(df, [x], y, "sum" if y else "count"), "heatmap": lambda: group_agg(df, [x, y], spec.get("z"), spec.get("aggregation", "count")),
         "pareto": lambda: pareto(df, x, y), "waterfall": lambda: waterfall(df, x, y), "calendar_heatmap": lambda: calendar_table(df, x, y), "parallel_categories": lambda: parallel_categories(df, spec["path"]),
         "concentration_curve": lambda: S.lorenz_curve(df, x), "correlation_heatmap": lambda: both_ways(S.pearson_matrix(df, spec.get("columns")), "r"), "association_heatmap": lambda: both_ways(S.mixed_associations(df, numbers, words), "strength"), "target_association": lambda: S.target_associations(df, spec["target"], [c for c in numbers if c != spec["target"]], [c for c in words if c != spec["target"]]),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
-from tessera.operators.order import exact_quantiles, quantiles_of, with_filled
+from tessera.operators.order import exact_quantiles, grouped_quantiles, quantiles_of, with_filled
 
 NULL_POLICIES = {"preserve": (None, None), "treat_as_false": (None, 0), "treat_as_true": (None, 1), "false_to_null": (0, None), "true_to_null": (1, None)}
 #: One-hot encoding without a number of levels makes at most so many columns.
@@ -87,14 +87,18 @@ def add_missing_indicators(df: DataFrame, cols: list[str], suffix: str = "_was_m
 
 def impute_missing(df: DataFrame, strategies: dict[str, str], fill=None, by: str | None = None, indicators: bool = False) -> DataFrame:
     """Fill by mean, median, mode, zero, constant or the word Missing; with `by` per group first, then overall."""
-    stat = {"mean": lambda c: F.avg(c), "median": lambda c: F.median(c) if by else F.lit(None).cast("double"), "mode": lambda c: F.mode(c, True)}
+    stat = {"mean": lambda c: F.avg(c), "median": lambda c: F.lit(None).cast("double"), "mode": lambda c: F.mode(c, True)}
     aggs = [stat[s](C.value(df, c)).alias(c) for c, s in strategies.items() if s in stat]
     row = df.agg(*aggs).first().asDict() if aggs else {}
     middle = [c for c, s in strategies.items() if s == "median"]
     row |= {r["column_name"]: (r["q"] or [None])[0] for r in exact_quantiles(df, middle, [0.5]).collect()} if middle else {}
     out = add_missing_indicators(df, list(strategies), "_was_imputed") if indicators else df
     if by and aggs:
-        groups = df.groupBy(by).agg(*(stat[s](C.value(df, c)).alias(f"__{c}") for c, s in strategies.items() if s in stat)).withColumnRenamed(by, "__by")
+        means = [stat[s](C.value(df, c)).alias(f"__{c}") for c, s in strategies.items() if s in stat and s != "median"]
+        groups = df.groupBy(F.col(by).alias("__by")).agg(F.count("*").alias("__n"), *means)
+        if middle:
+            local = grouped_quantiles(df, [by], middle, [0.5]).select(F.col(by).alias("__of"), *(F.col(c)[0].alias(f"__{c}") for c in middle))
+            groups = groups.join(local, F.col("__by").eqNullSafe(F.col("__of")), "left")
         out = out.join(groups, F.col(by).eqNullSafe(F.col("__by")), "left")
     for c, s in strategies.items():
         last = row.get(c) if s in stat else {"zero": 0, "constant": fill, "missing": "Missing"}[s]

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import accumulate
+from operator import or_
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,13 +20,42 @@ def range_of(v: Column, bounds: list) -> Column:
     return F.when(v.isNull(), 0).otherwise(between(0, len(bounds)))
 
 
-def bucketed(df: DataFrame, by: str, buckets: int = 64) -> DataFrame:
+#: Rows that a range is to hold at most, and how many ranges there are at least and at most.
+PER_RANGE, RANGES, MOST_RANGES = 4_000_000, 64, 8_192
+
+
+def bounds_of(df: DataFrame, cols: list[str], buckets: int = RANGES) -> dict[str, list]:
+    """Sorted bounds between ranges of about equally many rows of each column: approximate percentiles, more of them for more rows."""
+    def near(k: int) -> list[Column]:
+        return [F.percentile_approx(c, [i / k for i in range(1, k)], max(2_000, 10 * k)).alias(f"b{i}") for i, c in enumerate(cols)]
+
+    row = df.agg(*near(buckets), F.count("*").alias("n")).first()
+    grown = min(MOST_RANGES, row["n"] // PER_RANGE)
+    if grown > buckets:
+        row = df.agg(*near(grown)).first()
+    return {c: sorted(set(row[i] or [])) for i, c in enumerate(cols)}
+
+
+def with_ranges(df: DataFrame, bounds: dict[str, list], names: dict[str, str]) -> DataFrame:
+    """df with a range number names[c] for each column c of bounds, growing with its values; 0 for null.
+
+    Few bounds are plain comparisons, that Spark compiles; many are searched by halving in Spark's bucketizer.
+    """
+    kinds = dict(df.dtypes)
+    many = [c for c, b in bounds.items() if len(b) > 4 * RANGES and (kinds[c] in ("double", "float", "int", "bigint", "smallint", "tinyint"))]
+    df = df.withColumns({names[c]: range_of(F.col(c), b) for c, b in bounds.items() if c not in many})
+    for c in many:
+        cut = Bucketizer(splits=[-float("inf"), *map(float, bounds[c]), float("inf")], inputCol="__cut", outputCol=names[c], handleInvalid="keep")
+        df = cut.transform(df.withColumn("__cut", F.col(c).cast("double"))).drop("__cut").withColumn(names[c], F.when(F.col(c).isNull(), 0).otherwise(F.col(names[c]).cast("int")))
+    return df
+
+
+def bucketed(df: DataFrame, by: str, buckets: int = RANGES) -> DataFrame:
     """df with __bucket, growing with `by`: between approximate percentiles of it."""
-    bounds = df.agg(F.percentile_approx(by, [i / buckets for i in range(1, buckets)], 2_000)).first()[0] or []
-    return df.withColumn("__bucket", range_of(F.col(by), sorted(set(bounds))))
+    return with_ranges(df, bounds_of(df, [by], buckets), {by: "__bucket"})
 
 
-def with_running(df: DataFrame, by: str, sums: dict[str, Column], tie: list[str] | None = None, buckets: int = 64) -> DataFrame:
+def with_running(df: DataFrame, by: str, sums: dict[str, Column], tie: list[str] | None = None, buckets: int = RANGES) -> DataFrame:
     """df with a running sum, over the order of `by` and tie, for each of sums(name -> column).
 
     The totals of the buckets, a few rows, are summed up on the driver and looked up again by bucket.
@@ -33,13 +65,13 @@ def with_running(df: DataFrame, by: str, sums: dict[str, Column], tie: list[str]
     inside = Window.partitionBy("__bucket").orderBy(by, *(tie or [])).rowsBetween(Window.unboundedPreceding, 0)
     out = cut
     for k, (n, c) in enumerate(sums.items(), 1):
-        before = accumulate((r[k] or 0 for r in totals), initial=0)
-        offset = F.create_map(*(F.lit(x) for r, total in zip(totals, before) for x in (r[0], total)))[F.col("__bucket")] if totals else F.lit(0)
+        before = dict(zip((r[0] for r in totals), accumulate((r[k] or 0 for r in totals), initial=0)))
+        offset = F.get(F.array(*(F.lit(before.get(i)) for i in range(max(before) + 1))), F.col("__bucket")) if totals else F.lit(0)
         out = out.withColumn(n, F.sum(c).over(inside) + offset)
     return out.drop("__bucket")
 
 
-def with_lag(df: DataFrame, by: str, of: str, name: str = "previous", tie: list[str] | None = None, buckets: int = 64) -> DataFrame:
+def with_lag(df: DataFrame, by: str, of: str, name: str = "previous", tie: list[str] | None = None, buckets: int = RANGES) -> DataFrame:
     """df with the value of `of` one row earlier in the order of `by`, carried over bucket borders."""
     cut = bucketed(df, by, buckets)
     keys = [by, *(tie or [])]
@@ -51,7 +83,7 @@ def with_lag(df: DataFrame, by: str, of: str, name: str = "previous", tie: list[
     return cut.withColumn(name, F.when(F.row_number().over(w) == 1, carry).otherwise(F.lag(of).over(w))).drop("__bucket")
 
 
-def with_filled(df: DataFrame, by: str, c: str, tie: list[str] | None = None, backward: bool = False, buckets: int = 64) -> DataFrame:
+def with_filled(df: DataFrame, by: str, c: str, tie: list[str] | None = None, backward: bool = False, buckets: int = RANGES) -> DataFrame:
     """df with nulls of c filled by the last value before them in the order of `by` (backward: the next one), over bucket borders."""
     cut = bucketed(df, by, buckets)
     keys = [by, *(tie or [])]
@@ -78,7 +110,7 @@ def average_ranks(df: DataFrame, c: str) -> DataFrame:
     return run.select("v", (F.col("upto") - (F.col("n") - 1) / 2.0).alias("rank"))
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float], buckets: int = 64) -> DataFrame:
+def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float], buckets: int = RANGES) -> DataFrame:
     """column_name, q (one value for each of qs, between neighbours by their distance) for all columns; nulls and NaN are left out.
 
     Approximate percentiles deal the rows into ranges, whose sizes tell which ranges hold the wanted ranks. Only rows of
@@ -86,10 +118,11 @@ def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float], buckets: in
     """
     spark = df.sparkSession
     as_double = df.select(*(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in cols))
-    near = as_double.agg(*(F.percentile_approx(c, [i / buckets for i in range(1, buckets)], 2_000).alias(f"b{i}") for i, c in enumerate(cols))).first()
+    near = bounds_of(as_double, cols, buckets)
     # numbered names, each range worked out once: the comparisons of many columns are a lot of code
     place = {c: F.col(f"__range{i}") for i, c in enumerate(cols)}
-    ranged = as_double.withColumns({f"__range{i}": F.when(F.col(c).isNotNull(), range_of(F.col(c), sorted(set(near[i] or [])))) for i, c in enumerate(cols)})
+    ranged = with_ranges(as_double, near, {c: f"__range{i}" for i, c in enumerate(cols)})
+    ranged = ranged.withColumns({f"__range{i}": F.when(F.col(c).isNotNull(), F.col(f"__range{i}")) for i, c in enumerate(cols)})
     sizes = ranged.select(*(place[c].alias(c) for c in cols)).unpivot([], cols, "column_name", "range").where("range is not null")
     parts: dict[str, dict[int, int]] = {c: {} for c in cols}
     for r in sizes.groupBy("column_name", "range").agg(F.count("*")).collect():
@@ -110,16 +143,47 @@ def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float], buckets: in
     run = freq.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("column_name", "range").orderBy("v")))
     rank = {q: F.floor(F.lit(float(q)) * (F.col("total") - 1)) for q in qs}
 
-    def value(q: float) -> Column:
-        low, high = F.min(F.when(F.col("upto") > rank[q], F.col("v"))), F.min(F.when(F.col("upto") > rank[q] + 1, F.col("v")))
-        part = F.max(F.lit(float(q)) * (F.col("total") - 1) - rank[q])
-        return F.when(high.isNull() | (part == 0), low).otherwise(low + (high - low) * part)
-
-    found = run.groupBy("column_name").agg(F.array(*(value(q) for q in qs)).alias("q"))
+    found = run.groupBy("column_name").agg(F.array(*(_between(q, rank[q]) for q in qs)).alias("q"))
     names = spark.range(1).select(F.explode(F.array(*map(F.lit, cols))).alias("column_name"))
     return names.join(found, "column_name", "left")
 
 
+def grouped_quantiles(df: DataFrame, by: list[str], cols: list[str], qs: list[float], buckets: int = RANGES) -> DataFrame:
+    """by, and for each of cols an array of its exact quantiles within the group, between neighbours by their distance.
+
+    Nulls and NaN are left out; a group without a value has null. Ranges of all rows' values are counted by group, combined
+    before the shuffle; their running counts tell which ranges hold a group's wanted ranks. Only values of those are
+    counted and ordered, so that a group of nearly all rows is spread over the ranges like all others.
+    """
+    group = F.struct(*(F.col(c).alias(f"g{i}") for i, c in enumerate(by))).alias("__group")
+    values = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"v{i}") for i, c in enumerate(cols)]
+    rows = df.select(group, *values)
+    bounds = bounds_of(rows, [f"v{i}" for i in range(len(cols))], buckets)
+    ranged = with_ranges(rows, bounds, {v: f"__range{v}" for v in bounds})
+    pair = F.array(*(F.struct(F.lit(i).alias("c"), F.when(F.col(v).isNotNull(), F.col(f"__range{v}")).alias("range"), F.col(v).alias("v")) for i, v in enumerate(bounds)))
+    long = ranged.select("__group", F.explode(pair).alias("x")).select("__group", "x.*")
+    counts = long.groupBy("__group", "c", "range").agg(F.count("v").alias("m"))
+    of = Window.partitionBy("__group", "c")
+    placed = counts.withColumns({"total": F.sum("m").over(of), "upto": F.sum("m").over(of.orderBy("range").rowsBetween(Window.unboundedPreceding, 0))})
+    rank = {q: F.floor(F.lit(float(q)) * (F.col("total") - 1)) for q in qs}
+    inside = lambda k: (F.col("upto") > k) & (F.col("upto") - F.col("m") <= k)
+    wanted = placed.where("range is not null").where(reduce(or_, (inside(rank[q] + k) for q in qs for k in (0, 1))))
+    wanted = wanted.select("__group", "c", "range", (F.col("upto") - F.col("m")).alias("before"), "total")
+    held = long.where("v is not null").join(wanted, ["__group", "c", "range"]).groupBy("__group", "c", "range", "before", "total", "v").agg(F.count("*").alias("n"))
+    run = held.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("__group", "c", "range").orderBy("v")))
+    found = run.groupBy("__group", "c").agg(F.array(*(_between(q, rank[q]) for q in qs)).alias("q"))
+    found = found.groupBy("__group").agg(*(F.max(F.when(F.col("c") == i, F.col("q"))).alias(f"q{i}") for i in range(len(cols))))
+    groups = counts.select("__group").distinct()
+    return groups.join(found, "__group", "left").select(*(F.col(f"__group.g{i}").alias(c) for i, c in enumerate(by)), *(F.col(f"q{i}").alias(c) for i, c in enumerate(cols)))
+
+
+def _between(q: float, rank: Column) -> Column:
+    """Over value counts with their running count `upto`: the value at q of `total` rows, between neighbours by their distance."""
+    low, high = F.min(F.when(F.col("upto") > rank, F.col("v"))), F.min(F.when(F.col("upto") > rank + 1, F.col("v")))
+    part = F.max(F.lit(float(q)) * (F.col("total") - 1) - rank)
+    return F.when(high.isNull() | (part == 0), low).otherwise(low + (high - low) * part)
+
+
 def quantiles_of(df: DataFrame, v: Column | str, qs: list[float]) -> list[float | None]:
     """The exact quantiles of one column or expression."""
     return exact_quantiles(df.select((F.col(v) if isinstance(v, str) else v).alias("v")), ["v"], qs).first()["q"] or [None] * len(qs)

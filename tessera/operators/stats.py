@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
 from tessera.operators import profile as P
-from tessera.operators.order import average_ranks, exact_quantiles, frequencies, quantiles_of, range_of, top_amount, with_lag, with_running
+from tessera.operators.order import average_ranks, exact_quantiles, frequencies, grouped_quantiles, quantiles_of, range_of, top_amount, with_lag, with_running
 
 
 def missingness(df: DataFrame) -> DataFrame:
@@ -215,7 +215,7 @@ def target_associations(df: DataFrame, target: str, numeric: list[str], categori
     out = None
     if numeric:
         q = {r["column_name"]: (r["p75"] - r["p25"]) or 1.0 for r in P.quantiles11(df, numeric).collect()}
-        m = df.where(F.col(target).isNotNull()).groupBy(target).agg(*(F.median(c).alias(c) for c in numeric))
+        m = grouped_quantiles(df.where(F.col(target).isNotNull()), [target], numeric, [0.5]).select(*(F.col(c)[0].alias(c) for c in numeric))
         s = m.agg(*((F.max(c) - F.min(c)).alias(c) for c in numeric)).unpivot([], numeric, "feature", "spread")
         scale = F.create_map(*(F.lit(x) for c in numeric for x in (c, q[c])))
         out = s.select("feature", F.lit("median_spread").alias("method"), (F.col("spread") / scale[F.col("feature")]).alias("strength"))
