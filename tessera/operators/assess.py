@@ -74,7 +74,7 @@ def grid_search(df: DataFrame, key: str, numeric: list[str], categories: list[st
     combos, rows = [dict(zip(grid, values)) for values in product(*grid.values())], []
     for k in range(folds):
         train, test = df.where(fold != k), df.where(fold == k)
-        prepared = Pipeline(stages=M.features(numeric, categories)).fit(train)
+        prepared = Pipeline(stages=M.features(train, numeric, categories)).fit(train)
         train, test = prepared.transform(train).cache(), prepared.transform(test).cache()
         for params in combos:
             stage = M.ESTIMATORS[estimator, task]()

@@ -8,14 +8,17 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, Imputer, OneHotEncoder, PolynomialExpansion, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import PCA, OneHotEncoder, PolynomialExpansion, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import columns as C
 from tessera.functions.columns import hash_order, hash_part, is_numeric
 from tessera.functions.shared import cut_lineage
+from tessera.operators.clusters import dbscan, dendrogram, hierarchical  # noqa: F401
+from tessera.operators.neighbours import knn_predict  # noqa: F401
 from tessera.operators.order import exact_quantiles, quantiles_of, with_running
 
 
@@ -71,8 +74,11 @@ def feature_select(df: DataFrame, target: str, wanted: list[str] | None = None,
     return semantic_types(df).withColumn("reason", reason).select("column_name", role.alias("role"), "reason")
 
 
-def features(numeric: list[str], categories: list[str] = (), scale: bool = True, degree: int = 1) -> list:
-    out = [Imputer(strategy="median", inputCols=numeric, outputCols=[f"{c}__f" for c in numeric])]
+def features(df: DataFrame, numeric: list[str], categories: list[str] = (), scale: bool = True, degree: int = 1) -> list:
+    """Stages from columns to `features`: nulls and NaN become the exact median of df, levels become indicator columns."""
+    middle = {r["column_name"]: (r["q"] or [0.0])[0] for r in exact_quantiles(df, list(numeric), [0.5]).collect()}
+    filled = (f"coalesce(nanvl(cast(`{c}` as double), cast(null as double)), {middle[c]!r}D) as `{c}__f`" for c in numeric)
+    out = [SQLTransformer(statement=f"SELECT *, {', '.join(filled)} FROM __THIS__")]
     cats = [f"{c}__i" for c in categories]
     if categories:
         out += [StringIndexer(inputCols=list(categories), outputCols=cats, handleInvalid="keep"), OneHotEncoder(inputCols=cats, outputCols=[f"{c}__h" for c in categories])]
@@ -94,7 +100,7 @@ ESTIMATORS = {
 
 
 def fit(df: DataFrame, numeric: list[str], categories: list[str], estimator: str, task: str, **kw):
-    return Pipeline(stages=[*features(numeric, categories, **kw), ESTIMATORS[estimator, task]()]).fit(df)
+    return Pipeline(stages=[*features(df, numeric, categories, **kw), ESTIMATORS[estimator, task]()]).fit(df)
 
 
 def baseline(df: DataFrame, label: str, strategy: str = "mean") -> DataFrame:
@@ -144,18 +150,44 @@ def prediction_audit(pred: DataFrame, k: int = 15) -> DataFrame:
     return pred.withColumn("abs_error", F.abs(F.col("prediction") - F.col("label"))).orderBy(F.desc("abs_error")).limit(k)
 
 
-def permutation_importance(model, df: DataFrame, key: str, cols: list[str], score, seed: int = 42) -> DataFrame:
-    """Loss of score when a column's values are dealt to other rows: each row gets the value of the next in hash order.
+SCORES = {
+    "r2": lambda: 1 - F.try_divide(F.sum(F.pow(F.col("prediction") - F.col("label"), 2)), F.var_pop("label") * F.count("label")),
+    "accuracy": lambda: F.avg((F.col("prediction") == F.col("label")).cast("double")),
+    "neg_rmse": lambda: -F.sqrt(F.avg(F.pow(F.col("prediction") - F.col("label"), 2))),
+}
+
+
+def dealt_again(df: DataFrame, key: str, cols: list[str], repeats: int = 5, seed: int = 42) -> DataFrame:
+    """df with __dealt, for each repeat a struct of cols as another row has them: a permutation of all rows a repeat.
+
+    A row's place in the order of one hash of the key takes the values of the row at that place in the order of another;
+    places come from counts of ranges, and rows and values meet in a join on the place.
+    """
+    ordered = lambda d, s: with_running(d.withColumn("__h", C.hash_part([key], 1 << 40, s)), "__h", {"__place": F.lit(1)}, tie=[key]).drop("__h")
+    out = cut_lineage(ordered(df, seed))
+    for r in range(repeats):
+        taken = ordered(df.select(key, *cols), seed + 1 + r).select("__place", F.struct(*cols).alias(f"__values{r}"))
+        out = out.join(taken, "__place")
+    return out.withColumn("__dealt", F.array(*(f"__values{r}" for r in range(repeats)))).drop("__place", *(f"__values{r}" for r in range(repeats)))
 
-    One batch: all columns' shuffled copies are scored by one job over the union.
+
+def permutation_importance(model, df: DataFrame, key: str, cols: list[str], score: str = "r2", repeats: int = 5, seed: int = 42) -> DataFrame:
+    """column_name, importance, deviation, repeats: the loss of a score (r2, accuracy or neg_rmse) when a column's values are dealt to other rows.
+
+    Each repeat deals all rows anew. The rows as they are and those of all columns and repeats are copies in one plan, which the
+    model scores in one job; importance is the mean loss over the repeats and deviation its population standard deviation.
     """
-    base = score(model.transform(df)).first()[0]
-    w = Window.partitionBy(F.pmod(F.xxhash64(key), F.lit(64))).orderBy(F.xxhash64(key, F.lit(seed)))
-    out = []
-    for c in cols:
-        moved = df.withColumn(c, F.coalesce(F.lead(c).over(w), F.first(c).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-        out.append((c, float(base - score(model.transform(moved)).first()[0])))
-    return df.sparkSession.createDataFrame(out, "column_name string, importance double")
+    if score not in SCORES:
+        raise ValueError(f"unknown score {score!r}; known are {', '.join(SCORES)}")
+    dealt = dealt_again(df, key, cols, repeats, seed)
+    cases = F.lit([[-1, -1], *([c, r] for c in range(len(cols)) for r in range(repeats))])
+    copies = dealt.withColumn("__case", F.explode(cases)).withColumn("__values", F.get("__dealt", F.greatest(F.get("__case", F.lit(1)), F.lit(0))))
+    copies = copies.withColumns({c: F.when(F.get("__case", F.lit(0)) == i, F.col("__values")[c]).otherwise(F.col(c)) for i, c in enumerate(cols)})
+    scores = model.transform(copies).groupBy(F.get("__case", F.lit(0)).alias("c"), F.get("__case", F.lit(1)).alias("r")).agg(SCORES[score]().alias("score"))
+    base = F.max(F.when(F.col("c") == -1, F.col("score"))).over(Window.partitionBy())  # a row a column and repeat
+    lost = scores.withColumn("lost", base - F.col("score")).where("c >= 0")
+    name = F.element_at(F.lit(list(cols)), F.col("c") + 1).alias("column_name")
+    return lost.groupBy(name).agg(F.avg("lost").alias("importance"), F.stddev_pop("lost").alias("deviation"), F.count("*").cast("int").alias("repeats"))
 
 
 def native_importance(model, pred: DataFrame) -> DataFrame:
@@ -200,16 +232,16 @@ def modeling_baseline(df: DataFrame, key: str, numeric: list[str], categories: l
 
 
 def target_importance(df: DataFrame, key: str, numeric: list[str], categories: list[str], task: str, suspicious: float = 0.45) -> DataFrame:
-    """column_name, importance, permutation, suspicion: a forest's importances and the loss by permutation on held-out rows.
+    """column_name, importance, permutation, deviation, suspicion: a forest's importances and the loss by permutation on held-out rows.
 
     A share of importance of `suspicious` or more may come from a leak of the target, or a proxy for it.
     """
     train, held = split(df, key)
     model = fit(train, numeric, categories, "random_forest", task)
-    score = (lambda p: classification_metrics(p).select("accuracy")) if task == "classification" else (lambda p: regression_metrics(p).select("r2"))
+    score = "accuracy" if task == "classification" else "r2"
     lost = permutation_importance(model, held, key, [*numeric, *categories], score).withColumnRenamed("importance", "permutation")
     out = lost.join(native_importance(model, model.transform(held)), "column_name", "left").na.fill(0.0, ["importance"])
-    return out.select("column_name", "importance", "permutation", F.when(F.col("importance") >= suspicious, "possible_leakage_or_proxy").alias("suspicion"))
+    return out.select("column_name", "importance", "permutation", "deviation", F.when(F.col("importance") >= suspicious, "possible_leakage_or_proxy").alias("suspicion"))
 
 
 def cross_validate(df: DataFrame, key: str, numeric: list[str], categories: list[str], estimator: str, task: str, folds: int = 3) -> DataFrame:
@@ -228,12 +260,13 @@ def kmeans(df: DataFrame, cols: list[str], k: int = 3, scale: bool = True) -> Da
 
 
 def bisecting(df: DataFrame, cols: list[str], k: int = 3) -> DataFrame:
-    """Divisive in the place of agglomerative clustering: results differ."""
-    return _cluster(df, cols, BisectingKMeans(k=k, seed=42, featuresCol="features", predictionCol="cluster"), True)
+    """Divisive clusters. Columns are scaled but not centred: a split moves a centre in proportion to its norm, which would be 0."""
+    stages = [*features(df, cols, scale=False), StandardScaler(inputCol="features", outputCol="scaled"), BisectingKMeans(k=k, seed=42, featuresCol="scaled", predictionCol="cluster")]
+    return Pipeline(stages=stages).fit(df).transform(df)
 
 
 def _cluster(df: DataFrame, cols: list[str], stage, scale: bool) -> DataFrame:
-    return Pipeline(stages=[*features(cols, scale=scale), stage]).fit(df).transform(df)
+    return Pipeline(stages=[*features(df, cols, scale=scale), stage]).fit(df).transform(df)
 
 
 def cluster_metrics(pred: DataFrame) -> DataFrame:
@@ -248,64 +281,9 @@ def cluster_profile(pred: DataFrame, cols: list[str]) -> DataFrame:
     return g.select("feature", F.abs(F.col("s.mean") - overall).alias("off")).groupBy("feature").agg(F.avg("off").alias("separation"))
 
 
-def dbscan(df: DataFrame, key: str, x: str, y: str, eps: float, min_samples: int = 5) -> DataFrame:
-    """(key, cluster) with -1 for noise: a grid of eps cells, neighbours in 3x3 cells, core points joined by min labels."""
-    p = df.select(F.col(key).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null")
-    p = p.withColumn("cx", F.floor(F.col("x") / eps)).withColumn("cy", F.floor(F.col("y") / eps))
-    spread = p.select("id", "x", "y", F.explode(F.array(*(F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))).alias("c")).select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), "c.*")
-    near = spread.join(p, ["cx", "cy"]).where(F.pow(F.col("ax") - F.col("x"), 2) + F.pow(F.col("ay") - F.col("y"), 2) <= eps * eps).select("a", F.col("id").alias("b"))
-    core = near.groupBy("a").count().where(F.col("count") >= min_samples).select("a")
-    edges = near.join(core, "a").join(core.withColumnRenamed("a", "b"), "b").select("a", "b")
-    label = core.select("a", F.col("a").alias("l"))
-    while True:
-        new = cut_lineage(edges.join(label.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("l").alias("l")))
-        if not new.join(label.withColumnRenamed("l", "was"), "a").where("l <> was").limit(1).count():
-            break
-        label = new
-    border = near.join(label.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("l").alias("l"))
-    return p.select("id").join(border, F.col("id") == F.col("a"), "left").select("id", F.coalesce("l", F.lit(-1)).alias("cluster"))
-
-
-def knn_predict(train: DataFrame, test: DataFrame, cols: list[str], label: str, key: str, k: int = 5, blocks: tuple[int, int] = (2_048, 32_768)) -> DataFrame:
-    """id, prediction: the mean label of the k nearest training rows, of equally near ones those of the smaller keys.
-
-    Columns are numbers or arrays of numbers. Test and training rows are dealt into blocks of about the given sizes, whose
-    numbers grow with the rows; a task measures one block of each by numpy and returns the k best of each test row,
-    which are merged. A row is no neighbour of its own key. Rows with a null are left out.
-    """
-    parts = [F.col(c).cast("array<double>") if train.schema[c].dataType.typeName() == "array" else F.array(F.col(c).cast("double")) for c in cols]
-    vector = F.concat(*parts)
-    spread = lambda name, n: F.pmod(F.xxhash64(key, F.lit(3)), F.lit(n)).alias(name)
-    nt, nr = (-(-df.count() // size) or 1 for df, size in zip((test, train), blocks))
-    every = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>")).alias(name)
-    a = test.select(F.col(key).alias("id"), vector.alias("v"), spread("tb", nt), every("rb", nr)).where("v is not null")
-    b = train.select(F.col(key).alias("id"), vector.alias("v"), F.col(label).cast("double").alias("label"), spread("rb", nr), every("tb", nt)).where("v is not null and label is not null")
-    kind = train.schema[key].dataType.simpleString()
-
-    def nearest(left, right):
-        import numpy as np
-        import pandas as pd
-
-        out = []
-        if len(left) and len(right):
-            vectors, ids, labels = np.stack(right["v"].to_numpy()), right["id"].to_numpy(), right["label"].to_numpy()
-            for i, v in zip(left["id"], left["v"]):
-                d = ((vectors - v) ** 2).sum(axis=1)
-                d[ids == i] = np.inf
-                at = np.flatnonzero(d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1])
-                at = at[np.isfinite(d[at])]
-                at = at[np.lexsort((ids[at], d[at]))][:k]
-                out.append(pd.DataFrame({"id": i, "other": ids[at], "d": d[at], "label": labels[at]}))
-        return pd.concat(out) if out else pd.DataFrame({"id": [], "other": [], "d": [], "label": []})
-
-    near = a.groupBy("tb", "rb").cogroup(b.groupBy("tb", "rb")).applyInPandas(nearest, f"id {kind}, other {kind}, d double, label double")
-    best = near.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("d", "other"))).where(F.col("r") <= k)
-    return best.groupBy("id").agg(F.avg("label").alias("prediction"))
-
-
 def pca_project(df: DataFrame, cols: list[str], k: int = 2) -> DataFrame:
     """df with pc (array); signs are arbitrary."""
-    m = Pipeline(stages=[*features(cols), PCA(k=k, inputCol="features", outputCol="pcs")]).fit(df)
+    m = Pipeline(stages=[*features(df, cols), PCA(k=k, inputCol="features", outputCol="pcs")]).fit(df)
     return m.transform(df).withColumn("pc", vector_to_array("pcs")).withColumn("explained", F.lit(float(sum(m.stages[-1].explainedVariance.toArray()))))
 
 

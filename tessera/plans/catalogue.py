@@ -257,7 +257,7 @@ query("roc_auc", "lineitem", "SELECT (sum(r * y) - sum(y) * (sum(y) + 1) / 2) /
 query("roc_pr_curves", "lineitem")(lambda d: M.roc_points(d.select(F.col("l_quantity").alias("score"), (F.col("l_returnflag") == "R").cast("int").alias("label"))))
 query("model_comparison", "lineitem")(lambda d: M.model_comparison(_priced(d), "row_key", ["l_quantity", "l_discount", "l_tax"], [], "regression"))
 query("native_importance", "lineitem")(lambda d: (lambda m, x: M.native_importance(m, m.transform(x)))(M.fit(_priced(d), ["l_quantity", "l_discount", "l_tax"], [], "linear", "regression"), _priced(d)))
-query("permutation_importance", "lineitem")(lambda d: M.permutation_importance(M.fit(_priced(d), ["l_quantity", "l_tax"], [], "linear", "regression"), _priced(d), "row_key", ["l_quantity", "l_tax"], lambda p: M.regression_metrics(p).select("r2")))
+query("permutation_importance", "lineitem")(lambda d: M.permutation_importance(M.fit(_priced(d), ["l_quantity", "l_tax"], [], "linear", "regression"), _priced(d), "row_key", ["l_quantity", "l_tax"], "r2"))
 query("linear_contributions", "lineitem")(lambda d: (lambda m, x: M.linear_contributions(m, m.transform(x), "row_key"))(M.fit(_priced(d), ["l_quantity", "l_tax"], [], "linear", "regression"), _priced(d)))
 query("cross_validate", "lineitem")(lambda d: M.cross_validate(_priced(d), "row_key", ["l_quantity", "l_tax"], [], "linear", "regression"))
 query("kmeans", "lineitem")(lambda d: M.cluster_metrics(M.kmeans(d, ["l_quantity", "l_discount"])))

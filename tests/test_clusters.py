@@ -100,3 +100,35 @@ def test_components(spark):
         parent[y] = x
     assert got == {v: root(v) for v in parent}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# --- nearest rows ----------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("method, weights", [("mean", "uniform"), ("mean", "distance"), ("vote", "uniform"), ("vote", "distance")])
+def test_nearest_rows_by_cells(spark, method, weights):
+    from tessera.operators import neighbours
+
+    v = blobs(300, 6)
+    v[7], label = v[8], [i % 4 for i in range(300)]
+    d = spark.createDataFrame([(i, float(v[i][0]), float(v[i][1]), float(label[i])) for i in range(300)], "id int, x double, y double, label double").repartition(3)
+    got = {r["id"]: r["prediction"] for r in neighbours.knn_predict(d, d.where("id % 3 = 1"), ["x", "y"], "label", "id", 5, (20, 15), method, weights, per_cell=25).collect()}
+    for i in range(1, 300, 3):
+        near = sorted((((v[j] - v[i]) ** 2).sum(), j) for j in range(300) if j != i)[:5]
+        w = [1.0] * 5 if weights == "uniform" else [float(d == 0) for d, _ in near] if near[0][0] == 0 else [1 / d**0.5 for d, _ in near]
+        votes = {x: sum(a for a, (_, j) in zip(w, near) if label[j] == x) for x in range(4)}
+        want = max(sorted(votes), key=lambda x: votes[x]) if method == "vote" else sum(a * label[j] for a, (_, j) in zip(w, near)) / sum(w)
+        assert got[i] == pytest.approx(want)
+
+
+def test_far_cells_are_not_read(spark):
+    from tessera.operators import neighbours
+
+    v = blobs(600, 7)
+    d = spark.createDataFrame([(i, v[i].tolist(), 0.0) for i in range(600)], "id int, v array<double>, label double")
+    cells = neighbours.build_cells(d, ["v"], "label", "id", per_cell=30)
+    queries = d.select("id", "v")
+    found = neighbours.nearest_rows(cells, queries, 3)
+    kth = found.groupBy("id").agg({"d": "max"}).toDF("id", "kth")
+    read = neighbours.probes_of(cells, queries, 3, False).count() + neighbours.probes_of(cells, queries.join(kth, "id").select("id", "v", "kth"), 3, True).count()
+    assert len(cells.centres) == 20 and found.count() == 1800 and read < 0.35 * 600 * 20
