@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
-from tessera.operators.order import exact_quantiles, grouped_quantiles, quantiles_of, with_filled
+from tessera.operators.order import exact_quantiles, grouped_quantiles, quantiles_of, with_filled, with_filled_groups
 
 NULL_POLICIES = {"preserve": (None, None), "treat_as_false": (None, 0), "treat_as_true": (None, 1), "false_to_null": (0, None), "true_to_null": (1, None)}
 #: One-hot encoding without a number of levels makes at most so many columns.
@@ -192,8 +192,7 @@ def fill_forward(df: DataFrame, c: str, order_by: str, by: list[str] | None = No
     """The last (backward: next) value that is not null, in the order within each group; without groups, in that of all rows."""
     if not by:
         return with_filled(df, order_by, c, backward=backward)
-    w = Window.partitionBy(*by).orderBy(F.col(order_by).desc() if backward else F.col(order_by)).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(c, F.last(c, True).over(w))
+    return with_filled_groups(df, by, order_by, c, backward=backward)
 
 
 def dedupe(df: DataFrame, subset: list[str] | None = None, keep: str = "first", order_by: str | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import accumulate
-from operator import or_
+from operator import and_, or_
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -99,6 +99,23 @@ def with_filled(df: DataFrame, by: str, c: str, tie: list[str] | None = None, ba
     return cut.withColumn(c, F.coalesce(found, outside)).drop("__bucket")
 
 
+def with_filled_groups(df: DataFrame, by: list[str], order_by: str, c: str, backward: bool = False, buckets: int = RANGES) -> DataFrame:
+    """df with nulls of c filled by the last value before them (backward: the next) in the group's order.
+
+    Windows are over a group's rows of one range of the order, so that a group of most rows is many of them; what a range starts
+    with is the last value of the group's ranges before, a table with a row for each group and range.
+    """
+    cut, order = bucketed(df, order_by, buckets), F.col(order_by)
+    held = (F.min_by if backward else F.max_by)(c, F.when(F.col(c).isNotNull(), order))
+    edges = cut.groupBy(*(F.col(x).alias(f"__g_{x}") for x in by), F.col("__bucket").alias("__at")).agg(held.alias("__held"))
+    place = F.col("__at").desc() if backward else F.col("__at")
+    before = Window.partitionBy(*(f"__g_{x}" for x in by)).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.withColumn("__carried", F.last("__held", True).over(before)).drop("__held")
+    same = reduce(and_, (F.col(x).eqNullSafe(F.col(f"__g_{x}")) for x in by)) & (F.col("__bucket") == F.col("__at"))
+    w = Window.partitionBy(*by, "__bucket").orderBy(order.desc() if backward else order).rowsBetween(Window.unboundedPreceding, 0)
+    return cut.join(edges, same).withColumn(c, F.coalesce(F.last(c, True).over(w), "__carried")).select(*df.columns)
+
+
 def frequencies(df: DataFrame, c: str, name: str = "v") -> DataFrame:
     """The value-frequency table of one column, without nulls: (v, n)."""
     return df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias(name)).agg(F.count("*").alias("n"))

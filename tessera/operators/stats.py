@@ -161,11 +161,26 @@ def top_share(df: DataFrame, c: str, share: float = 0.01) -> DataFrame:
     return with_running(frequencies(kept, c), "v", {"upto": F.col("n")}).agg(F.try_divide(top_amount((share,), n)[0], F.lit(total)).alias("share"))
 
 
+#: Rows of a series that one window holds.
+STRETCH = 1 << 20
+
+
 def autocorrelation(df: DataFrame, order_by: str, c: str, lags: int = 10) -> DataFrame:
-    """Correlation of the series with itself 1..lags rows earlier: an equi-join on the row number, not a window."""
-    x = with_running(df.where(F.col(c).isNotNull()).select(F.col(order_by), F.col(c).alias("y")), order_by, {"i": F.lit(1)}).select("i", "y")
-    y = x.select("y", F.col("i").alias("j"), F.explode(F.sequence(F.lit(1), F.lit(lags))).alias("lag")).select(F.col("y").alias("early"), (F.col("j") + F.col("lag")).alias("i"), "lag")
-    return y.join(x, "i").groupBy("lag").agg(_pearson(F.col("early"), F.col("y")).alias("r"))
+    """lag, r: the correlation of the series of non-null values with itself 1..lags rows earlier.
+
+    Rows are numbered by ranges of the order and cut into stretches; each stretch also holds the last `lags` rows of the one
+    before, and one window per stretch gives all earlier values. Rows are neither joined nor repeated once for each lag.
+    """
+    x = with_running(df.where(F.col(c).isNotNull()).select(F.col(order_by), F.col(c).alias("y")), order_by, {"i": F.lit(1)}).select("y", (F.col("i") - 1).alias("i"))
+    size = max(STRETCH, lags)
+    own = F.floor(F.col("i") / size)
+    halo = x.where(F.col("i") % size >= size - lags).select("y", "i", (own + 1).alias("stretch"), F.lit(True).alias("halo"))
+    both = x.select("y", "i", own.alias("stretch"), F.lit(False).alias("halo")).unionByName(halo)
+    w = Window.partitionBy("stretch").orderBy("i")
+    seen = both.withColumns({f"lag{k}": F.lag("y", k).over(w) for k in range(1, lags + 1)}).where("not halo")
+    row = seen.agg(*(_pearson(F.col(f"lag{k}"), F.col("y")).alias(f"r{k}") for k in range(1, lags + 1)))
+    pairs = F.array(*(F.struct(F.lit(k).alias("lag"), F.col(f"r{k}").alias("r")) for k in range(1, lags + 1)))
+    return row.select(F.explode(pairs).alias("x")).select("x.*")
 
 
 def target_balance(df: DataFrame, target: str) -> DataFrame:
