@@ -22,6 +22,9 @@ _SQL: dict[str, str] = {}
 
 def query(name: str, table: str, sql: str | None = None):
     """Registers f(df) over a table; `dirty` is orders with nulls, missing words, flags and spikes."""
+    if name in _QUERIES:
+        raise ValueError(f"two queries are named {name}")
+
     def add(f):
         def run(spark, sf_dir, f=f):
             return f(dirty(spark, sf_dir) if table == "dirty" else spark.read.parquet(f"{sf_dir}/{table}.parquet"))
@@ -56,10 +59,8 @@ ALL_ORDER = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orde
 
 # --- profile ---------------------------------------------------------------------------------------------------
 query("dataset_summary", "orders", "SELECT count(*)::BIGINT AS rows, 6::BIGINT AS columns, 0::BIGINT AS missing_cells, 0.0 AS missing_ratio, (count(*) - count(DISTINCT (o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority)))::BIGINT AS duplicate_rows FROM orders")(P.dataset_summary)
-query("duplicate_rows", "documents", "SELECT sum(n - 1)::BIGINT AS duplicate_rows FROM (SELECT count(*) AS n FROM documents GROUP BY lang, source)")(lambda d: P.duplicate_rows(d.select("lang", "source")))
 query("duplicate_documents", "documents", "SELECT coalesce(sum(n - 1), 0)::BIGINT AS duplicate_rows FROM (SELECT count(*) AS n FROM documents GROUP BY text, lang, source, n_chars)")(lambda d: P.duplicate_rows(d.drop("doc_id")))
 query("column_counts", "dirty", each(("num_text", "price_null", "flag_text"), "SELECT '{c}' AS column_name, count({c})::BIGINT AS non_null, (count(*) - count({c}))::BIGINT AS missing, (count(*) - count({c})) / count(*)::DOUBLE AS missing_ratio, count(DISTINCT {c})::BIGINT AS distinct_count, count(DISTINCT {c}) / count({c})::DOUBLE AS distinct_ratio FROM {dirty}"))(lambda d: P.column_counts(d.select("num_text", "price_null", "flag_text")))
-query("scan_sample", "lineitem")(lambda d: C.hash_sample(d, 1000, ["l_orderkey", "l_linenumber"]))
 _FREQ = "(SELECT CAST({c} AS VARCHAR) AS value, count(*) AS n FROM orders WHERE {c} IS NOT NULL GROUP BY 1)"
 query("top_values", "orders", each(ORDER_TEXT, "SELECT '{c}' AS column_name, rank::INT AS rank, value, n::BIGINT AS n FROM (SELECT *, row_number() OVER (ORDER BY n DESC, value) AS rank FROM " + _FREQ + ") WHERE rank <= 10"))(lambda d: P.top_values(d, list(ORDER_TEXT)))
 query("dominant_value", "orders", each(ORDER_TEXT, "SELECT '{c}' AS column_name, arg_min(value, (-n, value)) AS dominant_value, max(n) / sum(n)::DOUBLE AS dominant_share FROM " + _FREQ))(lambda d: P.frequency_facts(d, list(ORDER_TEXT)).select("column_name", "dominant_value", "dominant_share"))
@@ -108,13 +109,11 @@ query("filter_datetime", "orders", "SELECT o_orderkey FROM orders WHERE o_orderd
 query("filter_text", "orders", "SELECT o_orderkey FROM orders WHERE lower(o_orderpriority) LIKE '1-%'")(lambda d: V.filter_text(d, "o_orderpriority", "1-", "starts").select("o_orderkey"))
 query("filter_ops", "orders", "SELECT o_orderkey FROM orders WHERE o_totalprice > 100000 AND o_orderstatus IN ('F', 'O') AND NOT contains(lower(o_orderpriority), 'low')")(lambda d: V.filter_op(V.filter_op(V.filter_op(d, "o_totalprice", "greater", 100000), "o_orderstatus", "in", "F, O"), "o_orderpriority", "not_contains", "low").select("o_orderkey"))
 query("range_clip", "lineitem", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity BETWEEN 10 AND 20")(lambda d: V.range_clip(d, "l_quantity", 10, 20).select("l_orderkey", "l_linenumber"))
-query("select_order", "nation", "SELECT n_name, n_nationkey FROM nation")(lambda d: V.select_order(d, ["n_regionkey"], ["n_name"]))
 _VIEW = {"search": "urgent", "filters": [{"column": "o_totalprice", "op": "less", "value": 200000}], "hidden": ["o_custkey"]}
 query("apply_view", "orders", "SELECT * EXCLUDE (o_custkey) FROM orders WHERE contains(lower(o_orderpriority), 'urgent') AND o_totalprice < 200000")(lambda d: V.apply_view(d, _VIEW))
 query("view_summary", "orders", "SELECT count(*)::BIGINT AS rows_before, 6::BIGINT AS columns_before, count(*) FILTER (contains(lower(o_orderpriority), 'urgent') AND o_totalprice < 200000)::BIGINT AS rows_after, 5::BIGINT AS columns_after, count(*) FILTER (contains(lower(o_orderpriority), 'urgent') AND o_totalprice < 200000) / count(*)::DOUBLE AS row_ratio FROM orders")(lambda d: V.view_summary(d, _VIEW))
 query("missing_category", "dirty", "SELECT flag_text, count(*)::BIGINT AS n FROM (SELECT CASE WHEN flag_text IS NULL OR trim(flag_text) = '' THEN 'Missing' ELSE flag_text END AS flag_text FROM {dirty}) GROUP BY 1")(lambda d: G.missing_category(d, "flag_text").groupBy("flag_text").agg(F.count("*").alias("n")))
 query("axis_transform", "lineitem", "SELECT sum(CASE WHEN l_discount > 0 THEN ln(l_discount) END) AS a, sum(ln(1 + l_tax)) AS b, sum(sqrt(l_quantity)) AS c FROM lineitem")(lambda d: d.agg(F.sum(G.axis_transform(F.col("l_discount"), "log")).alias("a"), F.sum(G.axis_transform(F.col("l_tax"), "log1p")).alias("b"), F.sum(G.axis_transform(F.col("l_quantity"), "sqrt")).alias("c")))
-query("sort_multi", "nation", "SELECT * FROM nation")(lambda d: V.sort_multi(d, [("n_regionkey", "desc"), ("n_name", "asc")]))
 # --- groups, windows, charts -----------------------------------------------------------------------------------
 _AGGS = ("count", "sum", "mean", "median", "min", "max", "std", "var", "nunique", "p25", "p90")
 query("group_agg", "lineitem", "SELECT l_returnflag, count(l_quantity)::BIGINT AS y_count, sum(l_quantity) AS y_sum, avg(l_quantity) AS y_mean, median(l_quantity) AS y_median, min(l_quantity) AS y_min, max(l_quantity) AS y_max, stddev_samp(l_quantity) AS y_std, var_samp(l_quantity) AS y_var, count(DISTINCT l_quantity)::BIGINT AS y_nunique, quantile_cont(l_quantity, 0.25) AS y_p25, quantile_cont(l_quantity, 0.9) AS y_p90 FROM lineitem GROUP BY 1")(lambda d: d.groupBy("l_returnflag").agg(*(G.aggregate(a, F.col("l_quantity")).alias(f"y_{a}") for a in _AGGS)))
@@ -157,8 +156,6 @@ query("semi_top_levels", "orders", "SELECT o_orderkey FROM orders WHERE o_orderp
 query("top_n_other", "documents", "SELECT CASE WHEN source IN (SELECT source FROM documents GROUP BY 1 ORDER BY count(*) DESC, source LIMIT 3) THEN source ELSE 'Other' END AS source, count(*)::BIGINT AS n FROM documents GROUP BY 1")(lambda d: G.top_n_other(d, "source", 3).groupBy("source").agg(F.count("*").alias("n")))
 query("dedupe", "orders", "SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1")(lambda d: K.dedupe(d, ["o_custkey"], "first", "o_orderkey").select("o_custkey", "o_orderkey"))
 query("duplicate_groups", "orders", "SELECT sum(n) FILTER (n > 1)::BIGINT AS rows_in_groups, count(*) FILTER (n > 1)::BIGINT AS groups FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey)")(lambda d: K.duplicate_groups(d, ["o_custkey"]))
-query("row_level_cap", "lineitem")(lambda d: G.chart_data(d, {"kind": "scatter", "x": "l_quantity", "y": "l_extendedprice", "limit": 500}))
-query("stratified_split", "orders")(lambda d: M.stratified_split(d, "o_orderkey", "o_orderstatus").groupBy("o_orderstatus", "is_test").agg(F.count("*").alias("n")))
 query("melt_matrix", "lineitem", "SELECT l_returnflag, name, value FROM (SELECT l_returnflag, avg(l_quantity) AS q, avg(l_tax) AS t FROM lineitem GROUP BY 1) UNPIVOT (value FOR name IN (q, t))")(lambda d: d.groupBy("l_returnflag").agg(F.avg("l_quantity").alias("q"), F.avg("l_tax").alias("t")).unpivot("l_returnflag", ["q", "t"], "name", "value"))
 query("bin_width", "lineitem", "SELECT greatest(ceil((l_quantity - 0) / 5.0) - 1, 0)::BIGINT AS bin, count(*)::BIGINT AS n FROM lineitem GROUP BY 1")(lambda d: d.groupBy(G.bin_width(F.col("l_quantity"), 0, 5.0).cast("bigint").alias("bin")).agg(F.count("*").alias("n")))
 query("bin_quantile", "lineitem", "SELECT ((v > a)::INT + (v > b)::INT + (v > c)::INT)::INT AS bin, count(*)::BIGINT AS n FROM (SELECT l_extendedprice AS v, quantile_cont(l_extendedprice, 0.25) OVER () AS a, quantile_cont(l_extendedprice, 0.5) OVER () AS b, quantile_cont(l_extendedprice, 0.75) OVER () AS c FROM lineitem) GROUP BY 1")(lambda d: G.bin_quantile(d, "l_extendedprice", 4).groupBy("bin").agg(F.count("*").alias("n")))
@@ -166,21 +163,18 @@ query("histogram", "lineitem", "WITH b AS (SELECT min(l_quantity) AS lo, (max(l_
 query("box", "lineitem", "SELECT l_returnflag, count(*)::BIGINT AS n, min(l_tax) AS min, quantile_cont(l_tax, 0.25) AS q1, median(l_tax) AS median, quantile_cont(l_tax, 0.75) AS q3, max(l_tax) AS max FROM lineitem GROUP BY 1")(lambda d: G.box(d, "l_tax", ["l_returnflag"]))
 query("ecdf", "lineitem", "SELECT value, sum(n) OVER (ORDER BY value)::BIGINT AS cumulative, sum(n) OVER (ORDER BY value) / sum(n) OVER ()::DOUBLE AS share FROM (SELECT l_quantity AS value, count(*) AS n FROM lineitem GROUP BY 1)")(lambda d: G.ecdf(d, "l_quantity"))
 query("scatter_trend", "lineitem", "SELECT regr_slope(l_extendedprice, l_quantity) AS slope, regr_intercept(l_extendedprice, l_quantity) AS intercept, regr_count(l_extendedprice, l_quantity)::BIGINT AS n FROM lineitem")(lambda d: G.trend(d, "l_quantity", "l_extendedprice"))
-query("density_heatmap", "lineitem")(lambda d: G.density_grid(d, "l_quantity", "l_extendedprice"))
 query("calendar_table", "orders", "SELECT CAST(o_orderdate::DATE AS VARCHAR) AS day, weekofyear(o_orderdate::DATE)::INT AS iso_week, (isodow(o_orderdate::DATE) - 1)::INT AS weekday, sum(o_totalprice) AS y FROM orders GROUP BY 1, 2, 3")(lambda d: G.calendar_table(d, "o_orderdate", "o_totalprice").withColumn("day", F.col("day").cast("string")))
 query("series_statistic", "lineitem", "SELECT quantile_cont(l_extendedprice, 0.9) AS value FROM lineitem")(lambda d: G.series_statistic(d, "l_extendedprice", "p90"))
 query("histogram_outlier_options", "dirty", "SELECT m >= 5 * c OR c >= 20 * a OR b >= 10 * a AS clip, c AS clip_at FROM (SELECT quantile_cont(price_spike, 0.5) AS a, quantile_cont(price_spike, 0.95) AS b, quantile_cont(price_spike, 0.99) AS c, max(price_spike) AS m FROM {dirty})")(lambda d: G.histogram_outlier_options(d, "price_spike"))
 query("parallel_categories", "lineitem", "SELECT l_returnflag, l_linestatus, l_linenumber, count(*)::BIGINT AS n FROM lineitem GROUP BY 1, 2, 3")(lambda d: G.parallel_categories(d, ["l_returnflag", "l_linestatus", "l_linenumber"]))
 query("chart_data", "orders", "SELECT date_trunc('month', o_orderdate)::TIMESTAMP AS o_orderdate, o_orderstatus, sum(o_totalprice) AS y, dense_rank() OVER (PARTITION BY date_trunc('month', o_orderdate) ORDER BY sum(o_totalprice) DESC)::INT AS rank FROM orders WHERE o_totalprice > 1000 GROUP BY 1, 2, date_trunc('month', o_orderdate)")(lambda d: G.chart_data(d, {"kind": "bump_chart", "x": "o_orderdate", "y": "o_totalprice", "color": "o_orderstatus", "bucket": "month", "filters": [{"column": "o_totalprice", "op": "greater", "value": 1000}]}))
 # --- cleaning --------------------------------------------------------------------------------------------------
-query("rename_columns", "region", "SELECT r_regionkey AS region_key, r_name FROM region")(lambda d: K.rename_columns(d.toDF("Region Key", "r_name")))
 query("column_rename_preview", "nation", "SELECT * FROM (VALUES ('n_nationkey', 'n_nationkey'), ('n_name', 'n_name'), ('n_regionkey', 'n_regionkey')) t(column_name, proposed)")(K.rename_preview)
 query("trim_strings", "dirty", "SELECT o_orderkey, trim(flag_text) AS flag_text FROM {dirty}")(lambda d: K.trim_strings(d, ["flag_text"]).select("o_orderkey", "flag_text"))
 query("whitespace_mask", "dirty", "SELECT count(*) FILTER (flag_text <> trim(flag_text))::BIGINT AS n FROM {dirty}")(lambda d: K.whitespace_count(d, "flag_text"))
 query("missing_like_to_null", "dirty", "SELECT o_orderkey, CASE WHEN num_text IN ('N/A', ' ') THEN NULL ELSE num_text END AS num_text FROM {dirty}")(lambda d: K.missing_like_to_null(d, ["num_text"]).select("o_orderkey", "num_text"))
 query("parse_numeric", "dirty", "SELECT o_orderkey, try_cast(num_text AS DOUBLE) AS num_text FROM {dirty}")(lambda d: K.parse_numeric(d, "num_text").select("o_orderkey", "num_text"))
 query("parse_datetime", "orders", "SELECT o_orderkey, date_trunc('day', o_orderdate)::TIMESTAMP AS d FROM orders")(lambda d: K.parse_datetime(d.withColumn("d", F.date_format("o_orderdate", "MM/dd/yyyy")), "d").select("o_orderkey", F.col("d").cast("timestamp_ntz").alias("d")))
-query("invalid_numeric", "dirty")(lambda d: K.invalid_count(d, "flag_text"))
 query("datetime_format_clusters", "orders", "SELECT '9-9-9' AS pattern, count(*)::BIGINT AS n FROM orders")(lambda d: K.format_clusters(d.withColumn("d", F.date_format("o_orderdate", "yyyy-MM-dd")), "d"))
 query("map_values", "orders", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE o_orderstatus END AS o_orderstatus FROM orders")(lambda d: K.map_values(d, "o_orderstatus", {"F": "done", "O": "open"}).select("o_orderkey", "o_orderstatus"))
 query("category_variants", "dirty", "SELECT label, forms, n FROM (SELECT lower(trim(v)) AS label, count(*)::BIGINT AS forms, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN o_orderkey % 2 = 0 THEN ' ' || lower(o_orderpriority) ELSE o_orderpriority END AS v, count(*) AS n FROM {dirty} GROUP BY 1) GROUP BY 1) WHERE forms > 1")(lambda d: K.category_variants(d.withColumn("v", F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit(" "), F.lower("o_orderpriority"))).otherwise(F.col("o_orderpriority"))), "v"))
@@ -203,7 +197,6 @@ _geo = lambda d: d.select("c_custkey", (F.col("c_acctbal") / 60).alias("lat"), (
 query("geo_review", "customer", f"SELECT count(*) FILTER (abs(lat) > 90 OR abs(lon) > 180)::BIGINT AS invalid, count(*) FILTER (abs(lat) > 90 AND abs(lat) <= 180 AND abs(lon) <= 90)::BIGINT AS likely_swapped FROM {_GEO}")(lambda d: K.geo_review(_geo(d), "lat", "lon"))
 query("geo_fix", "customer", f"SELECT c_custkey, CASE WHEN abs(lat) > 90 OR abs(lon) > 180 THEN NULL ELSE lat END AS lat, CASE WHEN abs(lat) > 90 OR abs(lon) > 180 THEN NULL ELSE lon END AS lon FROM {_GEO}")(lambda d: K.geo_fix(_geo(d), "lat", "lon"))
 query("missing_treatment", "dirty", "SELECT o_orderkey, coalesce(flag_text, 'Missing') AS flag_text FROM {dirty}")(lambda d: K.impute_missing(d, {"flag_text": "missing"}).select("o_orderkey", "flag_text"))
-query("cleaning_plan", "dirty")(K.cleaning_plan)
 query("cleaning_plan_apply", "dirty", "SELECT o_orderkey, try_cast(num_text AS DOUBLE) AS num_text, CASE WHEN lower(trim(flag_text)) IN ('y', 'yes') THEN 1 WHEN flag_text = 'No' THEN 0 END::DOUBLE AS flag_text FROM {dirty}")(lambda d: (lambda x: K.apply_cleaning(x, K.cleaning_plan(x)).withColumn("flag_text", F.col("flag_text").cast("double")))(d.select("o_orderkey", "num_text", "flag_text")))
 query("modeling_plan", "orders")(lambda d: K.modeling_plan(d, "o_orderstatus"))
 query("modeling_plan_apply", "orders")(lambda d: K.apply_modeling(d, K.modeling_plan(d, "o_orderstatus")))
@@ -213,10 +206,8 @@ query("low_cardinality_plan", "orders", each(ORDER_TEXT, "SELECT '{c}' AS column
 # --- lenses ----------------------------------------------------------------------------------------------------
 query("missingness", "dirty", each(("num_text", "price_null", "flag_text"), "SELECT '{c}' AS column_name, count(*) FILTER ({c} IS NULL)::BIGINT AS missing, avg(({c} IS NULL)::INT) AS missing_ratio FROM {dirty}"))(lambda d: S.missingness(d.select("num_text", "price_null", "flag_text")))
 query("row_missingness", "dirty", "SELECT min(k)::INT AS min_missing, max(k)::INT AS max_missing, avg(k) AS mean_missing FROM (SELECT (num_text IS NULL)::INT + (price_null IS NULL)::INT + (flag_text IS NULL)::INT AS k FROM {dirty})")(lambda d: S.row_missingness(d.select("num_text", "price_null", "flag_text")))
-query("missingness_matrix", "dirty")(lambda d: S.missingness_matrix(d.select("o_orderkey", "num_text", "price_null", "flag_text"), "o_orderkey"))
 query("missingness_phi", "dirty", "SELECT 'num_text' AS a, 'price_null' AS b, corr((num_text IS NULL)::INT, (price_null IS NULL)::INT) AS phi FROM {dirty}")(lambda d: S.missingness_phi(d, ["num_text", "price_null"]))
 query("binary_rates", "dirty", "SELECT 'flag_text' AS column_name, avg((flag_text <> 'No')::INT) AS true_ratio FROM {dirty}")(lambda d: P.boolean_metrics(d, ["flag_text"]).select("column_name", "true_ratio"))
-query("time_cadence", "events")(lambda d: S.time_cadence(d, "ts"))
 query("lorenz", "lineitem", "SELECT 2 * sum(i * v) / (any_value(n) * sum(v)) - (any_value(n) + 1) / any_value(n)::DOUBLE AS gini, sum(v) FILTER (n - i < ceil(0.01 * n)) / sum(v) AS top1_share, sum(v) FILTER (n - i < ceil(0.05 * n)) / sum(v) AS top5_share, sum(v) FILTER (n - i < ceil(0.1 * n)) / sum(v) AS top10_share FROM (SELECT l_extendedprice AS v, row_number() OVER (ORDER BY l_extendedprice) AS i, count(*) OVER () AS n FROM lineitem)")(lambda d: S.lorenz(d, "l_extendedprice"))
 query("concentration_curve", "orders", "SELECT sum(k) OVER (ORDER BY v) / sum(k) OVER ()::DOUBLE AS row_share, sum(k * v) OVER (ORDER BY v) / sum(k * v) OVER () AS amount_share FROM (SELECT o_totalprice AS v, count(*) AS k FROM orders GROUP BY 1)")(lambda d: S.lorenz_curve(d, "o_totalprice"))
 query("top_share", "orders", "SELECT sum(v) FILTER (r <= k) / sum(v) AS share FROM (SELECT o_totalprice AS v, row_number() OVER (ORDER BY o_totalprice DESC) AS r, ceil(0.1 * count(*) OVER ()) AS k FROM orders)")(lambda d: S.top_share(d, "o_totalprice", 0.1))
@@ -230,15 +221,9 @@ query("eta_squared", "orders", _ETA)(lambda d: S.eta_squared(d, "o_totalprice",
 query("correlation_ratio", "orders", f"SELECT sqrt(eta_squared) AS eta FROM ({_ETA})")(lambda d: S.correlation_ratio(d, "o_totalprice", "o_orderpriority"))
 _CRAMER = "SELECT sqrt((sum(o * o / (r * c)) - 1) / (least(count(DISTINCT a), count(DISTINCT b)) - 1)) AS v FROM (SELECT *, sum(o) OVER (PARTITION BY a) AS r, sum(o) OVER (PARTITION BY b) AS c FROM (SELECT l_returnflag AS a, l_linestatus AS b, count(*)::DOUBLE AS o FROM lineitem GROUP BY 1, 2))"
 query("cramers_v", "lineitem", _CRAMER)(lambda d: S.cramers_v(d, "l_returnflag", "l_linestatus"))
-query("mixed_associations", "lineitem")(lambda d: S.mixed_associations(d, list(LINE), ["l_returnflag", "l_linestatus"]))
-query("association_matrix", "orders")(lambda d: S.mixed_associations(d, ["o_totalprice", "o_custkey"], list(ORDER_TEXT)))
 query("pairwise_align", "dirty", "SELECT count(*)::BIGINT AS n, corr(price_null, price_spike) AS r FROM {dirty} WHERE price_null IS NOT NULL AND price_spike IS NOT NULL")(lambda d: d.where("price_null is not null and price_spike is not null").agg(F.count("*").alias("n"), S._pearson(F.col("price_null"), F.col("price_spike")).alias("r")))
 query("target_balance", "orders", "SELECT o_orderstatus AS value, count(*)::BIGINT AS n, count(*) / sum(count(*)) OVER ()::DOUBLE AS ratio FROM orders GROUP BY 1")(lambda d: S.target_balance(d, "o_orderstatus"))
-query("target_associations", "lineitem")(lambda d: S.target_associations(d, "l_returnflag", list(LINE), ["l_linestatus"]))
-query("target_best_splits", "lineitem")(lambda d: S.target_best_splits(d, "l_returnflag", list(LINE)))
-query("qq_points", "lineitem")(lambda d: S.qq_points(d, "l_extendedprice"))
 query("text_lengths", "benchmark", "SELECT 'text' AS column_name, min(length(text))::INT AS min_length, max(length(text))::INT AS max_length, avg(length(text)) AS mean_length FROM benchmark")(lambda d: S.text_lengths(d, "text").select("column_name", "min_length", "max_length", "mean_length"))
-query("source_fingerprint", "nation")(S.dataset_fingerprint)
 query("type_coercion", "dirty")(lambda d: R.issues(K.missing_like_to_null(d.select("num_text", "flag_text"), ["num_text"])).where(F.col("issue").endswith("_like_text")))
 # --- models ----------------------------------------------------------------------------------------------------
 def _labelled(d):
@@ -249,31 +234,19 @@ def _priced(d):
     return d.select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", F.col("l_extendedprice").alias("label"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("row_key"))
 
 
-query("classification_metrics", "orders")(lambda d: (lambda tr_te: M.classification_metrics(M.fit(tr_te[0], ["o_custkey", "o_totalprice"], ["o_orderpriority"], "linear", "classification").transform(tr_te[1])))(M.split(_labelled(d), "o_orderkey")))
-query("regression_metrics", "lineitem")(lambda d: (lambda tr_te: M.regression_metrics(M.fit(tr_te[0], ["l_quantity", "l_discount", "l_tax"], [], "linear", "regression").transform(tr_te[1])))(M.split(_priced(d), "row_key")))
 query("fit_baseline", "orders", "SELECT avg(o_totalprice) AS prediction FROM orders")(lambda d: M.baseline(d, "o_totalprice"))
 query("preflight", "orders", "SELECT sum(n)::BIGINT AS rows, count(*)::BIGINT AS classes, min(n)::BIGINT AS smallest_class, max(n) / sum(n)::DOUBLE AS imbalance, max(n) / sum(n) >= 0.9 AS imbalanced FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderstatus)")(lambda d: M.preflight(d, "o_orderstatus"))
 query("roc_auc", "lineitem", "SELECT (sum(r * y) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))) AS auc FROM (SELECT " + _RANK.replace("{c}", "l_quantity") + " AS r, (l_returnflag = 'R')::INT AS y FROM lineitem)")(lambda d: M.roc_auc(d.select(F.col("l_quantity").alias("score"), (F.col("l_returnflag") == "R").cast("int").alias("label"))))
-query("roc_pr_curves", "lineitem")(lambda d: M.roc_points(d.select(F.col("l_quantity").alias("score"), (F.col("l_returnflag") == "R").cast("int").alias("label"))))
 query("model_comparison", "lineitem")(lambda d: M.model_comparison(_priced(d), "row_key", ["l_quantity", "l_discount", "l_tax"], [], "regression"))
-query("native_importance", "lineitem")(lambda d: (lambda m, x: M.native_importance(m, m.transform(x)))(M.fit(_priced(d), ["l_quantity", "l_discount", "l_tax"], [], "linear", "regression"), _priced(d)))
-query("permutation_importance", "lineitem")(lambda d: M.permutation_importance(M.fit(_priced(d), ["l_quantity", "l_tax"], [], "linear", "regression"), _priced(d), "row_key", ["l_quantity", "l_tax"], "r2"))
-query("linear_contributions", "lineitem")(lambda d: (lambda m, x: M.linear_contributions(m, m.transform(x), "row_key"))(M.fit(_priced(d), ["l_quantity", "l_tax"], [], "linear", "regression"), _priced(d)))
-query("cross_validate", "lineitem")(lambda d: M.cross_validate(_priced(d), "row_key", ["l_quantity", "l_tax"], [], "linear", "regression"))
 query("kmeans", "lineitem")(lambda d: M.cluster_metrics(M.kmeans(d, ["l_quantity", "l_discount"])))
-query("cluster_profile", "lineitem")(lambda d: M.cluster_profile(M.bisecting(d, ["l_quantity", "l_discount"]), ["l_quantity", "l_discount"]))
-query("dbscan", "customer")(lambda d: M.dbscan(d.select("c_custkey", (F.col("c_acctbal") / 1000).alias("x"), F.col("c_nationkey").alias("y")), "c_custkey", "x", "y", 1.0))
 query("pca_project", "lineitem")(lambda d: M.pca_project(d, list(LINE)).select("l_orderkey", "l_linenumber", "pc", "explained"))
-query("knn_predict", "supplier")(lambda d: M.knn_predict(*M.split(d, "s_suppkey"), ["s_acctbal"], "s_nationkey", "s_suppkey"))
 query("task_inference", "orders", "SELECT 'multiclass_classification' AS task, 0.95::DOUBLE AS confidence, 'o_orderstatus' AS target FROM orders HAVING count(DISTINCT o_orderstatus) BETWEEN 3 AND 20")(lambda d: A.task_inference(d, "o_orderstatus"))
 query("suggested_config", "labels")(A.suggested_config)
-query("cleaning_presets", "dirty")(lambda d: A.cleaning_preset(K.cleaning_plan(d), "safe_defaults"))
 query("grid_search", "lineitem")(lambda d: A.grid_search(_priced(d), "row_key", ["l_quantity", "l_tax"], [], "linear", "regression", {"regParam": [0.1, 1.0, 10.0]}))
 query("model_assessment", "lineitem", "SELECT 'r2' AS metric, round(regr_r2(l_extendedprice, l_quantity), 6) AS value, CASE WHEN regr_r2(l_extendedprice, l_quantity) >= 0.75 THEN 'strong' WHEN regr_r2(l_extendedprice, l_quantity) >= 0.4 THEN 'promising' ELSE 'weak' END AS rating FROM lineitem")(lambda d: A.model_assessment(d.agg(F.round(F.regr_r2("l_extendedprice", "l_quantity"), 6).alias("r2")), "regression"))
 _CLUSTERS = "(SELECT l_returnflag AS k, count(*)::DOUBLE AS n, avg(l_quantity) AS a, avg(l_tax) AS b, var_pop(l_quantity) + var_pop(l_tax) AS v FROM lineitem GROUP BY 1)"
 query("cluster_separation", "lineitem", f"WITH g AS {_CLUSTERS}, c AS (SELECT sum(n * a) / sum(n) AS a, sum(n * b) / sum(n) AS b FROM g) SELECT (SELECT count(*)::BIGINT FROM g) AS clusters, (SELECT sum(n * ((g.a - c.a) * (g.a - c.a) + (g.b - c.b) * (g.b - c.b))) * (sum(n) - count(*)) / (sum(n * v) * (count(*) - 1)) FROM g, c) AS calinski_harabasz, (SELECT avg(r) FROM (SELECT x.k, max((sqrt(x.v) + sqrt(y.v)) / sqrt((x.a - y.a) * (x.a - y.a) + (x.b - y.b) * (x.b - y.b))) AS r FROM g x JOIN g y ON x.k <> y.k GROUP BY 1)) AS davies_bouldin")(lambda d: A.cluster_separation(d, ["l_quantity", "l_tax"], "l_returnflag"))
 # --- sources, streams ------------------------------------------------------------------------------------------
-query("read_parquet", "region", "SELECT * FROM region")(lambda d: d)
 query("query_source", "orders", "SELECT o_orderstatus, count(*)::BIGINT AS n FROM orders WHERE o_totalprice > 50000 GROUP BY 1")(lambda d: readers.query_source(d.sparkSession, "SELECT o_orderstatus, count(*) AS n FROM q_orders WHERE o_totalprice > :least GROUP BY 1", {"least": 50000}, {"q_orders": d}))
 
 
@@ -293,12 +266,12 @@ _SQL["stream_windowed_profile"] = "SELECT date_trunc('day', ts)::TIMESTAMP AS wi
 
 
 def queries() -> dict:
-    from tessera.plans import extended  # noqa: F401  registers its queries
+    from tessera.plans import deep, extended  # noqa: F401  register their queries
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from tessera.plans import extended  # noqa: F401
+    from tessera.plans import deep, extended  # noqa: F401
 
     return dict(_SQL)

@@ -58,7 +58,6 @@ _CHARTS = {
     "funnel": ({"x": "o_orderstatus", "y": "o_totalprice", "transform": "percent_total"}, "SELECT o_orderstatus, sum(o_totalprice) AS y, 100.0::DOUBLE * sum(o_totalprice) / sum(sum(o_totalprice)) OVER () AS transformed FROM orders GROUP BY 1"),
     "radar": ({"x": "o_orderpriority", "y": "o_totalprice", "aggregation": "max"}, "SELECT o_orderpriority, max(o_totalprice) AS y FROM orders GROUP BY 1"),
     "bump_chart": ({"x": "o_orderdate", "y": "o_totalprice", "color": "o_orderpriority", "bucket": "year"}, "SELECT *, dense_rank() OVER (PARTITION BY o_orderdate ORDER BY y DESC)::INT AS rank FROM (SELECT date_trunc('year', o_orderdate)::TIMESTAMP AS o_orderdate, o_orderpriority, sum(o_totalprice) AS y FROM orders GROUP BY 1, 2)"),
-    "violin": ({"x": "o_orderpriority", "y": "o_totalprice"}, "SELECT o_orderpriority, count(*)::BIGINT AS n, min(o_totalprice) AS min, quantile_cont(o_totalprice, 0.25) AS q1, median(o_totalprice) AS median, quantile_cont(o_totalprice, 0.75) AS q3, max(o_totalprice) AS max FROM orders GROUP BY 1"),
     "waterfall": ({"x": "o_orderpriority", "y": "o_totalprice"}, "SELECT o_orderpriority AS x, sum(o_totalprice) AS y FROM orders GROUP BY 1 UNION ALL SELECT 'Total', sum(o_totalprice) FROM orders"),
     "pie": ({"x": "o_orderstatus", "y": "o_totalprice"}, "SELECT o_orderstatus, sum(o_totalprice) AS y, sum(o_totalprice) / sum(sum(o_totalprice)) OVER () AS share FROM orders GROUP BY 1"),
     "treemap": ({"path": ["o_orderstatus", "o_orderpriority"], "y": "o_totalprice"}, "SELECT o_orderstatus, o_orderpriority, sum(o_totalprice) AS y, grouping_id(o_orderstatus, o_orderpriority)::BIGINT AS level FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)"),
@@ -176,7 +175,6 @@ query("native_importance", "lineitem", f"SELECT 'l_quantity' AS column_name, rou
 _FOLDS = f"(SELECT l_quantity AS q, l_extendedprice AS y, {_part('l_orderkey || {dash} || l_linenumber', parts=3, seed=7)} AS f FROM lineitem)".replace("{dash}", "'-'")
 query("cross_validate", "lineitem", f"WITH d AS {_FOLDS} SELECT k::INT AS fold, round(1 - sum((y - s * q - i) * (y - s * q - i)) / (var_pop(y) * count(*)), 6) AS score FROM d JOIN (SELECT k, regr_slope(y, q) AS s, regr_intercept(y, q) AS i FROM d JOIN range(3) t(k) ON f <> k GROUP BY k) ON f = k GROUP BY k")(lambda d: M.cross_validate(_one(d), "row_key", ["l_quantity"], [], "linear", "regression").withColumn("score", F.round("score", 6)))
 query("cluster_profile", "lineitem", each(("l_quantity", "l_discount"), "SELECT '{c}' AS feature, avg(abs(m - mu)) AS separation FROM (SELECT avg({c}) AS m, (SELECT avg({c}) FROM lineitem) AS mu FROM lineitem GROUP BY l_returnflag)"))(lambda d: M.cluster_profile(d.withColumn("cluster", F.col("l_returnflag")), ["l_quantity", "l_discount"]))
-query("hierarchical", "lineitem")(lambda d: M.bisecting(d, ["l_quantity", "l_discount"]).groupBy("cluster").agg(F.count("*").alias("n")))
 # --- files and states ------------------------------------------------------------------------------------------
 _THREE = ("o_orderkey", "o_orderstatus", "o_totalprice")
 _same = lambda x: x.select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), "o_orderstatus", F.col("o_totalprice").cast("double").alias("o_totalprice"))
