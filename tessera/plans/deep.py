@@ -41,20 +41,20 @@ query("knn_vote", "embeddings", f"SELECT id, label::DOUBLE AS prediction FROM (S
 query("knn_weighted", "embeddings", f"SELECT id, sum(w * label) / sum(w) AS prediction FROM {_WEIGHED} GROUP BY id")(lambda d: _knn(d, weights="distance"))
 
 # --- what a permuted column costs: the model has one feature, so that SQL can fit it -----------------------------
-_lines = lambda d: d.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("k"), "l_quantity", "l_tax", F.col("l_extendedprice").cast("double").alias("label"))
+_spiked = lambda d: d.select(F.col("o_orderkey").alias("k"), "o_totalprice", "o_custkey", F.col("price_spike").cast("double").alias("label"))
 _PLACE = "row_number() OVER (ORDER BY CAST('0x' || substr(md5(k || '|{seed}'), 1, 13) AS BIGINT) % 1099511627776, k)"
 query(
     "permutation_importance",
-    "lineitem",
-    "WITH t AS MATERIALIZED (SELECT l_orderkey || '-' || l_linenumber AS k, l_quantity::DOUBLE AS x, l_extendedprice::DOUBLE AS y FROM lineitem),\n"
+    "dirty",
+    "WITH t AS MATERIALIZED (SELECT o_orderkey AS k, o_totalprice::DOUBLE AS x, price_spike::DOUBLE AS y FROM {dirty}),\n"
     "m AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a, var_pop(y) * count(*) AS total FROM t),\n"
     f"p AS (SELECT x, y, {_PLACE.replace('{seed}', '42')} AS place FROM t),\n"
     "d AS (" + " UNION ALL ".join(f"SELECT {r} AS rep, x, {_PLACE.replace('{seed}', str(43 + r))} AS place FROM t" for r in range(5)) + "),\n"
     "s AS (SELECT rep, 1 - sum(pow(a + b * d.x - y, 2)) / max(total) AS score FROM p JOIN d USING (place), m GROUP BY rep),\n"
     "l AS (SELECT (SELECT 1 - sum(pow(a + b * x - y, 2)) / max(total) FROM t, m) - score AS lost FROM s)\n"
-    "SELECT 'l_quantity' AS column_name, round(avg(lost), 8) AS importance, round(stddev_pop(lost), 8) AS deviation, 5::INT AS repeats FROM l\n"
-    "UNION ALL SELECT 'l_tax', 0.0, 0.0, 5::INT",
-)(lambda d: M.permutation_importance(M.fit(_lines(d), ["l_quantity"], [], "linear", "regression"), _lines(d), "k", ["l_quantity", "l_tax"]).select("column_name", F.round("importance", 8).alias("importance"), F.round("deviation", 8).alias("deviation"), "repeats"))
+    "SELECT 'o_totalprice' AS column_name, round(avg(lost), 8) AS importance, round(stddev_pop(lost), 8) AS deviation, 5::INT AS repeats FROM l\n"
+    "UNION ALL SELECT 'o_custkey', 0.0, 0.0, 5::INT",
+)(lambda d: M.permutation_importance(M.fit(_spiked(d), ["o_totalprice"], [], "linear", "regression"), _spiked(d), "k", ["o_totalprice", "o_custkey"]).select("column_name", F.round("importance", 8).alias("importance"), F.round("deviation", 8).alias("deviation"), "repeats"))
 
 # --- shapes of groups ------------------------------------------------------------------------------------------
 query(
