@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions.shared import use_checkpoints
 from tessera.operators import charts as G
+from tessera.operators import clean as K
 from tessera.operators import modeling as M
+from tessera.operators import reports as R
 from tessera.plans.catalogue import query
 from tessera.sources.registry import SourceRegistry
 from tessera.sources.states import StateStore
@@ -71,7 +73,7 @@ query(
     "dirty",
     "WITH f AS (SELECT o_orderstatus, quantile_cont(price_spike, 0.25) AS a, quantile_cont(price_spike, 0.75) AS b FROM {dirty} GROUP BY 1) SELECT o_orderkey, o_orderstatus, price_spike, a - 1.5 * (b - a) AS lower_fence, b + 1.5 * (b - a) AS upper_fence FROM {dirty} JOIN f USING (o_orderstatus) WHERE price_spike < a - 1.5 * (b - a) OR price_spike > b + 1.5 * (b - a)",
 )(lambda d: G.box_outliers(d, "price_spike", ["o_orderstatus"]).select("o_orderkey", "o_orderstatus", "price_spike", "lower_fence", "upper_fence"))
-query("group_median_fill", "dirty", "SELECT o_orderkey, coalesce(price_null, median(price_null) OVER (PARTITION BY o_orderstatus), (SELECT median(price_null) FROM {dirty})) AS price_null FROM {dirty}")(lambda d: __import__("tessera.operators.clean", fromlist=["impute_missing"]).impute_missing(d, {"price_null": "median"}, by="o_orderstatus").select("o_orderkey", "price_null"))
+query("group_median_fill", "dirty", "SELECT o_orderkey, coalesce(price_null, median(price_null) OVER (PARTITION BY o_orderstatus), (SELECT median(price_null) FROM {dirty})) AS price_null FROM {dirty}")(lambda d: K.impute_missing(d, {"price_null": "median"}, by="o_orderstatus").select("o_orderkey", "price_null"))
 
 
 # --- flows and sources -----------------------------------------------------------------------------------------
@@ -126,3 +128,48 @@ query("flow_from_path", "orders", _PER_STATUS.format("200000") .replace("WHERE",
 query("replay_nearest", "orders", _PER_STATUS.format("300000"))(_replayed)
 query("push_dependencies", "orders", "SELECT o_orderstatus, count(*) FILTER (o_totalprice >= 200000)::BIGINT AS n, count(*)::BIGINT AS of FROM orders GROUP BY 1 HAVING count(*) FILTER (o_totalprice >= 200000) > 0")(_pushed)
 query("register_source", "orders", "SELECT o_orderstatus, count(*)::BIGINT AS n, max(o_orderkey)::BIGINT AS last FROM orders GROUP BY 1")(_by_name)
+
+# --- reports ---------------------------------------------------------------------------------------------------
+_rated = lambda d: d.select("l_orderkey", "l_linenumber", F.ascii("l_returnflag").cast("double").alias("label"), F.when(F.col("l_quantity") > 40, 65.0).when(F.col("l_quantity") > 15, 78.0).otherwise(82.0).alias("prediction"))
+_RATED = "(SELECT ascii(l_returnflag)::DOUBLE AS label, CASE WHEN l_quantity > 40 THEN 65.0 WHEN l_quantity > 15 THEN 78.0 ELSE 82.0 END::DOUBLE AS prediction FROM lineitem)"
+query(
+    "class_report",
+    "lineitem",
+    f"WITH c AS (SELECT v.label, (SELECT count(*) FROM {_RATED} r WHERE r.label = v.label) AS support, (SELECT count(*) FROM {_RATED} r WHERE r.prediction = v.label) AS predicted, (SELECT count(*) FROM {_RATED} r WHERE r.label = v.label AND r.prediction = v.label) AS tp FROM (SELECT label FROM {_RATED} UNION SELECT prediction FROM {_RATED}) v) "
+    "SELECT label, coalesce(tp / nullif(predicted, 0)::DOUBLE, 0) AS precision, coalesce(tp / nullif(support, 0)::DOUBLE, 0) AS recall, coalesce(2 * tp / nullif(support + predicted, 0)::DOUBLE, 0) AS f1, support::BIGINT AS support FROM c",
+)(lambda d: R.class_report(_rated(d)))
+query(
+    "auc_one_vs_rest",
+    "lineitem",
+    "SELECT k::INT AS label, (sum(r * y) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))) AS auc FROM (SELECT k, y, rank() OVER (PARTITION BY k ORDER BY s) + (count(*) OVER (PARTITION BY k, s) - 1) / 2.0 AS r FROM (SELECT k, CASE k WHEN 0 THEN l_quantity WHEN 1 THEN l_tax ELSE l_discount END AS s, (CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END = k)::INT AS y FROM lineitem, range(3) t(k))) GROUP BY k",
+)(lambda d: R.auc_one_vs_rest(d.select(F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2).alias("label"), F.array(*(F.col(c).cast("double") for c in ("l_quantity", "l_tax", "l_discount"))).alias("probability"))))
+_priced = lambda d: d.select("l_orderkey", "l_linenumber", F.col("l_extendedprice").cast("double").alias("label"), (F.col("l_quantity").cast("double") * 1500).alias("prediction"))
+query(
+    "residual_bins",
+    "lineitem",
+    "WITH e AS (SELECT l_quantity::DOUBLE * 1500 - l_extendedprice::DOUBLE AS e FROM lineitem), b AS (SELECT min(e) AS lo, (max(e) - min(e)) / 20 AS w FROM e), c AS (SELECT least(floor((e - lo) / w), 19)::INT AS bin, count(*) AS n FROM e, b GROUP BY 1) "
+    'SELECT k::INT AS bin, round(lo + w * k, 6) AS start, round(lo + w * (k + 1), 6) AS "end", coalesce(n, 0)::BIGINT AS n FROM range(20) t(k) CROSS JOIN b LEFT JOIN c ON c.bin = k',
+)(lambda d: R.residual_bins(_priced(d)).withColumns({c: F.round(c, 6) for c in ("start", "end")}))
+query(
+    "prediction_sample",
+    "orders",
+    "SELECT o_orderkey, o_totalprice::DOUBLE AS actual, o_custkey::DOUBLE AS prediction, o_custkey - o_totalprice::DOUBLE AS residual, abs(o_custkey - o_totalprice::DOUBLE) AS absolute_error FROM orders ORDER BY md5(concat_ws('|', o_orderkey, '42')), o_orderkey LIMIT 25",
+)(lambda d: R.prediction_sample(d.select("o_orderkey", F.col("o_totalprice").cast("double").alias("label"), F.col("o_custkey").cast("double").alias("prediction")), "o_orderkey"))
+query("sort_visual", "dirty", "SELECT o_orderstatus, sum(price_null) AS y FROM {dirty} GROUP BY 1 ORDER BY y DESC NULLS LAST")(lambda d: R.sort_visual(G.group_agg(d, ["o_orderstatus"], "price_null"), "y_descending", "o_orderstatus", "y"))
+query(
+    "numeric_distribution",
+    "dirty",
+    "WITH q AS (SELECT quantile_cont(price_spike, 0.25) AS a, quantile_cont(price_spike, 0.75) AS b FROM {dirty}), f AS (SELECT count(*) FILTER (price_spike < a - 1.5 * (b - a) OR price_spike > b + 1.5 * (b - a)) AS n FROM {dirty}, q), t AS (SELECT sum(price_spike) AS top FROM (SELECT price_spike FROM {dirty} ORDER BY price_spike DESC LIMIT (SELECT ceil(count(price_spike) * 0.01)::BIGINT FROM {dirty}))) "
+    "SELECT count(price_spike)::BIGINT AS non_null, round(avg(price_spike), 4) AS mean, median(price_spike) AS median, round(skewness(price_spike), 6) AS skew, quantile_cont(price_spike, 0.95) AS p95, (SELECT n FROM f)::BIGINT AS outliers, round((SELECT top FROM t) / sum(price_spike), 8) AS top_1pct_share, abs(skewness(price_spike)) >= 2 AS skewed FROM {dirty}",
+)(lambda d: R.numeric_distribution(d, "price_spike").select("non_null", F.round("mean", 4).alias("mean"), "median", F.round("skew", 6).alias("skew"), "p95", "outliers", F.round("top_1pct_share", 8).alias("top_1pct_share"), "skewed"))
+query(
+    "apply_suggested_conversions",
+    "dirty",
+    "SELECT o_orderkey, TRY_CAST(trim(num_text) AS DOUBLE) AS num_text, CASE lower(trim(flag_text)) WHEN 'y' THEN 1 WHEN 'yes' THEN 1 WHEN 'no' THEN 0 END::INT AS flag_text FROM {dirty}",
+)(lambda d: R.apply_suggested_conversions(K.missing_like_to_null(d, ["num_text"])).select("o_orderkey", "num_text", "flag_text"))
+_linear = lambda d: d.select("o_orderkey", "o_totalprice", F.col("price_spike").cast("double").alias("label"))
+query(
+    "named_contributions",
+    "dirty",
+    "SELECT o_orderkey, 'o_totalprice' AS feature, round((o_totalprice - m) * b, 2) AS contribution FROM {dirty}, (SELECT avg(o_totalprice) AS m, regr_slope(price_spike, o_totalprice) AS b FROM {dirty})",
+)(lambda d: (lambda m, x: R.named_contributions(m, m.transform(x), "o_orderkey").withColumn("contribution", F.round("contribution", 2)))(M.fit(_linear(d), ["o_totalprice"], [], "linear", "regression"), _linear(d)))
