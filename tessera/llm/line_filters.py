@@ -22,7 +22,7 @@ THRESHOLD, LEAST_CHARS = 10, 1
 #: Frequent keys of a shard when it is laid out; with more than twice as many on average, shards are laid out anew.
 PER_SHARD = 1 << 16
 #: (document, line) pairs that one task holds against a filter.
-PER_TASK = 1 << 20
+PER_TASK = 1 << 18
 #: Documents of one key that travel in one row.
 PER_ROW = 1 << 12
 SLOTS, KICKS, LOAD = 4, 500, 0.85
