@@ -55,7 +55,7 @@ def semantic_types(df: DataFrame) -> DataFrame:
     uniq = F.try_divide("distinct", "non_null")
     rules = [
         (F.col("distinct") <= 1, "constant", 1.0), (F.col("non_null") <= 0.05 * F.col("rows"), "mostly_missing", 0.95), ((F.col("distinct") == 2) & (F.col("non_null") == F.col("rows")), "binary", 0.98), (F.col("distinct") == 2, "nullable_binary", 0.94), (F.col("kind") == "time", "datetime", 0.99), (F.col("kind") == "boolean", "boolean", 0.99),
-        (num & named("id") & (uniq > 0.75), "identifier", 0.94), (num & (uniq > 0.995) & (F.col("distinct") >= 20), "identifier", 0.74), (num & named("amount"), "amount", 0.88), (num & named("percentage"), "percentage", 0.82), (num & (F.col("int_share") > 0.98) & (F.col("distinct") <= 25) & (uniq < 0.2), "numeric_discrete", 0.78), (num & (F.col("lo") >= 0) & (F.col("hi") <= 1), "proportion", 0.8), (num & named("geo"), "geographic", 0.84), (num & (F.col("lo") >= 0), "nonnegative_amount", 0.70), (num, "numeric", 0.72),
+        (num & named("id") & (uniq > 0.75), "identifier", 0.94), (num & (uniq > 0.995) & (F.col("distinct") >= 20), "identifier", 0.74), (num & named("amount"), "amount", 0.88), (num & named("percentage"), "percentage", 0.82), (num & (F.col("int_share") > 0.98) & (F.col("distinct") <= 25) & (uniq < 0.2), "numeric_discrete", 0.78), (num & (F.col("lo") >= 0) & (F.col("hi") <= 1), "proportion", 0.8), (num & named("geo"), "geographic", 0.84), (num & named("amount") & (F.col("lo") >= 0), "nonnegative_amount", 0.72), (num, "numeric", 0.72),
         (text & (F.col("date") >= 0.92), "datetime-like", 0.9), (text & named("time") & (F.col("date") >= 0.75), "datetime-like", 0.92), (text & (F.col("num") >= 0.9), "numeric-like", 0.86), (text & (F.col("email") >= 0.75), "email", 0.94), (text & (F.col("url") >= 0.75), "url", 0.93), (text & (F.col("json") >= 0.8), "json-like", 0.9), (text & ((F.col("mean_len") > 50) | (F.col("max_len") > 500)), "text", 0.84), (text & ((F.col("distinct") <= 50) | (uniq <= 0.2)), "category", 0.82), (text & (uniq > 0.95) & named("id"), "identifier", 0.9), (text, "string", 0.62),
     ]
     found = F.array_compact(F.array(*(F.when(test, F.struct(F.lit(-conf).alias("k"), F.lit(name).alias("type"), F.lit(conf).alias("confidence"))) for test, name, conf in rules)))

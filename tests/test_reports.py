@@ -66,3 +66,12 @@ def test_numeric_distribution(spark):
     x = np.concatenate([np.arange(1.0, 100.0), [10_000.0]])
     r = R.numeric_distribution(spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("inf"),), (float("nan"),)], "x double"), "x").first()
     assert r["non_null"] == 100 and r["skewed"] and r["outliers"] == 1 and r["median"] == 50.5 and r["top_1pct_share"] == pytest.approx(10_000 / x.sum())
+
+
+def test_amounts_are_told_by_their_names(spark):
+    from tessera.operators.rules import semantic_types
+
+    df = spark.createDataFrame([(float(i % 50) * 1.5, float(i % 50) * 1.5) for i in range(200)], "total_price double, height double")
+    got = {r["column_name"]: {h["type"]: h["confidence"] for h in r["hypotheses"]} for r in semantic_types(df).collect()}
+    assert got["total_price"]["nonnegative_amount"] == 0.72 and got["total_price"]["amount"] == 0.88
+    assert "nonnegative_amount" not in got["height"] and got["height"]["numeric"] == 0.72
