@@ -264,8 +264,10 @@ def review_plan(df: DataFrame, factor: float = 1.5) -> DataFrame:
     """action, column_name, affected, confidence: what a person should look at, beside the steps of cleaning_plan.
 
     Column names to clean, repeated rows (those beyond the first), nulls, labels that are equal but for case and white
-    space (the rows of the rarer forms), numbers outside the fences of the interquartile range.
+    space (the rows of the rarer forms), numbers outside the fences of the interquartile range, coordinates out of range or
+    likely swapped (columns told by name), flags whose reading is not sure. preparation.apply_reviews() applies decisions.
     """
+    from tessera.operators.preparation import ambiguous_flags, coordinate_review
     from tessera.operators.profile import duplicate_rows, per_column
 
     spark, shape = df.sparkSession, "action string, column_name string, affected bigint, confidence double"
@@ -274,6 +276,8 @@ def review_plan(df: DataFrame, factor: float = 1.5) -> DataFrame:
     add = lambda d, action, confidence: out.unionByName(d.select(F.lit(action).alias("action"), "column_name", F.col("affected").cast("bigint").alias("affected"), (F.lit(confidence) if isinstance(confidence, float) else confidence).alias("confidence")).where("affected > 0"))
     out = add(duplicate_rows(df).select(F.lit(ROWS).alias("column_name"), F.col("duplicate_rows").alias("affected")), "duplicate_row_review", 0.94)
     out = add(per_column(df, df.columns, {"affected": lambda c: F.count_if(c.isNull())}), "missing_value_review", 0.8)
+    out = add(coordinate_review(df), "geo_coordinate_review", F.col("confidence"))
+    out = add(ambiguous_flags(df), "binary_mapping_review", F.col("confidence"))
     text, numeric = C.columns_of(df, lambda k: k == "string"), C.columns_of(df, C.is_numeric)
     if text:
         forms = df.select(*text).unpivot([], text, "column_name", "v").where("v is not null").groupBy("column_name", "v").agg(F.count("*").alias("n"))

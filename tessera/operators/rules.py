@@ -230,8 +230,49 @@ def grain_keys(df: DataFrame) -> DataFrame:
     return P.column_counts(df).where("missing = 0 and distinct_count = non_null and non_null > 0").select("column_name", F.when(F.col("column_name").rlike("(?i)" + ID_NAME), 0.95).otherwise(0.75).alias("confidence"))
 
 
-def shape_hypotheses(df: DataFrame) -> DataFrame:
-    """Shapes that the semantic types speak for."""
-    s = semantic_types(df).agg(*(F.count_if(F.col("semantic_type").isin(*t)).alias(n) for n, t in (("times", ("datetime", "datetime-like")), ("ids", ("identifier",)), ("texts", ("text",)), ("nums", ("numeric", "amount", "nonnegative_amount", "proportion", "percentage", "numeric_discrete")), ("geo", ("geographic",)), ("nested", ("json-like",)))), F.count("*").alias("n"))
-    rules = [("dataframe", F.lit(True), 0.5), ("time_series", (F.col("times") >= 1) & (F.col("nums") >= 1), 0.7), ("event_log", (F.col("times") >= 1) & (F.col("ids") >= 1), 0.72), ("feature_matrix", F.col("nums") >= 0.7 * F.col("n"), 0.7), ("text_corpus", F.col("texts") >= 1, 0.75), ("geospatial_points", F.col("geo") >= 2, 0.85), ("nested_records", F.col("nested") >= 1, 0.7)]
-    return s.select(F.explode(F.array_compact(F.array(*(F.when(t, F.struct(F.lit(n).alias("shape"), F.lit(c).alias("confidence"))) for n, t, c in rules)))).alias("x")).select("x.*")
+#: Semantic types that a shape counts as one kind of column.
+KINDS = {"times": ("datetime", "datetime-like"), "nums": ("numeric", "amount", "numeric-like", "percentage", "proportion"), "ids": ("identifier",), "texts": ("text",), "geo": ("geographic", "postal_code"), "nested": ("json-like",), "amounts": ("amount",)}
+
+
+def shape_hypotheses(df: DataFrame, target: str | None = None) -> DataFrame:
+    """shape, confidence, evidence (the columns that speak for it): all ten shapes that names, semantic types and sizes can show."""
+    s = semantic_types(df).join(P.column_counts(df).select("column_name", "missing_ratio", (F.col("non_null") + F.col("missing")).alias("rows")), "column_name")
+    in_order = lambda k: F.filter(F.lit(df.columns), lambda c: F.array_contains(F.col(k), c))
+    member = {k: F.col("semantic_type").isin(*types) for k, types in KINDS.items()}
+    member["geo"] |= F.lower("column_name").isin("lat", "latitude", "lon", "lng", "longitude")
+    # One row a column, so that the gathered lists are as long as the table is wide.
+    found = s.agg(*(F.collect_set(F.when(test, F.col("column_name"))).alias(k) for k, test in member.items()), F.count("*").alias("wide"), F.max("rows").alias("rows"), F.max("missing_ratio").alias("emptiest"))
+    found = found.withColumns({k: in_order(k) for k in KINDS})
+    has = lambda k: F.size(k) > 0
+    both = lambda a, b: F.concat(F.slice(a, 1, 3), F.slice(b, 1, 3))
+    nothing = F.array().cast("array<string>")
+    known = F.lit(target in df.columns)
+    rules = [
+        ("dataframe", F.lit(True), F.lit(1.0), nothing),
+        ("time_series", has("times") & has("nums"), F.when(F.size("times") == 1, 0.72).otherwise(0.62), both("times", "nums")),
+        ("event_log", has("times") & has("ids"), F.lit(0.82), both("times", "ids")),
+        ("transaction_table", has("times") & has("amounts"), F.lit(0.72), both("times", "amounts")),
+        ("targeted_modeling_table", known, F.lit(0.85), F.array(F.lit(target or ""))),
+        ("feature_matrix", (F.col("wide") >= 10) & (F.size("nums") >= 0.5 * F.col("wide")), F.lit(0.72), F.slice("nums", 1, 3)),
+        ("wide_sparse_matrix", (F.col("wide") > F.greatest("rows", F.lit(1))) | ((F.col("wide") >= 20) & (F.col("emptiest") > 0.5)), F.lit(0.68), nothing),
+        ("text_corpus", has("texts"), F.lit(0.65), F.slice("texts", 1, 3)),
+        ("geospatial_points", has("geo"), F.lit(0.66), F.slice("geo", 1, 5)),
+        ("nested_records", has("nested"), F.lit(0.7), F.slice("nested", 1, 3)),
+    ]
+    made = F.array_compact(F.array(*(F.when(t, F.struct(F.lit(n).alias("shape"), c.cast("double").alias("confidence"), e.alias("evidence"))) for n, t, c, e in rules)))
+    return found.select(F.explode(made).alias("x")).select("x.*")
+
+
+def column_flags(df: DataFrame) -> DataFrame:
+    """column_name, constant, near_constant, missing_like, iqr_outliers, high_cardinality: all five flags; identifiers and amounts may have many values."""
+    text, nums = C.columns_of(df, lambda k: k == "string"), C.columns_of(df, C.is_numeric)
+    c = P.column_counts(df).join(P.frequency_facts(df, df.columns).select("column_name", "dominant_share"), "column_name", "left").join(semantic_types(df).select("column_name", "semantic_type"), "column_name")
+    none = df.sparkSession.createDataFrame([], "column_name string, x double")
+    likes = P.missing_like_tokens(df, text).groupBy("column_name").agg(F.sum("n").alias("words")) if text else none.withColumnRenamed("x", "words")
+    outside = P.iqr_outliers(df, nums).select("column_name", "outlier_ratio") if nums else none.withColumnRenamed("x", "outlier_ratio")
+    c = c.join(likes, "column_name", "left").join(outside, "column_name", "left")
+    sure = lambda test: F.coalesce(test, F.lit(False))
+    return c.select(
+        "column_name", ((F.col("distinct_count") <= 1) & (F.col("non_null") > 0)).alias("constant"), sure((F.col("distinct_count") > 1) & (F.col("dominant_share") >= 0.98)).alias("near_constant"), sure(F.col("words") > 0).alias("missing_like"), sure(F.col("outlier_ratio") >= 0.01).alias("iqr_outliers"),
+        sure((F.col("distinct_count") >= 50) & (F.col("distinct_ratio") >= 0.5) & ~F.col("semantic_type").isin("identifier", "numeric", "amount")).alias("high_cardinality"),
+    )

@@ -266,12 +266,12 @@ _SQL["stream_windowed_profile"] = "SELECT date_trunc('day', ts)::TIMESTAMP AS wi
 
 
 def queries() -> dict:
-    from tessera.plans import deep, extended  # noqa: F401  register their queries
+    from tessera.plans import deep, extended, prepared  # noqa: F401  register their queries
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from tessera.plans import deep, extended  # noqa: F401
+    from tessera.plans import deep, extended, prepared  # noqa: F401
 
     return dict(_SQL)
