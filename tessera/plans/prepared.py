@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from tessera.operators import clean as K
 from tessera.operators import featuring as A
+from tessera.operators import overview as O
 from tessera.operators import preparation as D
 from tessera.operators import rules as R
-from tessera.plans.catalogue import query
+from tessera.plans.catalogue import ORDER_TEXT, query
+from tessera.plans.extended import _association_sql
 
 # --- features: each one's sum over all rows ---------------------------------------------------------------------
 _rounded = lambda d: d.withColumn("total", F.round("total", 4))
@@ -101,3 +103,41 @@ query("column_flags", "dirty", "\nUNION ALL\n".join(_FLAGS.replace("{likes}", a)
 query("review_plan_coordinates", "orders", f"SELECT 'geo_coordinate_review' AS action, 'home_lat,home_lon' AS column_name, count(*) FILTER ({_BAD} OR {_SWAPPED})::BIGINT AS affected, 0.72 AS confidence FROM {_PLACED} HAVING affected > 0")(
     lambda d: K.review_plan(_placed(d).select("home_lat", "home_lon")).where("action = 'geo_coordinate_review'")
 )
+
+# --- overviews ---------------------------------------------------------------------------------------------------
+_BYTES = " + ".join(f"coalesce({'8' if c.startswith('price') else f'octet_length(encode({c}))'} * ({c} IS NOT NULL)::INT, 0)" for c in ("num_text", "price_null", "flag_text", "price_spike"))
+query(
+    "table_overview",
+    "dirty",
+    f"SELECT count(*)::BIGINT AS rows, 4::BIGINT AS columns, sum((num_text IS NULL)::INT + (price_null IS NULL)::INT + (flag_text IS NULL)::INT)::BIGINT AS missing_cells, (count(*) - (SELECT count(*) FROM (SELECT DISTINCT num_text, price_null, flag_text, price_spike FROM {{dirty}})))::BIGINT AS duplicate_rows, sum({_BYTES})::BIGINT AS value_bytes FROM {{dirty}}",
+)(lambda d: O.table_overview(d.select("num_text", "price_null", "flag_text", "price_spike")).select("rows", "columns", "missing_cells", "duplicate_rows", "value_bytes"))
+query(
+    "time_facts",
+    "events",
+    """WITH g AS (SELECT ts, (epoch_us(ts) - lag(epoch_us(ts)) OVER (ORDER BY ts)) / 1e6 AS gap FROM events WHERE ts IS NOT NULL),
+o AS (SELECT count(*) FILTER (ts < p) AS back FROM (SELECT ts, lag(ts) OVER (ORDER BY event_id) AS p FROM events WHERE ts IS NOT NULL))
+SELECT 'ts' AS column_name, count(*)::BIGINT AS non_null, count(*)::BIGINT AS parsed, count(*) / (SELECT count(*) FROM events)::DOUBLE AS parse_ratio, min(ts)::TIMESTAMP AS "min", max(ts)::TIMESTAMP AS "max", (epoch_us(max(ts)) - epoch_us(min(ts))) / 86400000000 AS span_days,
+ (count(*) - count(DISTINCT ts))::BIGINT AS duplicates, (count(*) - count(DISTINCT ts)) / count(*)::DOUBLE AS duplicate_ratio, round(median(gap), 6) AS median_gap, max(gap) AS max_gap, (SELECT back = 0 FROM o) AS monotonic FROM g""",
+)(lambda d: O.time_facts(d, ["ts"], "event_id").withColumn("median_gap", F.round("median_gap", 6)))
+query(
+    "all_facts",
+    "dirty",
+    "WITH f AS (SELECT count(num_text)::DOUBLE AS a, max(length(num_text))::DOUBLE AS b, count(DISTINCT price_null)::DOUBLE AS c, median(price_null)::DOUBLE AS d, quantile_cont(price_null, 0.75)::DOUBLE AS e, round(avg(price_null), 4)::DOUBLE AS f, count(*)::DOUBLE AS g FROM {dirty})\n"
+    + "\nUNION ALL ".join(f"SELECT '{s}' AS subject, '{n}' AS fact, {x} AS value, 'exact' AS mode FROM f" for s, n, x in (("num_text", "non_null", "a"), ("num_text", "max_length", "b"), ("price_null", "distinct_count", "c"), ("price_null", "median", "d"), ("price_null", "p75", "e"), ("price_null", "mean", "f"), ("*", "rows", "g"))),
+)(
+    lambda d: O.all_facts(d.select("num_text", "price_null"))
+    .where("(subject, fact) IN (('num_text', 'non_null'), ('num_text', 'max_length'), ('price_null', 'distinct_count'), ('price_null', 'median'), ('price_null', 'p75'), ('price_null', 'mean'), ('*', 'rows'))")
+    .select("subject", "fact", F.when(F.col("fact") == "mean", F.round("value", 4)).otherwise(F.col("value")).alias("value"), "mode")
+)
+_NULLED = ("num_text", "price_null", "flag_text")
+_STRENGTHS = [f"SELECT '{a}' AS a, '{b}' AS b, '{m}' AS method, {s} AS strength" for a, b, m, s in _association_sql("{dirty}", ("o_custkey", "price_spike"), ORDER_TEXT)]
+_STRENGTHS += [f"SELECT '{a}', '{b}', 'phi_of_nulls', abs(corr(({a} IS NULL)::INT, ({b} IS NULL)::INT)) FROM {{dirty}}" for i, a in enumerate(_NULLED) for b in _NULLED[i + 1 :]]
+query("ranked_associations", "dirty", "SELECT row_number() OVER (ORDER BY strength DESC, a, b, method)::INT AS rank, a, b, method, round(strength, 8) AS strength FROM (" + "\nUNION ALL ".join(_STRENGTHS) + ")")(
+    lambda d: O.ranked_associations(d.select("o_custkey", "price_spike", *ORDER_TEXT, *_NULLED), ["o_custkey", "price_spike"], list(ORDER_TEXT)).withColumn("strength", F.round("strength", 8))
+)
+query(
+    "histogram_by",
+    "lineitem",
+    "WITH b AS (SELECT min(l_quantity)::DOUBLE AS lo, (max(l_quantity) - min(l_quantity))::DOUBLE / 7 AS w FROM lineitem) SELECT l_returnflag, bin, lo + bin * w AS lo, lo + (bin + 1) * w AS hi, n, 100 * (n / sum(n) OVER (PARTITION BY l_returnflag)::DOUBLE) AS y FROM (SELECT l_returnflag, least(floor((l_quantity - lo) / w), 6)::INT AS bin, count(*)::BIGINT AS n FROM lineitem, b GROUP BY 1, 2), b",
+)(lambda d: O.histogram_by(d, "l_quantity", "l_returnflag", 7, "percent"))
+query("points_of_dimensions", "orders", "SELECT o_orderkey, o_totalprice, o_custkey, o_orderdate, o_orderstatus FROM orders ORDER BY md5(concat_ws('|', o_orderkey, '42')), o_orderkey LIMIT 3000")(lambda d: O.points(d, "o_orderkey", ["o_totalprice", "o_custkey", "o_orderdate"], "o_orderstatus"))
