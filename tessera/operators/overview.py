@@ -9,14 +9,16 @@ from tessera.functions import columns as C
 from tessera.operators import profile as P
 from tessera.operators import stats as S
 from tessera.operators.charts import ROW_CAPS
-from tessera.operators.order import with_lag, with_running
-from tessera.operators.rules import semantic_types
+from tessera.operators.order import exact_quantiles, with_lag, with_running
+from tessera.operators.rules import infer_task, semantic_types, target_candidates
 
 # Semantic types that an association scan takes as numbers and as categories.
 AS_NUMBERS = ("numeric", "amount", "nonnegative_amount", "numeric-like", "percentage", "proportion", "numeric_discrete")
 AS_CATEGORIES = ("category", "string", "binary", "nullable_binary", "boolean")
 #: Bytes of a value of a fixed width.
 WIDTH = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4, "date": 4}
+#: From this score on a likely target is taken without being named.
+SURE_TARGET = 0.9
 NORMS = ("count", "probability", "percent", "density")
 
 
@@ -145,3 +147,50 @@ def points(df: DataFrame, key: str, dimensions: list[str], colour: str | None =
         raise ValueError(f"kind is one of {', '.join(ROW_CAPS)}, with a dimension at least")
     cols = list(dict.fromkeys([key, *dimensions, *([colour] if colour else [])]))
     return C.hash_sample(df.select(*cols), ROW_CAPS[kind], key)
+
+
+def outlier_table(df: DataFrame, cols: list[str] | None = None, factor: float = 1.5) -> DataFrame:
+    """column_name, outliers, outlier_ratio, lower, upper, iqr, p01, p99, confidence: numbers beyond the fences of the interquartile range.
+
+    Text that reads as numbers counts too; infinite values are left out of quantiles and shares. Without a spread of the middle
+    half there are no fences and no outliers; a column without a number has a confidence of 0.
+    """
+    kinds = dict(df.dtypes)
+    cols = C.columns_of(df, C.is_numeric) if cols is None else list(cols)
+    shape = "column_name string, outliers bigint, outlier_ratio double, lower double, upper double, iqr double, p01 double, p99 double, confidence double"
+    if not cols:
+        return df.sparkSession.createDataFrame([], shape)
+    x = df.select(*((C.value(df, c).cast("double") if C.is_numeric(kinds[c]) else C.to_number(F.col(c))).alias(c) for c in cols))
+    x = x.select(*(F.when(F.abs(c) < F.lit(float("inf")), F.col(c)).alias(c) for c in cols))
+    q = {r["column_name"]: r["q"] for r in exact_quantiles(x, cols, [0.01, 0.25, 0.75, 0.99]).collect()}
+    facts = []
+    for c in cols:
+        low, a, b, high = q.get(c) or [None] * 4
+        lo, hi = (a - factor * (b - a), b + factor * (b - a)) if a is not None and b > a else (None, None)
+        out = F.count_if((F.col(c) < lo) | (F.col(c) > hi)) if lo is not None else F.lit(0).cast("bigint")
+        spread = None if a is None else b - a
+        facts.append(F.struct(F.lit(c).alias("column_name"), out.alias("outliers"), F.coalesce(F.try_divide(out, F.count(c)), F.lit(0.0)).alias("outlier_ratio"), *(F.lit(v).cast("double").alias(n) for n, v in (("lower", lo), ("upper", hi), ("iqr", spread), ("p01", low), ("p99", high))), F.count(c).alias("n")))
+    row = x.agg(*(f.alias(f"s{i}") for i, f in enumerate(facts))).select(F.explode(F.array(*(f"s{i}" for i in range(len(facts))))).alias("x")).select("x.*")
+    return row.withColumn("confidence", F.when(F.col("n") == 0, 0.0).when(F.col("outlier_ratio") >= 0.05, 0.78).otherwise(0.66)).drop("n")
+
+
+def target_summary(df: DataFrame, target: str | None = None, sure: float = SURE_TARGET, limit: int = 25) -> DataFrame:
+    """value, n, ratio, target, task, source, confidence, imbalance_ratio: the commonest values of the target, null included.
+
+    Without a name the likeliest column is the target if its score reaches `sure`; else there is no row. Ratios are of the shown values'
+    rows, at most `limit` of them (the report's own limit), imbalance_ratio is that of the commonest; equal counts go by value.
+    """
+    if target is not None and target not in df.columns:
+        raise ValueError(f"there is no column {target}")
+    found = (target, 0.99) if target else next(((r["column_name"], r["score"]) for r in target_candidates(df).orderBy(F.desc("score"), "column_name").take(1) if r["score"] >= sure), None)
+    shape = "value string, n bigint, ratio double, target string, task string, source string, confidence double, imbalance_ratio double"
+    if not found:
+        return df.sparkSession.createDataFrame([], shape)
+    name, score = found
+    distinct = P.column_counts(df.select(name)).first()["distinct_count"]
+    top = df.groupBy(F.col(name).cast("string").alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.col("value").asc_nulls_last()).limit(limit)
+    every = Window.partitionBy()  # of at most `limit` rows
+    ratio = F.col("n") / F.sum("n").over(every)
+    shown = top.select("value", "n", ratio.alias("ratio"))
+    given = {"target": name, "task": infer_task(distinct, C.is_numeric(dict(df.dtypes)[name])), "source": "user" if target else "inferred", "confidence": float(score)}
+    return shown.select("*", *(F.lit(v).alias(k) for k, v in given.items()), F.max("ratio").over(every).alias("imbalance_ratio"))

@@ -9,8 +9,9 @@ from tessera.operators import featuring as A
 from tessera.operators import overview as O
 from tessera.operators import preparation as D
 from tessera.operators import rules as R
-from tessera.plans.catalogue import ORDER_TEXT, query
+from tessera.plans.catalogue import _QUERIES, _SQL, ORDER_TEXT, query
 from tessera.plans.extended import _association_sql
+from tessera.streaming import incremental
 
 # --- features: each one's sum over all rows ---------------------------------------------------------------------
 _rounded = lambda d: d.withColumn("total", F.round("total", 4))
@@ -141,3 +142,21 @@ query(
     "WITH b AS (SELECT min(l_quantity)::DOUBLE AS lo, (max(l_quantity) - min(l_quantity))::DOUBLE / 7 AS w FROM lineitem) SELECT l_returnflag, bin, lo + bin * w AS lo, lo + (bin + 1) * w AS hi, n, 100 * (n / sum(n) OVER (PARTITION BY l_returnflag)::DOUBLE) AS y FROM (SELECT l_returnflag, least(floor((l_quantity - lo) / w), 6)::INT AS bin, count(*)::BIGINT AS n FROM lineitem, b GROUP BY 1, 2), b",
 )(lambda d: O.histogram_by(d, "l_quantity", "l_returnflag", 7, "percent"))
 query("points_of_dimensions", "orders", "SELECT o_orderkey, o_totalprice, o_custkey, o_orderdate, o_orderstatus FROM orders ORDER BY md5(concat_ws('|', o_orderkey, '42')), o_orderkey LIMIT 3000")(lambda d: O.points(d, "o_orderkey", ["o_totalprice", "o_custkey", "o_orderdate"], "o_orderstatus"))
+_FENCES = "SELECT quantile_cont({c}, 0.25) AS a, quantile_cont({c}, 0.75) AS b, quantile_cont({c}, 0.01) AS p01, quantile_cont({c}, 0.99) AS p99 FROM (SELECT {x} AS {c} FROM {dirty})"
+_OUTLIERS = "SELECT '{c}' AS column_name, o::BIGINT AS outliers, o / n::DOUBLE AS outlier_ratio, a - 1.5 * (b - a) AS lower, b + 1.5 * (b - a) AS upper, b - a AS iqr, p01, p99, CASE WHEN o / n::DOUBLE >= 0.05 THEN 0.78 ELSE 0.66 END::DOUBLE AS confidence FROM (SELECT count(*) FILTER ({c} < a - 1.5 * (b - a) OR {c} > b + 1.5 * (b - a)) AS o, count({c}) AS n, any_value(a) AS a, any_value(b) AS b, any_value(p01) AS p01, any_value(p99) AS p99 FROM (SELECT {x} AS {c} FROM {dirty}), (" + _FENCES + "))"
+query("outlier_table", "dirty", "\nUNION ALL\n".join(_OUTLIERS.replace("{c}", c).replace("{x}", x) for c, x in (("price_spike", "price_spike"), ("num_text", "try_cast(num_text AS DOUBLE)"))))(lambda d: O.outlier_table(d, ["price_spike", "num_text"]))
+query(
+    "target_summary",
+    "dirty",
+    "SELECT flag_text AS value, count(*)::BIGINT AS n, count(*) / sum(count(*)) OVER ()::DOUBLE AS ratio, 'flag_text' AS target, CASE WHEN (SELECT count(DISTINCT flag_text) FROM {dirty}) = 2 THEN 'binary_classification' ELSE 'multiclass_classification' END AS task, 'user' AS source, 0.99::DOUBLE AS confidence, max(count(*)) OVER () / sum(count(*)) OVER ()::DOUBLE AS imbalance_ratio FROM {dirty} GROUP BY 1",
+)(lambda d: O.target_summary(d, "flag_text"))
+
+
+def _sessions(spark, sf_dir):
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return incremental.settled(incremental.sessions(incremental.read_stream(spark, f"{sf_dir}/events.parquet*", schema)))
+
+
+_QUERIES["stream_sessions"] = _sessions
+_SQL["stream_sessions"] = """SELECT min(ts)::TIMESTAMP AS start, user_id, count(*)::BIGINT AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM
+ (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WHERE ts IS NOT NULL)) GROUP BY user_id, s"""

@@ -79,3 +79,55 @@ def test_points_of_many_dimensions(spark, table):
     assert O.points(df, "k", ["x", "y", "gap"], "kind").columns == ["k", "x", "y", "gap", "kind"] and O.points(df, "k", ["k", "x"], kind="parallel_coordinates").count() == 120
     with pytest.raises(ValueError):
         O.points(df, "k", [])
+
+
+def test_outliers_and_targets(spark, table):
+    r = np.random.default_rng(7)
+    x = np.concatenate([r.normal(size=95), [50, 60, -70, 80, 90]])
+    df = spark.createDataFrame([(float(v), f"${v:,.3f}", 1.0, None) for v in x] + [(float("inf"), "n/a", 1.0, None), (float("nan"), None, 1.0, None)], "x double, t string, same double, none double")
+    got = {v["column_name"]: v for v in O.outlier_table(df, ["x", "t", "same", "none"]).collect()}
+    a, b = np.quantile(x, [0.25, 0.75])
+    lo, hi = a - 1.5 * (b - a), b + 1.5 * (b - a)
+    assert got["x"]["outliers"] == ((x < lo) | (x > hi)).sum() and got["x"]["lower"] == pytest.approx(lo) and got["x"]["p99"] == pytest.approx(np.quantile(x, 0.99)) and got["x"]["confidence"] == 0.78
+    assert got["t"]["outliers"] == got["x"]["outliers"] and (got["same"]["outliers"], got["same"]["lower"], got["same"]["confidence"]) == (0, None, 0.66) and (got["none"]["outliers"], got["none"]["confidence"]) == (0, 0.0)
+    assert O.outlier_table(df.select("t")).collect() == []
+    named = spark.createDataFrame([(i, "yes" if i % 4 else "no") for i in range(40)] + [(40, None)], "k int, churn string")
+    rows = O.target_summary(named, "churn").collect()
+    assert [(v["value"], v["n"]) for v in rows] == [("yes", 30), ("no", 10), (None, 1)] and rows[0]["task"] == "binary_classification" and rows[1]["imbalance_ratio"] == pytest.approx(30 / 41)
+    assert O.target_summary(named).collect() == [] and O.target_summary(named, sure=0.5).first()["source"] == "inferred"
+    with pytest.raises(ValueError):
+        O.target_summary(named, "gone")
+
+
+def test_candidates_by_value(spark):
+    from tessera.operators import rules as R
+
+    df = spark.createDataFrame([(i, f"2024-02-{1 + i % 27:02d}", float(i * 7 % 31), i % 2) for i in range(60)], "order_id int, created_at string, amount double, churn int")
+    scores = {r["column_name"]: r["score"] for r in R.target_candidates(df).collect()}
+    assert scores["churn"] == 0.86 and "order_id" not in scores and "created_at" not in scores and max(scores, key=scores.get) == "churn"
+    assert {r["column_name"]: r["score"] for r in R.time_candidates(df).collect()} == {"created_at": 0.88}
+    assert {r["column_name"]: r["score"] for r in R.target_candidates(df, "amount").collect()}["amount"] == 0.99
+
+
+def test_components_and_clusters_by_value(spark):
+    from tessera.operators import modeling as M
+
+    r = np.random.default_rng(3)
+    x = r.normal(size=(80, 3)) @ np.diag([3.0, 1.0, 0.2]) + r.normal(size=(80, 1))
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "k int, a double, b double, c double")
+    got = np.array([v["pc"] for v in M.pca_project(df, ["a", "b", "c"]).orderBy("k").collect()])
+    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    _, s, vt = np.linalg.svd(z, full_matrices=False)
+    assert np.allclose(np.abs(got), np.abs(z @ vt[:2].T), atol=1e-8) and M.pca_project(df, ["a", "b", "c"]).first()["explained"] == pytest.approx((s[:2] ** 2).sum() / (s**2).sum())
+    far = spark.createDataFrame([(i, float(i % 3 * 100 + i % 5), float(i % 3 * -50)) for i in range(90)], "k int, a double, b double")
+    made = M.kmeans(far, ["a", "b"], 3).select("k", "cluster").collect()
+    assert len({(v["k"] % 3, v["cluster"]) for v in made}) == 3
+
+
+def test_settled_stream_of_sessions(spark, tmp_path):
+    from tessera.streaming import incremental as I
+
+    spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:20:00"), (1, "2024-01-01 02:00:00"), (2, "2024-01-01 00:10:00"), (2, None)], "user_id int, ts string").selectExpr("user_id", "timestamp(ts) AS ts").write.parquet(str(tmp_path / "in"))
+    stream = I.read_stream(spark, str(tmp_path / "in"), "user_id int, ts timestamp")
+    assert sorted((r["user_id"], str(r["start"])[11:16], r["n"]) for r in I.settled(I.sessions(stream)).collect()) == [(1, "00:00", 2), (1, "02:00", 1), (2, "00:10", 1)]
+    assert I.settled(stream, "append").count() == 5
