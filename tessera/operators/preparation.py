@@ -184,6 +184,13 @@ def ambiguous_flags(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return flags.join(P.column_counts(df.select(*(cols or df.columns))).select("column_name", F.col("non_null").alias("affected")), "column_name").select("column_name", "kind", "confidence", "affected", "zero_value", "one_value")
 
 
+def every_review(df: DataFrame, factor: float = 1.5) -> DataFrame:
+    """The rows of review_plan, and those of coordinates out of range or likely swapped and of flags whose reading is not sure."""
+    more = coordinate_review(df).select(F.lit("geo_coordinate_review").alias("action"), "column_name", "affected", "confidence")
+    flags = ambiguous_flags(df).select(F.lit("binary_mapping_review").alias("action"), "column_name", "affected", "confidence")
+    return K.review_plan(df, factor).unionByName(more).unionByName(flags)
+
+
 def apply_reviews(df: DataFrame, decisions: dict[str, dict]) -> DataFrame:
     """df after a person's decisions, `review:column` -> settings, in the order given.
 

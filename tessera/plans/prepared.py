@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import clean as K
 from tessera.operators import featuring as A
 from tessera.operators import overview as O
 from tessera.operators import preparation as D
@@ -102,7 +101,7 @@ _LIKE = "count(*) FILTER (lower(trim({c})) IN ('', 'n/a')) > 0"
 _rows = [("num_text", _LIKE, "false", "count(DISTINCT {c}) >= 50 AND count(DISTINCT {c}) >= 0.5 * count({c})"), ("flag_text", _LIKE, "false", "false"), ("price_spike", "false", _OUTSIDE, "false")]
 query("column_flags", "dirty", "\nUNION ALL\n".join(_FLAGS.replace("{likes}", a).replace("{out}", b).replace("{many}", m).replace("{c}", c) for c, a, b, m in _rows))(lambda d: R.column_flags(d.select("num_text", "flag_text", "price_spike")))
 query("review_plan_coordinates", "orders", f"SELECT 'geo_coordinate_review' AS action, 'home_lat,home_lon' AS column_name, count(*) FILTER ({_BAD} OR {_SWAPPED})::BIGINT AS affected, 0.72 AS confidence FROM {_PLACED} HAVING affected > 0")(
-    lambda d: K.review_plan(_placed(d).select("home_lat", "home_lon")).where("action = 'geo_coordinate_review'")
+    lambda d: D.every_review(_placed(d).select("home_lat", "home_lon")).where("action = 'geo_coordinate_review'")
 )
 
 # --- overviews ---------------------------------------------------------------------------------------------------

@@ -55,10 +55,10 @@ def test_coordinates_by_name(spark):
 
 def test_reviews_of_the_cleaning_plan(spark):
     df = spark.createDataFrame([("Y", 1, 25.0, -80.0), ("N", None, 26.0, -81.0), ("Yes", 1, 120.0, 25.0), (None, None, 91.0, -181.0)], "listed_flag string, pool_flag int, latitude double, longitude double")
-    plan = {(r["action"], r["column_name"]): r for r in K.review_plan(df).collect()}
+    plan = {(r["action"], r["column_name"]): r for r in A.every_review(df).collect()}
     assert plan["geo_coordinate_review", "latitude,longitude"]["affected"] == 2
     assert plan["binary_mapping_review", "pool_flag"]["affected"] == 2 and ("binary_mapping_review", "listed_flag") not in plan
-    assert K.apply_cleaning(df, K.review_plan(df).where("action in ('geo_coordinate_review', 'binary_mapping_review')")).collect() == df.collect()
+    assert K.apply_cleaning(df, A.every_review(df).where("action in ('geo_coordinate_review', 'binary_mapping_review')")).collect() == df.collect()
     got = A.apply_reviews(df, {"binary_mapping_review:pool_flag": {"mapping": {"1": 1}, "null": 0}, "category_value_review:listed_flag": {"mapping": {"yes": "Y"}}}).collect()
     assert [r["pool_flag"] for r in got] == [1, 0, 1, 0] and [r["listed_flag"] for r in got] == ["Y", "N", "Y", None]
     with pytest.raises(ValueError, match="no review"):
