@@ -12,10 +12,15 @@ from collections.abc import Iterator
 from functools import cached_property, lru_cache
 from itertools import chain
 
+import numpy as np
 from pyspark.sql import DataFrame
 
-#: Encoded stretches that a worker remembers in each of two generations, and pieces; what is forgotten is encoded anew.
+from tessera.llm.common import runs_of_docs, text_bytes
+
+#: Encoded stretches, and pieces, that a worker remembers in each of two generations; what is forgotten is encoded anew.
 MEMORY = 200_000
+#: Texts are encoded in blocks of about so many bytes.
+BLOCK = 4 << 20
 #: So many last bytes narrow down the tokens that can end there.
 TAIL = 4
 
@@ -37,7 +42,7 @@ class PrefixEncoder:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token = {i: t for t, i in ranks.items()}
-        self.text = {i: str(i) for i in self.token}
+        self.text = {i: f" {i}".encode() for i in self.token}
         self.longest = max(map(len, ranks), default=1)
         self.by_tail: dict[bytes, set[int]] = {}
         for t in ranks:
@@ -45,6 +50,7 @@ class PrefixEncoder:
                 self.by_tail.setdefault(t[-TAIL:], set()).add(len(t))
         self.lengths: dict[bytes, list[int]] = {}
         self.fits: dict[int, bool] = {}
+        self.pairs = self.pair_fits = None
 
     def lengths_at(self, tail: bytes) -> list[int]:
         """Lengths, the longest first, that tokens ending in these last bytes can have."""
@@ -147,6 +153,102 @@ class PrefixEncoder:
             end -= len(self.token[last[end]])
         return out[::-1]
 
+    @cached_property
+    def trie(self) -> tuple:
+        """Beginnings of tokens as nodes, 0 the empty one: an index of node * 256 + next byte, whose place k leads to node k + 1, and each node's token or -1."""
+        import pandas as pd
+
+        edges: dict[int, int] = {}
+        ends = []
+        for t, i in self.ranks.items():
+            node = 0
+            for byte in t:
+                node = edges.setdefault(node * 256 + byte, len(edges) + 1)
+            ends.append((node, i))
+        token = np.full(len(edges) + 1, -1)
+        nodes, ids = np.array(ends).T
+        token[nodes] = ids
+        return pd.Index(np.fromiter(edges, np.int64, len(edges))), token
+
+    @cached_property
+    def sizes(self) -> np.ndarray:
+        out = np.zeros(max(self.token, default=0) + 1, np.int64)
+        out[list(self.token)] = list(map(len, self.token.values()))
+        return out
+
+    def follows(self, left: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """can_follow() of many pairs."""
+        import pandas as pd
+
+        if self.pairs is None or len(self.fits) > 1.1 * len(self.pairs) + 1000:
+            self.pairs = pd.Index(np.fromiter(self.fits, np.int64, len(self.fits)))
+            self.pair_fits = np.fromiter(self.fits.values(), bool, len(self.fits))
+        keys = (left << 32) + token
+        at = self.pairs.get_indexer(keys)
+        out = self.pair_fits[at] if len(self.pair_fits) else np.zeros(len(keys), bool)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            different, first, which = np.unique(keys[new], return_index=True, return_inverse=True)
+            found = [self.fits.get(k) for k in different.tolist()]
+            for i, x in enumerate(found):
+                if x is None:
+                    found[i] = self.can_follow(int(left[new[first[i]]]), int(token[new[first[i]]]))
+            out[new] = np.array(found)[which]
+        return out
+
+    def encode_many(self, pieces: list[bytes]) -> list[list[int]]:
+        """The encodings of many pieces, not empty: last tokens of all prefixes of one length at a time."""
+        index, token = self.trie
+        order = sorted(range(len(pieces)), key=lambda i: -len(pieces[i]))
+        size = np.array([len(pieces[i]) for i in order])
+        data = np.frombuffer(b"".join([pieces[i] for i in order]), np.uint8)
+        # A piece of n bytes has n + 1 places, before and after each byte.
+        base = np.cumsum(size + 1) - size - 1
+        at = np.arange(len(data))
+        shift = np.repeat(np.arange(len(size)), size)
+        start, room, node = at + shift, np.repeat(np.cumsum(size), size), np.zeros(len(data), np.int64)
+        # Tokens by the place where they end; each points to the next shorter one there.
+        longest = np.full(len(data) + len(size), -1)
+        tokens, begins, shorter, count, n = [], [], [], 0, 0
+        while len(at):
+            node = index.get_indexer(node * 256 + data[at + n]) + 1
+            n += 1
+            hit = np.flatnonzero(node)
+            at, start, room, node = at[hit], start[hit], room[hit], node[hit]
+            whole = np.flatnonzero(token[node] >= 0)
+            ends = start[whole] + n
+            tokens.append(token[node[whole]])
+            begins.append(start[whole])
+            shorter.append(longest[ends])
+            longest[ends] = np.arange(count, count + len(whole))
+            count += len(whole)
+            more = np.flatnonzero(at + n < room)
+            at, start, room, node = at[more], start[more], room[more], node[more]
+        tokens, begins, shorter = map(np.concatenate, (tokens, begins, shorter))
+        last = np.full(len(longest), -1)
+        for n in range(1, size[0] + 1):
+            ends = base[: np.searchsorted(-size, -n, "right")] + n
+            tried = longest[ends]
+            while len(ends):
+                if tried.min() < 0:
+                    raise ValueError("the ranks are not those of merges")
+                t = tokens[tried]
+                fit = self.follows(last[begins[tried]], t)
+                last[ends[fit]] = t[fit]
+                ends, tried = ends[~fit], shorter[tried[~fit]]
+        out: list[list[int]] = [[] for _ in pieces]
+        which, place = np.array(order), base + size
+        while len(which):
+            t = last[place]
+            for i, x in zip(which.tolist(), t.tolist()):
+                out[i].append(x)
+            place = place - self.sizes[t]
+            open_ = np.flatnonzero(last[place] >= 0)
+            which, place = which[open_], place[open_]
+        for ids in out:
+            ids.reverse()
+        return out
+
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
         """A piece that is a token is that token; others are encoded by prefixes."""
         whole = self.ranks.get(piece)
@@ -169,77 +271,139 @@ class TextEncoder:
     """Whole texts: each match of the pattern is encoded and decoded for itself, and remembered.
 
     A space after or before a character that is no white space can start a match, so that a text can be cut there. The
-    stretches between recur far more than they differ: for each the memory holds its ids, as text, and the bytes that
-    they decode to. It has two generations, so that a full memory forgets only what was not seen since the last time.
+    stretches between recur far more than they differ: each block of texts looks up its different stretches once, and
+    Arrow puts their ids (each after a space) and decoded bytes together. Stretches and pieces are remembered in two
+    generations, so that a full memory forgets only what was not seen since the last time.
     """
 
     def __init__(self, path: str, pattern: str):
         self.bpe, self.pieces = _encoder(path), _splitter(pattern).findall
-        self.ids: dict[str, bytes] = {}
-        self.plain: dict[str, bytes] = {}
-        self.old_ids: dict[str, bytes] = {}
-        self.old_plain: dict[str, bytes] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def encode(self, text: str) -> tuple[bytes, bytes]:
-        """The decimal ids joined by spaces, and the bytes that they decode to."""
-        head, *rest = text.split(" ")
-        ids, plain = list(map(self.ids.get, rest)), list(map(self.plain.get, rest))
-        if None in ids:
-            if not all(rest) or any(x[0].isspace() for x in rest):
-                head, *rest = self.stretches(text)
-                ids, plain = list(map(self.ids.get, rest)), list(map(self.plain.get, rest))
-            for i, x in enumerate(ids):
+        self.stretches, self.old_stretches = {}, {}
+        self.parts, self.old_parts = {}, {}
+
+    def encode(self, texts) -> Iterator[tuple[bytes, bytes]]:
+        """Of each text of an Arrow array: the decimal ids, each after a space, and the bytes that they decode to."""
+        import pyarrow as pa
+
+        texts = texts.fill_null("").cast(pa.large_string())
+        _, offsets = text_bytes(texts)
+        for i, j in runs_of_docs(offsets, BLOCK):
+            heads, rest, first = cut(texts.slice(i, j - i))
+            coded = rest.dictionary_encode()
+            known = self.look_up(coded.dictionary.to_pylist())
+            ids, plain = (pa.array([x[k] for x in known], pa.large_binary()).take(coded.indices) for k in (0, 1))
+            for head, a, b in zip(heads, first[:-1], first[1:]):
+                start = self.encode_whole(head)
+                yield start[0] + joined(ids, a, b), start[1] + joined(plain, a, b)
+
+    def look_up(self, keys: list[str]) -> list[tuple[bytes, bytes]]:
+        """Ids and decoded bytes of stretches, each with the space before it."""
+        found = list(map(self.stretches.get, keys))
+        missing = [i for i, x in enumerate(found) if x is None]
+        for i in missing:
+            found[i] = self.old_stretches.get(keys[i])
+        new = [i for i in missing if found[i] is None]
+        for i, x in zip(new, self.encode_stretches([keys[i] for i in new])):
+            found[i] = x
+        for i in missing:
+            if len(keys[i]) <= 64:
+                if len(self.stretches) >= MEMORY:
+                    self.old_stretches, self.stretches = self.stretches, {}
+                self.stretches[keys[i]] = found[i]
+        return found
+
+    def encode_stretches(self, keys: list[str]) -> list[tuple[bytes, bytes]]:
+        """One pass of the pattern over stretches without a space or leading white space: their first pieces start with a space."""
+        plain = [x for x in keys if x and " " not in x and not x[0].isspace()]
+        pieces = self.pieces(" " + " ".join(plain)) if plain else []
+        parts = self.encode_pieces(pieces)
+        first = [i for i, x in enumerate(pieces) if x[0] == " "]
+        out = iter([parts[a] if b - a == 1 else together(parts[a:b]) for a, b in zip(first, first[1:] + [len(parts)])])
+        return [next(out) if x and " " not in x and not x[0].isspace() else self.encode_whole(" " + x) for x in keys]
+
+    def encode_pieces(self, pieces: list[str]) -> list[tuple[bytes, bytes]]:
+        out = list(map(self.parts.get, pieces))
+        missing = {x: self.old_parts.get(x) for x, known in zip(pieces, out) if known is None}
+        if missing:
+            new = [x for x, known in missing.items() if known is None]
+            missing.update(zip(new, self.encode_new([x.encode() for x in new])))
+            for i, x in enumerate(out):
                 if x is None:
-                    ids[i], plain[i] = self.stretch(rest[i])
-        first = self.encode_whole(head)
-        return b" ".join([self.text_of(first), *ids] if first else ids), b"".join([self.decode(first), *plain])
-
-    @staticmethod
-    def stretches(text: str) -> list[str]:
-        """text cut at spaces, but not where white space comes before the space and white space or the end after it."""
-        first, *rest = text.split(" ")
-        out, open_end = [[first]], first[-1:].isspace()
-        for x in rest:
-            if open_end and (not x or x[0].isspace()):
-                out[-1].append(x)
+                    out[i] = missing[pieces[i]]
+            for x, known in missing.items():
+                if len(x) <= 64:
+                    if len(self.parts) >= MEMORY:
+                        self.old_parts, self.parts = self.parts, {}
+                    self.parts[x] = known
+        return out
+
+    def encode_new(self, pieces: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """Short pieces that are no tokens are encoded together, if they are more than a few."""
+        ids = list(map(self.bpe.ranks.get, pieces))
+        many = [i for i, x in enumerate(ids) if x is None and len(pieces[i]) <= 64]
+        if len(many) >= 100:
+            for i, x in zip(many, self.bpe.encode_many([pieces[i] for i in many])):
+                ids[i] = x
+        text, token = self.bpe.text.__getitem__, self.bpe.token.__getitem__
+        out = []
+        for piece, x in zip(pieces, ids):
+            if isinstance(x, int):
+                out.append((text(x), token(x)))
             else:
-                out.append([x])
-            open_end = not x or x[-1].isspace()
-        return [" ".join(x) for x in out]
-
-    def stretch(self, key: str) -> tuple[bytes, bytes]:
-        """What the memory holds, or will hold, of a stretch after a space."""
-        ids = self.ids.get(key) or self.old_ids.get(key)
-        if ids is None:
-            tokens = self.encode_whole(" " + key)
-            ids, plain = self.text_of(tokens), self.decode(tokens)
+                x = x or self.bpe.encode_piece(piece)
+                out.append((b"".join(map(text, x)), b"".join(map(token, x))))
+        return out
+
+    def encode_whole(self, text: str) -> tuple[bytes, bytes]:
+        return together(self.encode_pieces(self.pieces(text)))
+
+
+def together(parts: list[tuple[bytes, bytes]]) -> tuple[bytes, bytes]:
+    return b"".join([x[0] for x in parts]), b"".join([x[1] for x in parts])
+
+
+def joined(values, a: int, b: int) -> bytes:
+    """The values a to b of an Arrow large_binary array, one after the other."""
+    _, offsets, data = values.buffers()
+    if a == b or data is None:
+        return b""
+    x, y = np.frombuffer(offsets, np.int64, b - a + 1, 8 * (values.offset + a))[[0, -1]].tolist()
+    return data[x:y].to_pybytes()
+
+
+def cut(texts) -> tuple[list[str], object, list[int]]:
+    """Texts cut at spaces: heads, an Arrow array of all stretches after a space, and where each text's begin and end in it."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    if pc.any(pc.match_substring_regex(texts, r" ([\t-\r\x{85}\p{Z}]|\z)")).as_py():
+        lists = [stretches(x) for x in texts.to_pylist()]
+        first = np.cumsum([0] + [len(x) - 1 for x in lists]).tolist()
+        return [x[0] for x in lists], pa.array(list(chain.from_iterable(x[1:] for x in lists)), pa.large_string()), first
+    lists = pc.split_pattern(texts, " ")
+    values, starts = lists.values, lists.offsets.to_numpy()
+    after = np.ones(len(values), bool)
+    after[starts[:-1]] = False
+    return values.take(pa.array(starts[:-1])).to_pylist(), values.filter(pa.array(after)), (starts - np.arange(len(starts))).tolist()
+
+
+def stretches(text: str) -> list[str]:
+    """text cut at spaces, but not where white space comes before the space and white space or the end after it."""
+    first, *rest = text.split(" ")
+    out, open_end = [[first]], first[-1:].isspace()
+    for x in rest:
+        if open_end and (not x or x[0].isspace()):
+            out[-1].append(x)
         else:
-            plain = self.plain.get(key) or self.old_plain[key]
-        if 0 < len(key) <= 64 and not key[0].isspace():
-            if len(self.ids) >= MEMORY:
-                self.old_ids, self.old_plain, self.ids, self.plain = self.ids, self.plain, {}, {}
-            self.ids[key], self.plain[key] = ids, plain
-        return ids, plain
-
-    def encode_whole(self, text: str) -> list[int]:
-        known, out = self.known, []
-        for piece in self.pieces(text):
-            ids = known.get(piece)
-            if ids is None:
-                ids = self.bpe.encode_piece(piece.encode())
-                if len(piece) <= 64:
-                    if len(known) >= MEMORY:
-                        known.clear()
-                    known[piece] = ids
-            out.append(ids)
-        return list(chain.from_iterable(out))
-
-    def text_of(self, ids: list[int]) -> bytes:
-        return " ".join(map(self.bpe.text.__getitem__, ids)).encode()
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bpe.token.__getitem__, ids))
+            out.append([x])
+        open_end = not x or x[-1].isspace()
+    return [" ".join(x) for x in out]
+
+
+@lru_cache(2)
+def text_encoder(path: str, pattern: str) -> TextEncoder:
+    """The encoder that a worker keeps from task to task, with its bounded memory."""
+    return TextEncoder(path, pattern)
 
 
 def encode_decode(df: DataFrame, ranks_path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
@@ -256,13 +420,12 @@ def encode_decode(df: DataFrame, ranks_path: str | None = None, pattern: str | N
     def digest(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        encoder = TextEncoder(path, pattern)
+        encoder = text_encoder(path, pattern)
         for batch in batches:
             columns = ([], [], [], [])
-            for text in batch.column(1).to_pylist():
-                ids, plain = encoder.encode(text or "")
-                columns[0].append(ids.count(b" ") + 1 if ids else 0)
-                columns[1].append(hashlib.sha256(ids).hexdigest())
+            for ids, plain in encoder.encode(batch.column(1)):
+                columns[0].append(ids.count(b" "))
+                columns[1].append(hashlib.sha256(ids[1:]).hexdigest())
                 columns[2].append(hashlib.sha256(plain).hexdigest())
                 if keep_ids:
                     columns[3].append(list(map(int, ids.split())))

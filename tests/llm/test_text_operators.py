@@ -135,6 +135,34 @@ def test_bpe_equals_the_library(spark):
         assert row["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
 
 
+def test_bpe_encodes_different_pieces_together(monkeypatch):
+    """A block's unknown pieces take a few passes over arrays; one by one they took most of the time."""
+    import public_tokenizers
+    import pyarrow as pa
+
+    ranks = bpe.read_ranks(bpe.default_ranks())
+    r = random.Random(7)
+    texts = [" ".join("".join(r.choice(["th", "ing", "é", "ction", "x", "漢", "ß", "qu", "\n"]) for _ in range(r.randint(1, 9))) for _ in range(60)) for _ in range(40)] + [None, ""]
+    texts += [x.replace(" ", r.choice(["  ", " \n", " ", "\u00a0 "])) + " " for x in texts[:8]]
+    alone = bpe.PrefixEncoder.encode_piece
+    calls = []
+    monkeypatch.setattr(bpe.PrefixEncoder, "encode_piece", lambda self, piece: calls.append(piece) or alone(self, piece))
+    expected = []
+    for t in texts:
+        pieces = bpe._splitter(public_tokenizers.PATTERN).findall(t or "")
+        expected.append(([i for p in pieces for i in bpe.PrefixEncoder.merge(bpe._encoder(bpe.default_ranks()), p.encode())], (t or "").encode()))
+    for memory, block in ((200_000, 4 << 20), (50, 500), (1, 1)):
+        monkeypatch.setattr(bpe, "MEMORY", memory)
+        monkeypatch.setattr(bpe, "BLOCK", block)
+        encoder = bpe.TextEncoder(bpe.default_ranks(), public_tokenizers.PATTERN)
+        calls.clear()
+        assert [(list(map(int, ids.split())), plain) for ids, plain in encoder.encode(pa.array(texts))] == expected
+        assert block < 1000 or len(calls) < 300
+    pieces = list({t[i : i + n] for t in list(ranks)[:9000:30] for i in range(3) for n in range(1, 9) if t[i : i + n]}) + [bytes(r.choices(b"abein t=", k=n)) for n in range(1, 80)]
+    encoder = bpe.PrefixEncoder(ranks)
+    assert encoder.encode_many(pieces) == [encoder.merge(p) for p in pieces]
+
+
 def test_bpe_append_and_edit():
     e = bpe.PrefixEncoder(bpe.read_ranks(bpe.default_ranks()))
     r = random.Random(5)
