@@ -113,6 +113,11 @@ class RangeHash:
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix64((self.sums[ends] - self.sums[starts]) * self.inv[starts] + (ends - starts).astype(np.uint64))
 
+    def every(self, width: int) -> np.ndarray:
+        """Hashes of all ranges of `width` bytes, by their starts."""
+        n = max(0, len(self.sums) - width)
+        return mix64((self.sums[width:] - self.sums[:n]) * self.inv[:n] + np.uint64(width))
+
 
 def text_bytes(arr) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of an Arrow string array, one after the other, and the documents' offsets; nulls are empty."""
@@ -134,6 +139,15 @@ def runs_of_docs(offsets: np.ndarray, most: int = 2 << 20):
         i = min(j, n)
 
 
+def list_fields(arr, names: tuple[str, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of an Arrow array of lists of structs: each list's first item and the last one's end (len(arr) + 1 entries), and fields of all items. A null list is empty."""
+    import pyarrow.compute as pc
+
+    items = arr.flatten()
+    first = np.concatenate(([0], np.cumsum(pc.list_value_length(arr).fill_null(0).to_numpy(zero_copy_only=False)))).astype(np.int64)
+    return first, [items.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in names]
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words, and each document's first word (len(offsets) entries)."""
     word = ~_IS_SPACE[data]

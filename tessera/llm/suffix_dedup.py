@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import RangeHash, discard, materialize, mix64, text_bytes
+from tessera.llm.common import RangeHash, discard, list_fields, materialize, mix64, runs_of_docs, text_bytes
 
 LENGTH, ANCHOR = 100, 44
 #: Texts are worked on in pieces of at most so many window starts; the places fit into 21 bits.
@@ -65,24 +65,33 @@ def least_in_window(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
+def anchored(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """For each segment: anchor hash, first window, number of windows, place of the anchor in the stretch."""
+    h = RangeHash(data).every(ANCHOR)
+    key = (h & np.uint64(2**64 - 2**21)) | np.arange(len(h), dtype=np.uint64)
+    anchor = (least_in_window(key, length - ANCHOR + 1) & np.uint64(2**21 - 1)).view(np.int64)
+    # A segment begins where the anchor changes or a document's windows begin; windows that reach into the next document go.
+    turn = np.empty(len(anchor), bool)
+    turn[0] = True
+    np.not_equal(anchor[1:], anchor[:-1], out=turn[1:])
+    turn[starts] = True
+    gap = ends[:-1] - length + 1
+    turn[gap] = True
+    first = np.flatnonzero(turn)
+    count = np.diff(first, append=len(anchor))
+    inside = first < ends[np.searchsorted(starts, first, "right") - 1] - length + 1
+    first, count = first[inside], count[inside]
+    anchor = anchor[first]
+    return h[anchor].view(np.int64), first, count, anchor
+
+
 def segments(data: np.ndarray, docs: np.ndarray, starts: np.ndarray, ends: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """For each segment: anchor hash, content hash, document number, first window's place; number of windows * 256 + anchor's place in it."""
-    n = len(data) - ANCHOR + 1
-    at = np.arange(n)
-    h = RangeHash(data)(at, at + ANCHOR)
-    key = (h & np.uint64(2**64 - 2**21)) | at.astype(np.uint64)
-    anchor = (least_in_window(key, length - ANCHOR + 1) & np.uint64(2**21 - 1)).astype(np.int64)
-    inside = np.zeros(len(anchor) + 1, np.int8)
-    np.add.at(inside, starts, 1)
-    np.add.at(inside, ends - length + 1, -1)
-    valid = np.flatnonzero(np.cumsum(inside[:-1]) > 0)
-    anchor = anchor[valid]
-    head = np.flatnonzero((np.diff(valid, prepend=-2) != 1) | (np.diff(anchor, prepend=-1) != 0))
-    first, count, anchor = valid[head], np.diff(head, append=len(valid)), anchor[head]
+    h, first, count, anchor = anchored(data, starts, ends, length)
     content = RangeHash(data, _OTHER)(first, first + count + length - 1)
     g = mix64(content ^ (count.astype(np.uint64) << np.uint64(32)) ^ (anchor - first).astype(np.uint64))
     doc = np.searchsorted(starts, first, "right") - 1
-    return h[anchor].view(np.int64), g.view(np.int64), docs[doc], first - starts[doc] + place[doc], (count << 8) | (anchor - first)
+    return h, g.view(np.int64), docs[doc], first - starts[doc] + place[doc], (count << 8) | (anchor - first)
 
 
 def find_segments(df: DataFrame, length: int) -> DataFrame:
@@ -99,6 +108,20 @@ def find_segments(df: DataFrame, length: int) -> DataFrame:
     return df.select("doc_id", "text").mapInArrow(run, f"h bigint, g bigint, doc_id {kind}, pos int, shape int")
 
 
+def find_anchors(df: DataFrame, length: int) -> DataFrame:
+    """Only the anchor hashes of find_segments()."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(0))
+            for piece, _, starts, ends, _ in pieces(data, offsets, length):
+                yield pa.RecordBatch.from_arrays([pa.array(anchored(piece, starts, ends, length)[0])], ["h"])
+
+    return df.select("text").mapInArrow(run, "h bigint")
+
+
 def quarters(length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each quarter of a window's possible anchor places: least and greatest place, and the bytes before and after the anchor that all its windows hold."""
     room = length - ANCHOR
@@ -116,15 +139,16 @@ def sides(texts: DataFrame, length: int) -> DataFrame:
 
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
-            for k, runs in enumerate(batch.column(2)):
-                text = data[offsets[k] : offsets[k + 1]]
-                rows = np.array([(r["pos"], r["n"], r["at"]) for r in runs.as_py()])
-                row, part = np.nonzero((rows[:, 2:] >= least) & (rows[:, 2:] - rows[:, 1:2] + 1 <= most))
-                pos, n, at = rows[row].T
-                a = pos + at
-                digit = RangeHash(text)(a - before[part], a + ANCHOR + after[part]).view(np.int64)
+            items, fields = list_fields(batch.column(2), ("pos", "n", "at"))
+            for i, j in runs_of_docs(offsets, PIECE):
+                pos, n, at = (x[items[i] : items[j]] for x in fields)
+                doc = np.repeat(np.arange(i, j), np.diff(items[i : j + 1]))
+                row, part = np.nonzero((at[:, None] >= least) & ((at - n + 1)[:, None] <= most))
+                doc, pos, n, at = doc[row], pos[row], n[row], at[row]
+                a = offsets[doc] - offsets[i] + pos + at
+                digit = RangeHash(data[offsets[i] : offsets[j]])(a - before[part], a + ANCHOR + after[part]).view(np.int64)
                 columns = [pa.array(x.astype(np.int32)) for x in (pos, n, at, part)] + [pa.array(digit)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(pos), k))), *columns], ["doc_id", "pos", "n", "at", "part", "digit"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), *columns], ["doc_id", "pos", "n", "at", "part", "digit"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
     return texts.select("doc_id", "text", "runs").mapInArrow(run, f"doc_id {kind}, pos int, n int, at int, part int, digit bigint")
@@ -140,17 +164,21 @@ def open_windows(texts: DataFrame, length: int) -> DataFrame:
 
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
-            for k, runs in enumerate(batch.column(2)):
-                text = data[offsets[k] : offsets[k + 1]]
-                rows = np.array([(r["pos"], r["n"], r["at"], r["part"]) for r in runs.as_py()])
+            items, fields = list_fields(batch.column(2), ("pos", "n", "at", "part"))
+            for i, j in runs_of_docs(offsets, PIECE):
+                text = data[offsets[i] : offsets[j]]
                 one, two = RangeHash(text), RangeHash(text, _OTHER)
-                for i in range(0, len(rows), 20_000):
-                    pos, n, at, part = rows[i : i + 20_000].T
+                docs = np.repeat(np.arange(i, j), np.diff(items[i : j + 1]))
+                for k in range(0, len(docs), 20_000):
+                    doc = docs[k : k + 20_000]
+                    pos, n, at, part = (x[items[i] : items[j]][k : k + 20_000] for x in fields)
                     first = pos + np.maximum(0, at - most[part])
                     count = pos + np.minimum(n - 1, at - least[part]) - first + 1
                     place = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
-                    d1, d2 = one(place, place + half), two(place + half, place + length)
-                    yield pa.RecordBatch.from_arrays([pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), batch.column(0).take(pa.array(np.full(len(place), k))), pa.array(place.astype(np.int32))], ["d1", "d2", "doc_id", "pos"])
+                    doc = np.repeat(doc, count)
+                    start = offsets[doc] - offsets[i] + place
+                    d1, d2 = one(start, start + half), two(start + half, start + length)
+                    yield pa.RecordBatch.from_arrays([pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), batch.column(0).take(pa.array(doc)), pa.array(place.astype(np.int32))], ["d1", "d2", "doc_id", "pos"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
     return texts.select("doc_id", "text", "runs").mapInArrow(run, f"d1 bigint, d2 bigint, doc_id {kind}, pos int")
@@ -164,19 +192,29 @@ def cut_spans(texts: DataFrame, keep_text: bool) -> DataFrame:
 
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
+            items, fields = list_fields(batch.column(2), ("a", "b"))
             out = [[] for _ in range(6)]
-            for k, spans in enumerate(batch.column(2)):
-                text = data[offsets[k] : offsets[k + 1]]
-                edge = np.zeros(len(text) + 1, np.int32)
-                both = np.array([(s["a"], s["b"]) for s in spans.as_py() or ()], np.int64).reshape(-1, 2).clip(0, len(text))
-                np.add.at(edge, both[:, 0], 1)
-                np.add.at(edge, both[:, 1], -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                turns = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
-                kept = text[~gone].tobytes()
-                values = len(text), int(gone.sum()), len(turns) // 2, hashlib.sha256(kept).hexdigest(), kept, turns.reshape(-1, 2).tolist()
-                for column, value in zip(out, values):
-                    column.append(value)
+            for i, j in runs_of_docs(offsets, PIECE):
+                text, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                doc = np.repeat(np.arange(j - i), np.diff(items[i : j + 1]))
+                a, b = (np.minimum(own[doc] + x[items[i] : items[j]], own[doc + 1]) for x in fields)
+                gone = np.cumsum(np.bincount(a, minlength=len(text) + 1) - np.bincount(b, minlength=len(text) + 1))[:-1] > 0
+                kept, left = text[~gone].tobytes(), np.concatenate(([0], np.cumsum(~gone)))[own]
+                # Runs end at their document's end.
+                edge = np.concatenate((gone[:1], gone[1:] & ~gone[:-1], [False]))
+                edge[own[:-1]] |= np.append(gone, False)[own[:-1]]
+                heads = np.flatnonzero(edge)
+                edge = np.concatenate(([False], gone[:-1] & ~gone[1:], gone[-1:]))
+                edge[own[1:]] |= np.append(False, gone)[own[1:]]
+                tails = np.flatnonzero(edge)
+                turns = np.searchsorted(heads, own)
+                for k in range(j - i):
+                    rest, at = kept[left[k] : left[k + 1]], slice(turns[k], turns[k + 1])
+                    values = own[k + 1] - own[k], own[k + 1] - own[k] - len(rest), turns[k + 1] - turns[k], hashlib.sha256(rest).hexdigest()
+                    if keep_text:
+                        values += rest, (np.stack((heads[at], tails[at]), 1) - own[k]).tolist()
+                    for column, value in zip(out, values):
+                        column.append(value)
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.list_(pa.int32()))]
             n = 6 if keep_text else 4
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out[:n], types))], names)
@@ -190,7 +228,7 @@ def cut_spans(texts: DataFrame, keep_text: bool) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Lists of spans (doc_id, spans) of repeated windows of docs(doc_id, text). Tables between are dropped once they are used."""
     found = find_segments(docs, length)
-    again = found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    again = find_anchors(docs, length).groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     alive = materialize(found.join(again, "h"))
     here = F.struct("doc_id", "pos")
     equal = materialize(alive.groupBy("h", "g").agg(F.min(F.struct("doc_id", "pos", "shape")).alias("first")))

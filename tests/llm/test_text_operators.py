@@ -120,6 +120,45 @@ def test_likelihood_estimate():
     assert abs(minhash_dedup.estimate(regs[:1], regs[1:], np.array([900.0]), np.array([900.0]))[0] - 0.8) < 0.12
 
 
+def test_suffix_steps_take_documents_together(spark):
+    """A batch gives few batches, not one a document, and what documents give alone."""
+    import numpy as np
+    import pyarrow as pa
+
+    class Captured:
+        schema = spark.createDataFrame([], "doc_id long").schema
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, f, _):
+            return f
+
+    r = random.Random(9)
+    texts = ["".join(r.choice("abcdé") for _ in range(r.choice([0, 100, 130, 260]))) for _ in range(200)] + [None]
+    sizes = [len((t or "").encode()) for t in texts]
+    spans = [[{"a": a, "b": a + r.choice([1, 30, 100, 500])} for a in r.sample(range(n + 1), min(n, r.randint(0, 4)))] + [{"a": 0, "b": 7}, {"a": max(0, n - 5), "b": n}] * (k % 2) for k, n in enumerate(sizes)]
+    runs = [[{"pos": p, "n": 1 + p % 3, "at": 20 + p % 30, "part": (20 + p % 30) // 14} for p in r.sample(range(n - 101), min(3, n - 101))] if n > 101 else [] for n in sizes]
+    for step, lists in ((lambda: suffix_dedup.cut_spans(Captured(), True), spans), (lambda: suffix_dedup.sides(Captured(), 100), runs), (lambda: suffix_dedup.open_windows(Captured(), 100), runs)):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string()), pa.array(lists)], ["doc_id", "text", "list"])
+        together = list(step()(iter([batch])))
+        alone = [x for k in range(len(texts)) if lists is spans or lists[k] for x in step()(iter([batch.slice(k, 1)]))]
+        assert len(together) < 5 and pa.Table.from_batches(together).to_pylist() == pa.Table.from_batches(alone).to_pylist()
+    for row, t, own in zip(pa.Table.from_batches(suffix_dedup.cut_spans(Captured(), True)(iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string()), pa.array(spans)], ["doc_id", "text", "list"])]))).to_pylist(), texts, spans):
+        data = (t or "").encode()
+        gone = [any(s["a"] <= i < s["b"] for s in own) for i in range(len(data))]
+        kept = bytes(x for x, g in zip(data, gone) if not g)
+        edges = [i for i in range(len(data) + 1) if (gone[i] if i < len(data) else False) != (gone[i - 1] if i else False)]
+        assert (row["n_bytes"], row["n_removed"], row["n_spans"], row["kept_text"], row["kept_sha256"]) == (len(data), sum(gone), len(edges) // 2, kept, hashlib.sha256(kept).hexdigest())
+        assert row["removed"] == [edges[i : i + 2] for i in range(0, len(edges), 2)]
+    docs = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["doc_id", "text"])
+    h = [x for b in suffix_dedup.find_segments(Captured(), 100)(iter([docs])) for x in b.column(0).to_pylist()]
+    assert h and h == [x for b in suffix_dedup.find_anchors(Captured(), 100)(iter([docs.select(["text"])])) for x in b.column(0).to_pylist()]
+    data = np.frombuffer("".join(t or "" for t in texts).encode(), np.uint8)
+    at = np.arange(len(data) - 43)
+    assert (suffix_dedup.RangeHash(data).every(44) == suffix_dedup.RangeHash(data)(at, at + 44)).all()
+
+
 def test_bpe_equals_the_library(spark):
     import public_tokenizers
     import tiktoken
