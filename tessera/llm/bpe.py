@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame
 
 from tessera.llm.common import runs_of_docs, text_bytes
 
-#: Encoded stretches, and pieces, that a worker remembers in each of two generations; what is forgotten is encoded anew.
+#: Encoded stretches, and pieces, that a task remembers in each of two generations; what is forgotten is encoded anew.
 MEMORY = 200_000
 #: Texts are encoded in blocks of about so many bytes.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 #: So many last bytes narrow down the tokens that can end there.
 TAIL = 4
 
@@ -400,12 +400,6 @@ def stretches(text: str) -> list[str]:
     return [" ".join(x) for x in out]
 
 
-@lru_cache(2)
-def text_encoder(path: str, pattern: str) -> TextEncoder:
-    """The encoder that a worker keeps from task to task, with its bounded memory."""
-    return TextEncoder(path, pattern)
-
-
 def encode_decode(df: DataFrame, ranks_path: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, with keep_ids, ids array<int>, for each row of df.
 
@@ -420,7 +414,7 @@ def encode_decode(df: DataFrame, ranks_path: str | None = None, pattern: str | N
     def digest(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        encoder = text_encoder(path, pattern)
+        encoder = TextEncoder(path, pattern)
         for batch in batches:
             columns = ([], [], [], [])
             for ids, plain in encoder.encode(batch.column(1)):
