@@ -47,12 +47,13 @@ def task_inference(df: DataFrame, target: str | None = None) -> DataFrame:
     return spark.createDataFrame([(*NO_TASK, None)], out)
 
 
-def suggested_config(df: DataFrame) -> DataFrame:
+def suggested_config(df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """setting, column_name, detail: ids, timestamps, conversions of text and flags, ambiguous flags marked for review."""
-    types = R.semantic_types(df)
+    facts = R.column_facts(df) if facts is None else facts
+    types = R.semantic_types(df, facts)
     setting = F.when(F.col("role") == "id", "id_column").when(F.col("role") == "timestamp", "time_column").when(F.col("semantic_type") == "numeric-like", "parse_numeric").when(F.col("role") == "ignore_candidate", "ignore")
     roles = types.select(setting.alias("setting"), "column_name", F.col("semantic_type").alias("detail")).where("setting is not null")
-    flags = R.binary_profile(df).select(F.when(F.col("ambiguous"), "review_flag").otherwise("binary_map").alias("setting"), "column_name", F.concat_ws("/", "zero_value", "one_value").alias("detail"))
+    flags = R.binary_profile(df, facts=facts).select(F.when(F.col("ambiguous"), "review_flag").otherwise("binary_map").alias("setting"), "column_name", F.concat_ws("/", "zero_value", "one_value").alias("detail"))
     return roles.unionByName(flags)
 
 

@@ -107,12 +107,13 @@ def apply_suggested_conversions(df: DataFrame, config: DataFrame | None = None)
     Text that does not parse becomes null; a flag's two values are those of its row in the configuration.
     """
     from tessera.operators.assess import suggested_config
-    from tessera.operators.rules import semantic_types
+    from tessera.operators.rules import column_facts, semantic_types
 
-    config = suggested_config(df) if config is None else config
+    facts = column_facts(df)
+    config = suggested_config(df, facts) if config is None else config
     rows = [r for r in config.collect() if r["column_name"] in df.columns]
     kinds, out = dict(df.dtypes), {}
-    times = {r["column_name"] for r in semantic_types(df).where("semantic_type = 'datetime-like'").collect()}
+    times = {r["column_name"] for r in semantic_types(df, facts).where("semantic_type = 'datetime-like'").collect()}
     for r in rows:
         c = r["column_name"]
         if r["setting"] == "binary_map":

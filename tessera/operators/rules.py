@@ -29,23 +29,29 @@ def name_rules(names: list[str]) -> dict[str, list[str]]:
     return {n: [k for k, p in rules.items() if re.search(p, n.lower())] for n in names}
 
 
-def semantic_types(df: DataFrame) -> DataFrame:
-    """column_name, semantic_type, confidence, hypotheses, role: the most confident of the ranked hypotheses.
-
-    All measures come from one aggregate over the whole table; the rules are expressions over its few rows.
-    """
-    kinds = dict(df.dtypes)
-    as_text = lambda f: lambda c: f(c.cast("string"))
-    share = lambda test: as_text(lambda c: F.avg(F.when(c.isNotNull(), test(c).cast("int"))))
-    number = lambda c: c.cast("string").try_cast("double")
-    facts = P.per_column(
-        df, df.columns,
+def column_facts(df: DataFrame) -> DataFrame:
+    """value_facts() with what the rules ask: shares of text that read as something, and the range of numbers."""
+    v, n = F.col("value"), F.col("n")
+    share = lambda test, of=None: F.try_divide(F.sum(F.when(test, n).otherwise(0)), F.sum(n if of is None else F.when(of, n)))
+    text = lambda m: lambda kind: m if kind == "string" else None
+    number = lambda m: lambda kind: m if C.is_numeric(kind) else None
+    x = v.cast("double")
+    return P.value_facts(
+        df,
         {
-            "rows": lambda c: F.count(F.lit(1)), "non_null": F.count, "distinct": F.count_distinct, "num": share(lambda c: C.to_number(c, "").isNotNull()), "date": share(lambda c: C.to_time(c).isNotNull()), "flag": share(lambda c: C.to_flag(c).isNotNull()),
-            "email": share(lambda c: c.rlike(EMAIL)), "url": share(lambda c: c.rlike(URL)), "json": share(lambda c: c.rlike(r"^\s*[\[{]")), "mean_len": as_text(lambda c: F.avg(F.length(c))), "max_len": as_text(lambda c: F.max(F.length(c))),
-            "int_share": lambda c: F.avg((number(c) == F.floor(number(c))).cast("int")), "lo": lambda c: F.min(number(c)), "hi": lambda c: F.max(number(c)),
+            "num": text(share(C.to_number(v, "").isNotNull())), "date": text(share(C.to_time(v).isNotNull())), "email": text(share(v.rlike(EMAIL))), "url": text(share(v.rlike(URL))), "json": text(share(v.rlike(r"^\s*[\[{]"))),
+            "mean_len": text(F.sum(F.length(v) * n) / F.sum(n)), "max_len": text(F.max(F.length(v))), "missing_like": text(F.sum(F.when(C.missing_like(v), n))),
+            "int_share": number(share(x == F.floor(x))), "lo": number(F.min(x)), "hi": number(F.max(x)), "zero_ratio": number(share(x == 0, F.abs(x) < F.lit(float("inf")))),
         },
     )
+
+
+def semantic_types(df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """column_name, semantic_type, confidence, hypotheses, role: the most confident of the ranked hypotheses.
+
+    All measures come from column_facts(), worked out here if not given; the rules are expressions over its few rows.
+    """
+    kinds, facts = dict(df.dtypes), (column_facts(df) if facts is None else facts).withColumnRenamed("distinct_count", "distinct")
     names = name_rules(df.columns)
     marks = F.create_map(*(x for n in df.columns for x in (F.lit(n), F.array(*map(F.lit, names[n])).cast("array<string>"))))
     types = F.create_map(*(x for n in df.columns for x in (F.lit(n), F.lit("number" if C.is_numeric(kinds[n]) else "time" if C.is_time(kinds[n]) else kinds[n]))))
@@ -64,18 +70,19 @@ def semantic_types(df: DataFrame) -> DataFrame:
     return out.select("column_name", "semantic_type", F.coalesce(F.get("h", F.lit(0))["confidence"], F.lit(0.0)).alias("confidence"), F.transform("h", lambda x: F.struct(x["type"].alias("type"), x["confidence"].alias("confidence"))).alias("hypotheses"), role.alias("role"))
 
 
-def binary_profile(df: DataFrame, cols: list[str] | None = None, most: int = 5) -> DataFrame:
+def binary_profile(df: DataFrame, cols: list[str] | None = None, most: int = 5, facts: DataFrame | None = None) -> DataFrame:
     """column_name, kind, confidence, ambiguous, zero_value, one_value for columns that behave like a flag.
 
     Nulls count as one of at most `most` raw values, which read as yes, no, missing or something else. Columns of more
     values leave by their count, before any value is gathered.
     """
     cols = cols or df.columns
-    values = P.value_counts(df, cols, nulls=True)
-    few = values.groupBy("column_name").agg(F.count("*").alias("k")).where(F.col("k") <= most)
+    counts = P.value_facts(df.select(*cols)) if facts is None else facts.where(F.col("column_name").isin(cols))
+    few = [r[0] for r in counts.where(F.col("distinct_count") + (F.col("non_null") < F.col("rows")).cast("int") <= most).collect()]
+    values = P.value_counts(df, few, nulls=True) if few else df.sparkSession.createDataFrame([], "column_name string, value string, n bigint")
     v = F.col("value")
     read = F.when(v.isNull() | C.missing_like(v), "missing").when(v.try_cast("double") == 1, "true").when(v.try_cast("double") == 0, "false").when(C.to_flag(v) == 1, "true").when(C.to_flag(v) == 0, "false").otherwise("other")
-    t = values.join(F.broadcast(few.select("column_name")), "column_name").withColumn("read", read)
+    t = values.withColumn("read", read)
     count = lambda x: F.count_if(F.col("read") == x)
     order = F.when(F.col("read") != "missing", F.struct((-F.col("n")).alias("n"), "value"))
     t = t.groupBy("column_name").agg(F.count("*").alias("k"), count("true").alias("yes"), count("false").alias("no"), count("missing").alias("gone"), count("other").alias("other"), F.max(F.when(F.col("read") == "true", v)).alias("one"), F.max(F.when(F.col("read") == "false", v)).alias("zero"), F.min(order).alias("first"), F.max(order).alias("last"))
@@ -104,8 +111,9 @@ def infer_task(distinct: int, numeric: bool) -> str:
 
 def target_candidates(df: DataFrame, target: str | None = None, least: float = 0.28) -> DataFrame:
     """column_name, score: how likely each column is what a model should predict; a given target always shows."""
-    c = P.column_counts(df).join(semantic_types(df).select("column_name", "semantic_type"), "column_name")
-    c = c.join(binary_profile(df).select("column_name", F.lit(True).alias("flag")), "column_name", "left")
+    facts = column_facts(df)
+    c = P.column_counts(df, facts).join(semantic_types(df, facts).select("column_name", "semantic_type"), "column_name")
+    c = c.join(binary_profile(df, facts=facts).select("column_name", F.lit(True).alias("flag")), "column_name", "left")
     names, is_type = name_rules(df.columns), F.col("semantic_type").isin
     outcome = F.col("column_name").isin(*[n for n in df.columns if "outcome" in names[n]] or [""])
     last, given = F.col("column_name") == df.columns[-1], F.col("column_name") == F.lit(target or "")
@@ -121,8 +129,8 @@ def target_candidates(df: DataFrame, target: str | None = None, least: float = 0
 
 def time_candidates(df: DataFrame) -> DataFrame:
     """column_name, score: columns that hold times, or whose names say so."""
-    names = name_rules(df.columns)
-    s = semantic_types(df).join(P.column_counts(df).select("column_name", "missing_ratio"), "column_name")
+    names, facts = name_rules(df.columns), column_facts(df)
+    s = semantic_types(df, facts).join(P.column_counts(df, facts).select("column_name", "missing_ratio"), "column_name")
     named = F.col("column_name").isin(*[n for n in df.columns if "time" in names[n]] or [""])
     kind = F.when(F.col("semantic_type") == "datetime", 0.5).when(F.col("semantic_type") == "datetime-like", 0.42)
     score = F.lit(0.2) + F.coalesce(kind, F.lit(0.0)) + F.when(named, 0.18).otherwise(0.0) + F.when(F.col("missing_ratio") <= 0.1, 0.08).otherwise(0.0)
@@ -236,7 +244,8 @@ KINDS = {"times": ("datetime", "datetime-like"), "nums": ("numeric", "amount", "
 
 def shape_hypotheses(df: DataFrame, target: str | None = None) -> DataFrame:
     """shape, confidence, evidence (the columns that speak for it): all ten shapes that names, semantic types and sizes can show."""
-    s = semantic_types(df).join(P.column_counts(df).select("column_name", "missing_ratio", (F.col("non_null") + F.col("missing")).alias("rows")), "column_name")
+    facts = column_facts(df)
+    s = semantic_types(df, facts).join(P.column_counts(df, facts).select("column_name", "missing_ratio", (F.col("non_null") + F.col("missing")).alias("rows")), "column_name")
     in_order = lambda k: F.filter(F.lit(df.columns), lambda c: F.array_contains(F.col(k), c))
     member = {k: F.col("semantic_type").isin(*types) for k, types in KINDS.items()}
     member["geo"] |= F.lower("column_name").isin("lat", "latitude", "lon", "lng", "longitude")
