@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import columns as C
 from tessera.operators import clean as K
 from tessera.operators import profile as P
-from tessera.operators.rules import binary_profile, semantic_types
+from tessera.operators.rules import binary_profile, column_facts, semantic_types
 
 # Semantic types that count as numbers, may be scaled, or become indicators.
 SCALABLE = ("numeric", "amount", "numeric-like", "percentage", "proportion")
@@ -28,7 +28,8 @@ def model_table_plan(df: DataFrame, target: str | None = None, max_categories: i
     indicator; categories of at most max_categories levels become indicators, dates calendar parts. Scales and ratios (an amount
     by an extent, as names tell; at most most_ratios, in column order) are proposed, but not applied unless chosen.
     """
-    s = semantic_types(df).join(P.column_counts(df).select("column_name", "missing_ratio", "distinct_count"), "column_name")
+    facts = column_facts(df)
+    s = semantic_types(df, facts).join(P.column_counts(df, facts).select("column_name", "missing_ratio", "distinct_count"), "column_name")
     kind, own = F.col("semantic_type"), F.col("column_name") == F.lit(target or "")
     gone = kind.isin("identifier", "constant", "mostly_missing")
     settings = lambda **kw: F.create_map(*(x for k, v in kw.items() for x in (F.lit(k), v if not isinstance(v, str) else F.lit(v))))
@@ -180,8 +181,9 @@ def treat_missing(df: DataFrame, c: str, treatment: str, value=None, order_by: s
 
 def ambiguous_flags(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """column_name, kind, confidence, affected, zero_value, one_value: columns that look like flags, but that a person must confirm."""
-    flags = binary_profile(df, cols).where("ambiguous")
-    return flags.join(P.column_counts(df.select(*(cols or df.columns))).select("column_name", F.col("non_null").alias("affected")), "column_name").select("column_name", "kind", "confidence", "affected", "zero_value", "one_value")
+    facts = P.value_facts(df.select(*(cols or df.columns)))
+    flags = binary_profile(df, cols, facts=facts).where("ambiguous")
+    return flags.join(P.column_counts(df, facts).select("column_name", F.col("non_null").alias("affected")), "column_name").select("column_name", "kind", "confidence", "affected", "zero_value", "one_value")
 
 
 def every_review(df: DataFrame, factor: float = 1.5) -> DataFrame:

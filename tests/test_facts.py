@@ -33,3 +33,16 @@ def test_conversions_of_a_wide_table(spark):
     assert [k for _, k in got.dtypes] == ["bigint", *["double"] * 5, "int", "timestamp"]
     row = got.where("id = 33").first()
     assert (row["n4"], row["flag"], str(row["day"])[:10]) == (132.0, 1, "2024-02-03")
+
+
+def test_plan_of_a_model_table_reads_the_table_once_for_its_facts(spark, tmp_path):
+    from tessera.operators import preparation as D
+
+    spark.range(200).selectExpr("id AS row_key", "id % 40 AS unit_count", "CASE WHEN id % 5 > 0 THEN id * 1.5D END AS price", "CAST(id % 3 AS string) AS level", "timestamp'2024-01-01' AS at").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    plan = D.model_table_plan(df, "level")
+    assert "parquet" not in plan_of(plan)
+    assert {r["id"]: r["distinct_count"] for r in plan.where("by_default").collect()} == {"drop_identifier:row_key": 200, "impute_missing:price": 160, "drop_constant:at": 1}
+    ratio, flags = "add_ratio:price_per_unit_count", D.ambiguous_flags(df.selectExpr("CASE WHEN row_key % 2 = 0 THEN 'yes' END AS has_note", "level"))
+    assert ratio in {r["id"] for r in plan.collect()}
+    assert [(r["column_name"], r["affected"]) for r in flags.collect()] == [("has_note", 100)]
