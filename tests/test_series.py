@@ -30,3 +30,14 @@ def test_fills_of_a_group_of_nearly_all_rows(spark, backward):
         last[g] = x if x is not None else last.get(g)
         want[i] = last[g]
     assert got == want and clean.fill_forward(df, "x", "i", ["g"]).columns == df.columns
+
+
+@pytest.mark.parametrize("backward", [False, True])
+def test_fill_of_all_rows_reads_each_row_once(spark, backward):
+    rows = [(i, None if i % 7 else i) for i in range(4_000)]
+    df = spark.createDataFrame(rows, "i int, x int").repartition(5)
+    filled = clean.fill_forward(df, "x", "i", backward=backward)
+    # a frame up to the last row takes the square of a range's rows
+    assert "unboundedfollowing" not in filled._jdf.queryExecution().optimizedPlan().toString().lower()
+    want = {i: (-(-i // 7) * 7 if -(-i // 7) * 7 < 4_000 else None) if backward else i // 7 * 7 for i in range(4_000)}
+    assert {r["i"]: r["x"] for r in filled.collect()} == want
