@@ -96,3 +96,11 @@ def test_shapes_and_flags(spark):
     flags = {r["column_name"]: r for r in R.column_flags(t).collect()}
     assert flags["one"]["constant"] and flags["gap"]["missing_like"] and not flags["name"]["missing_like"] and flags["x"]["iqr_outliers"] and flags["name"]["high_cardinality"] and not flags["x"]["high_cardinality"]
     assert not flags["name"]["iqr_outliers"] and not any(r["near_constant"] for r in flags.values())
+
+
+def test_back_fill_treatment_takes_a_running_frame(spark):
+    df = spark.createDataFrame([(i, None if i % 50 else float(i)) for i in range(1_000)], "i int, x double")
+    got = A.treat_missing(df, "x", "back_fill", order_by="i", indicator=True)
+    assert "unboundedfollowing" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+    last = {r["i"]: (r["x"], r["x_was_missing"]) for r in got.collect()}
+    assert last[0] == (0.0, 0) and last[1] == (50.0, 1) and last[950] == (950.0, 0) and last[951] == (None, 1) and len(last) == 1_000
