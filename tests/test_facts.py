@@ -46,3 +46,11 @@ def test_plan_of_a_model_table_reads_the_table_once_for_its_facts(spark, tmp_pat
     ratio, flags = "add_ratio:price_per_unit_count", D.ambiguous_flags(df.selectExpr("CASE WHEN row_key % 2 = 0 THEN 'yes' END AS has_note", "level"))
     assert ratio in {r["id"] for r in plan.collect()}
     assert [(r["column_name"], r["affected"]) for r in flags.collect()] == [("has_note", 100)]
+
+
+def test_sample_of_repeated_keys_is_the_same_in_any_order_of_rows(spark):
+    from tessera.functions.columns import hash_sample
+
+    rows = [(i % 3, i, {"i": i}) for i in range(60)]
+    taken = [sorted(r["v"] for r in hash_sample(spark.createDataFrame(x, "k int, v int, m map<string,int>").repartition(p), 7, "k").collect()) for x, p in ((rows, 1), (rows[::-1], 1), (rows[30:] + rows[:30], 4))]
+    assert taken[0] == taken[1] == taken[2] and len({v % 3 for v in taken[0]}) == 1 and taken[0] == sorted(taken[0])[:7] == [min(taken[0]) + 3 * i for i in range(7)]
