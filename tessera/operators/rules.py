@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
 from tessera.operators import profile as P
+from tessera.operators.order import exact_quantiles
 
 # What column names suggest, whatever their case.
 ID_NAME = r"(^id$|_id$|^id_|uuid|guid|key$|_key$)"
@@ -147,19 +148,14 @@ SEVERITY = {"error": 3, "warning": 2, "info": 1}
 MEASURED = ("numeric", "amount", "nonnegative_amount", "numeric-like", "percentage", "proportion", "identifier")
 
 
-def column_issues(df: DataFrame, target: str | None = None) -> DataFrame:
+def column_issues(df: DataFrame, target: str | None = None, facts: DataFrame | None = None) -> DataFrame:
     """column_name, found: the rules of one column each, over tables of a row per column."""
-    text, nums = C.columns_of(df, lambda k: k == "string"), C.columns_of(df, C.is_numeric)
-    c = P.column_counts(df).join(P.frequency_facts(df, df.columns).select("column_name", "dominant_share"), "column_name", "left").join(semantic_types(df).select("column_name", "semantic_type"), "column_name")
-    c = c.join(binary_profile(df).select("column_name", F.col("kind").alias("flag"), F.col("confidence").alias("flag_confidence"), "ambiguous"), "column_name", "left")
-    empty = df.sparkSession.createDataFrame([], "column_name string, n bigint, zero_ratio double, outlier_ratio double, top_share double")
-    likes = P.missing_like_tokens(df, text).groupBy("column_name").agg(F.sum("n").alias("n")) if text else empty.select("column_name", "n")
-    if nums:
-        shares = df.sparkSession.createDataFrame([(n, top_1pct(df, n)) for n in nums], "column_name string, top_share double")
-        measured = P.numeric_metrics(df, nums).select("column_name", "zero_ratio").join(P.iqr_outliers(df, nums).select("column_name", "outlier_ratio"), "column_name").join(shares, "column_name")
-    else:
-        measured = empty.select("column_name", "zero_ratio", "outlier_ratio", "top_share")
-    c = c.join(likes.withColumnRenamed("n", "missing_like"), "column_name", "left").join(measured, "column_name", "left")
+    facts = column_facts(df) if facts is None else facts
+    nums = C.columns_of(df, C.is_numeric)
+    c = P.column_counts(df, facts).join(facts.select("column_name", F.try_divide("top", "non_null").alias("dominant_share"), "missing_like", "zero_ratio"), "column_name")
+    c = c.join(semantic_types(df, facts).select("column_name", "semantic_type"), "column_name")
+    c = c.join(binary_profile(df, facts=facts).select("column_name", F.col("kind").alias("flag"), F.col("confidence").alias("flag_confidence"), "ambiguous"), "column_name", "left")
+    c = c.join(measured_shares(df, nums, {r["column_name"]: r["lo"] for r in facts.collect()}), "column_name", "left")
     x, kind = F.col, F.col("semantic_type").isin
     measures, flag = kind(*MEASURED), x("flag").isNotNull()
     rules = [
@@ -184,10 +180,27 @@ def column_issues(df: DataFrame, target: str | None = None) -> DataFrame:
     return c.select("column_name", F.explode(made).alias("f")).select("f.issue", "column_name", "f.severity", "f.confidence", "f.value")
 
 
-def top_1pct(df: DataFrame, c: str) -> float | None:
-    from tessera.operators.stats import top_share
+def measured_shares(df: DataFrame, nums: list[str], least: dict[str, float | None]) -> DataFrame:
+    """column_name, outlier_ratio, top_share (of the largest hundredth in the sum of what is not negative) of all numbers at once.
 
-    return top_share(df, c, 0.01).first()[0]
+    The value at 0.99 lies between the neighbours of the largest hundredth's border: what is above it, and as many rows of the
+    largest value up to it as the hundredth still lacks, is that hundredth. `least` tells which columns hold negative values.
+    """
+    if not nums:
+        return df.sparkSession.createDataFrame([], "column_name string, outlier_ratio double, top_share double")
+    kept = {c: F.when(C.value(df, c) >= 0, C.value(df, c)).cast("double") for c in nums}
+    signed = [i for i, c in enumerate(nums) if least[c] is not None and least[c] < 0]
+    made = df.select(*(F.col(c).alias(f"v{i}") for i, c in enumerate(nums)), *(kept[nums[i]].alias(f"k{i}") for i in signed))
+    q = {r["column_name"]: r["q"] or [None] * 3 for r in exact_quantiles(made, made.columns, [0.25, 0.75, 0.99]).collect()}
+    sums = []
+    for i, c in enumerate(nums):
+        (a, b, _), top, v = q[f"v{i}"], q[f"k{i}" if i in signed else f"v{i}"][2], kept[c]
+        out = F.count_if((F.col(c) < a - 1.5 * (b - a)) | (F.col(c) > b + 1.5 * (b - a))) if a is not None and b > a else F.lit(0)
+        top = float("inf") if top is None else top
+        sums.append(F.struct(F.lit(c).alias("column_name"), F.try_divide(out, F.count(c)).alias("outlier_ratio"), F.count(v).alias("n"), F.sum(v).alias("total"), F.count_if(v > top).alias("above"), F.sum(F.when(v > top, v)).alias("largest"), F.max(F.when(v <= top, v)).alias("border")))
+    found = df.agg(*(x.alias(f"s{i}") for i, x in enumerate(sums))).select(F.explode(F.array(*(f"s{i}" for i in range(len(sums))))).alias("x")).select("x.*")
+    lacking = F.greatest(F.ceil(F.col("n") * 0.01) - F.col("above"), F.lit(0))
+    return found.select("column_name", "outlier_ratio", F.try_divide(F.coalesce("largest", F.lit(0.0)) + F.coalesce(lacking * F.col("border"), F.lit(0.0)), "total").alias("top_share"))
 
 
 def issues(df: DataFrame, target: str | None = None) -> DataFrame:
@@ -195,10 +208,14 @@ def issues(df: DataFrame, target: str | None = None) -> DataFrame:
     if len(set(df.columns)) < len(df.columns):  # nothing else can be said of columns without names of their own
         names = sorted({n for n in df.columns if df.columns.count(n) > 1})
         return df.sparkSession.createDataFrame([("duplicate_names", n, "error", 1.0, float(df.columns.count(n))) for n in names], "issue string, column_name string, severity string, confidence double, value double")
-    rows = df.count()
-    dup = P.duplicate_rows(df).where("duplicate_rows > 0").select(F.lit("duplicate_rows").alias("issue"), F.lit("*").alias("column_name"), F.when(F.col("duplicate_rows") >= 0.01 * rows, "warning").otherwise("info").alias("severity"), F.lit(1.0).alias("confidence"), F.col("duplicate_rows").cast("double").alias("value"))
+    facts = column_facts(df)
+    counts = facts.select("rows", "distinct_count").collect()
+    rows = counts[0]["rows"]
+    # a column without two equal values has no repeated rows
+    apart = any(r["distinct_count"] == rows for r in counts)
+    dup = (df.sparkSession.createDataFrame([], "duplicate_rows bigint") if apart else P.duplicate_rows(df)).where("duplicate_rows > 0").select(F.lit("duplicate_rows").alias("issue"), F.lit("*").alias("column_name"), F.when(F.col("duplicate_rows") >= 0.01 * rows, "warning").otherwise("info").alias("severity"), F.lit(1.0).alias("confidence"), F.col("duplicate_rows").cast("double").alias("value"))
     rank = F.create_map(*(F.lit(y) for pair in SEVERITY.items() for y in pair))
-    return column_issues(df, target).unionByName(dup).orderBy(rank[F.col("severity")].desc(), F.desc("confidence"), "issue", "column_name")
+    return column_issues(df, target, facts).unionByName(dup).orderBy(rank[F.col("severity")].desc(), F.desc("confidence"), "issue", "column_name")
 
 
 def insights(df: DataFrame, target: str | None = None) -> DataFrame:

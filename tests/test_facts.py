@@ -54,3 +54,22 @@ def test_sample_of_repeated_keys_is_the_same_in_any_order_of_rows(spark):
     rows = [(i % 3, i, {"i": i}) for i in range(60)]
     taken = [sorted(r["v"] for r in hash_sample(spark.createDataFrame(x, "k int, v int, m map<string,int>").repartition(p), 7, "k").collect()) for x, p in ((rows, 1), (rows[::-1], 1), (rows[30:] + rows[:30], 4))]
     assert taken[0] == taken[1] == taken[2] and len({v % 3 for v in taken[0]}) == 1 and taken[0] == sorted(taken[0])[:7] == [min(taken[0]) + 3 * i for i in range(7)]
+
+
+def test_shares_of_all_numbers_at_once_agree_with_those_of_one(spark):
+    import random
+
+    from tessera.operators.stats import top_share
+
+    r = random.Random(5)
+    rows = [(r.choice([None, r.random() * 100]), r.gauss(0, 10), r.randint(0, 3), 7.0 if i else 9e5, None) for i in range(1201)]
+    df = spark.createDataFrame(rows, "a double, b double, c int, d double, e double")
+    facts = {x["column_name"]: x["lo"] for x in R.column_facts(df).collect()}
+    got = {x["column_name"]: x for x in R.measured_shares(df, df.columns, facts).collect()}
+    outside = {x["column_name"]: x["outlier_ratio"] for x in P.iqr_outliers(df).collect()}
+    for c in df.columns:
+        want = top_share(df, c).first()[0]
+        assert got[c]["outlier_ratio"] == outside[c] and (got[c]["top_share"] == want or abs(got[c]["top_share"] - want) < 1e-12), c
+    few = {(x["issue"], x["column_name"]): x["value"] for x in R.issues(df.select("c", "d")).collect()}
+    assert few["duplicate_rows", "*"] == 1196
+    assert "duplicate_rows" not in {x["issue"] for x in R.issues(df.select("b", "c")).collect()}
