@@ -104,3 +104,15 @@ def test_back_fill_treatment_takes_a_running_frame(spark):
     assert "unboundedfollowing" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
     last = {r["i"]: (r["x"], r["x_was_missing"]) for r in got.collect()}
     assert last[0] == (0.0, 0) and last[1] == (50.0, 1) and last[950] == (950.0, 0) and last[951] == (None, 1) and len(last) == 1_000
+
+
+def test_modeling_plan_takes_all_medians_at_once(spark, monkeypatch):
+    rows = [(i, None if i % 4 == 0 else float(i), None if i % 5 == 0 else i % 9 + 0.5, "xyz"[i % 3]) for i in range(60)]
+    df = spark.createDataFrame(rows, "k int, a double, b double, w string")
+    seen, found = [], K.exact_quantiles
+    monkeypatch.setattr(K, "exact_quantiles", lambda d, cols, qs: seen.append(list(cols)) or found(d, cols, qs))
+    plan = spark.createDataFrame([("impute_median", "b"), ("one_hot", "w"), ("drop_identifier", "k"), ("impute_median", "a")], "action string, column_name string")
+    got = K.apply_modeling(df, plan)
+    assert seen == [["a", "b"]]
+    assert got.columns == ["a", "b", "a_was_imputed", "b_was_imputed", "w_x", "w_y", "w_z", "w_Other"]
+    assert got.where("a_was_imputed = 1").select("a").distinct().collect()[0][0] == 30.0 and got.where("b is null").count() == 0
