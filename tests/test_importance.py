@@ -35,3 +35,30 @@ def test_permutation_importance(spark):
 def test_bisecting_finds_all_its_clusters(spark):
     df = spark.createDataFrame([(i, float(i % 3) * 10 + (i % 7) / 10, float(i % 3)) for i in range(150)], "id int, x double, y double")
     assert M.bisecting(df, ["x", "y"], 3).groupBy("cluster").count().count() == 3
+
+
+def test_rows_of_equal_values_are_scored_once(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    rows = [(i, float(r.integers(3)), None if i % 11 == 0 else float(r.integers(4)), "ab"[r.integers(2)]) for i in range(900)]
+    rows = [(*a, a[1] * 2 + (a[2] or 0) + float(r.normal()), None if a[0] % 50 == 0 else float(a[1] > 1)) for a in rows]
+    df = spark.createDataFrame(rows, "k int, x double, z double, w string, label double, cls double").repartition(4)
+
+    class Seen:
+        def __init__(self, model):
+            self.model = model
+
+        def transform(self, d):
+            self.rows = d.count()
+            return self.model.transform(d)
+
+    for task, score, d in (("regression", "r2", df.drop("cls")), ("regression", "neg_rmse", df.drop("cls")), ("classification", "accuracy", df.drop("label").withColumnRenamed("cls", "label"))):
+        model = Seen(M.fit(d.where("label is not null"), ["x", "z"], ["w"], "random_forest", task))
+        by = lambda: {a["column_name"]: a for a in M.permutation_importance(model, d, "k", ["x", "z", "w"], score, 2).collect()}
+        few = by()
+        assert model.rows <= 7 * 3 * 5 * 2 * 3
+        with monkeypatch.context() as m:
+            m.setattr(M, "prod", lambda _: 1 << 40)
+            each = by()
+        assert model.rows == 7 * 900
+        for c, a in each.items():
+            assert abs(few[c]["importance"] - a["importance"]) < 1e-9 and abs(few[c]["deviation"] - a["deviation"]) < 1e-9 and few[c]["repeats"] == 2
