@@ -73,3 +73,12 @@ def test_shares_of_all_numbers_at_once_agree_with_those_of_one(spark):
     few = {(x["issue"], x["column_name"]): x["value"] for x in R.issues(df.select("c", "d")).collect()}
     assert few["duplicate_rows", "*"] == 1196
     assert "duplicate_rows" not in {x["issue"] for x in R.issues(df.select("b", "c")).collect()}
+
+
+def test_feature_select_reads_held_facts(spark, tmp_path):
+    from tessera.operators import modeling as M
+
+    spark.range(300).selectExpr("id AS order_key", "id % 7 * 1.5D AS amount", "substr('abc', CAST(id % 3 AS int) + 1, 1) AS level", "id * 2.5D AS amount_left").write.parquet(f"{tmp_path}/t")
+    got = M.feature_select(spark.read.parquet(f"{tmp_path}/t"), "amount")
+    assert "parquet" not in plan_of(got)
+    assert [tuple(r) for r in got.collect()] == [("order_key", "drop", "identifier"), ("amount", "drop", "target"), ("level", "categorical", None), ("amount_left", "drop", "target_derived")]
